@@ -1,50 +1,149 @@
 """Distributed positions and running sums.
 
 Row positions and weighted ranks are the backbone of the positional operators
-(row ids, paging), of exact quantiles and of average ranks. A global
-``row_number() over (order by k)`` runs in a single task, so instead:
-
-1. range-partition on the order key and sort inside each partition
-   (one shuffle, balanced by sampling);
-2. take the position / running sum inside each partition;
-3. prefix-sum the per-partition totals -- a table with one row per partition,
-   so its size is bounded by the partition count -- and broadcast it back.
+(row ids, paging), of exact quantiles, of average ranks and of Kendall's tau.
+A global ``row_number() over (order by k)`` runs in a single task, so instead:
+
+1. range *buckets* are fixed once from a bounded sample of the order key and
+   written into the plan as a balanced comparison tree -- a deterministic
+   function of the row, so every branch of the plan (and every retry after a
+   lost executor) puts a row in the same bucket;
+2. a window partitioned by bucket gives the position / running sum inside the
+   bucket (one shuffle, buckets balanced by the sample; a key value that fills
+   several buckets is spread over them by a row hash);
+3. bucket totals are prefix-summed; only buckets with a non-zero offset -- at
+   most one per bucket boundary -- are broadcast back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabprobe.functions.columns import qcol
 
-_POS_BITS = 33  # monotonically_increasing_id = (partition index << 33) + position
+SAMPLE_PER_BUCKET = 64
+SUB_BUCKETS = 1024  # bucket id = base * SUB_BUCKETS + sub (sub spreads a hot key)
+SAMPLE_SEED = 7
 
 
 def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _lex_le(keys: Sequence[Column], bound: tuple) -> Column:
+    """keys <= bound in lexicographic order."""
+    cond = keys[-1] <= F.lit(bound[-1])
+    for i in range(len(keys) - 2, -1, -1):
+        b = F.lit(bound[i])
+        cond = (keys[i] < b) | ((keys[i] == b) & cond)
+    return cond
+
+
+def _lex_eq(keys: Sequence[Column], bound: tuple) -> Column:
+    cond = F.lit(True)
+    for k, b in zip(keys, bound):
+        cond = cond & (k == F.lit(b))
+    return cond
+
+
+def _sample_bounds(df: DataFrame, order_cols: Sequence[str], n: int) -> list[tuple]:
+    """n-1 boundary keys (with repeats for hot keys) from a bounded uniform
+    sample: the rows with the smallest per-row hash (one pass, TakeOrdered keeps
+    at most ``n * SAMPLE_PER_BUCKET`` rows per task)."""
+    if n <= 1:
+        return []
+    want = n * SAMPLE_PER_BUCKET
+    keys = [qcol(c) for c in order_cols]
+    salt = F.xxhash64(*keys, F.monotonically_increasing_id(), F.lit(SAMPLE_SEED))
+    rows = df.select(*keys, salt.alias("_s")).orderBy("_s").limit(want).collect()
+    sample = sorted(tuple(r)[:-1] for r in rows if all(v is not None for v in tuple(r)[:-1]))
+    if not sample:
+        return []
+    return [sample[(len(sample) * i) // n] for i in range(1, n)]
+
+
+def bucket_column(df: DataFrame, order_cols: Sequence[str], num_buckets: int | None = None,
+                  spread: Sequence[str] | None = None) -> Column:
+    """Deterministic range-bucket id (a long, increasing with the order key)."""
+    n = num_buckets or default_partitions(df)
+    bounds = _sample_bounds(df, order_cols, n)
+    uniq: list[tuple] = []
+    mult: list[int] = []
+    for b in bounds:
+        if uniq and uniq[-1] == b:
+            mult[-1] += 1
+        else:
+            uniq.append(b)
+            mult.append(1)
+    keys = [qcol(c) for c in order_cols]
+
+    def tree(lo: int, hi: int) -> Column:
+        # buckets lo..hi; bucket k holds keys in (uniq[k-1], uniq[k]]
+        if lo == hi:
+            return F.lit(lo).cast("long")
+        mid = (lo + hi) // 2
+        return F.when(_lex_le(keys, uniq[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    base = tree(0, len(uniq)) if uniq else F.lit(0).cast("long")
+    sub = F.lit(0).cast("long")
+    hot = [(u, m) for u, m in zip(uniq, mult) if m > 1]
+    if hot and spread:
+        h = F.xxhash64(*[qcol(c) for c in spread])
+        for u, m in hot:
+            sub = F.when(_lex_eq(keys, u), F.pmod(h, F.lit(min(m, SUB_BUCKETS)))).otherwise(sub)
+    return base * SUB_BUCKETS + sub
+
+
+def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[str],
+                     weight_col: str | None, name: str = "before",
+                     num_buckets: int | None = None,
+                     spread: Sequence[str] | None = None) -> DataFrame:
+    """Append, per ``group_col`` (or over the whole table), the sum of
+    ``weight_col`` (1 per row when None) over rows earlier in ``order_by``
+    order: an exclusive running sum. Rows with equal keys are ordered
+    arbitrarily (ROWS frame); pass unique keys for a deterministic result."""
+    gcols = [group_col] if group_col else []
+    keys = gcols + list(order_by)
+    n = num_buckets or default_partitions(df)
+    b = bucket_column(df, keys, n, spread)
+    w = qcol(weight_col) if weight_col else F.lit(1).cast("long")
+    g = qcol(group_col) if group_col else F.lit(0)
+    staged = df.withColumn("_b", b).withColumn("_g", g).withColumn("_w", w.cast("long"))
+    staged = staged.repartition(n, "_b")
+    local_w = (Window.partitionBy("_b", "_g").orderBy(*[qcol(c) for c in order_by])
+                     .rowsBetween(Window.unboundedPreceding, -1))
+    local = staged.withColumn("_local", F.coalesce(F.sum("_w").over(local_w), F.lit(0)))
+    totals = staged.groupBy("_b", "_g").agg(F.sum("_w").alias("_tot"))
+    prior = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.select(F.col("_b").alias("_ob"), F.col("_g").alias("_og"),
+                             F.coalesce(F.sum("_tot").over(prior), F.lit(0)).alias("_off"))
+                     .where(F.col("_off") > 0))  # at most one row per bucket boundary
+    joined = local.join(F.broadcast(offsets),
+                        (F.col("_b") == F.col("_ob")) & (F.col("_g") == F.col("_og")), "left")
+    return (joined.withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long"))
+                  .drop("_b", "_g", "_w", "_ob", "_og", "_off", "_local"))
+
+
+_POS_BITS = 33  # monotonically_increasing_id = (partition index << 33) + position
+
+
 def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None,
                 name: str = "row_id", num_partitions: int | None = None) -> DataFrame:
     """Append a contiguous 0-based position.
 
-    With ``order_by`` the position follows that order (ties in arbitrary but
-    consistent order -- pass a unique key for a deterministic result); without
-    it, the current partition order (file order for a fresh scan) is used.
+    With ``order_by`` the position follows that order (ties in arbitrary order
+    -- pass a unique key for a deterministic result). Without it the current
+    partition order of a scan is used (file order), via the partition index and
+    in-partition position; offsets come from per-partition counts.
     """
     if order_by:
-        n = num_partitions or default_partitions(df)
-        keys = [qcol(c) for c in order_by]
-        base = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    else:
-        base = df
-    base = (base.withColumn("_mid", F.monotonically_increasing_id())
-                .withColumn("_pid", F.shiftright("_mid", _POS_BITS)))
+        return with_running_sum(df, None, order_by, None, name, num_partitions,
+                                spread=list(df.columns))
+    base = (df.withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_pid", F.shiftright("_mid", _POS_BITS)))
     counts = base.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -52,52 +151,3 @@ def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None,
     return (base.join(F.broadcast(offsets), "_pid")
                 .withColumn(name, (F.col("_off") + local).cast("long"))
                 .drop("_mid", "_pid", "_off"))
-
-
-def _local_running_sum(group_col: str, weight_col: str, out_col: str):
-    """Exclusive running sum of ``weight_col`` per group inside one sorted partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry_key, carry = object(), 0
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{out_col: pd.Series([], dtype="int64")})
-                continue
-            g = pdf[group_col]
-            w = pdf[weight_col].astype("int64")
-            inclusive = w.groupby(g, sort=False).cumsum()
-            local = inclusive - w
-            first = g.iloc[0]
-            if first == carry_key:
-                local = local + (g == first).astype("int64") * carry
-                inclusive = inclusive + (g == first).astype("int64") * carry
-            carry_key, carry = g.iloc[-1], int(inclusive.iloc[-1])
-            yield pdf.assign(**{out_col: local.astype("int64")})
-
-    return run
-
-
-def with_running_sum(df: DataFrame, group_col: str, order_by: Sequence[str],
-                     weight_col: str, name: str = "before",
-                     num_partitions: int | None = None) -> DataFrame:
-    """Append, per ``group_col``, the sum of ``weight_col`` over rows strictly
-    earlier in ``order_by`` order (an exclusive weighted rank).
-
-    ``order_by`` values are expected to be unique within a group (as after a
-    ``groupBy(group, value).count()``).
-    """
-    n = num_partitions or default_partitions(df)
-    keys = [qcol(group_col)] + [qcol(c) for c in order_by]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.LongType(), False)])
-    local = ranged.mapInPandas(_local_running_sum(group_col, weight_col, "_local"), schema)
-    totals = ranged.groupBy("_pid", qcol(group_col).alias("_g")).agg(
-        F.sum(qcol(weight_col)).alias("_tot"))
-    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_pid").alias("_opid"), "_g",
-                            F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    joined = local.join(F.broadcast(offsets),
-                        (F.col("_pid") == F.col("_opid")) & (qcol(group_col) == F.col("_g")))
-    return (joined.withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-                  .drop("_pid", "_opid", "_g", "_off", "_local"))

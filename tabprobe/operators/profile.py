@@ -234,7 +234,7 @@ def _column_facts(df: DataFrame) -> DataFrame:
         if c in num else F.lit(None).cast("double").alias("value_range")])
     long = df.select(*[qcol(c).cast("string").alias(c) for c in cols]).unpivot(
         [], [qcol(c) for c in cols], "column_name", "value")
-    distinct = (long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg()
+    distinct = (long.where(F.col("value").isNotNull()).select("column_name", "value").distinct()
                     .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")))
     return (miss.join(F.broadcast(distinct), "column_name", "left")
                 .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("long")))

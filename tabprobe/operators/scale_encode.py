@@ -91,7 +91,7 @@ def encode_onehot(df: DataFrame, columns: Sequence[str],
         return df
     long = df.select(*[category_text(df, c).alias(c) for c in cols]).unpivot(
         [], [qcol(c) for c in cols], "column_name", "value")
-    cats = (long.groupBy("column_name", "value").agg()
+    cats = (long.select("column_name", "value").distinct()
                 .orderBy("column_name", "value").limit(max_categories * len(cols) + 1).collect())
     if len(cats) > max_categories * len(cols):
         raise ValueError("too many categories for one-hot encoding")
@@ -117,7 +117,7 @@ def encode_binary(df: DataFrame, columns: Sequence[str],
     if not cols:
         return df
     if order_by:
-        keyed = df.withColumn("_pos", F.struct(*[qcol(c) for c in order_by]))
+        keyed = with_row_id(df, order_by, name="_pos")
     else:
         keyed = df.withColumn("_pos", F.monotonically_increasing_id())
     out = keyed

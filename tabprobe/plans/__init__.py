@@ -1,6 +1,6 @@
 """Named queries over the fixture tables, each with an optional SQL twin."""
 
-from tabprobe.plans import stats_queries  # noqa: F401  (registers queries)
+from tabprobe.plans import profile_queries, stats_queries  # noqa: F401  (registers queries)
 from tabprobe.plans.registry import ORACLE, QUERIES
 
 
