@@ -104,12 +104,26 @@ def _ranked_wide(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     return joined.groupBy("_rk").pivot("column_name", list(cols)).agg(F.first("avg_rank"))
 
 
+def _pair_long(wide: DataFrame, cols: Sequence[str], pairs) -> DataFrame:
+    """(pair, x, y) rows of every listed column pair where both are present."""
+    structs = [F.struct(F.lit(f"{i},{j}").alias("pair"), qcol(cols[i]).alias("x"),
+                        qcol(cols[j]).alias("y")) for i, j in pairs]
+    return (wide.select(F.inline(F.array(*structs)))
+                .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+
+
+def _pair_names(cols, pairs):
+    return F.create_map(*[x for i, j in pairs
+                          for x in (F.lit(f"{i},{j}"), F.array(F.lit(cols[i]), F.lit(cols[j])))])
+
+
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson on average ranks, ranked on each pair's complete rows.
 
-    Columns without missing values are ranked once for all their pairs; a pair
-    that involves a column with missing values is ranked on its own complete
-    rows (the null counts are one eager aggregate).
+    Columns without missing values are ranked once for all their pairs. All
+    pairs that involve a column with missing values are ranked together in one
+    pipeline keyed by (pair, side), each on its own complete rows (the null
+    counts that decide this are one eager aggregate).
     """
     wide, cols = _numeric_wide(df, columns)
     if len(cols) < 2:
@@ -120,15 +134,26 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     if len(complete) >= 2:
         parts.append(_pearson_upper(_ranked_wide(wide.select(*[qcol(c) for c in complete]), complete),
                                     complete))
-    for i, j in _pairs(cols):
-        a, b = cols[i], cols[j]
-        if a in complete and b in complete:
-            continue
-        sub = wide.select(qcol(a), qcol(b)).where(qcol(a).isNotNull() & qcol(b).isNotNull())
-        parts.append(_pearson_upper(_ranked_wide(sub, [a, b]), [a, b]))
+    mixed = [(i, j) for i, j in _pairs(cols) if not (cols[i] in complete and cols[j] in complete)]
+    if mixed:
+        long = _pair_long(wide, cols, mixed).withColumn("_rk", F.monotonically_increasing_id())
+        sides = long.select("_rk", "pair", F.inline(F.array(
+            F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
+            F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))))
+        sides = sides.withColumn("key", F.concat_ws("|", "pair", "side"))
+        ranks = average_ranks(sides.select("key", "v"), key="key")
+        ranked = sides.join(ranks, ["key", "v"]).groupBy("_rk", "pair").agg(
+            F.max(F.when(F.col("side") == "x", F.col("avg_rank"))).alias("rx"),
+            F.max(F.when(F.col("side") == "y", F.col("avg_rank"))).alias("ry"))
+        names = _pair_names(cols, mixed)
+        parts.append(ranked.groupBy("pair").agg(pearson(F.col("rx"), F.col("ry")).alias("r")).select(
+            names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r"))
     upper = parts[0]
     for p in parts[1:]:
         upper = upper.unionByName(p)
+    allp = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in _pairs(cols)],
+                                           "col_a string, col_b string")
+    upper = allp.join(upper, ["col_a", "col_b"], "left")
     return _mirror(upper, cols, _diag(wide, cols, "spearman"))
 
 
@@ -148,8 +173,8 @@ def kendall_pairs(long_pairs: DataFrame, bits: int) -> DataFrame:
         "pair", "x", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("b"), "ry")
     cells = levels.select(
         F.concat_ws("|", F.col("pair"), F.col("b"),
-                    F.shiftright("ry", F.col("b") + 1).cast("string")).alias("grp"),
-        "pair", "x", F.shiftright("ry", F.col("b")).bitwiseAND(1).alias("bit"))
+                    F.expr("shiftright(ry, b + 1)").cast("string")).alias("grp"),
+        "pair", "x", F.expr("shiftright(ry, b) & 1").alias("bit"))
     counts = cells.groupBy("grp", "pair", "x").agg(
         F.sum("bit").alias("ones"), F.sum(1 - F.col("bit")).alias("zeros"))
     prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before")
@@ -169,18 +194,14 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
     pairs = _pairs(cols)
-    structs = [F.struct(F.lit(f"{i},{j}").alias("pair"), qcol(cols[i]).alias("x"),
-                        qcol(cols[j]).alias("y")) for i, j in pairs]
-    long = (wide.select(F.inline(F.array(*structs)))
-                .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    long = _pair_long(wide, cols, pairs)
     ys = long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c")).withColumn("one", F.lit(1))
     ry = with_running_sum(ys, "pair", ["y"], "one", name="ry").drop("one", "_c")
     max_rank = ry.agg(F.max("ry")).first()[0] or 0  # one scalar: sizes the bit loop
     bits = max(1, int(max_rank).bit_length())
     lp = long.join(ry, ["pair", "y"])
     tau = kendall_pairs(lp, bits)
-    names = F.create_map(*[x for k, (i, j) in enumerate(pairs)
-                           for x in (F.lit(f"{i},{j}"), F.array(F.lit(cols[i]), F.lit(cols[j])))])
+    names = _pair_names(cols, pairs)
     got = tau.select(names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")
     allp = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in pairs], "col_a string, col_b string")
     upper = allp.join(got, ["col_a", "col_b"], "left")
