@@ -1,6 +1,7 @@
 """Named queries over the fixture tables, each with an optional SQL twin."""
 
-from tabprobe.plans import correlation_queries, profile_queries, stats_queries  # noqa: F401  (registers queries)
+from tabprobe.plans import (clean_queries, correlation_queries, profile_queries,  # noqa: F401
+                            stats_queries)
 from tabprobe.plans.registry import ORACLE, QUERIES
 
 
