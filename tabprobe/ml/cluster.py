@@ -103,7 +103,7 @@ def choose_k(data: DataFrame, features: Sequence[str], ks: Sequence[int] = range
     base = data.persist()
     for k in ks:
         model = train_kmeans(base, features, k, seed)
-        assigned = assign_clusters(model, base, features)
+        assigned = assign_clusters(model, base, features).drop("features")
         pts = with_point_ids(assigned, features, id_col).select("id", "features",
                                                                 F.col("cluster").cast("int"))
         s = silhouette(pts).first()[0]

@@ -39,13 +39,15 @@ def histogram(df: DataFrame, column: str, bins: int = 20,
     vals = df.select(*g, x.alias("x")).where(F.col("x").isNotNull())
     stats = vals.groupBy("grp").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
                                     F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
-    binned = (vals.join(F.broadcast(stats.select("grp", "lo", "hi")), vals["grp"].eqNullSafe(stats["grp"]))
-                  .select(vals["grp"], bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    bounds = stats.select(F.col("grp").alias("_sg"), "lo", "hi")
+    binned = (vals.join(F.broadcast(bounds), F.col("grp").eqNullSafe(F.col("_sg")))
+                  .select("grp", bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
                   .groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")))
     grid = stats.select("grp", "lo", "hi", "mean", "std",
                         F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
-    out = (grid.join(binned, ["grp", "bin"], "left")
+    binned = binned.select(F.col("grp").alias("_bg"), F.col("bin").alias("_bb"), "n")
+    out = (grid.join(binned, F.col("grp").eqNullSafe(F.col("_bg")) & (F.col("bin") == F.col("_bb")), "left")
                .select("grp", "bin",
                        (F.col("lo") + (F.col("bin") - 1) * width).alias("lower"),
                        F.when(F.col("bin") == bins, F.col("hi"))
