@@ -100,6 +100,8 @@ def choose_k(data: DataFrame, features: Sequence[str], ks: Sequence[int] = range
              id_col: str | None = None, seed: int = KMEANS_SEED) -> DataFrame:
     """(k, inertia, silhouette) for each candidate k -- a loop of fits."""
     rows = []
+    if id_col is None:  # ids are materialised with the cached rows, so both pair sides agree
+        data, id_col = data.withColumn("_point_id", F.monotonically_increasing_id()), "_point_id"
     base = data.persist()
     for k in ks:
         model = train_kmeans(base, features, k, seed)

@@ -33,6 +33,9 @@ def blocked(query: DataFrame, ref: DataFrame, fn, schema: str,
     buckets of it, so their sizes are balanced whatever the key distribution.
     """
     qb, rb = n_blocks(query_rows, block_rows), n_blocks(ref_rows, block_rows)
+    # fresh attributes on both sides: the two inputs are often the same table
+    query = query.select(*[F.col(c).alias(c) for c in query.columns])
+    ref = ref.select(*[F.col(c).alias(c) for c in ref.columns])
     q = query.select("*", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("_qb"),
                      F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("_rb"))
     r = ref.select("*", F.pmod(F.xxhash64("id"), F.lit(rb)).alias("_rb"),

@@ -22,7 +22,7 @@ SAMPLE_SEED = 42
 def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """1-based equal-width bin; the maximum falls in the last bin, a zero-width
     range puts everything in bin 1."""
-    raw = F.floor((x - lo) / (hi - lo) * F.lit(bins)) + 1
+    raw = F.floor(F.try_divide(x - lo, hi - lo) * F.lit(bins)) + 1
     return F.when(x.isNull(), None).otherwise(
         F.coalesce(F.least(F.greatest(raw, F.lit(1)), F.lit(bins)), F.lit(1)).cast("int"))
 

@@ -238,13 +238,24 @@ def _baskets(spark, sf):
     return rules.baskets(li.join(p, "l_partkey"), "l_orderkey", "p_brand")
 
 
+SETS_SQL = f"""
+n AS (SELECT count(DISTINCT b) AS n FROM {BASKETS_SQL}),
+s1 AS (SELECT item AS i1, count(*) AS freq FROM {BASKETS_SQL} GROUP BY item),
+s2 AS (SELECT x.item AS i1, y.item AS i2, count(*) AS freq
+       FROM {BASKETS_SQL} x JOIN {BASKETS_SQL} y ON x.b = y.b AND x.item < y.item GROUP BY 1, 2),
+s3 AS (SELECT x.item AS i1, y.item AS i2, z.item AS i3, count(*) AS freq
+       FROM {BASKETS_SQL} x JOIN {BASKETS_SQL} y ON x.b = y.b AND x.item < y.item
+       JOIN {BASKETS_SQL} z ON z.b = x.b AND y.item < z.item GROUP BY 1, 2, 3),
+f1 AS (SELECT s1.* FROM s1, n WHERE freq >= ceil({MIN_SUPPORT} * n.n)),
+f2 AS (SELECT s2.* FROM s2, n WHERE freq >= ceil({MIN_SUPPORT} * n.n)),
+f3 AS (SELECT s3.* FROM s3, n WHERE freq >= ceil({MIN_SUPPORT} * n.n))"""
+
 ITEMSETS_SQL = f"""
-WITH n AS (SELECT count(DISTINCT b) AS n FROM {BASKETS_SQL}),
-s1 AS (SELECT item AS itemset, 1 AS size, count(*) AS freq FROM {BASKETS_SQL} GROUP BY item),
-s2 AS (SELECT x.item || ',' || y.item AS itemset, 2 AS size, count(*) AS freq
-       FROM {BASKETS_SQL} x JOIN {BASKETS_SQL} y ON x.b = y.b AND x.item < y.item GROUP BY x.item, y.item)
+WITH {SETS_SQL}
 SELECT itemset, CAST(size AS INTEGER) AS size, CAST(freq AS BIGINT) AS freq, {r6('freq / n.n')} AS support
-FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2), n WHERE freq >= ceil({MIN_SUPPORT} * n.n)"""
+FROM (SELECT i1 AS itemset, 1 AS size, freq FROM f1
+      UNION ALL SELECT i1 || ',' || i2, 2, freq FROM f2
+      UNION ALL SELECT i1 || ',' || i2 || ',' || i3, 3, freq FROM f3), n"""
 
 
 @register("frequent_itemsets_brands", ITEMSETS_SQL)
@@ -254,14 +265,14 @@ def frequent_itemsets_brands(spark, sf):
 
 
 @register("association_rules_brands", f"""
-WITH n AS (SELECT count(DISTINCT b) AS n FROM {BASKETS_SQL}),
-s1 AS (SELECT item, count(*) AS freq FROM {BASKETS_SQL} GROUP BY item),
-s2 AS (SELECT x.item AS a, y.item AS c, count(*) AS freq
-       FROM {BASKETS_SQL} x JOIN {BASKETS_SQL} y ON x.b = y.b AND x.item <> y.item GROUP BY x.item, y.item),
-r AS (SELECT s2.a, s2.c, s2.freq * 1.0 / sa.freq AS confidence,
-             (s2.freq * 1.0 / sa.freq) / (sc.freq * 1.0 / n.n) AS lift, s2.freq * 1.0 / n.n AS support
-      FROM s2 JOIN s1 sa ON sa.item = s2.a JOIN s1 sc ON sc.item = s2.c, n
-      WHERE s2.freq >= ceil({MIN_SUPPORT} * n.n) AND sa.freq >= ceil({MIN_SUPPORT} * n.n))
+WITH {SETS_SQL},
+p AS (SELECT i1 AS a, i2 AS c, freq FROM f2 UNION ALL SELECT i2, i1, freq FROM f2),
+t AS (SELECT i1 || ',' || i2 AS a, i3 AS c, freq FROM f3 UNION ALL SELECT i1 || ',' || i3, i2, freq FROM f3
+      UNION ALL SELECT i2 || ',' || i3, i1, freq FROM f3),
+ante AS (SELECT i1 AS a, freq FROM f1 UNION ALL SELECT i1 || ',' || i2, freq FROM f2),
+r AS (SELECT x.a, x.c, x.freq * 1.0 / ante.freq AS confidence,
+             (x.freq * 1.0 / ante.freq) / (f1.freq * 1.0 / n.n) AS lift, x.freq * 1.0 / n.n AS support
+      FROM (SELECT * FROM p UNION ALL SELECT * FROM t) x JOIN ante ON ante.a = x.a JOIN f1 ON f1.i1 = x.c, n)
 SELECT a AS antecedent, c AS consequent, {r6('confidence')} AS confidence, {r6('lift')} AS lift,
   {r6('support')} AS support FROM r WHERE confidence >= {MIN_CONFIDENCE}""")
 def association_rules_brands(spark, sf):
