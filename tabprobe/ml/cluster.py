@@ -67,7 +67,7 @@ def silhouette_points(points: DataFrame, block_rows: int = 20_000) -> DataFrame:
     per = sums.groupBy("id", "other").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     own = points.select("id", F.col("cluster").cast("int").alias("own"))
     j = per.join(own, "id")
-    mean = F.col("s") / F.col("c")
+    mean = F.try_divide(F.col("s"), F.col("c"))  # 0/0 for a singleton cluster
     agg = j.groupBy("id").agg(
         F.max(F.when(F.col("other") == F.col("own"), F.col("c"))).alias("n_own"),
         F.max(F.when(F.col("other") == F.col("own"), mean)).alias("a"),
