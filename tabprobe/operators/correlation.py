@@ -41,15 +41,35 @@ def _mirror(upper: DataFrame, cols: Sequence[str], diagonal: DataFrame) -> DataF
     return full.orderBy(idx[F.col("col_a")], idx[F.col("col_b")])
 
 
-def _pearson_upper(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Upper-triangle Pearson cells of the (already numeric, NaN-free) columns."""
+def varying_pairs(wide: DataFrame, cols: Sequence[str], pairs) -> list[bool]:
+    """Per pair: do both columns vary over the pair's complete rows? One eager
+    aggregate (one row). ``corr`` raises under ANSI mode on a constant pair,
+    and a min = max test is exact where a variance test is not."""
+    guards = []
+    for i, j in pairs:
+        both = qcol(cols[i]).isNotNull() & qcol(cols[j]).isNotNull()
+        xi, xj = F.when(both, qcol(cols[i])), F.when(both, qcol(cols[j]))
+        guards.append(F.coalesce((F.min(xi) < F.max(xi)) & (F.min(xj) < F.max(xj)), F.lit(False)))
+    flags = []
+    for start in range(0, len(guards), 4 * PAIRS_PER_AGGREGATE):
+        flags += list(wide.agg(*guards[start:start + 4 * PAIRS_PER_AGGREGATE]).first())
+    return flags
+
+
+def _pearson_upper(wide: DataFrame, cols: Sequence[str], varying: list[bool] | None = None) -> DataFrame:
+    """Upper-triangle Pearson cells of the (already numeric, NaN-free) columns:
+    one ``corr`` aggregate per batch of pairs (pairwise complete: ``corr``
+    skips rows where either side is missing); constant pairs are NULL."""
     pairs = _pairs(cols)
+    if varying is None:
+        varying = varying_pairs(wide, cols, pairs)
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk = pairs[start:start + PAIRS_PER_AGGREGATE]
+        chunk = list(zip(pairs, varying))[start:start + PAIRS_PER_AGGREGATE]
         cells = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                          pearson(qcol(cols[i]), qcol(cols[j])).alias("r"))
-                 for i, j in chunk]
+                          (F.corr(qcol(cols[i]), qcol(cols[j])) if ok else F.lit(None))
+                          .cast("double").alias("r"))
+                 for (i, j), ok in chunk]
         parts.append(wide.agg(F.array(*cells).alias("_s")).select(F.inline("_s")))
     out = parts[0]
     for p in parts[1:]:
@@ -132,8 +152,12 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     complete = [c for i, c in enumerate(cols) if row[i] == 0]
     parts = []
     if len(complete) >= 2:
+        # ranks vary exactly where the complete column varies: guard on the raw values
+        rng = wide.agg(*[(F.min(qcol(c)) < F.max(qcol(c))).alias(f"_v{k}")
+                         for k, c in enumerate(complete)]).first()
+        varying = [bool(rng[i]) and bool(rng[j]) for i, j in _pairs(complete)]
         parts.append(_pearson_upper(_ranked_wide(wide.select(*[qcol(c) for c in complete]), complete),
-                                    complete))
+                                    complete, varying))
     mixed = [(i, j) for i, j in _pairs(cols) if not (cols[i] in complete and cols[j] in complete)]
     if mixed:
         long = _pair_long(wide, cols, mixed).withColumn("_rk", F.monotonically_increasing_id())

@@ -1,23 +1,39 @@
-"""Exact quantiles with linear interpolation, computed without a per-column
-value map in one task.
+"""Exact quantiles (linear interpolation) by distributed selection.
 
 ``percentile`` keeps a value->count map per group and merges it in one task,
-which is unbounded for a high-cardinality column. Here values are first
-counted (map-side combined), then ranked with a distributed running sum, and
-only the rows holding the wanted ranks are picked out by a broadcast of the
-(columns x probabilities) targets.
+which is unbounded for a high-cardinality column; sorting every value is more
+work than needed. Instead, per numeric column:
+
+1. one aggregate gives the count and approximate bucket boundaries
+   (``percentile_approx`` on a grid of ``BUCKETS`` ranks);
+2. ``Bucketizer`` (a JVM binary search) assigns every value its bucket and a
+   grouped count gives the *exact* size of every (column, bucket) -- a table of
+   at most columns x ``BUCKETS`` rows;
+3. the exact ranks wanted (floor/ceil of p * (n - 1)) are located in their
+   buckets on the driver from those counts, and only those few buckets are
+   value-counted and ranked: with a plain window when their exact row total is
+   below ``WINDOW_ROWS``, else with the distributed running sum.
+
+A grouped variant (``quantiles_from_counts``) serves per-group quantiles,
+where the number of groups is data-dependent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, qcol
 from tabprobe.operators.ordering import with_running_sum
 
+BUCKETS = 1024
+APPROX_ACCURACY = 20_000
+WINDOW_ROWS = 4_000_000
+BROADCAST_GROUPS = 100_000
+
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, v) for every non-null numeric cell, NaN read as missing."""
@@ -31,8 +47,95 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_values(df, columns).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
+def column_facts(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> tuple[DataFrame, list[dict]]:
+    """Cleaned wide frame (``_q0..``) and, per column, count / sum / min / max and
+    sorted distinct approximate bucket boundaries -- one aggregate, one row."""
+    wide = df.select(*[clean_numeric(df, c).alias(f"_q{i}") for i, c in enumerate(columns)])
+    grid = F.array(*[F.lit(j / buckets) for j in range(1, buckets)])
+    aggs = []
+    for i in range(len(columns)):
+        x = F.col(f"_q{i}")
+        aggs += [F.count(x), F.sum(x), F.min(x), F.max(x), F.percentile_approx(x, grid, APPROX_ACCURACY)]
+    row = wide.agg(*aggs).first()
+    facts = []
+    for i, c in enumerate(columns):
+        n, s, mn, mx, qs = row[5 * i: 5 * i + 5]
+        bounds = sorted(set(qs)) if qs else []
+        facts.append({"name": c, "n": int(n), "sum": s, "min": mn, "max": mx, "bounds": bounds})
+    return wide, facts
+
+
+def _targets(counts: dict[int, list[tuple[int, int]]], facts: list[dict], probs: Sequence[float]):
+    """Locate the floor/ceil ranks of every probability in its bucket."""
+    out = []
+    for i, f in enumerate(facts):
+        n = f["n"]
+        if n == 0:
+            continue
+        per = sorted(counts.get(i, []))
+        for p in probs:
+            pos = p * (n - 1)
+            for r in sorted({int(pos // 1), int(-(-pos // 1))}):
+                before = 0
+                for b, cnt in per:
+                    if r < before + cnt:
+                        out.append((i, b, r - before, float(p), float(pos)))
+                        break
+                    before += cnt
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    facts: tuple[DataFrame, list[dict]] | None = None) -> DataFrame:
+    """Long table (column_name, prob, value) of exact linear-interpolated quantiles."""
+    spark = df.sparkSession
+    wide, info = facts or column_facts(df, columns)
+    live = [i for i, f in enumerate(info) if f["n"] > 0]
+    empty = spark.createDataFrame([], "column_name string, prob double, value double")
+    if not live:
+        return empty
+    inf = float("inf")
+    bucketizer = Bucketizer(
+        splitsArray=[[-inf] + info[i]["bounds"] + [inf] for i in live],
+        inputCols=[f"_q{i}" for i in live], outputCols=[f"_b{i}" for i in live], handleInvalid="keep")
+    bucketed = bucketizer.transform(wide.select(*[f"_q{i}" for i in live]))
+    long = (bucketed.select(F.inline(F.array(*[
+                F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"), F.col(f"_b{i}").cast("int").alias("b"))
+                for i in live])))
+            .where(F.col("x").isNotNull()))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in long.groupBy("ci", "b").agg(F.count(F.lit(1)).alias("n")).collect():  # <= columns x BUCKETS rows
+        counts.setdefault(r["ci"], []).append((r["b"], r["n"]))
+    targets = _targets(counts, info, probs)
+    if not targets:
+        return empty
+    keys = sorted({(t[0], t[1]) for t in targets})
+    rows_in_targets = sum(n for i, b in keys for bb, n in counts[i] if bb == b)
+    hit = F.lit(False)
+    for i, b in keys:
+        hit = hit | ((F.col("ci") == i) & (F.col("b") == b))
+    vc = long.where(hit).groupBy("ci", "b", "x").agg(F.count(F.lit(1)).alias("c"))
+    if rows_in_targets <= WINDOW_ROWS:
+        w = Window.partitionBy("ci", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = vc.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    else:
+        keyed = vc.withColumn("_k", F.concat_ws(":", "ci", "b"))
+        ranked = with_running_sum(keyed, "_k", ["x"], "c", name="before").drop("_k")
+    tdf = spark.createDataFrame(targets, "_ci int, _b int, _r long, prob double, _pos double")
+    picked = ranked.join(F.broadcast(tdf), (F.col("ci") == F.col("_ci")) & (F.col("b") == F.col("_b"))
+                         & (F.col("_r") >= F.col("before")) & (F.col("_r") < F.col("before") + F.col("c")))
+    names = F.create_map(*[x for i in live for x in (F.lit(i), F.lit(info[i]["name"]))])
+    frac = F.col("_pos") - F.floor("_pos")
+    agg = picked.groupBy("ci", "prob").agg(F.first("_pos").alias("_pos"), F.min("x").alias("_lo"),
+                                           F.max("x").alias("_hi"))
+    return agg.select(names[F.col("ci")].alias("column_name"), "prob",
+                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+
+
 def quantiles_from_counts(vc: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """(column_name, prob, value) from a (column_name, v, c) value-count table."""
+    """(column_name, prob, value) from a (column_name, v, c) value-count table,
+    for a data-dependent number of groups: a distributed running sum over
+    range buckets, then a broadcast of the (group x probability) targets."""
     ranked = with_running_sum(vc, "column_name", ["v"], "c", name="before")
     sizes = vc.groupBy("column_name").agg(F.sum("c").alias("_n"))
     pos = F.col("prob") * (F.col("_n") - 1)
@@ -41,8 +144,12 @@ def quantiles_from_counts(vc: DataFrame, probs: Sequence[float]) -> DataFrame:
                     .withColumn("_pos", pos)
                     .withColumn("_r", F.explode(F.array_distinct(
                         F.array(F.floor("_pos"), F.ceil("_pos"))))))
+    # one target row per (group, probability, rank): broadcast when the group
+    # count is small (chart categories), otherwise a shuffled range join
+    n_groups = sizes.count()
+    tgt = F.broadcast(targets) if n_groups <= BROADCAST_GROUPS else targets
     hits = ranked.join(
-        F.broadcast(targets),
+        tgt,
         (F.col("column_name") == F.col("_t")) & (F.col("_r") >= F.col("before"))
         & (F.col("_r") < F.col("before") + F.col("c")))
     picked = hits.groupBy("column_name", "prob").agg(
@@ -54,11 +161,6 @@ def quantiles_from_counts(vc: DataFrame, probs: Sequence[float]) -> DataFrame:
                          (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Long table (column_name, prob, value) of exact linear-interpolated quantiles."""
-    return quantiles_from_counts(value_counts(df, columns), probs)
-
-
 def quantile_columns(q: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Pivot a (column_name, prob, value) table to one column per probability."""
     return q.groupBy("column_name").agg(*[
