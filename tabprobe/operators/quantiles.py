@@ -4,8 +4,8 @@
 which is unbounded for a high-cardinality column; sorting every value is more
 work than needed. Instead, per numeric column:
 
-1. one aggregate gives the count and approximate bucket boundaries
-   (``percentile_approx`` on a grid of ``BUCKETS`` ranks);
+1. one aggregate gives the count, and a bounded Bernoulli sample gives
+   approximate bucket boundaries (``BUCKETS`` per column);
 2. ``Bucketizer`` (a JVM binary search) assigns every value its bucket and a
    grouped count gives the *exact* size of every (column, bucket) -- a table of
    at most columns x ``BUCKETS`` rows;
@@ -30,7 +30,8 @@ from tabprobe.functions.columns import clean_numeric, qcol
 from tabprobe.operators.ordering import with_running_sum
 
 BUCKETS = 1024
-APPROX_ACCURACY = 20_000
+SAMPLE_ROWS = 16 * BUCKETS
+SAMPLE_SEED = 11
 WINDOW_ROWS = 4_000_000
 BROADCAST_GROUPS = 100_000
 
@@ -47,89 +48,125 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_values(df, columns).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
-def column_facts(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> tuple[DataFrame, list[dict]]:
-    """Cleaned wide frame (``_q0..``) and, per column, count / sum / min / max and
-    sorted distinct approximate bucket boundaries -- one aggregate, one row."""
-    wide = df.select(*[clean_numeric(df, c).alias(f"_q{i}") for i, c in enumerate(columns)])
-    grid = F.array(*[F.lit(j / buckets) for j in range(1, buckets)])
-    aggs = []
-    for i in range(len(columns)):
-        x = F.col(f"_q{i}")
-        aggs += [F.count(x), F.sum(x), F.min(x), F.max(x), F.percentile_approx(x, grid, APPROX_ACCURACY)]
-    row = wide.agg(*aggs).first()
-    facts = []
-    for i, c in enumerate(columns):
-        n, s, mn, mx, qs = row[5 * i: 5 * i + 5]
-        bounds = sorted(set(qs)) if qs else []
-        facts.append({"name": c, "n": int(n), "sum": s, "min": mn, "max": mx, "bounds": bounds})
-    return wide, facts
-
-
-def _targets(counts: dict[int, list[tuple[int, int]]], facts: list[dict], probs: Sequence[float]):
-    """Locate the floor/ceil ranks of every probability in its bucket."""
-    out = []
-    for i, f in enumerate(facts):
-        n = f["n"]
+class ColumnProfile:
+    """Per numeric column: count, mean, min, max, exact central moments
+    (optional) and exact bucket counts -- the shared first stage of exact
+    quantiles and of the numeric summary.
+
+    Three jobs, each returning a bounded result: a one-row aggregate; a
+    Bernoulli sample of about ``SAMPLE_ROWS`` rows for bucket boundaries; one
+    grouped pass over (column, bucket) giving exact counts (and power sums of
+    the deviation from the mean) -- at most columns x ``BUCKETS`` rows.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], moments: bool = False):
+        self.df, self.columns = df, list(columns)
+        k = len(self.columns)
+        self.wide = df.select(*[clean_numeric(df, c).alias(f"_q{i}") for i, c in enumerate(self.columns)])
+        row = self.wide.agg(F.count(F.lit(1)), *[e for i in range(k) for e in (
+            F.count(f"_q{i}"), F.sum(f"_q{i}"), F.min(f"_q{i}"), F.max(f"_q{i}"))]).first()
+        rows = row[0]
+        self.n = [int(row[1 + 4 * i]) for i in range(k)]
+        self.mean = [row[2 + 4 * i] / self.n[i] if self.n[i] else None for i in range(k)]
+        self.min = [row[3 + 4 * i] for i in range(k)]
+        self.max = [row[4 + 4 * i] for i in range(k)]
+        self.live = [i for i in range(k) if self.n[i] > 0]
+        frac = min(1.0, SAMPLE_ROWS / max(rows, 1))
+        sample = self.wide.sample(False, frac, SAMPLE_SEED).limit(4 * SAMPLE_ROWS).collect()
+        inf = float("inf")
+        splits = []
+        for i in self.live:
+            vals = sorted(r[i] for r in sample if r[i] is not None)
+            cut = sorted({vals[(len(vals) * j) // BUCKETS] for j in range(1, BUCKETS)}) if vals else []
+            splits.append([-inf] + [v for v in cut if -inf < v < inf] + [inf])
+        self.long = self._long(splits)
+        aggs = [F.count(F.lit(1)).alias("n")]
+        if moments:
+            mean = F.element_at(F.array(*[F.lit(float(m or 0.0)) for m in self.mean]), F.col("ci") + 1)
+            d = F.col("x") - mean
+            aggs += [F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"),
+                     F.sum(d * d * d * d).alias("s4")]
+        self.buckets: dict[int, list] = {}
+        for r in self.long.groupBy("ci", "b").agg(*aggs).collect():  # <= columns x BUCKETS rows
+            self.buckets.setdefault(r["ci"], []).append(r)
+        for rs in self.buckets.values():
+            rs.sort(key=lambda r: r["b"])
+
+    def _long(self, splits) -> DataFrame:
+        if not self.live:
+            return self.wide.limit(0)
+        bucketizer = Bucketizer(splitsArray=splits, inputCols=[f"_q{i}" for i in self.live],
+                                outputCols=[f"_b{i}" for i in self.live], handleInvalid="keep")
+        bucketed = bucketizer.transform(self.wide.select(*[f"_q{i}" for i in self.live]))
+        return (bucketed.select(F.inline(F.array(*[
+                    F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"),
+                             F.col(f"_b{i}").cast("int").alias("b")) for i in self.live])))
+                .where(F.col("x").isNotNull()))
+
+    def central_moments(self, i: int) -> tuple[float, float, float, float] | None:
+        """(mean, m2, m3, m4) -- sums of powers of deviations, exact two-pass."""
+        n = self.n[i]
         if n == 0:
-            continue
-        per = sorted(counts.get(i, []))
-        for p in probs:
-            pos = p * (n - 1)
-            for r in sorted({int(pos // 1), int(-(-pos // 1))}):
-                before = 0
-                for b, cnt in per:
-                    if r < before + cnt:
-                        out.append((i, b, r - before, float(p), float(pos)))
-                        break
-                    before += cnt
-    return out
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    facts: tuple[DataFrame, list[dict]] | None = None) -> DataFrame:
+            return None
+        s1 = sum(r["s1"] for r in self.buckets[i])
+        s2 = sum(r["s2"] for r in self.buckets[i])
+        s3 = sum(r["s3"] for r in self.buckets[i])
+        s4 = sum(r["s4"] for r in self.buckets[i])
+        m2 = s2 - s1 * s1 / n
+        m3 = s3 - 3 * s1 * s2 / n + 2 * s1 ** 3 / n ** 2
+        m4 = s4 - 4 * s1 * s3 / n + 6 * s1 * s1 * s2 / n ** 2 - 3 * s1 ** 4 / n ** 3
+        return self.mean[i] + s1 / n, m2, m3, m4
+
+    def _targets(self, probs: Sequence[float]):
+        """Locate the floor/ceil ranks of every probability in its bucket."""
+        out = []
+        for i in self.live:
+            n = self.n[i]
+            for p in probs:
+                pos = p * (n - 1)
+                for r in sorted({int(pos // 1), int(-(-pos // 1))}):
+                    before = 0
+                    for row in self.buckets[i]:
+                        if r < before + row["n"]:
+                            out.append((i, row["b"], r - before, float(p), float(pos)))
+                            break
+                        before += row["n"]
+        return out
+
+    def quantiles(self, probs: Sequence[float]) -> DataFrame:
+        """(column_name, prob, value): only the buckets holding the wanted ranks
+        are value-counted and ranked."""
+        spark = self.df.sparkSession
+        targets = self._targets(probs)
+        if not targets:
+            return spark.createDataFrame([], "column_name string, prob double, value double")
+        keys = sorted({(t[0], t[1]) for t in targets})
+        sizes = {(i, r["b"]): r["n"] for i in self.live for r in self.buckets[i]}
+        rows_in_targets = sum(sizes[k] for k in keys)
+        hit = F.lit(False)
+        for i, b in keys:
+            hit = hit | ((F.col("ci") == i) & (F.col("b") == b))
+        vc = self.long.where(hit).groupBy("ci", "b", "x").agg(F.count(F.lit(1)).alias("c"))
+        if rows_in_targets <= WINDOW_ROWS:
+            w = Window.partitionBy("ci", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+            ranked = vc.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        else:
+            keyed = vc.withColumn("_k", F.concat_ws(":", "ci", "b"))
+            ranked = with_running_sum(keyed, "_k", ["x"], "c", name="before").drop("_k")
+        tdf = spark.createDataFrame(targets, "_ci int, _b int, _r long, prob double, _pos double")
+        picked = ranked.join(F.broadcast(tdf), (F.col("ci") == F.col("_ci")) & (F.col("b") == F.col("_b"))
+                             & (F.col("_r") >= F.col("before")) & (F.col("_r") < F.col("before") + F.col("c")))
+        names = F.create_map(*[x for i in self.live for x in (F.lit(i), F.lit(self.columns[i]))])
+        frac = F.col("_pos") - F.floor("_pos")
+        agg = picked.groupBy("ci", "prob").agg(F.first("_pos").alias("_pos"), F.min("x").alias("_lo"),
+                                               F.max("x").alias("_hi"))
+        return agg.select(names[F.col("ci")].alias("column_name"), "prob",
+                          (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Long table (column_name, prob, value) of exact linear-interpolated quantiles."""
-    spark = df.sparkSession
-    wide, info = facts or column_facts(df, columns)
-    live = [i for i, f in enumerate(info) if f["n"] > 0]
-    empty = spark.createDataFrame([], "column_name string, prob double, value double")
-    if not live:
-        return empty
-    inf = float("inf")
-    bucketizer = Bucketizer(
-        splitsArray=[[-inf] + info[i]["bounds"] + [inf] for i in live],
-        inputCols=[f"_q{i}" for i in live], outputCols=[f"_b{i}" for i in live], handleInvalid="keep")
-    bucketed = bucketizer.transform(wide.select(*[f"_q{i}" for i in live]))
-    long = (bucketed.select(F.inline(F.array(*[
-                F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"), F.col(f"_b{i}").cast("int").alias("b"))
-                for i in live])))
-            .where(F.col("x").isNotNull()))
-    counts: dict[int, list[tuple[int, int]]] = {}
-    for r in long.groupBy("ci", "b").agg(F.count(F.lit(1)).alias("n")).collect():  # <= columns x BUCKETS rows
-        counts.setdefault(r["ci"], []).append((r["b"], r["n"]))
-    targets = _targets(counts, info, probs)
-    if not targets:
-        return empty
-    keys = sorted({(t[0], t[1]) for t in targets})
-    rows_in_targets = sum(n for i, b in keys for bb, n in counts[i] if bb == b)
-    hit = F.lit(False)
-    for i, b in keys:
-        hit = hit | ((F.col("ci") == i) & (F.col("b") == b))
-    vc = long.where(hit).groupBy("ci", "b", "x").agg(F.count(F.lit(1)).alias("c"))
-    if rows_in_targets <= WINDOW_ROWS:
-        w = Window.partitionBy("ci", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = vc.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    else:
-        keyed = vc.withColumn("_k", F.concat_ws(":", "ci", "b"))
-        ranked = with_running_sum(keyed, "_k", ["x"], "c", name="before").drop("_k")
-    tdf = spark.createDataFrame(targets, "_ci int, _b int, _r long, prob double, _pos double")
-    picked = ranked.join(F.broadcast(tdf), (F.col("ci") == F.col("_ci")) & (F.col("b") == F.col("_b"))
-                         & (F.col("_r") >= F.col("before")) & (F.col("_r") < F.col("before") + F.col("c")))
-    names = F.create_map(*[x for i in live for x in (F.lit(i), F.lit(info[i]["name"]))])
-    frac = F.col("_pos") - F.floor("_pos")
-    agg = picked.groupBy("ci", "prob").agg(F.first("_pos").alias("_pos"), F.min("x").alias("_lo"),
-                                           F.max("x").alias("_hi"))
-    return agg.select(names[F.col("ci")].alias("column_name"), "prob",
-                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+    return ColumnProfile(df, columns).quantiles(probs)
 
 
 def quantiles_from_counts(vc: DataFrame, probs: Sequence[float]) -> DataFrame:

@@ -7,6 +7,7 @@ per-column jobs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol, text_columns
 from tabprobe.functions.moments import corrected_kurtosis, corrected_skewness
-from tabprobe.operators.quantiles import column_facts, exact_quantiles, quantile_columns
+from tabprobe.operators.quantiles import ColumnProfile, exact_quantiles, quantile_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -40,56 +41,44 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     """Count, mean, sample std, min, quartiles, max, corrected skewness and
     excess kurtosis per numeric column.
 
-    Two passes, both plain sums: the first (shared with the quantile selection)
-    gives count, sum, min and max; the second sums powers of the deviation from
-    that mean -- the exact two-pass central moments, cheaper and more accurate
-    than one-pass streaming moments. Quartiles are exact unless ``approx``.
+    Two passes of plain sums: the first gives count, sum, min and max; the
+    second -- the same grouped pass that counts the quantile buckets -- sums
+    powers of the deviation from that mean: exact two-pass central moments,
+    cheaper and more accurate than one-pass streaming moments. Quartiles are
+    exact unless ``approx``.
     """
     cols = numeric_columns(df, columns)
     if not cols:
         return _empty(df, NUMERIC_SUMMARY_DDL)
-    wide, facts = column_facts(df, cols)
-    sums = []
-    for i, f in enumerate(facts):
-        d = F.col(f"_q{i}") - F.lit(f["sum"] / f["n"] if f["n"] else 0.0)
-        sums += [F.sum(d).alias(f"s1_{i}"), F.sum(d * d).alias(f"s2_{i}"),
-                 F.sum(d * d * d).alias(f"s3_{i}"), F.sum(d * d * d * d).alias(f"s4_{i}")]
-    cells = []
-    for i, f in enumerate(facts):
-        n = float(f["n"])
-        s1, s2, s3, s4 = (F.col(f"s{k}_{i}") for k in (1, 2, 3, 4))
-        if n == 0:
-            m2 = m3 = m4 = F.lit(None).cast("double")
-            mean = F.lit(None).cast("double")
-        else:
-            m2 = s2 - s1 * s1 / n
-            m3 = s3 - 3 * s1 * s2 / n + 2 * s1 * s1 * s1 / (n * n)
-            m4 = s4 - 4 * s1 * s3 / n + 6 * s1 * s1 * s2 / (n * n) - 3 * s1 * s1 * s1 * s1 / (n * n * n)
-            mean = F.lit(f["sum"] / n) + s1 / n
-        const = f["n"] > 0 and f["min"] == f["max"]
-        g1 = F.try_divide(F.sqrt(F.lit(n)) * m3, F.pow(m2, 1.5))
-        g2 = F.try_divide(n * m4, m2 * m2) - 3
-        skew = (F.lit(None) if n < 3 else F.lit(0.0) if const
-                else g1 * (n * (n - 1)) ** 0.5 / (n - 2))
-        kurt = (F.lit(None) if n < 4 else F.lit(0.0) if const
-                else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-        std = F.lit(None) if n < 2 else F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1))
-        cells.append(F.struct(
-            F.lit(f["name"]).alias("column_name"), F.lit(i).alias("_ord"),
-            F.lit(f["n"]).cast("long").alias("n"), mean.cast("double").alias("mean"),
-            std.cast("double").alias("std"),
-            F.lit(f["min"]).cast("double").alias("min"), F.lit(f["max"]).cast("double").alias("max"),
-            skew.cast("double").alias("skewness"), kurt.cast("double").alias("kurtosis")))
-    mom = wide.agg(*sums).select(F.inline(F.array(*cells)))
+    prof = ColumnProfile(df, cols, moments=True)
+    rows = []
+    for i, c in enumerate(cols):
+        n = prof.n[i]
+        cm = prof.central_moments(i)
+        mean = std = skew = kurt = None
+        if cm is not None:
+            _, m2, m3, m4 = cm
+            mean = prof.mean[i]  # sum / n, as avg() reports it
+            const = prof.min[i] == prof.max[i]
+            if n >= 2:
+                std = math.sqrt(max(m2, 0.0) / (n - 1))
+            if n >= 3:
+                skew = 0.0 if const else (math.sqrt(n) * m3 / m2 ** 1.5) * math.sqrt(n * (n - 1)) / (n - 2)
+            if n >= 4:
+                kurt = 0.0 if const else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * m4 / (m2 * m2) - 3) + 6)
+        rows.append((c, i, n, mean, std, None if n == 0 else float(prof.min[i]),
+                     None if n == 0 else float(prof.max[i]), skew, kurt))
+    # one row per column, computed from the bounded per-bucket aggregates
+    mom = df.sparkSession.createDataFrame(rows, "column_name string, _ord int, n long, mean double, std double, "
+                                                "min double, max double, skewness double, kurtosis double")
     if approx:
         grid = F.array(*[F.lit(p) for p in QUARTILES])
-        q = wide.agg(F.array(*[F.struct(F.lit(f["name"]).alias("column_name"),
-                                        F.percentile_approx(F.col(f"_q{i}"), grid, 100000).alias("qs"))
-                               for i, f in enumerate(facts)]).alias("_s")).select(F.inline("_s")).select(
+        q = prof.wide.agg(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                             F.percentile_approx(F.col(f"_q{i}"), grid, 100000).alias("qs"))
+                                    for i, c in enumerate(cols)]).alias("_s")).select(F.inline("_s")).select(
             "column_name", *[F.col("qs")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75"))])
     else:
-        q = quantile_columns(exact_quantiles(df, cols, QUARTILES, facts=(wide, facts)), QUARTILES,
-                             ("p25", "p50", "p75"))
+        q = quantile_columns(prof.quantiles(QUARTILES), QUARTILES, ("p25", "p50", "p75"))
     return mom.join(F.broadcast(q), "column_name", "left").orderBy("_ord").select(
         "column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis")
 
