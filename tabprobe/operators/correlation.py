@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
 from tabprobe.functions.moments import pearson
 from tabprobe.operators.ordering import with_running_sum
+from tabprobe.session import cut_lineage
 
 METHODS = ("pearson", "spearman", "kendall")
 PAIRS_PER_AGGREGATE = 100
@@ -117,8 +118,8 @@ def _ranked_wide(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by its average rank over the rows of ``wide``
     (missing stays missing): unpivot with a row key, one join, regroup."""
     keyed = wide.withColumn("_rk", F.monotonically_increasing_id())
-    long = keyed.unpivot(["_rk"], [qcol(c) for c in cols], "column_name", "v").where(
-        F.col("v").isNotNull())
+    long = cut_lineage(keyed.unpivot(["_rk"], [qcol(c) for c in cols], "column_name", "v").where(
+        F.col("v").isNotNull()))  # ranked and joined back: computed once
     ranks = average_ranks(long)
     joined = long.join(ranks, ["column_name", "v"])
     return joined.groupBy("_rk").pivot("column_name", list(cols)).agg(F.first("avg_rank"))
@@ -164,7 +165,7 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         sides = long.select("_rk", "pair", F.inline(F.array(
             F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
             F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))))
-        sides = sides.withColumn("key", F.concat_ws("|", "pair", "side"))
+        sides = cut_lineage(sides.withColumn("key", F.concat_ws("|", "pair", "side")))
         ranks = average_ranks(sides.select("key", "v"), key="key")
         ranked = sides.join(ranks, ["key", "v"]).groupBy("_rk", "pair").agg(
             F.max(F.when(F.col("side") == "x", F.col("avg_rank"))).alias("rx"),
@@ -183,22 +184,26 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 # ------------------------------------------------------------------ Kendall
 
-def kendall_pairs(long_pairs: DataFrame, bits: int) -> DataFrame:
-    """tau-b per pair from ``(pair, x, y, ry)`` rows, ``ry`` = dense 0-based
-    rank of y within the pair, ``bits`` >= bit length of the largest ry."""
-    n = long_pairs.groupBy("pair").agg(F.count(F.lit(1)).cast("double").alias("n"))
+def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int) -> DataFrame:
+    """tau-b per pair from ``(pair, x, y, ry)`` rows (``ry`` = dense 0-based rank
+    of y within the pair, ``bits`` >= bit length of the largest ry) and the
+    ``(pair, y, _c)`` value counts of y.
 
-    def tied(cols, name):
-        g = long_pairs.groupBy("pair", *cols).agg(F.count(F.lit(1)).cast("double").alias("t"))
-        return g.groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(name))
-
-    n1, n2, n3 = tied(["x"], "n1"), tied(["y"], "n2"), tied(["x", "y"], "n3")
-    levels = long_pairs.select(
-        "pair", "x", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("b"), "ry")
-    cells = levels.select(
-        F.concat_ws("|", F.col("pair"), F.col("b"),
-                    F.expr("shiftright(ry, b + 1)").cast("string")).alias("grp"),
-        "pair", "x", F.expr("shiftright(ry, b) & 1").alias("bit"))
+    Discordant pairs: at bit level b, rows sharing ``ry >> (b + 1)`` differ
+    first at bit b; each row with bit 0 is discordant with every row with bit
+    1 and a strictly smaller x. The group key packs (pair, level, prefix) into
+    one long, and the count of earlier bit-1 rows is a distributed running sum.
+    """
+    n = long_pairs.groupBy("pair").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    tie = lambda t: F.sum(F.col(t).cast("double") * (F.col(t) - 1) / 2)
+    n1 = long_pairs.groupBy("pair", "x").agg(F.count(F.lit(1)).alias("t")).groupBy("pair").agg(tie("t").alias("n1"))
+    n2 = y_counts.groupBy("pair").agg(tie("_c").alias("n2"))
+    n3 = (long_pairs.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("t"))
+                    .groupBy("pair").agg(tie("t").alias("n3")))
+    levels = long_pairs.select("pair", "x", "ry", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("b"))
+    grp = (F.shiftleft(F.col("pair").cast("long") * 64 + F.col("b"), 36)
+           + F.expr("shiftright(ry, b + 1)"))
+    cells = levels.select(grp.alias("grp"), "pair", "x", F.expr("shiftright(ry, b) & 1").alias("bit"))
     counts = cells.groupBy("grp", "pair", "x").agg(
         F.sum("bit").alias("ones"), F.sum(1 - F.col("bit")).alias("zeros"))
     prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before")
@@ -218,14 +223,19 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
     pairs = _pairs(cols)
-    long = _pair_long(wide, cols, pairs)
-    ys = long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c")).withColumn("one", F.lit(1))
-    ry = with_running_sum(ys, "pair", ["y"], "one", name="ry").drop("one", "_c")
-    max_rank = ry.agg(F.max("ry")).first()[0] or 0  # one scalar: sizes the bit loop
-    bits = max(1, int(max_rank).bit_length())
-    lp = long.join(ry, ["pair", "y"])
-    tau = kendall_pairs(lp, bits)
-    names = _pair_names(cols, pairs)
+    structs = [F.struct(F.lit(k).alias("pair"), qcol(cols[i]).alias("x"), qcol(cols[j]).alias("y"))
+               for k, (i, j) in enumerate(pairs)]
+    long = (wide.select(F.inline(F.array(*structs)))
+                .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    ys = long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c"))
+    # distinct y per pair sizes the bit loop: one small aggregate
+    max_distinct = ys.groupBy("pair").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 1
+    bits = max(1, int(max_distinct - 1).bit_length())
+    ry = with_running_sum(ys.withColumn("_one", F.lit(1)), "pair", ["y"], "_one", name="ry").drop("_one", "_c")
+    lp = cut_lineage(long.join(ry, ["pair", "y"]))  # four consumers below
+    tau = kendall_pairs(lp, ys, bits)
+    names = F.create_map(*[x for k, (i, j) in enumerate(pairs)
+                           for x in (F.lit(k), F.array(F.lit(cols[i]), F.lit(cols[j])))])
     got = tau.select(names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")
     allp = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in pairs], "col_a string, col_b string")
     upper = allp.join(got, ["col_a", "col_b"], "left")

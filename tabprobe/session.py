@@ -43,21 +43,31 @@ def get_session(master: str | None = None, app_name: str = "tabprobe",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) is a private scratch folder created.
+    The cluster names it in ``spark.checkpoint.dir`` (Spark applies it to the
+    context); only when neither is set (local tests) is a scratch folder made.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tabprobe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the fixture tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def cut_lineage(df):
+    """Materialise ``df`` with a reliable checkpoint in the shared checkpoint
+    folder: later consumers (and task retries after a lost executor) read the
+    written data instead of recomputing a long lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
