@@ -171,23 +171,26 @@ def categorical_info(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 # ------------------------------------------------------------------ type detection
 
 def _text_tests(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per text column: the facts the detector needs, from the distinct values."""
+    """Per text column: the facts the detector needs, from the distinct values.
+
+    Length guards keep the parsers off long texts (no date, number or boolean
+    token is long), and the boolean test collects at most the 12 tokens."""
     counts = text_value_counts(df, cols)
     v = F.col("value")
-    is_num = v.rlike("(?i)" + NUMERIC_PATTERN)
+    n = F.length(v)
+    is_num = (n <= 400) & v.rlike("(?i)" + NUMERIC_PATTERN)
     is_dt = F.lit(False)
     for fmt in DATETIME_FORMATS:
         is_dt = is_dt | F.try_to_timestamp(v, F.lit(fmt)).isNotNull()
-    lower_v = F.lower(v)
-    per = counts.groupBy("column_name").agg(
+    is_dt = (n <= 40) & is_dt
+    is_tok = (n <= max(len(t) for t in BOOLEAN_TOKENS)) & F.lower(v).isin(*BOOLEAN_TOKENS)
+    return counts.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n_distinct"),
         F.sum("n").alias("n_valid"),
         F.bool_and(is_num).alias("all_numeric"),
         F.bool_and(is_dt).alias("all_datetime"),
-        F.bool_and(lower_v.isin(*BOOLEAN_TOKENS)).alias("all_bool_tokens"))
-    lowered = counts.select("column_name", lower_v.alias("lv")).distinct() \
-                    .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_lower"))
-    return per.join(lowered, "column_name", "left")
+        F.bool_and(is_tok).alias("all_bool_tokens"),
+        F.size(F.collect_set(F.when(is_tok, F.lower(v)))).alias("n_lower"))
 
 
 def detect_column_types(df: DataFrame) -> DataFrame:
