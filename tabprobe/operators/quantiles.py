@@ -71,6 +71,31 @@ class ColumnProfile:
         self.min = [row[3 + 4 * i] for i in range(k)]
         self.max = [row[4 + 4 * i] for i in range(k)]
         self.live = [i for i in range(k) if self.n[i] > 0]
+        self.buckets: dict[int, list] = {}
+        if all(self.n[i] <= WINDOW_ROWS for i in self.live):
+            self._single_bucket(moments)
+        else:
+            self._bucketed(rows, moments)
+
+    def _single_bucket(self, moments: bool) -> None:
+        """Every column fits one bounded window task: no sample, no bucket pass;
+        the power sums (if wanted) are one more one-row aggregate."""
+        self.long = self._long(None)
+        sums = {}
+        if moments and self.live:
+            aggs = []
+            for i in self.live:
+                d = F.col(f"_q{i}") - F.lit(float(self.mean[i]))
+                aggs += [F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)]
+            row = self.wide.agg(*aggs).first()
+            sums = {i: row[4 * k: 4 * k + 4] for k, i in enumerate(self.live)}
+        for i in self.live:
+            r = {"b": 0, "n": self.n[i]}
+            if i in sums:
+                r.update(zip(("s1", "s2", "s3", "s4"), sums[i]))
+            self.buckets[i] = [r]
+
+    def _bucketed(self, rows: int, moments: bool) -> None:
         frac = min(1.0, SAMPLE_ROWS / max(rows, 1))
         sample = self.wide.sample(False, frac, SAMPLE_SEED).limit(4 * SAMPLE_ROWS).collect()
         inf = float("inf")
@@ -86,7 +111,6 @@ class ColumnProfile:
             d = F.col("x") - mean
             aggs += [F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"),
                      F.sum(d * d * d * d).alias("s4")]
-        self.buckets: dict[int, list] = {}
         for r in self.long.groupBy("ci", "b").agg(*aggs).collect():  # <= columns x BUCKETS rows
             self.buckets.setdefault(r["ci"], []).append(r)
         for rs in self.buckets.values():
@@ -95,6 +119,11 @@ class ColumnProfile:
     def _long(self, splits) -> DataFrame:
         if not self.live:
             return self.wide.limit(0)
+        if splits is None:  # one bucket per column
+            return (self.wide.select(F.inline(F.array(*[
+                        F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"), F.lit(0).alias("b"))
+                        for i in self.live])))
+                    .where(F.col("x").isNotNull()))
         bucketizer = Bucketizer(splitsArray=splits, inputCols=[f"_q{i}" for i in self.live],
                                 outputCols=[f"_b{i}" for i in self.live], handleInvalid="keep")
         bucketed = bucketizer.transform(self.wide.select(*[f"_q{i}" for i in self.live]))
@@ -142,12 +171,12 @@ class ColumnProfile:
             return spark.createDataFrame([], "column_name string, prob double, value double")
         keys = sorted({(t[0], t[1]) for t in targets})
         sizes = {(i, r["b"]): r["n"] for i in self.live for r in self.buckets[i]}
-        rows_in_targets = sum(sizes[k] for k in keys)
+        largest_target = max(sizes[k] for k in keys)
         hit = F.lit(False)
         for i, b in keys:
             hit = hit | ((F.col("ci") == i) & (F.col("b") == b))
         vc = self.long.where(hit).groupBy("ci", "b", "x").agg(F.count(F.lit(1)).alias("c"))
-        if rows_in_targets <= WINDOW_ROWS:
+        if largest_target <= WINDOW_ROWS:  # each window group is one bounded bucket
             w = Window.partitionBy("ci", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
             ranked = vc.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
         else:

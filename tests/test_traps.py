@@ -226,3 +226,22 @@ def test_keep_rows_by_index_renumbers(spark):
     assert sorted((r["k"], r["row_id"]) for r in out.collect()) == [(2, 0), (3, 1), (8, 2)]
     out = positions.remove_rows_by_index(df, "0,5-6", order_by=["k"])
     assert sorted(r["row_id"] for r in out.collect()) == list(range(7))
+
+
+@pytest.mark.parametrize("window_rows", [10**9, 5000, 50])
+def test_quantile_paths_agree_with_pandas(spark, monkeypatch, window_rows):
+    """Single-bucket, bucketed-with-window and bucketed-with-running-sum paths."""
+    from tabprobe.operators import quantiles
+    monkeypatch.setattr(quantiles, "WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(quantiles, "BUCKETS", 16)
+    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 256)
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("value", "user_id")
+    pdf = ev.toPandas()
+    got = {(r["column_name"], r["prob"]): r["value"]
+           for r in quantiles.exact_quantiles(ev, ["value", "user_id"], (0.1, 0.25, 0.5, 0.9)).collect()}
+    for c in ("value", "user_id"):
+        for p in (0.1, 0.25, 0.5, 0.9):
+            assert got[(c, p)] == pytest.approx(pdf[c].quantile(p), rel=1e-12)
+    prof = quantiles.ColumnProfile(ev, ["value"], moments=True)
+    _, m2, m3, _ = prof.central_moments(0)
+    assert m2 / (prof.n[0] - 1) == pytest.approx(pdf["value"].var(), rel=1e-9)
