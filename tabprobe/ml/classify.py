@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.ml.metrics import classification_metrics
-from tabprobe.ml.pairwise import blocked, matrix, sq_distances
+from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix, sq_distances
 from tabprobe.ml.prepare import assemble, fold_assignment
 
 MODEL_TYPES = ("logistic", "decision_tree", "random_forest", "svc", "knn")
@@ -109,7 +109,7 @@ def predict(model, test: DataFrame, features: Sequence[str], label: str = "label
 # ------------------------------------------------------------------ kNN
 
 def knn_neighbours(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
-                   block_rows: int = 20_000) -> DataFrame:
+                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Exact k nearest reference rows (Euclidean) for every query row:
     (id, ref_id, dist, label, rank). Both inputs: ``id``, ``features``
     (array<double>); ``ref`` also ``label``. Ties in distance go to the
@@ -123,9 +123,14 @@ def knn_neighbours(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: b
         if exclude_self:
             d[left["id"].to_numpy()[:, None] == rid[None, :]] = np.inf
         kk = min(k, d.shape[1])
-        order = np.lexsort((np.broadcast_to(rid, d.shape), d), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(d.shape[0]), kk)
-        cols = order.reshape(-1)
+        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = [], []
+        for r in range(d.shape[0]):  # candidates up to the k-th distance, ties by id
+            cand = np.nonzero(d[r] <= kth[r])[0]
+            best = cand[np.lexsort((rid[cand], d[r, cand]))][:kk]
+            rows.append(np.full(len(best), r))
+            cols.append(best)
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
         dist = d[rows, cols]
         keep = np.isfinite(dist)
         return pd.DataFrame({"id": left["id"].to_numpy()[rows][keep],
@@ -140,7 +145,7 @@ def knn_neighbours(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: b
 
 
 def knn_classify(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
-                 block_rows: int = 20_000) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """M8: majority vote of the k nearest (uniform weights); a tied vote goes
     to the smallest label. Returns (id, prediction)."""
     nb = knn_neighbours(query, ref, k, exclude_self, block_rows)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.ml.pairwise import blocked, matrix, sq_distances
+from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix, sq_distances
 from tabprobe.ml.prepare import assemble
 
 KMEANS_SEED = 42
@@ -41,7 +41,7 @@ def clustering_metrics(model, data: DataFrame, features: Sequence[str]) -> DataF
                .orderBy("cluster"))
 
 
-def silhouette_points(points: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def silhouette_points(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """M16 (exact): per-point silhouette with Euclidean distances.
 
     ``points``: (id, features array<double>, cluster). Every point block meets
@@ -77,7 +77,7 @@ def silhouette_points(points: DataFrame, block_rows: int = 20_000) -> DataFrame:
     return agg.select("id", sil.alias("silhouette"))
 
 
-def silhouette(points: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def silhouette(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """One row, mean exact Euclidean silhouette."""
     return silhouette_points(points, block_rows).agg(F.avg("silhouette").alias("silhouette"))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 20_000
+DEFAULT_BLOCK_ROWS = 4_096  # a 4096 x 4096 float64 distance block is 128 MiB
 
 
 def n_blocks(n_rows: int, block_rows: int) -> int:

@@ -40,7 +40,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20,
     stats = vals.groupBy("grp").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
                                     F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
     bounds = stats.select(F.col("grp").alias("_sg"), "lo", "hi")
-    binned = (vals.join(F.broadcast(bounds), F.col("grp").eqNullSafe(F.col("_sg")))
+    # one row without groups; with groups the size is the group count: AQE decides
+    bounds = F.broadcast(bounds) if not by else bounds
+    binned = (vals.join(bounds, F.col("grp").eqNullSafe(F.col("_sg")))
                   .select("grp", bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
                   .groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")))
     grid = stats.select("grp", "lo", "hi", "mean", "std",
@@ -74,7 +76,7 @@ def box_stats(df: DataFrame, columns: Sequence[str] | str, by: str | None = None
                          ("q1", "median", "q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    j = long.join(F.broadcast(q), "column_name")
+    j = long.join(q if by else F.broadcast(q), "column_name")  # one row per column, or per group
     agg = j.groupBy("column_name").agg(
         F.first("_grp").alias("_grp"),
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -216,17 +218,17 @@ def density_by_group(df: DataFrame, column: str, group: str, grid_points: int =
     box = box_stats(df, column, by=group).select(F.col(group).alias("grp"), "q1", "q3")
     st = vals.groupBy("grp").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
                                  F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"))
-    st = st.join(F.broadcast(box), "grp")
+    st = st.join(box, "grp")
     bw = (F.lit(1.059) * F.least(F.coalesce(F.col("sd"), F.lit(0.0)),
                                  (F.col("q3") - F.col("q1")) / 1.349)
           * F.pow(F.col("n").cast("double"), -0.2))
     st = st.withColumn("h", F.when(bw > 0, bw).otherwise(
         F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / 10).otherwise(F.lit(1.0))))
-    binned = (vals.join(F.broadcast(st.select("grp", "lo", "hi")), "grp")
+    binned = (vals.join(st.select("grp", "lo", "hi"), "grp")
                   .select("grp", bin_index(F.col("x"), F.col("lo"), F.col("hi"), fine_bins).alias("b"))
                   .groupBy("grp", "b").agg(F.count(F.lit(1)).alias("c")))
     per = binned.groupBy("grp").agg(F.collect_list(F.struct("b", "c")).alias("bins"))
-    j = per.join(F.broadcast(st), "grp")
+    j = per.join(st, "grp")
     width = (F.col("hi") - F.col("lo")) / fine_bins
     step = (F.col("hi") - F.col("lo")) / max(grid_points - 1, 1)
     pts = j.select("grp", "n", "h", "lo", "bins", width.alias("w"), step.alias("s"),

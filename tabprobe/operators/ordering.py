@@ -9,7 +9,8 @@ A global ``row_number() over (order by k)`` runs in a single task, so instead:
    function of the row, so every branch of the plan (and every retry after a
    lost executor) puts a row in the same bucket;
 2. a window partitioned by bucket gives the position / running sum inside the
-   bucket (one shuffle, buckets balanced by the sample; a key value that fills
+   bucket (when every group is small enough for one task -- checked with one
+   aggregate -- the window simply runs per group and steps 1 and 3 are skipped) (one shuffle, buckets balanced by the sample; a key value that fills
    several buckets is spread over them by a row hash);
 3. bucket totals are prefix-summed; only buckets with a non-zero offset -- at
    most one per bucket boundary -- are broadcast back.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tabprobe.functions.columns import qcol
 
 SAMPLE_PER_BUCKET = 64
+WINDOW_ROWS = 4_000_000  # rows one window task may hold (checked before use)
 SUB_BUCKETS = 1024  # bucket id = base * SUB_BUCKETS + sub (sub spreads a hot key)
 SAMPLE_SEED = 7
 
@@ -107,10 +109,16 @@ def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[st
     arbitrarily (ROWS frame); pass unique keys for a deterministic result."""
     gcols = [group_col] if group_col else []
     keys = gcols + list(order_by)
-    n = num_buckets or default_partitions(df)
-    b = bucket_column(df, keys, n, spread)
     w = qcol(weight_col) if weight_col else F.lit(1).cast("long")
     g = qcol(group_col) if group_col else F.lit(0)
+    # size check: when every group fits one window task, a window per group
+    largest = df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if (largest or 0) <= WINDOW_ROWS:
+        frame = (Window.partitionBy(g).orderBy(*[qcol(c) for c in order_by])
+                       .rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn(name, F.coalesce(F.sum(w.cast("long")).over(frame), F.lit(0)).cast("long"))
+    n = num_buckets or default_partitions(df)
+    b = bucket_column(df, keys, n, spread)
     staged = df.withColumn("_b", b).withColumn("_g", g).withColumn("_w", w.cast("long"))
     staged = staged.repartition(n, "_b")
     local_w = (Window.partitionBy("_b", "_g").orderBy(*[qcol(c) for c in order_by])

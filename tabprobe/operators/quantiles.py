@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, qcol
-from tabprobe.operators.ordering import with_running_sum
+from tabprobe.operators.ordering import WINDOW_ROWS, with_running_sum
 
 BUCKETS = 1024
 SAMPLE_ROWS = 16 * BUCKETS
 SAMPLE_SEED = 11
-WINDOW_ROWS = 4_000_000
 BROADCAST_GROUPS = 100_000
 
 

@@ -93,8 +93,11 @@ def test_spearman_and_kendall_match_pandas_with_ties_and_nulls(spark):
     assert kd[("x", "y")] == pytest.approx(_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy()), rel=1e-9)
 
 
-def test_kendall_brute_force_on_lineitem_with_nulls(spark):
-    """Whole-table Kendall (no SQL twin) against a pandas computation."""
+@pytest.mark.parametrize("window_rows", [10**9, 0])
+def test_kendall_brute_force_on_lineitem_with_nulls(spark, monkeypatch, window_rows):
+    """Whole-table Kendall (no SQL twin) against brute force, both running-sum paths."""
+    from tabprobe.operators import ordering
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", window_rows)
     from tabprobe.plans.fixtures import price_lines_nulls
     df = price_lines_nulls(spark, "/root/testdata/sf0.001").select("l_quantity", "l_discount", "l_tax")
     pdf = df.toPandas()
@@ -166,8 +169,11 @@ def test_index_spec_parsing():
         positions.parse_index_spec("a-b")
 
 
-def test_row_id_contiguous_and_hot_key(spark):
-    # one key holds most rows: ids stay contiguous and unique
+@pytest.mark.parametrize("window_rows", [10**9, 0])
+def test_row_id_contiguous_and_hot_key(spark, monkeypatch, window_rows):
+    # one key holds most rows: ids stay contiguous and unique (window and bucketed paths)
+    from tabprobe.operators import ordering
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", window_rows)
     df = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id")).alias("k"), "id")
     ided = with_row_id(df, ["k"], num_partitions=8)
     ids = sorted(r[0] for r in ided.select("row_id").collect())
@@ -176,7 +182,10 @@ def test_row_id_contiguous_and_hot_key(spark):
     assert first_hot == 13_999
 
 
-def test_running_sum_groups_span_buckets(spark):
+@pytest.mark.parametrize("window_rows", [10**9, 0])
+def test_running_sum_groups_span_buckets(spark, monkeypatch, window_rows):
+    from tabprobe.operators import ordering
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", window_rows)
     df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").alias("v"),
                                   F.lit(2).alias("w"))
     out = with_running_sum(df, "g", ["v"], "w", num_buckets=7)
