@@ -50,7 +50,9 @@ def parse_literal(dt: T.DataType, text: str):
 
 
 def matches(df: DataFrame, column: str, text: str) -> Column:
-    """Never-null boolean: does the cell's text form equal ``text``?"""
+    """Does the cell's text form equal ``text``? A plain typed comparison, so it
+    reaches the Parquet scan; a missing cell compares as NULL (not kept by a
+    filter) unless ``text`` is ``nan``."""
     c = qcol(column)
     dt = df.schema[column].dataType
     if text == MISSING_TEXT:
@@ -61,8 +63,23 @@ def matches(df: DataFrame, column: str, text: str) -> Column:
             missing = missing | (c == F.lit(text))
         return missing
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.coalesce(c.cast("string") == F.lit(text), F.lit(False))
+        return c.cast("string") == F.lit(text)
     v = parse_literal(dt, text)
     if v is None:
         return F.lit(False)
-    return F.coalesce(c == F.lit(v), F.lit(False))
+    return c == F.lit(v)
+
+
+def not_matches(df: DataFrame, column: str, text: str) -> Column:
+    """Complement of ``matches`` over all rows (missing cells do not match a
+    value literal), written so that Parquet can evaluate it: ``c <> v OR c IS NULL``."""
+    c = qcol(column)
+    dt = df.schema[column].dataType
+    if text == MISSING_TEXT:
+        return ~matches(df, column, text)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return (c.cast("string") != F.lit(text)) | c.isNull()
+    v = parse_literal(dt, text)
+    if v is None:
+        return F.lit(True)
+    return (c != F.lit(v)) | c.isNull()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.columns import clean_numeric, is_numeric_type, is_text_type, qcol
-from tabprobe.functions.literals import matches, parse_literal
+from tabprobe.functions.literals import matches, not_matches, parse_literal
 from tabprobe.operators.quantiles import exact_quantiles, value_counts
 
 
@@ -25,16 +25,21 @@ def _check_column(df: DataFrame, column: str) -> None:
 
 
 def remove_rows_by_value(df: DataFrame, column: str, value: str) -> DataFrame:
-    """T4: drop rows whose cell text equals ``value`` (no match -> unchanged)."""
+    """T4: drop rows whose cell text equals ``value`` (no match -> unchanged).
+    The predicate is pushed to the Parquet scan."""
     _check_column(df, column)
-    return df.where(~matches(df, column, value))
+    return df.where(not_matches(df, column, value))
 
 
 def keep_rows_by_value(df: DataFrame, column: str, value: str) -> DataFrame:
-    """T5: keep only matching rows; when nothing matches the table is unchanged."""
+    """T5: keep only matching rows; when nothing matches the table is unchanged.
+
+    Whether anything matches is one early-stopping probe (``limit(1)``, row
+    groups skipped by the pushed predicate); the result is then a plain
+    filtered scan."""
     _check_column(df, column)
     m = matches(df, column, value)
-    return df.where(m | ~df.where(m).exists())
+    return df.where(m) if df.where(m).limit(1).count() else df
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str | int]) -> DataFrame:
@@ -62,7 +67,7 @@ def replace_values(df: DataFrame, column: str, old: str | dict, new: str | None
     expr = base
     for o, n in reversed(list(mapping.items())):
         lit = F.lit(parse_literal(dt, str(n))).cast(dt) if typed else F.lit(None if n is None else str(n))
-        expr = F.when(matches(df, column, str(o)), lit).otherwise(expr)
+        expr = F.when(F.coalesce(matches(df, column, str(o)), F.lit(False)), lit).otherwise(expr)
     return df.withColumn(column, expr)
 
 

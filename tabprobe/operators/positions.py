@@ -81,19 +81,18 @@ def keep_rows_by_index(df: DataFrame, spec: str, row_id: str = "row_id",
                        renumber: bool = True) -> DataFrame:
     """Keep only the listed positions (in table order) and renumber them.
 
-    No valid position at all -> the table is returned unchanged (decided by an
-    uncorrelated EXISTS subquery, so the plan stays lazy).
+    No valid position at all -> the table is returned unchanged. Positions
+    are 0..n-1, so that is decided by the row count alone: the first interval
+    starts at or after n.
     """
     iv = parse_index_spec(spec)
+    if not iv or iv[0][0] >= df.count():
+        return _ensure_row_id(df, row_id, order_by)
     df = _ensure_row_id(df, row_id, order_by)
-    if not iv:
-        return df
     x = F.col(row_id)
-    hit = _in_intervals(x, iv)
-    any_hit = df.where(hit).exists()
-    out = df.where(hit | ~any_hit)
+    out = df.where(_in_intervals(x, iv))
     if renumber:
-        out = out.withColumn(row_id, F.when(any_hit, _count_before(x, iv)).otherwise(x))
+        out = out.withColumn(row_id, _count_before(x, iv))
     return out
 
 
