@@ -10,6 +10,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprobe.session import cut_lineage
+
 
 def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
     """(basket, items) with each item once per basket."""
@@ -24,6 +26,8 @@ def association_rules(baskets_df: DataFrame, min_support: float = 0.01,
     itemsets: (itemset, size, freq, support); rules: (antecedent, consequent,
     confidence, lift, support). Item lists are sorted and joined with ``,``
     so that results compare as text."""
+    # the baskets feed two counts and the FP-tree pass: materialise them once
+    baskets_df = cut_lineage(baskets_df)
     model = FPGrowth(itemsCol=items, minSupport=min_support,
                      minConfidence=min_confidence).fit(baskets_df)
     n = baskets_df.count()

@@ -59,10 +59,10 @@ ENCODING_SAMPLE_LINES = 10_000
 
 
 def detect_encoding(spark: SparkSession, path: str, sample_lines: int = ENCODING_SAMPLE_LINES) -> str:
-    """UTF-8 unless a bounded sample of lines holds bytes that are not valid
-    UTF-8 (decoded as U+FFFD); then ISO-8859-1, which accepts any byte."""
+    """UTF-8 unless a bounded sample of lines holds byte sequences that are not
+    valid UTF-8; then ISO-8859-1, which accepts any byte."""
     lines = spark.read.text(path).limit(sample_lines)
-    bad = lines.where(F.col("value").contains("�")).limit(1).count()
+    bad = lines.where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if bad else "UTF-8"
 
 
