@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
 from tabprobe.functions.moments import pearson
-from tabprobe.operators.ordering import with_running_sum
+from tabprobe.operators.ordering import WINDOW_ROWS, with_running_sum
 from tabprobe.session import cut_lineage
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -138,6 +138,30 @@ def _pair_names(cols, pairs):
                           for x in (F.lit(f"{i},{j}"), F.array(F.lit(cols[i]), F.lit(cols[j])))])
 
 
+def _spearman_windows(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Every pair's complete rows fit one task (checked by the caller): average
+    ranks from two windows per pair -- (rank + rows up to and including ties) / 2
+    -- then a grouped Pearson; one shuffle on the pair key, no join-back."""
+    pairs = _pairs(cols)
+    # ranks vary exactly where the values vary over the pair's complete rows
+    varying = [k for k, ok in enumerate(varying_pairs(wide, cols, pairs)) if ok]
+    if not varying:
+        return wide.sparkSession.createDataFrame([(cols[i], cols[j], None) for i, j in pairs], CORR_DDL)
+    long = _pair_long(wide, cols, pairs).where(F.col("pair").isin(*[f"{pairs[k][0]},{pairs[k][1]}" for k in varying]))
+
+    def avg_rank(c):
+        w = Window.partitionBy("pair").orderBy(c)
+        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / 2.0
+
+    ranked = long.select("pair", avg_rank("x").alias("rx"), avg_rank("y").alias("ry"))
+    names = _pair_names(cols, pairs)
+    got = ranked.groupBy("pair").agg(F.corr("rx", "ry").alias("r")).select(
+        names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")
+    allp = wide.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in pairs], "col_a string, col_b string")
+    return allp.join(got, ["col_a", "col_b"], "left")
+
+
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson on average ranks, ranked on each pair's complete rows.
 
@@ -149,7 +173,10 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     wide, cols = _numeric_wide(df, columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
-    row = wide.agg(*[F.count_if(qcol(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)]).first()
+    row = wide.agg(*[F.count_if(qcol(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)],
+                   F.count(F.lit(1)).alias("_rows")).first()
+    if row["_rows"] <= WINDOW_ROWS:
+        return _mirror(_spearman_windows(wide, cols), cols, _diag(wide, cols, "spearman"))
     complete = [c for i, c in enumerate(cols) if row[i] == 0]
     parts = []
     if len(complete) >= 2:
