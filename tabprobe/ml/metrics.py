@@ -13,10 +13,16 @@ def pair_counts(pred: DataFrame, label: str = "label", prediction: str = "predic
                 .agg(F.count(F.lit(1)).alias("n")))
 
 
+MAX_CLASSES = 10_000
+
+
 def _classes(pc: DataFrame) -> list[float]:
     rows = (pc.select(F.col("label").alias("c"))
-              .union(pc.select(F.col("prediction").alias("c"))).distinct().collect())
-    return sorted(r[0] for r in rows)  # one row per class: bounded
+              .union(pc.select(F.col("prediction").alias("c"))).distinct()
+              .limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:  # the k x k grid must stay small
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return sorted(r[0] for r in rows)
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

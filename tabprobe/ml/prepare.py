@@ -16,6 +16,19 @@ from tabprobe.operators.scale_encode import scale_minmax, scale_standard
 SPLIT_SEED = 42
 
 
+MAX_CLASSES = 10_000
+
+
+def class_names(df: DataFrame, target: str) -> list:
+    """Sorted distinct target values -- a bounded collect: a classification
+    target has few classes, and more than ``MAX_CLASSES`` is refused."""
+    rows = (df.select(qcol(target)).distinct().orderBy(qcol(target))
+              .limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} distinct values; not a class label")
+    return [r[0] for r in rows]
+
+
 def index_labels(df: DataFrame, target: str, name: str | None = None) -> tuple[DataFrame, list[str]]:
     """M1: text target -> 0..k-1 in sorted order (rows with a missing target
     are dropped); a numeric target is kept. Returns (table, class names).
@@ -24,10 +37,9 @@ def index_labels(df: DataFrame, target: str, name: str | None = None) -> tuple[D
     out = name or target
     dt = df.schema[target].dataType
     base = df.where(qcol(target).isNotNull())
+    names = class_names(base, target)
     if is_numeric_type(dt):
-        names = [r[0] for r in base.select(qcol(target)).distinct().orderBy(qcol(target)).collect()]
         return base.withColumn(out, qcol(target)), [str(v) for v in names]
-    names = [r[0] for r in base.select(qcol(target)).distinct().orderBy(qcol(target)).collect()]
     mapping = F.create_map(*[x for i, v in enumerate(names) for x in (F.lit(v), F.lit(i))])
     return base.withColumn(out, mapping[qcol(target)].cast("int")), names
 
