@@ -160,3 +160,19 @@ def pair_grid_points_orders(spark, sf):
     o = table(spark, sf, "orders")
     return rounded(chartdata.pair_grid_points(o, ["o_orderkey", "o_custkey", "o_totalprice"],
                                               hue="o_orderstatus", id_cols=["o_orderkey"], max_points=500))
+
+
+@register("histogram_lineitem_price_30", _hist_sql("lineitem", "l_extendedprice", 30))
+def histogram_lineitem_price_30(spark, sf):
+    return rounded(chartdata.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 30))
+
+
+@register("bar_counts_document_sources", """
+SELECT source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1""")
+def bar_counts_document_sources(spark, sf):
+    return chartdata.bar_counts(table(spark, sf, "documents"), "source")
+
+
+@register("pie_shares_document_sources", _pie_sql("documents", "source"))
+def pie_shares_document_sources(spark, sf):
+    return rounded(chartdata.pie_shares(table(spark, sf, "documents"), "source"))

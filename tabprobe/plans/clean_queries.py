@@ -300,3 +300,8 @@ FROM d JOIN o ON d.v = o.v""")
 def encode_binary_customer_nulls(spark, sf):
     return rounded(scale_encode.encode_binary(customer_nulls(spark, sf), ["c_mktsegment"],
                                               order_by=["c_custkey"]))
+
+
+@register("drop_duplicates_document_texts", "SELECT DISTINCT text FROM documents")
+def drop_duplicates_document_texts(spark, sf):
+    return clean.drop_duplicates(table(spark, sf, "documents").select("text"))

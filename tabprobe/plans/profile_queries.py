@@ -292,3 +292,44 @@ WHERE row_id >= ((SELECT count(*) FROM orders) + 999) // 1000 * 1000 - 1000""")
 def page_rows_orders_clamped(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return positions.page_rows(o, 10**9, 1000, order_by=["o_orderkey"])
+
+
+@register("duplicate_count_document_texts", """
+SELECT CAST(count(*) - count(DISTINCT text) AS BIGINT) AS n_duplicates FROM documents""")
+def duplicate_count_document_texts(spark, sf):
+    """Whole texts compared: exact copies among the documents."""
+    return profile.duplicate_count(table(spark, sf, "documents").select("text"))
+
+
+@register("detect_column_types_conversations", detect_sql(
+    "conversations", ["role", "text"], {"conv_id": "numeric", "turn": "numeric"}))
+def detect_column_types_conversations(spark, sf):
+    return profile.detect_column_types(table(spark, sf, "conversations"))
+
+
+@register("detect_column_types_pages", detect_sql("pages", ["url", "html"], {"page_id": "numeric"}))
+def detect_column_types_pages(spark, sf):
+    return profile.detect_column_types(table(spark, sf, "pages"))
+
+
+@register("dataset_info_documents_labels", f"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(6 AS BIGINT) AS n_columns,
+  CAST(4 AS BIGINT) AS n_numeric, CAST(2 AS BIGINT) AS n_text,
+  CAST(count(*) - count(quality) + count(*) - count(toxic) AS BIGINT) AS missing_cells,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {B_SQL})) AS BIGINT) AS duplicate_rows
+FROM {B_SQL}""")
+def dataset_info_documents_labels(spark, sf):
+    return profile.dataset_info(documents_labels(spark, sf))
+
+
+@register("value_counts_top20_event_types", """
+SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL
+GROUP BY event_type ORDER BY n DESC, event_type LIMIT 20""")
+def value_counts_top20_event_types(spark, sf):
+    return profile.value_counts_topk(table(spark, sf, "events"), "event_type", 20)
+
+
+@register("rows_with_missing_documents_labels", f"""
+SELECT doc_id, lang, source, n_chars, quality, toxic FROM {B_SQL} WHERE quality IS NULL OR toxic IS NULL""")
+def rows_with_missing_documents_labels(spark, sf):
+    return profile.rows_with_missing(documents_labels(spark, sf), limit=None)

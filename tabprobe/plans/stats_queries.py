@@ -125,3 +125,23 @@ def outlier_examples_zscore_events(spark, sf):
 @register("outliers_iqr_lineitem_nulls", _outliers_sql(A_SQL, LINEITEM_NUMERIC, "iqr"))
 def outliers_iqr_lineitem_nulls(spark, sf):
     return rounded(stats.outliers(lineitem_nulls(spark, sf), "iqr"))
+
+
+@register("numeric_summary_events", _numeric_summary_sql("events", ["event_id", "user_id", "value"]))
+def numeric_summary_events(spark, sf):
+    return rounded(stats.numeric_summary(table(spark, sf, "events")))
+
+
+@register("numeric_summary_orders", _numeric_summary_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
+def numeric_summary_orders(spark, sf):
+    return rounded(stats.numeric_summary(table(spark, sf, "orders")))
+
+
+@register("categorical_summary_documents", _catsummary_sql("documents", ["lang", "source"]))
+def categorical_summary_documents(spark, sf):
+    return stats.categorical_summary(table(spark, sf, "documents"), ["lang", "source"])
+
+
+@register("categorical_summary_conversations", _catsummary_sql("conversations", ["role"]))
+def categorical_summary_conversations(spark, sf):
+    return stats.categorical_summary(table(spark, sf, "conversations"), ["role"])
