@@ -20,6 +20,7 @@ where the number of groups is data-dependent.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -30,6 +31,7 @@ from tabprobe.functions.columns import clean_numeric, qcol
 from tabprobe.operators.ordering import WINDOW_ROWS, with_running_sum
 
 BUCKETS = 1024
+EQUAL_BUCKETS = 64
 SAMPLE_ROWS = 16 * BUCKETS
 SAMPLE_SEED = 11
 BROADCAST_GROUPS = 100_000
@@ -71,28 +73,31 @@ class ColumnProfile:
         self.max = [row[4 + 4 * i] for i in range(k)]
         self.live = [i for i in range(k) if self.n[i] > 0]
         self.buckets: dict[int, list] = {}
-        if all(self.n[i] <= WINDOW_ROWS for i in self.live):
+        finite = all(math.isfinite(self.min[i]) and math.isfinite(self.max[i]) for i in self.live)
+        if finite and all(self.n[i] <= WINDOW_ROWS for i in self.live):
             self._single_bucket(moments)
         else:
             self._bucketed(rows, moments)
 
     def _single_bucket(self, moments: bool) -> None:
-        """Every column fits one bounded window task: no sample, no bucket pass;
-        the power sums (if wanted) are one more one-row aggregate."""
+        """Every column fits one bounded window task: no sample and no
+        Bucketizer -- ``EQUAL_BUCKETS`` equal-width buckets between the known
+        min and max (arithmetic), counted in the same grouped pass as the power
+        sums, so only the target buckets are ranked and they rank in parallel."""
         self.long = self._long(None)
-        sums = {}
-        if moments and self.live:
-            aggs = []
-            for i in self.live:
-                d = F.col(f"_q{i}") - F.lit(float(self.mean[i]))
-                aggs += [F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)]
-            row = self.wide.agg(*aggs).first()
-            sums = {i: row[4 * k: 4 * k + 4] for k, i in enumerate(self.live)}
-        for i in self.live:
-            r = {"b": 0, "n": self.n[i]}
-            if i in sums:
-                r.update(zip(("s1", "s2", "s3", "s4"), sums[i]))
-            self.buckets[i] = [r]
+        self._count_buckets(moments)
+
+    def _count_buckets(self, moments: bool) -> None:
+        aggs = [F.count(F.lit(1)).alias("n")]
+        if moments:
+            mean = F.element_at(F.array(*[F.lit(float(m or 0.0)) for m in self.mean]), F.col("ci") + 1)
+            d = F.col("x") - mean
+            aggs += [F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"),
+                     F.sum(d * d * d * d).alias("s4")]
+        for r in self.long.groupBy("ci", "b").agg(*aggs).collect():  # <= columns x buckets rows
+            self.buckets.setdefault(r["ci"], []).append(r)
+        for rs in self.buckets.values():
+            rs.sort(key=lambda r: r["b"])
 
     def _bucketed(self, rows: int, moments: bool) -> None:
         frac = min(1.0, SAMPLE_ROWS / max(rows, 1))
@@ -104,23 +109,20 @@ class ColumnProfile:
             cut = sorted({vals[(len(vals) * j) // BUCKETS] for j in range(1, BUCKETS)}) if vals else []
             splits.append([-inf] + [v for v in cut if -inf < v < inf] + [inf])
         self.long = self._long(splits)
-        aggs = [F.count(F.lit(1)).alias("n")]
-        if moments:
-            mean = F.element_at(F.array(*[F.lit(float(m or 0.0)) for m in self.mean]), F.col("ci") + 1)
-            d = F.col("x") - mean
-            aggs += [F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"),
-                     F.sum(d * d * d * d).alias("s4")]
-        for r in self.long.groupBy("ci", "b").agg(*aggs).collect():  # <= columns x BUCKETS rows
-            self.buckets.setdefault(r["ci"], []).append(r)
-        for rs in self.buckets.values():
-            rs.sort(key=lambda r: r["b"])
+        self._count_buckets(moments)
 
     def _long(self, splits) -> DataFrame:
         if not self.live:
             return self.wide.limit(0)
-        if splits is None:  # one bucket per column
+        if splits is None:  # equal-width buckets between the known min and max
+            def width_bucket(i):
+                x, lo, hi = F.col(f"_q{i}"), float(self.min[i]), float(self.max[i])
+                if hi <= lo:
+                    return F.lit(0)
+                raw = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * EQUAL_BUCKETS).cast("int")
+                return F.least(F.greatest(raw, F.lit(0)), F.lit(EQUAL_BUCKETS - 1))
             return (self.wide.select(F.inline(F.array(*[
-                        F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"), F.lit(0).alias("b"))
+                        F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"), width_bucket(i).alias("b"))
                         for i in self.live])))
                     .where(F.col("x").isNotNull()))
         bucketizer = Bucketizer(splitsArray=splits, inputCols=[f"_q{i}" for i in self.live],

@@ -254,3 +254,10 @@ def test_quantile_paths_agree_with_pandas(spark, monkeypatch, window_rows):
     prof = quantiles.ColumnProfile(ev, ["value"], moments=True)
     _, m2, m3, _ = prof.central_moments(0)
     assert m2 / (prof.n[0] - 1) == pytest.approx(pdf["value"].var(), rel=1e-9)
+
+
+def test_quantiles_with_infinity(spark):
+    from tabprobe.operators import quantiles
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, float("inf"), 5, float("-inf")]], "x double")
+    got = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, ["x"], (0.0, 0.5, 1.0)).collect()}
+    assert got[0.0] == float("-inf") and got[0.5] == 2.5 and got[1.0] == float("inf")
