@@ -190,8 +190,13 @@ class ColumnProfile:
         frac = F.col("_pos") - F.floor("_pos")
         agg = picked.groupBy("ci", "prob").agg(F.first("_pos").alias("_pos"), F.min("x").alias("_lo"),
                                                F.max("x").alias("_hi"))
-        return agg.select(names[F.col("ci")].alias("column_name"), "prob",
-                          (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+        return agg.select(names[F.col("ci")].alias("column_name"), "prob", _interpolate(frac).alias("value"))
+
+
+def _interpolate(frac):
+    """lo + (hi - lo) * frac, exact at the neighbours (also for infinite values)."""
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return F.when((frac == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * frac)
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -224,8 +229,7 @@ def quantiles_from_counts(vc: DataFrame, probs: Sequence[float]) -> DataFrame:
         F.min_by("v", "_r").alias("_lo"),
         F.max_by("v", "_r").alias("_hi"))
     frac = F.col("_pos") - F.floor("_pos")
-    return picked.select("column_name", "prob",
-                         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+    return picked.select("column_name", "prob", _interpolate(frac).alias("value"))
 
 
 def quantile_columns(q: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
