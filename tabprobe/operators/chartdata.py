@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
 from tabprobe.functions.moments import pearson
-from tabprobe.operators.quantiles import quantile_columns, quantiles_from_counts
+from tabprobe.operators.quantiles import exact_quantiles, quantile_columns, quantiles_from_counts
 
 SAMPLE_SEED = 42
 
@@ -71,9 +71,12 @@ def box_stats(df: DataFrame, columns: Sequence[str] | str, by: str | None = None
         long = df.select(*[clean_numeric(df, c).alias(c) for c in cols]).unpivot(
             [], [qcol(c) for c in cols], "column_name", "x").withColumn("_grp", F.lit(None))
     long = long.where(F.col("x").isNotNull())
-    vc = long.groupBy("column_name", F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    q = quantile_columns(quantiles_from_counts(vc, (0.25, 0.5, 0.75)), (0.25, 0.5, 0.75),
-                         ("q1", "median", "q3"))
+    if by:  # a data-dependent number of groups: the grouped quantile path
+        vc = long.groupBy("column_name", F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        qs = quantiles_from_counts(vc, (0.25, 0.5, 0.75))
+    else:
+        qs = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+    q = quantile_columns(qs, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     j = long.join(q if by else F.broadcast(q), "column_name")  # one row per column, or per group
