@@ -209,8 +209,20 @@ def fill_zero(df, columns=None):
 
 def drop_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Full-row distinct with missing values equal. When a position column
-    is carried, the first occurrence (smallest position) is kept."""
-    if row_id is None or row_id not in df.columns:
-        return df.dropDuplicates()
-    others = [c for c in df.columns if c != row_id]
-    return df.groupBy(*[qcol(c) for c in others]).agg(F.min(row_id).alias(row_id)).select(*df.columns)
+    is carried, the first occurrence (smallest position) is kept.
+
+    Only an 8-byte row hash is shuffled for every row; full rows are grouped
+    only where hashes collide."""
+    from tabprobe.operators.profile import row_hash
+    keyed = row_id is not None and row_id in df.columns
+    others = [c for c in df.columns if not (keyed and c == row_id)]
+    # rows with a unique row hash are unique: only the colliding ones are grouped
+    hashed = df.withColumn("_h", row_hash(df, others))
+    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_hn")).where(F.col("_hn") > 1).select("_h")
+    single = hashed.join(repeated, "_h", "left_anti")
+    multi = hashed.join(repeated, "_h", "left_semi")
+    if keyed:
+        merged = multi.groupBy("_h", *[qcol(c) for c in others]).agg(F.min(row_id).alias(row_id))
+    else:
+        merged = multi.dropDuplicates(["_h", *others])
+    return single.unionByName(merged).drop("_h").select(*[qcol(c) for c in df.columns])

@@ -43,10 +43,38 @@ def _groupable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
 
 
+def row_hash(df: DataFrame, cols: Sequence[str]):
+    """64-bit hash of the whole row; -0.0 and NaN are normalised so that rows
+    the exact grouping treats as equal always share a hash."""
+    parts = []
+    for c in cols:
+        x = qcol(c)
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            x = F.when(F.isnan(x), F.lit(float("nan"))).when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))
+        parts.append(x)
+    return F.xxhash64(*parts)
+
+
+def duplicate_candidates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hashed rows, hashes seen more than once).
+
+    Only the 8-byte hash is shuffled (map-side combined) to find repeated
+    hashes; a row whose hash is unique cannot have a duplicate, so exact
+    grouping is needed for the candidate rows only."""
+    cols = _groupable(df)
+    hashed = df.withColumn("_h", row_hash(df, cols))
+    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_hn")).where(F.col("_hn") > 1).select("_h")
+    return hashed, repeated
+
+
 def duplicate_groups(df: DataFrame) -> DataFrame:
-    """All-column groups with their size; missing values compare equal."""
+    """Exact all-column groups (missing values equal) that have more than one
+    row, with their size; computed among hash-collision candidates only."""
     cols = _groupable(df)
-    return df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    hashed, repeated = duplicate_candidates(df)
+    cand = hashed.join(repeated, "_h", "left_semi")
+    return (cand.groupBy("_h", *[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") > 1).drop("_h"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -59,17 +87,18 @@ def duplicate_examples(df: DataFrame, limit: int | None = 10,
                        order_by: Sequence[str] | None = None) -> DataFrame:
     """Every member of a duplicate group (``limit`` first ones when set).
 
-    Repeated groups are found by aggregation and matched back with a
-    null-safe semi join; AQE splits a skewed group on the probe side.
-    """
+    Repeated groups are found among hash candidates and matched back with a
+    null-safe semi join restricted to the same hash."""
     cols = _groupable(df)
-    dup = duplicate_groups(df).where(F.col("_n") > 1).drop("_n")
-    d = dup.select(*[qcol(c).alias(f"_d{i}") for i, c in enumerate(cols)])
-    cond = None
+    hashed, repeated = duplicate_candidates(df)
+    cand = hashed.join(repeated, "_h", "left_semi")
+    groups = (cand.groupBy("_h", *[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+                  .where(F.col("_n") > 1))
+    d = groups.select(F.col("_h").alias("_dh"), *[qcol(c).alias(f"_d{i}") for i, c in enumerate(cols)])
+    cond = F.col("_h") == F.col("_dh")
     for i, c in enumerate(cols):
-        e = qcol(c).eqNullSafe(F.col(f"_d{i}"))
-        cond = e if cond is None else cond & e
-    out = df.join(d, cond, "left_semi")
+        cond = cond & qcol(c).eqNullSafe(F.col(f"_d{i}"))
+    out = cand.join(d, cond, "left_semi").drop("_h")
     if limit is not None:
         out = out.orderBy(*[qcol(c) for c in (order_by or cols)]).limit(limit)
     return out
@@ -77,22 +106,26 @@ def duplicate_examples(df: DataFrame, limit: int | None = 10,
 
 def dataset_info(df: DataFrame) -> DataFrame:
     """One row -- rows, columns, numeric / text column counts, missing
-    cells and duplicated rows, all from one grouped pass."""
+    cells and duplicated rows. Counts and missing cells are one global
+    aggregate (no shuffle); duplicates come from the hash-first grouping."""
     cols = _groupable(df)
-    g = df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
     miss = F.lit(0).cast("long")
     for c in cols:
-        m = qcol(c).isNull()
-        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            m = m | F.isnan(qcol(c))
-        miss = miss + m.cast("long")
-    return g.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_rows"),
+        miss = miss + _missing(df, c).cast("long")
+    totals = df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                    F.coalesce(F.sum(miss), F.lit(0)).cast("long").alias("missing_cells"),
+                    F.lit(0).cast("long").alias("duplicate_rows"))
+    dups = duplicate_count(df).select(F.lit(0).cast("long").alias("n_rows"),
+                                      F.lit(0).cast("long").alias("missing_cells"),
+                                      F.col("n_duplicates").alias("duplicate_rows"))
+    both = totals.unionByName(dups)
+    return both.agg(
+        F.sum("n_rows").cast("long").alias("n_rows"),
         F.lit(len(df.columns)).cast("long").alias("n_columns"),
         F.lit(len(numeric_columns(df))).cast("long").alias("n_numeric"),
         F.lit(len(text_columns(df))).cast("long").alias("n_text"),
-        F.coalesce(F.sum(miss * F.col("_n")), F.lit(0)).cast("long").alias("missing_cells"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+        F.sum("missing_cells").cast("long").alias("missing_cells"),
+        F.sum("duplicate_rows").cast("long").alias("duplicate_rows"))
 
 
 def column_kinds(df: DataFrame) -> DataFrame:

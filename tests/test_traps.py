@@ -261,3 +261,12 @@ def test_quantiles_with_infinity(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, float("inf"), 5, float("-inf")]], "x double")
     got = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, ["x"], (0.0, 0.5, 1.0)).collect()}
     assert got[0.0] == float("-inf") and got[0.5] == 2.5 and got[1.0] == float("inf")
+
+
+def test_duplicates_hash_normalisation(spark):
+    df = spark.createDataFrame([(0.0, None), (-0.0, None), (float("nan"), "a"), (float("nan"), "a"),
+                                (1.0, "b")], "x double, s string")
+    assert profile.duplicate_count(df).first()[0] == 2
+    assert clean.drop_duplicates(df).count() == 3
+    info = profile.dataset_info(df).first()
+    assert info["n_rows"] == 5 and info["duplicate_rows"] == 2 and info["missing_cells"] == 4
