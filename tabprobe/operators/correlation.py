@@ -221,9 +221,9 @@ def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int) -> Data
     1 and a strictly smaller x. The group key packs (pair, level, prefix) into
     one long, and the count of earlier bit-1 rows is a distributed running sum.
     """
-    n = long_pairs.groupBy("pair").agg(F.count(F.lit(1)).cast("double").alias("n"))
     tie = lambda t: F.sum(F.col(t).cast("double") * (F.col(t) - 1) / 2)
-    n1 = long_pairs.groupBy("pair", "x").agg(F.count(F.lit(1)).alias("t")).groupBy("pair").agg(tie("t").alias("n1"))
+    n1 = (long_pairs.groupBy("pair", "x").agg(F.count(F.lit(1)).alias("t"))
+                    .groupBy("pair").agg(F.sum("t").cast("double").alias("n"), tie("t").alias("n1")))
     n2 = y_counts.groupBy("pair").agg(tie("_c").alias("n2"))
     n3 = (long_pairs.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("t"))
                     .groupBy("pair").agg(tie("t").alias("n3")))
@@ -236,7 +236,7 @@ def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int) -> Data
     prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before")
     disc = prefix.groupBy("pair").agg(
         F.sum(F.col("zeros") * F.col("ones_before")).cast("double").alias("D"))
-    t = (n.join(n1, "pair").join(n2, "pair").join(n3, "pair").join(disc, "pair", "left")
+    t = (n1.join(n2, "pair").join(n3, "pair").join(disc, "pair", "left")
           .fillna({"D": 0.0}))
     n0 = F.col("n") * (F.col("n") - 1) / 2
     c = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("D")
@@ -255,11 +255,10 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     long = (wide.select(F.inline(F.array(*structs)))
                 .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
     ys = long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c"))
-    # distinct y per pair sizes the bit loop: one small aggregate
-    max_distinct = ys.groupBy("pair").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 1
-    bits = max(1, int(max_distinct - 1).bit_length())
     ry = with_running_sum(ys.withColumn("_one", F.lit(1)), "pair", ["y"], "_one", name="ry").drop("_one", "_c")
-    lp = cut_lineage(long.join(ry, ["pair", "y"]))  # four consumers below
+    lp = cut_lineage(long.join(ry, ["pair", "y"]))  # several consumers below
+    # the largest dense rank sizes the bit loop: a scan of the written table
+    bits = max(1, int(lp.agg(F.max("ry")).first()[0] or 0).bit_length())
     tau = kendall_pairs(lp, ys, bits)
     names = F.create_map(*[x for k, (i, j) in enumerate(pairs)
                            for x in (F.lit(k), F.array(F.lit(cols[i]), F.lit(cols[j])))])
