@@ -92,7 +92,7 @@ def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str],
     ranked = with_running_sum(keyed, "_cls", ["_h"], "_one", name="_pos")
     sizes = df.groupBy(qcol(label).cast("string").alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.round(F.col("_n") * F.lit(test_size), 0)
-    return (ranked.join(F.broadcast(sizes), "_cls")
+    return (ranked.join(sizes, "_cls")  # one row per class; AQE broadcasts it when small
                   .withColumn("is_test", F.col("_pos") < cut)
                   .drop("_h", "_one", "_cls", "_pos", "_n"))
 

@@ -278,3 +278,40 @@ SELECT a AS antecedent, c AS consequent, {r6('confidence')} AS confidence, {r6('
 def association_rules_brands(spark, sf):
     _, ar = rules.association_rules(_baskets(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE)
     return rounded(ar)
+
+
+EMB_SPLIT_SQL = """(SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42')) - 1
+  < round(count(*) OVER (PARTITION BY label) * 0.3) AS is_test FROM embeddings)"""
+
+
+@register("knn_split_embeddings", f"""
+WITH s AS {EMB_SPLIT_SQL},
+e AS (SELECT x.vec_id, x.label, x.v, x.i, s.is_test FROM {EMB_SQL} x JOIN s ON x.vec_id = s.vec_id),
+d AS (SELECT a.vec_id AS q, any_value(a.label) AS truth, b.vec_id AS r, any_value(b.label) AS label,
+             sum((a.v - b.v) * (a.v - b.v)) AS d2
+      FROM e a JOIN e b ON a.i = b.i AND a.is_test AND NOT b.is_test GROUP BY a.vec_id, b.vec_id),
+nb AS (SELECT q, truth, label FROM (SELECT q, truth, label, row_number() OVER (PARTITION BY q ORDER BY d2, r) AS rk FROM d)
+       WHERE rk <= 5),
+v AS (SELECT q, truth, label, count(*) AS votes FROM nb GROUP BY q, truth, label)
+SELECT q AS id, CAST(truth AS DOUBLE) AS label, CAST(label AS DOUBLE) AS prediction FROM (
+  SELECT q, truth, label, row_number() OVER (PARTITION BY q ORDER BY votes DESC, label) AS rk FROM v) WHERE rk = 1""")
+def knn_split_embeddings(spark, sf):
+    """M3 + M8: stratified 70/30 split (md5 order), exact 5-NN of every test
+    vector among the training vectors."""
+    pts = _emb_points(spark, sf)
+    split = prepare.stratified_split(pts, "label", ["id"])
+    train = split.where(~F.col("is_test")).drop("is_test")
+    test = split.where(F.col("is_test"))
+    pred = classify.knn_classify(test.select("id", "features"), train, k=5)
+    return pred.join(test.select("id", "label"), "id").select("id", "label", "prediction")
+
+
+@register("logistic_embeddings_report")
+def logistic_embeddings_report(spark, sf):
+    """M4 multi-class (10 labels) with M11's report on the stratified test split."""
+    w = _emb_wide(spark, sf)
+    feats = [f"e{i}" for i in range(EMB_DIMS)]
+    split = prepare.stratified_split(w, "label", ["vec_id"])
+    model = classify.train_classifier(split.where(~F.col("is_test")), feats, "label", "logistic")
+    pred = classify.predict(model, split.where(F.col("is_test")), feats, "label")
+    return rounded(metrics.classification_report(pred))
