@@ -270,3 +270,13 @@ def test_duplicates_hash_normalisation(spark):
     assert clean.drop_duplicates(df).count() == 3
     info = profile.dataset_info(df).first()
     assert info["n_rows"] == 5 and info["duplicate_rows"] == 2 and info["missing_cells"] == 4
+
+
+def test_numeric_summary_approx_close_to_exact(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    exact = {r["column_name"]: r for r in stats.numeric_summary(ev, ["value"]).collect()}
+    approx = {r["column_name"]: r for r in stats.numeric_summary(ev, ["value"], approx=True).collect()}
+    pdf = ev.select("value").toPandas()["value"]
+    assert exact["value"]["p50"] == pytest.approx(pdf.median())
+    assert approx["value"]["p50"] == pytest.approx(pdf.median(), rel=1e-2)
+    assert approx["value"]["mean"] == exact["value"]["mean"]
