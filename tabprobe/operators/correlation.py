@@ -118,8 +118,10 @@ def _ranked_wide(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by its average rank over the rows of ``wide``
     (missing stays missing): unpivot with a row key, one join, regroup."""
     keyed = wide.withColumn("_rk", F.monotonically_increasing_id())
-    long = cut_lineage(keyed.unpivot(["_rk"], [qcol(c) for c in cols], "column_name", "v").where(
-        F.col("v").isNotNull()))  # ranked and joined back: computed once
+    # two consumers: the rank branch needs only (column, value), so rescanning is
+    # cheaper than writing n x d rows, and the row key is used in one branch only
+    long = keyed.unpivot(["_rk"], [qcol(c) for c in cols], "column_name", "v").where(
+        F.col("v").isNotNull())
     ranks = average_ranks(long)
     joined = long.join(ranks, ["column_name", "v"])
     return joined.groupBy("_rk").pivot("column_name", list(cols)).agg(F.first("avg_rank"))
@@ -188,18 +190,24 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
                                     complete, varying))
     mixed = [(i, j) for i, j in _pairs(cols) if not (cols[i] in complete and cols[j] in complete)]
     if mixed:
-        long = _pair_long(wide, cols, mixed).withColumn("_rk", F.monotonically_increasing_id())
-        sides = long.select("_rk", "pair", F.inline(F.array(
-            F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
-            F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))))
-        sides = cut_lineage(sides.withColumn("key", F.concat_ws("|", "pair", "side")))
-        ranks = average_ranks(sides.select("key", "v"), key="key")
-        ranked = sides.join(ranks, ["key", "v"]).groupBy("_rk", "pair").agg(
-            F.max(F.when(F.col("side") == "x", F.col("avg_rank"))).alias("rx"),
-            F.max(F.when(F.col("side") == "y", F.col("avg_rank"))).alias("ry"))
+        # ranks of each side on the pair's complete rows, from value counts;
+        # every pair row then meets its two ranks by equi-joins on (pair, value)
+        long = _pair_long(wide, cols, mixed)
+        values = (long.select(F.concat_ws("|", "pair", F.lit("x")).alias("key"), F.col("x").alias("v"))
+                      .unionByName(long.select(F.concat_ws("|", "pair", F.lit("y")).alias("key"),
+                                               F.col("y").alias("v"))))
+        ranks = average_ranks(values, key="key")
+        rx = ranks.select(F.col("key").alias("_kx"), F.col("v").alias("x"), F.col("avg_rank").alias("rx"))
+        ry = ranks.select(F.col("key").alias("_ky"), F.col("v").alias("y"), F.col("avg_rank").alias("ry"))
+        ranked = (long.withColumn("_kx", F.concat_ws("|", "pair", F.lit("x")))
+                      .withColumn("_ky", F.concat_ws("|", "pair", F.lit("y")))
+                      .join(rx, ["_kx", "x"]).join(ry, ["_ky", "y"]))
+        varying = [f"{i},{j}" for (i, j), ok in zip(mixed, varying_pairs(wide, cols, mixed)) if ok]
         names = _pair_names(cols, mixed)
-        parts.append(ranked.groupBy("pair").agg(pearson(F.col("rx"), F.col("ry")).alias("r")).select(
-            names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r"))
+        parts.append(ranked.where(F.col("pair").isin(*varying) if varying else F.lit(False))
+                           .groupBy("pair").agg(F.corr("rx", "ry").alias("r"))
+                           .select(names[F.col("pair")][0].alias("col_a"),
+                                   names[F.col("pair")][1].alias("col_b"), "r"))
     upper = parts[0]
     for p in parts[1:]:
         upper = upper.unionByName(p)

@@ -79,16 +79,23 @@ def _tau_b(x, y):
     return (s / 2) / math.sqrt((nx / 2) * (ny / 2))
 
 
-def test_spearman_and_kendall_match_pandas_with_ties_and_nulls(spark):
+@pytest.mark.parametrize("window_rows", [10**9, 0])
+def test_spearman_and_kendall_match_pandas_with_ties_and_nulls(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(correlation, "WINDOW_ROWS", window_rows)  # window path / distributed path
     import random
     random.seed(3)
     xs = [random.choice([None, 1, 2, 2, 3, 5, 8, 8, 8, 13]) for _ in range(200)]
     ys = [random.choice([None, 0.5, 1.5, 1.5, 2.0, 3.0, 9.0]) for _ in range(200)]
+    zs = [float(i % 17) for i in range(200)]
     pdf = pd.DataFrame({"x": xs, "y": ys}, dtype=float)
-    df = spark.createDataFrame([(None if a is None else float(a), b) for a, b in zip(xs, ys)], "x double, y double")
+    df = spark.createDataFrame([(None if a is None else float(a), b, z) for a, b, z in zip(xs, ys, zs)],
+                               "x double, y double, z double")
     sp = {(r["col_a"], r["col_b"]): r["r"] for r in _rows(correlation.correlation_matrix(df, "spearman"))}
     both = pdf.dropna()
     assert sp[("x", "y")] == pytest.approx(both["x"].rank().corr(both["y"].rank()), rel=1e-9)
+    xz = pd.DataFrame({"x": xs, "z": zs}, dtype=float).dropna()
+    assert sp[("x", "z")] == pytest.approx(xz["x"].rank().corr(xz["z"].rank()), rel=1e-9)
+    assert sp[("z", "x")] == sp[("x", "z")]
     kd = {(r["col_a"], r["col_b"]): r["r"] for r in _rows(correlation.correlation_matrix(df, "kendall"))}
     assert kd[("x", "y")] == pytest.approx(_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy()), rel=1e-9)
 
