@@ -98,10 +98,13 @@ def duplicate_examples(df: DataFrame, limit: int | None = 10,
     cond = F.col("_h") == F.col("_dh")
     for i, c in enumerate(cols):
         cond = cond & qcol(c).eqNullSafe(F.col(f"_d{i}"))
+    if limit is not None and not order_by:  # first rows in table (scan) order
+        cand = cand.withColumn("_pos", F.monotonically_increasing_id())
     out = cand.join(d, cond, "left_semi").drop("_h")
     if limit is not None:
-        out = out.orderBy(*[qcol(c) for c in (order_by or cols)]).limit(limit)
-    return out
+        keys = [qcol(c) for c in order_by] if order_by else [F.col("_pos")]
+        out = out.orderBy(*keys).limit(limit)
+    return out.drop("_pos") if "_pos" in out.columns else out
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
@@ -155,12 +158,13 @@ def rows_with_missing(df: DataFrame, limit: int | None = 100,
     any_missing = F.lit(False)
     for c in df.columns:
         any_missing = any_missing | _missing(df, c)
-    out = df.where(any_missing)
-    if limit is not None:
-        if order_by:
-            out = out.orderBy(*[qcol(c) for c in order_by])
-        out = out.limit(limit)
-    return out
+    if limit is None:
+        return df.where(any_missing)
+    if order_by:
+        return df.where(any_missing).orderBy(*[qcol(c) for c in order_by]).limit(limit)
+    # first rows in table (scan) order: a position, then a bounded TakeOrdered
+    pos = df.withColumn("_pos", F.monotonically_increasing_id())
+    return pos.where(any_missing).orderBy("_pos").limit(limit).drop("_pos")
 
 
 def value_counts_topk(df: DataFrame, column: str, k: int = 20) -> DataFrame:

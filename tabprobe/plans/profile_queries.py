@@ -216,7 +216,7 @@ JOIN (SELECT event_type, user_id FROM {C_SQL} GROUP BY ALL HAVING count(*) > 1)
   ON e.event_type IS NOT DISTINCT FROM d.event_type AND e.user_id IS NOT DISTINCT FROM d.user_id
 ORDER BY e.event_type, e.user_id LIMIT 10""")
 def duplicate_examples_event_pairs_first10(spark, sf):
-    return profile.duplicate_examples(event_pairs(spark, sf), limit=10)
+    return profile.duplicate_examples(event_pairs(spark, sf), limit=10, order_by=["event_type", "user_id"])
 
 
 # ------------------------------------------------------------------ P9 - P11

@@ -287,3 +287,18 @@ def test_numeric_summary_approx_close_to_exact(spark):
     assert exact["value"]["p50"] == pytest.approx(pdf.median())
     assert approx["value"]["p50"] == pytest.approx(pdf.median(), rel=1e-2)
     assert approx["value"]["mean"] == exact["value"]["mean"]
+
+
+def test_first_rows_follow_table_order(spark):
+    from tabprobe.session import table
+    pairs = table(spark, "/root/testdata/sf0.01", "events").select("event_type", "user_id")
+    got = profile.duplicate_examples(pairs, limit=10).collect()
+    pdf = pairs.toPandas()
+    want = pdf[pdf.duplicated(keep=False)].head(10)
+    assert [tuple(r) for r in got] == [tuple(x) for x in want.itertuples(index=False)]
+    li = table(spark, "/root/testdata/sf0.01", "lineitem").select("l_orderkey", "l_discount")
+    li = li.withColumn("l_discount", F.when(F.col("l_discount") == 0, None).otherwise(F.col("l_discount")))
+    rows = profile.rows_with_missing(li, limit=5).collect()
+    lpdf = li.toPandas()
+    expect = lpdf[lpdf.isna().any(axis=1)].head(5)
+    assert [r["l_orderkey"] for r in rows] == list(expect["l_orderkey"])
