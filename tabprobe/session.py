@@ -32,6 +32,8 @@ def get_session(master: str | None = None, app_name: str = "tabprobe",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        # checkpoints written by cut_lineage are removed once no longer referenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():
