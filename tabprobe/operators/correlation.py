@@ -219,7 +219,8 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 # ------------------------------------------------------------------ Kendall
 
-def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int) -> DataFrame:
+def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int,
+                  max_pair_rows: int | None = None) -> DataFrame:
     """tau-b per pair from ``(pair, x, y, ry)`` rows (``ry`` = dense 0-based rank
     of y within the pair, ``bits`` >= bit length of the largest ry) and the
     ``(pair, y, _c)`` value counts of y.
@@ -241,7 +242,9 @@ def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int) -> Data
     cells = levels.select(grp.alias("grp"), "pair", "x", F.expr("shiftright(ry, b) & 1").alias("bit"))
     counts = cells.groupBy("grp", "pair", "x").agg(
         F.sum("bit").alias("ones"), F.sum(1 - F.col("bit")).alias("zeros"))
-    prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before")
+    # a (pair, level, prefix) group never holds more rows than its pair
+    prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before",
+                              max_group_rows=max_pair_rows)
     disc = prefix.groupBy("pair").agg(
         F.sum(F.col("zeros") * F.col("ones_before")).cast("double").alias("D"))
     t = (n1.join(n2, "pair").join(n3, "pair").join(disc, "pair", "left")
@@ -265,9 +268,12 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     ys = long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c"))
     ry = with_running_sum(ys.withColumn("_one", F.lit(1)), "pair", ["y"], "_one", name="ry").drop("_one", "_c")
     lp = cut_lineage(long.join(ry, ["pair", "y"]))  # several consumers below
-    # the largest dense rank sizes the bit loop: a scan of the written table
-    bits = max(1, int(lp.agg(F.max("ry")).first()[0] or 0).bit_length())
-    tau = kendall_pairs(lp, ys, bits)
+    # the largest dense rank sizes the bit loop, the largest pair bounds every
+    # later group: one scan of the written table
+    top = lp.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.max("ry").alias("r")).agg(
+        F.max("n"), F.max("r")).first()
+    bits = max(1, int(top[1] or 0).bit_length())
+    tau = kendall_pairs(lp, ys, bits, max_pair_rows=int(top[0] or 0))
     names = F.create_map(*[x for k, (i, j) in enumerate(pairs)
                            for x in (F.lit(k), F.array(F.lit(cols[i]), F.lit(cols[j])))])
     got = tau.select(names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")

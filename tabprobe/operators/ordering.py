@@ -102,7 +102,8 @@ def bucket_column(df: DataFrame, order_cols: Sequence[str], num_buckets: int | N
 def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[str],
                      weight_col: str | None, name: str = "before",
                      num_buckets: int | None = None,
-                     spread: Sequence[str] | None = None) -> DataFrame:
+                     spread: Sequence[str] | None = None,
+                     max_group_rows: int | None = None) -> DataFrame:
     """Append, per ``group_col`` (or over the whole table), the sum of
     ``weight_col`` (1 per row when None) over rows earlier in ``order_by``
     order: an exclusive running sum. Rows with equal keys are ordered
@@ -112,7 +113,10 @@ def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[st
     w = qcol(weight_col) if weight_col else F.lit(1).cast("long")
     g = qcol(group_col) if group_col else F.lit(0)
     # size check: when every group fits one window task, a window per group
-    largest = df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    # (``max_group_rows`` is a bound the caller has already proven)
+    largest = max_group_rows
+    if largest is None:
+        largest = df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if (largest or 0) <= WINDOW_ROWS:
         frame = (Window.partitionBy(g).orderBy(*[qcol(c) for c in order_by])
                        .rowsBetween(Window.unboundedPreceding, -1))
