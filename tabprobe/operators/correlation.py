@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
-from tabprobe.functions.moments import pearson
 from tabprobe.operators.ordering import WINDOW_ROWS, with_running_sum
 from tabprobe.session import cut_lineage
 

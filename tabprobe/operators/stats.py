@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol, text_columns
-from tabprobe.functions.moments import corrected_kurtosis, corrected_skewness
 from tabprobe.operators.quantiles import ColumnProfile, exact_quantiles, quantile_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
