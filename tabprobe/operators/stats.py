@@ -67,19 +67,22 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
                 kurt = 0.0 if const else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * m4 / (m2 * m2) - 3) + 6)
         rows.append((c, i, n, mean, std, None if n == 0 else float(prof.min[i]),
                      None if n == 0 else float(prof.max[i]), skew, kurt))
-    # one row per column, computed from the bounded per-bucket aggregates
-    mom = df.sparkSession.createDataFrame(rows, "column_name string, _ord int, n long, mean double, std double, "
-                                                "min double, max double, skewness double, kurtosis double")
+    ddl = ("column_name string, _ord int, n long, mean double, std double, "
+           "min double, max double, skewness double, kurtosis double")
     if approx:
+        mom = df.sparkSession.createDataFrame(rows, ddl)
         grid = F.array(*[F.lit(p) for p in QUARTILES])
         q = prof.wide.agg(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                              F.percentile_approx(F.col(f"_q{i}"), grid, 100000).alias("qs"))
                                     for i, c in enumerate(cols)]).alias("_s")).select(F.inline("_s")).select(
             "column_name", *[F.col("qs")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75"))])
-    else:
-        q = quantile_columns(prof.quantiles(QUARTILES), QUARTILES, ("p25", "p50", "p75"))
-    return mom.join(F.broadcast(q), "column_name", "left").orderBy("_ord").select(
-        "column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis")
+        return mom.join(F.broadcast(q), "column_name", "left").orderBy("_ord").select(
+            "column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis")
+    # the quartiles are columns x 3 values: collected and placed beside the moments
+    qv = {(r["column_name"], r["prob"]): r["value"] for r in prof.quantiles(QUARTILES).collect()}
+    out = [(c, n, mean, std, mn, qv.get((c, 0.25)), qv.get((c, 0.5)), qv.get((c, 0.75)), mx, skew, kurt)
+           for c, _, n, mean, std, mn, mx, skew, kurt in rows]
+    return df.sparkSession.createDataFrame(out, NUMERIC_SUMMARY_DDL)
 
 
 def text_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -52,6 +52,13 @@ def read_delimited_part_tab(spark, sf):
     return delimited.read_delimited(spark, path, sep="\t")
 
 
+@register("read_delimited_part_pipe", PART_TOKENS_SQL)
+def read_delimited_part_pipe(spark, sf):
+    path = scratch_path(spark, "part-psv")
+    delimited.write_table(_part_with_tokens(spark, sf), path, "csv", sep="|")
+    return delimited.read_delimited(spark, path, sep="|")
+
+
 @register("normalize_missing_customer_text", """
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
   CASE WHEN c_nationkey = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
