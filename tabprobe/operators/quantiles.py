@@ -4,14 +4,16 @@
 which is unbounded for a high-cardinality column; sorting every value is more
 work than needed. Instead, per numeric column:
 
-1. one aggregate gives the count, and a bounded Bernoulli sample gives
-   approximate bucket boundaries (``BUCKETS`` per column);
-2. ``Bucketizer`` (a JVM binary search) assigns every value its bucket and a
-   grouped count gives the *exact* size of every (column, bucket) -- a table of
-   at most columns x ``BUCKETS`` rows;
+1. one aggregate gives count, sum, min and max;
+2. every value gets a bucket: with ``EQUAL_BUCKETS`` equal-width buckets
+   between min and max when every column is below ``WINDOW_ROWS`` (a checked
+   bound), otherwise with ``Bucketizer`` (a JVM binary search) over
+   ``BUCKETS`` boundaries taken from a bounded Bernoulli sample; one grouped
+   pass gives the *exact* size of every (column, bucket) -- a table of at most
+   columns x buckets rows -- and, when wanted, the power sums for the moments;
 3. the exact ranks wanted (floor/ceil of p * (n - 1)) are located in their
    buckets on the driver from those counts, and only those few buckets are
-   value-counted and ranked: with a plain window when their exact row total is
+   value-counted and ranked: with a window per bucket when the largest is
    below ``WINDOW_ROWS``, else with the distributed running sum.
 
 A grouped variant (``quantiles_from_counts``) serves per-group quantiles,
@@ -54,10 +56,10 @@ class ColumnProfile:
     (optional) and exact bucket counts -- the shared first stage of exact
     quantiles and of the numeric summary.
 
-    Three jobs, each returning a bounded result: a one-row aggregate; a
-    Bernoulli sample of about ``SAMPLE_ROWS`` rows for bucket boundaries; one
+    Each job returns a bounded result: a one-row aggregate; for large columns
+    a Bernoulli sample of about ``SAMPLE_ROWS`` rows for bucket boundaries; one
     grouped pass over (column, bucket) giving exact counts (and power sums of
-    the deviation from the mean) -- at most columns x ``BUCKETS`` rows.
+    the deviation from the mean) -- at most columns x buckets rows.
     """
 
     def __init__(self, df: DataFrame, columns: Sequence[str], moments: bool = False):
