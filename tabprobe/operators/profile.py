@@ -265,19 +265,40 @@ def detect_column_types(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ advice and validation
 
 def _column_facts(df: DataFrame) -> DataFrame:
-    """(column_name, _ord, n_missing, n_rows, n_distinct, range) per column."""
+    """(column_name, _ord, n_missing, n_rows, n_distinct, range) per column.
+
+    Distinct values are shuffled for text columns only (their count is
+    reported); for other column types the advice needs only "at most one
+    distinct value", which is min = max in the same aggregate (n_distinct is
+    then 0 or 1 exactly, and 2 stands for "more than one")."""
     cols = _groupable(df)
     num = set(numeric_columns(df))
-    miss = _per_column(df, cols, lambda c: [
-        F.count_if(_missing(df, c)).alias("n_missing"), F.count(F.lit(1)).alias("n_rows"),
-        (F.max(clean_numeric(df, c)) - F.min(clean_numeric(df, c))).alias("value_range")
-        if c in num else F.lit(None).cast("double").alias("value_range")])
-    long = df.select(*[qcol(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], [qcol(c) for c in cols], "column_name", "value")
-    distinct = (long.where(F.col("value").isNotNull()).select("column_name", "value").distinct()
-                    .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")))
-    return (miss.join(F.broadcast(distinct), "column_name", "left")
-                .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("long")))
+    text = [c for c in cols if is_text_type(df.schema[c].dataType)]
+    orderable = [c for c in cols if c not in text and not isinstance(
+        df.schema[c].dataType, (T.ArrayType, T.StructType, T.BinaryType))]
+
+    def facts(c):
+        x = clean_numeric(df, c) if c in num else qcol(c)
+        out = [F.count_if(_missing(df, c)).alias("n_missing"), F.count(F.lit(1)).alias("n_rows"),
+               ((F.max(x) - F.min(x)) if c in num else F.lit(None).cast("double")).alias("value_range")]
+        if c in orderable:
+            few = (F.when(F.count(x) == 0, 0).when(F.min(x) == F.max(x), 1).otherwise(2))
+            out.append(few.cast("long").alias("_few"))
+        else:
+            out.append(F.lit(None).cast("long").alias("_few"))
+        return out
+
+    per = _per_column(df, cols, facts)
+    rest = [c for c in cols if c not in orderable]
+    if rest:
+        long = df.select(*[qcol(c).cast("string").alias(c) for c in rest]).unpivot(
+            [], [qcol(c) for c in rest], "column_name", "value")
+        distinct = (long.where(F.col("value").isNotNull()).select("column_name", "value").distinct()
+                        .groupBy("column_name").agg(F.count(F.lit(1)).alias("_nd")))
+        per = per.join(F.broadcast(distinct), "column_name", "left")
+    else:
+        per = per.withColumn("_nd", F.lit(None).cast("long"))
+    return per.withColumn("n_distinct", F.coalesce("_few", "_nd", F.lit(0)).cast("long")).drop("_few", "_nd")
 
 
 SUGGESTION_DDL = "rule string, column_name string, value double"

@@ -302,3 +302,13 @@ def test_first_rows_follow_table_order(spark):
     lpdf = li.toPandas()
     expect = lpdf[lpdf.isna().any(axis=1)].head(5)
     assert [r["l_orderkey"] for r in rows] == list(expect["l_orderkey"])
+
+
+def test_suggestions_constant_and_cardinality(spark):
+    rows = [(1.0, "k", None, f"v{i}", True) for i in range(12)]
+    df = spark.createDataFrame(rows, "a double, t string, e double, h string, b boolean")
+    got = {(r["rule"], r["column_name"]): r["value"] for r in profile.suggest_preprocessing(df).collect()}
+    assert got[("constant", "a")] == 1 and got[("constant", "t")] == 1 and got[("constant", "b")] == 1
+    assert got[("constant", "e")] == 0 and got[("high_missing", "e")] == 1.0
+    assert got[("high_cardinality", "h")] == 12
+    assert ("constant", "h") not in got
