@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabprobe.functions.columns import qcol
 
 SAMPLE_PER_BUCKET = 64
+MAX_BUCKETS = 4096  # the comparison tree holds one literal per boundary: keep the plan small
 WINDOW_ROWS = 4_000_000  # rows one window task may hold (checked before use)
 SUB_BUCKETS = 1024  # bucket id = base * SUB_BUCKETS + sub (sub spreads a hot key)
 SAMPLE_SEED = 7
@@ -70,7 +71,7 @@ def _sample_bounds(df: DataFrame, order_cols: Sequence[str], n: int) -> list[tup
 def bucket_column(df: DataFrame, order_cols: Sequence[str], num_buckets: int | None = None,
                   spread: Sequence[str] | None = None) -> Column:
     """Deterministic range-bucket id (a long, increasing with the order key)."""
-    n = num_buckets or default_partitions(df)
+    n = min(num_buckets or default_partitions(df), MAX_BUCKETS)
     bounds = _sample_bounds(df, order_cols, n)
     uniq: list[tuple] = []
     mult: list[int] = []
@@ -122,7 +123,7 @@ def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[st
                        .rowsBetween(Window.unboundedPreceding, -1))
         return df.withColumn(name, F.coalesce(F.sum(w.cast("long")).over(frame), F.lit(0)).cast("long"))
     n = num_buckets or default_partitions(df)
-    b = bucket_column(df, keys, n, spread)
+    b = bucket_column(df, keys, min(n, MAX_BUCKETS), spread)
     staged = df.withColumn("_b", b).withColumn("_g", g).withColumn("_w", w.cast("long"))
     staged = staged.repartition(n, "_b")
     local_w = (Window.partitionBy("_b", "_g").orderBy(*[qcol(c) for c in order_by])
