@@ -42,18 +42,28 @@ def _mirror(upper: DataFrame, cols: Sequence[str], diagonal: DataFrame) -> DataF
 
 
 def varying_pairs(wide: DataFrame, cols: Sequence[str], pairs) -> list[bool]:
-    """Per pair: do both columns vary over the pair's complete rows? One eager
-    aggregate (one row). ``corr`` raises under ANSI mode on a constant pair,
-    and a min = max test is exact where a variance test is not."""
+    """Per pair: do both columns vary over the pair's complete rows?
+
+    ``corr`` raises under ANSI mode on a constant pair, and a min = max test is
+    exact where a variance test is not. One column-level aggregate (nulls,
+    min < max) decides every pair of null-free columns; only pairs that touch
+    a column with missing values need masked min / max, in batches."""
+    row = wide.agg(*[x for c in cols for x in (
+        F.count_if(qcol(c).isNull()), F.coalesce(F.min(qcol(c)) < F.max(qcol(c)), F.lit(False)))]).first()
+    nulls = [row[2 * k] for k in range(len(cols))]
+    varies = [bool(row[2 * k + 1]) for k in range(len(cols))]
+    flags = {(i, j): varies[i] and varies[j] for i, j in pairs}
+    masked = [(i, j) for i, j in pairs if (nulls[i] or nulls[j]) and varies[i] and varies[j]]
     guards = []
-    for i, j in pairs:
+    for i, j in masked:
         both = qcol(cols[i]).isNotNull() & qcol(cols[j]).isNotNull()
         xi, xj = F.when(both, qcol(cols[i])), F.when(both, qcol(cols[j]))
         guards.append(F.coalesce((F.min(xi) < F.max(xi)) & (F.min(xj) < F.max(xj)), F.lit(False)))
-    flags = []
     for start in range(0, len(guards), 4 * PAIRS_PER_AGGREGATE):
-        flags += list(wide.agg(*guards[start:start + 4 * PAIRS_PER_AGGREGATE]).first())
-    return flags
+        got = wide.agg(*guards[start:start + 4 * PAIRS_PER_AGGREGATE]).first()
+        for k, ok in enumerate(got):
+            flags[masked[start + k]] = bool(ok)
+    return [flags[p] for p in pairs]
 
 
 def _pearson_upper(wide: DataFrame, cols: Sequence[str], varying: list[bool] | None = None) -> DataFrame:

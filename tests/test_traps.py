@@ -312,3 +312,10 @@ def test_suggestions_constant_and_cardinality(spark):
     assert got[("constant", "e")] == 0 and got[("high_missing", "e")] == 1.0
     assert got[("high_cardinality", "h")] == 12
     assert ("constant", "h") not in got
+
+
+def test_pearson_constant_only_on_complete_rows(spark):
+    # b varies overall but is constant on the rows where a is present too
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, None), (None, 7.0)], "a double, b double")
+    cells = {(r["col_a"], r["col_b"]): r["r"] for r in _rows(correlation.corr_pearson(df))}
+    assert cells[("a", "b")] is None and cells[("a", "a")] == 1.0 and cells[("b", "b")] == 1.0
