@@ -12,6 +12,7 @@ from tabprobe.functions.columns import clean_numeric, is_numeric_type, numeric_c
 from tabprobe.operators.clean import drop_rows_missing
 from tabprobe.operators.ordering import with_running_sum
 from tabprobe.operators.scale_encode import scale_minmax, scale_standard
+from tabprobe.functions.aggregates import agg_row
 
 SPLIT_SEED = 42
 
@@ -58,9 +59,9 @@ def prepare_features(df: DataFrame, target: str, fit_on: str = "all",
     if not feats:
         raise ValueError("no numeric feature columns")
     fit_src = complete if fit_on == "all" else drop_rows_missing(train)
-    p = fit_src.agg(*[x for i, c in enumerate(feats) for x in (
+    p = agg_row(fit_src, [x for i, c in enumerate(feats) for x in (
         F.avg(clean_numeric(fit_src, c)).alias(f"m{i}"), F.stddev_pop(clean_numeric(fit_src, c)).alias(f"s{i}"),
-        (F.min(qcol(c)) == F.max(qcol(c))).alias(f"k{i}"))]).first()
+        (F.min(qcol(c)) == F.max(qcol(c))).alias(f"k{i}"))])
     cols = [qcol(target)]
     for i, c in enumerate(feats):
         m, s, k = p[f"m{i}"], p[f"s{i}"], p[f"k{i}"]

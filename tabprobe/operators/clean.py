@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tabprobe.functions.columns import clean_numeric, is_numeric_type, is_text_type, qcol
 from tabprobe.functions.literals import matches, not_matches, parse_literal
 from tabprobe.operators.quantiles import exact_quantiles, value_counts
+from tabprobe.functions.aggregates import agg_row
 
 
 def _check_column(df: DataFrame, column: str) -> None:
@@ -97,8 +98,8 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """One aggregate, one row: missing count per column (a bounded collect)."""
     if not columns:
         return {}
-    row = df.agg(*[F.count_if(_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(columns)]).first()
-    return {c: int(row[i]) for i, c in enumerate(columns)}
+    row = agg_row(df, [F.count_if(_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(columns)])
+    return {c: int(row[f"_m{i}"]) for i, c in enumerate(columns)}
 
 
 def drop_columns_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, qcol
 from tabprobe.operators.ordering import WINDOW_ROWS, with_running_sum
+from tabprobe.functions.aggregates import agg_row
 
 BUCKETS = 1024
 EQUAL_BUCKETS = 64
@@ -66,8 +67,9 @@ class ColumnProfile:
         self.df, self.columns = df, list(columns)
         k = len(self.columns)
         self.wide = df.select(*[clean_numeric(df, c).alias(f"_q{i}") for i, c in enumerate(self.columns)])
-        row = self.wide.agg(F.count(F.lit(1)), *[e for i in range(k) for e in (
-            F.count(f"_q{i}"), F.sum(f"_q{i}"), F.min(f"_q{i}"), F.max(f"_q{i}"))]).first()
+        row = list(agg_row(self.wide, [F.count(F.lit(1)).alias("_rows"), *[e for i in range(k) for e in (
+            F.count(f"_q{i}").alias(f"_n{i}"), F.sum(f"_q{i}").alias(f"_s{i}"),
+            F.min(f"_q{i}").alias(f"_lo{i}"), F.max(f"_q{i}").alias(f"_hi{i}"))]]).values())
         rows = row[0]
         self.n = [int(row[1 + 4 * i]) for i in range(k)]
         self.mean = [row[2 + 4 * i] / self.n[i] if self.n[i] else None for i in range(k)]

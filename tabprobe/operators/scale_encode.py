@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
 from tabprobe.operators.ordering import with_row_id
+from tabprobe.functions.aggregates import agg_row
 
 ONEHOT_MAX_CATEGORIES = 1000
 MISSING_CATEGORY = "nan"
@@ -46,8 +47,8 @@ def _scale(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
         else:
             fit += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}"),
                     (F.min(x) == F.max(x)).alias(f"k{i}")]
-    p = df.agg(*fit).first()  # fitted parameters: one row
-    if p[0] is None:  # no complete row
+    p = agg_row(df, fit)  # fitted parameters: one row
+    if p["a0"] is None:  # no complete row
         return df
     exprs = {}
     for i, c in enumerate(cols):

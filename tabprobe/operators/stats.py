@@ -19,11 +19,21 @@ from tabprobe.operators.quantiles import ColumnProfile, exact_quantiles, quantil
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+COLUMNS_PER_AGGREGATE = 64  # an oversized aggregate leaves generated code
+
+
 def _per_column(df: DataFrame, columns: Sequence[str], make) -> DataFrame:
-    """One aggregate over ``df`` producing one struct per column, exploded to rows."""
-    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("_ord"), *make(c))
-               for i, c in enumerate(columns)]
-    return df.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
+    """Aggregates over ``df`` producing one struct per column, exploded to rows
+    (one aggregate per chunk of ``COLUMNS_PER_AGGREGATE`` columns)."""
+    parts = []
+    for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
+        structs = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("_ord"), *make(c))
+                   for i, c in enumerate(columns) if start <= i < start + COLUMNS_PER_AGGREGATE]
+        parts.append(df.agg(F.array(*structs).alias("_s")).select(F.inline("_s")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _empty(df: DataFrame, ddl: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.columns import is_text_type, numeric_columns, qcol, text_columns
+from tabprobe.functions.aggregates import agg_row
 
 # Cell texts that mean "missing" after loading (the 11 tokens
 # the reference replaces explicitly).
@@ -89,8 +90,8 @@ def read_strings(spark: SparkSession, path: str, sep: str = ",", header: bool =
 def _non_null_counts(df: DataFrame) -> dict[str, int]:
     if not df.columns:
         return {}
-    row = df.agg(*[F.count(qcol(c)).alias(f"_n{i}") for i, c in enumerate(df.columns)]).first()
-    return {c: int(row[i]) for i, c in enumerate(df.columns)}
+    row = agg_row(df, [F.count(qcol(c)).alias(f"_n{i}") for i, c in enumerate(df.columns)])
+    return {c: int(row[f"_n{i}"]) for i, c in enumerate(df.columns)}
 
 
 def normalize_missing(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
@@ -127,7 +128,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                  F.count_if(x.rlike(INT_PATTERN)).alias(f"i{i}"),
                  F.count_if(x.rlike("(?i)" + FLOAT_PATTERN)).alias(f"f{i}"),
                  F.count_if(x.isin(*BOOL_VALUES)).alias(f"b{i}")]
-    r = df.agg(*aggs).first()
+    r = agg_row(df, aggs)
     casts = {}
     for i, c in enumerate(cols):
         n = r[f"n{i}"]

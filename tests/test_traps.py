@@ -319,3 +319,12 @@ def test_pearson_constant_only_on_complete_rows(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, None), (None, 7.0)], "a double, b double")
     cells = {(r["col_a"], r["col_b"]): r["r"] for r in _rows(correlation.corr_pearson(df))}
     assert cells[("a", "b")] is None and cells[("a", "a")] == 1.0 and cells[("b", "b")] == 1.0
+
+
+def test_per_column_chunks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "COLUMNS_PER_AGGREGATE", 2)
+    df = spark.createDataFrame([(1.0, None, 3.0, "x", None), (2.0, 5.0, None, None, None)],
+                               "a double, b double, c double, s string, t string")
+    got = {r["column_name"]: r["n_missing"] for r in profile.missing_summary(df).collect()}
+    assert got == {"b": 1, "c": 1, "s": 1, "t": 2}
+    assert [r["column_name"] for r in profile.numeric_ranges(df).collect()] == ["a", "b", "c"]
