@@ -161,6 +161,9 @@ def _spearman_windows(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     if not varying:
         return wide.sparkSession.createDataFrame([(cols[i], cols[j], None) for i, j in pairs], CORR_DDL)
     long = _pair_long(wide, cols, pairs).where(F.col("pair").isin(*[f"{pairs[k][0]},{pairs[k][1]}" for k in varying]))
+    # one partition per pair: hashing a few pair keys into the shuffle
+    # partitions collides and leaves stragglers; the windows reuse this layout
+    long = long.repartitionByRange(len(varying), "pair")
 
     def avg_rank(c):
         w = Window.partitionBy("pair").orderBy(c)
