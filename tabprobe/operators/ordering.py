@@ -115,12 +115,16 @@ def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[st
     g = qcol(group_col) if group_col else F.lit(0)
     # size check: when every group fits one window task, a window per group
     # (``max_group_rows`` is a bound the caller has already proven)
-    largest = max_group_rows
+    largest, groups = max_group_rows, None
     if largest is None:
-        largest = df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        largest, groups = df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).agg(
+            F.max("_n"), F.count(F.lit(1))).first()
     if (largest or 0) <= WINDOW_ROWS:
         frame = (Window.partitionBy(g).orderBy(*[qcol(c) for c in order_by])
                        .rowsBetween(Window.unboundedPreceding, -1))
+        if group_col and groups and 1 < groups <= 4 * default_partitions(df):
+            # few groups: one range partition each, instead of hash collisions
+            df = df.repartitionByRange(groups, qcol(group_col))
         return df.withColumn(name, F.coalesce(F.sum(w.cast("long")).over(frame), F.lit(0)).cast("long"))
     n = num_buckets or default_partitions(df)
     b = bucket_column(df, keys, min(n, MAX_BUCKETS), spread)
