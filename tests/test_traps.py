@@ -328,3 +328,16 @@ def test_per_column_chunks(spark, monkeypatch):
     got = {r["column_name"]: r["n_missing"] for r in profile.missing_summary(df).collect()}
     assert got == {"b": 1, "c": 1, "s": 1, "t": 2}
     assert [r["column_name"] for r in profile.numeric_ranges(df).collect()] == ["a", "b", "c"]
+
+
+def test_paging_and_edits(spark):
+    df = spark.range(25).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 10)
+    assert sorted(r["k"] for r in positions.page_rows(df, 0, 10, order_by=["k"]).collect()) == list(range(10))
+    assert sorted(r["k"] for r in positions.page_rows(df, 99, 10, order_by=["k"]).collect()) == [20, 21, 22, 23, 24]
+    assert positions.page_count(0, 10) == 1 and positions.page_count(25, 10) == 3
+    base = positions.remove_rows_by_index(df, "", order_by=["k"])
+    edits = spark.createDataFrame([(3, None), (7, 700)], "row_id long, v long")
+    out = {r["k"]: r["v"] for r in positions.apply_edits(base, edits).collect()}
+    assert out[3] is None and out[7] == 700 and out[8] == 80
+    gone = positions.remove_rows_by_index(df, "0-24", order_by=["k"])
+    assert gone.count() == 0
