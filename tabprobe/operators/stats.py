@@ -1,8 +1,8 @@
 """Descriptive statistics (S1, S2) and outlier detection.
 
 Every operator returns a long table -- one row per column (or per column and
-value) -- built from a single multi-column aggregate instead of a loop of
-per-column jobs.
+value) -- built from multi-column aggregates (one per chunk of columns)
+instead of a loop of per-column jobs.
 """
 
 from __future__ import annotations
