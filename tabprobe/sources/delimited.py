@@ -68,15 +68,20 @@ def detect_encoding(spark: SparkSession, path: str, sample_lines: int = ENCODING
 
 
 def read_strings(spark: SparkSession, path: str, sep: str = ",", header: bool = True,
-                 encoding: str | None = None, names: Sequence[str] | None = None) -> DataFrame:
-    """All-string scan of a delimited file; read-time missing tokens -> NULL."""
+                 encoding: str | None = None, names: Sequence[str] | None = None,
+                 multiline: bool = False) -> DataFrame:
+    """All-string scan of a delimited file; read-time missing tokens -> NULL.
+
+    ``multiline`` allows quoted fields with line breaks; it makes every file
+    one task (not splittable), so it is off unless asked for."""
     if sep not in SEPARATORS:
         raise ValueError(f"unsupported separator {sep!r}")
     enc = encoding or detect_encoding(spark, path)
     reader = (spark.read.option("header", header).option("sep", sep).option("encoding", enc)
               .option("inferSchema", False).option("mode", "PERMISSIVE")
               .option("nullValue", "\u0000").option("emptyValue", "")
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .option("multiLine", multiline))
     df = reader.csv(path)
     if names is not None:
         if len(names) != len(df.columns):
@@ -145,9 +150,11 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",",
-                   encoding: str | None = None, header: bool = True) -> DataFrame:
+                   encoding: str | None = None, header: bool = True,
+                   multiline: bool = False) -> DataFrame:
     """Delimited file with a header -> normalised, typed table."""
-    return infer_types(normalize_missing(read_strings(spark, path, sep, header, encoding)))
+    return infer_types(normalize_missing(read_strings(spark, path, sep, header, encoding,
+                                                      multiline=multiline)))
 
 
 def read_headerless(spark: SparkSession, path: str, names: Sequence[str] | None = None,

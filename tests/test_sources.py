@@ -68,3 +68,10 @@ def test_write_table_round_trip(spark):
     delimited.write_table(df, out, "csv")
     back = delimited.read_delimited(spark, out)
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_quoted_line_breaks(spark):
+    path = _write('id,note\n1,"first line\nsecond line"\n2,plain\n', "utf-8")
+    df = delimited.read_delimited(spark, path, multiline=True)
+    rows = sorted((r["id"], r["note"]) for r in df.collect())
+    assert rows == [(1, "first line\nsecond line"), (2, "plain")]
