@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import decontaminate
+from tabprobe.llm import decontaminate, packing
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,22 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       decontaminate.is_contaminated().alias("contaminated"))
+
+
+def vocabulary() -> tuple[str, str]:
+    """(ranks file, pre-tokenization rule) of the public 50k byte-level BPE; the
+    ranks hold the same vocabulary as ``byte_bpe_50k.json``."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    out = packing.pack(docs, *vocabulary())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                      "sequence_id", "offset")
+
+
+@register("op1_harmonic_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids (tested by exact round trip)."""
+    return pieces(table(spark, sf, "documents"))
