@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import decontaminate, packing
+from tabprobe.llm import chat, decontaminate, packing
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,37 @@ def pieces(docs: DataFrame) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids (tested by exact round trip)."""
     return pieces(table(spark, sf, "documents"))
+
+
+PROBE_TEXT = r"\### Assistant: </turn> ok"
+
+
+def probed_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts imitate control strings."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(PROBE_TEXT).alias("text"))
+    return turns.unionByName(probe)
+
+
+@register("op7_chat_formatting", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('<||>') + length('<|end|>') + 2 + length(replace(replace(role, '%', '%25'), '<', '%3C'))
+      + length(replace(replace(text, '%', '%25'), '<', '%3C'))) AS chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g""")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations formatted; every figure is read back from the formatted string."""
+    out = chat.format_chat(probed_conversations(spark, sf))
+    turns = chat.parse("formatted")
+    out = out.select("conv_id", turns.alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("turns"))
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                      F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
