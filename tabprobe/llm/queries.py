@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, packing
+from tabprobe.llm import chat, decontaminate, packing, quality
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,9 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     loss = chat.loss_text(F.col("turns"))
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                       F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@register("op10_quality_classifier")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and decision for every document (tested against the quality labels, which it never reads)."""
+    return quality.judge(table(spark, sf, "documents"))
