@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, packing, quality
+from tabprobe.llm import chat, decontaminate, packing, quality, toxicity
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,21 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Score and decision for every document (tested against the quality labels, which it never reads)."""
     return quality.judge(table(spark, sf, "documents"))
+
+
+def held_out(col: str = "doc_id"):
+    """True for documents whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf: str):
+    """The model learned from the labels that are not held out."""
+    labels = table(spark, sf, "labels").where(~held_out())
+    return toxicity.train(table(spark, sf, "documents"), labels)
+
+
+@register("op9_toxicity")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document (tested by held-out accuracy)."""
+    out = toxicity.score(table(spark, sf, "documents"), toxicity_model(spark, sf))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
