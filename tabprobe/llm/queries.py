@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, packing, quality, toxicity
+from tabprobe.llm import chat, decontaminate, packing, quality, toxicity, urls
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,15 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of every document (tested by held-out accuracy)."""
     out = toxicity.score(table(spark, sf, "documents"), toxicity_model(spark, sf))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+BLOCK_RULES = ["net/", "example.com/de/"]
+ALLOW_RULES = ["example.net/en/", "org/fr/"]
+
+
+@register("op2_url_filters")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """A verdict for every page's URL; the trees learn from the URLs that a rule
+    decides (rules are tested against a brute-force version, trees by held-out accuracy)."""
+    out = urls.judge(table(spark, sf, "pages").select("page_id", "url"), BLOCK_RULES, ALLOW_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "block_score")
