@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, packing, quality, toxicity, urls
+from tabprobe.llm import chat, decontaminate, html, packing, quality, toxicity, urls
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     decides (rules are tested against a brute-force version, trees by held-out accuracy)."""
     out = urls.judge(table(spark, sf, "pages").select("page_id", "url"), BLOCK_RULES, ALLOW_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@register("op6_html_extraction")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page (tested on pages whose article is known)."""
+    return html.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
