@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, html, packing, quality, toxicity, urls
+from tabprobe.llm import chat, decontaminate, html, language, packing, quality, toxicity, urls
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page (tested on pages whose article is known)."""
     return html.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
+
+
+@register("op3_language_id")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document (tested by held-out accuracy and enumerated chains)."""
+    docs = table(spark, sf, "documents")
+    model = language.train(docs.where(~held_out()).select("text", "lang"))
+    return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
