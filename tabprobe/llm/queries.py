@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, html, language, packing, quality, toxicity, urls
+from tabprobe.llm import chat, decontaminate, html, language, packing, quality, topk, toxicity, urls
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,16 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = language.train(docs.where(~held_out()).select("text", "lang"))
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op4_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector among all vectors."""
+    v = table(spark, sf, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    return topk.top_k(v, v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")))
