@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, html, language, packing, quality, topk, toxicity, urls
+from tabprobe.llm import chat, decontaminate, html, language, packing, quality, sigtree, topk, toxicity, urls
 from tabprobe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +176,23 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best inner products of every hundredth vector among all vectors."""
     v = table(spark, sf, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
     return topk.top_k(v, v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")))
+
+
+_WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+@register("op5_ngram_jaccard_join", f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(len(w), 3) - 1) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+t AS (SELECT doc_id, n, hash(s) AS h FROM g JOIN n USING (doc_id)),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id <> b.doc_id
+  AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM d JOIN reach ON d.doc_id = reach.a LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of documents linked by 3-word shingles at a similarity of 0.9."""
+    return sigtree.near_duplicates(table(spark, sf, "documents"), 3, 9, 10).select("doc_id", "n_shingles", "component_id")
