@@ -126,10 +126,10 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def toxicity_model(spark: SparkSession, sf: str):
+def toxicity_model(spark: SparkSession, sf: str, docs: DataFrame | None = None):
     """The model learned from the labels that are not held out."""
     labels = table(spark, sf, "labels").where(~held_out())
-    return toxicity.train(table(spark, sf, "documents"), labels)
+    return toxicity.train(table(spark, sf, "documents") if docs is None else docs, labels)
 
 
 @register("op9_toxicity")
