@@ -64,20 +64,21 @@ def _winnow(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _fingerprints(h, window, gram, lengths, bitmap=None):
-    """(position, fingerprint, words covered) of one text. ``lengths``: item
-    lengths below the window that count too (their whole sequence)."""
+    """(positions, fingerprints, words before, words from there) of one text: the words
+    around a fingerprint that its windows reach. ``lengths``: item lengths below
+    the window that count too (their whole sequence)."""
     pos, fp = _winnow(h, window, gram)
     if bitmap is not None and len(fp):
         ok = may_contain(bitmap, fp)
         pos, fp = pos[ok], fp[ok]
-    out = [(pos, fp, gram)]
+    out = [(pos, fp, window - gram, window)]
     for n in lengths:
         at = np.arange(max(0, len(h) - n + 1))
         f = _whole_hash(h, at, n)
         if bitmap is not None and len(f):
             ok = may_contain(bitmap, f)
             at, f = at[ok], f[ok]
-        out.append((at, f, n))
+        out.append((at, f, 0, n))
     return out
 
 
@@ -94,8 +95,7 @@ def _documents_task(id_cols, text_col, schema, window, gram, lengths, shared):
                 for r in range(len(counts)):
                     a, z = int(bounds[r]), int(bounds[r + 1])
                     mine = []
-                    for pos, fp, n in _fingerprints(h[a:z], window, gram, lengths, bitmap):
-                        back, ahead = (window - n, window) if n == gram else (0, n)
+                    for pos, fp, back, ahead in _fingerprints(h[a:z], window, gram, lengths, bitmap):
                         for p, f in zip(pos.tolist(), fp.view(np.int64).tolist()):
                             i, j = max(0, p - back), min(z - a, p + ahead)
                             mine.append({"fp": f, "pos": p, "off": p - i,
