@@ -1,7 +1,7 @@
 """Pairwise-complete correlation matrices (S3-S6, V9) in long form
 ``(col_a, col_b, r)``.
 
-* Pearson: one aggregate with ``regr_*`` per pair (batched when wide).
+* Pearson: one ``corr`` aggregate per batch of pairs.
 * Spearman: Pearson on average ranks. Ranks come from a distributed running
   count over sorted distinct values; pairs that involve missing values are
   re-ranked on that pair's complete rows.
@@ -16,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
-from tabprobe.operators.ordering import WINDOW_ROWS, with_running_sum
+from tabprobe.operators.ordering import with_running_sum
 from tabprobe.session import cut_lineage
 from tabprobe.functions.aggregates import agg_row
 
@@ -120,7 +120,7 @@ def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def average_ranks(long: DataFrame, key: str = "column_name") -> DataFrame:
     """(key, v, avg_rank) -- 1-based average rank of each distinct value within
     its key, from a distributed running count."""
-    vc = long.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c"))
+    vc = cut_lineage(long.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c")))  # read by several jobs
     ranked = with_running_sum(vc, key, ["v"], "c", name="before")
     return ranked.select(key, "v", (F.col("before") + (F.col("c") + 1) / 2.0).alias("avg_rank"))
 
@@ -151,33 +151,6 @@ def _pair_names(cols, pairs):
                           for x in (F.lit(f"{i},{j}"), F.array(F.lit(cols[i]), F.lit(cols[j])))])
 
 
-def _spearman_windows(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Every pair's complete rows fit one task (checked by the caller): average
-    ranks from two windows per pair -- (rank + rows up to and including ties) / 2
-    -- then a grouped Pearson; one shuffle on the pair key, no join-back."""
-    pairs = _pairs(cols)
-    # ranks vary exactly where the values vary over the pair's complete rows
-    varying = [k for k, ok in enumerate(varying_pairs(wide, cols, pairs)) if ok]
-    if not varying:
-        return wide.sparkSession.createDataFrame([(cols[i], cols[j], None) for i, j in pairs], CORR_DDL)
-    long = _pair_long(wide, cols, pairs).where(F.col("pair").isin(*[f"{pairs[k][0]},{pairs[k][1]}" for k in varying]))
-    # one partition per pair: hashing a few pair keys into the shuffle
-    # partitions collides and leaves stragglers; the windows reuse this layout
-    long = long.repartitionByRange(len(varying), "pair")
-
-    def avg_rank(c):
-        w = Window.partitionBy("pair").orderBy(c)
-        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / 2.0
-
-    ranked = long.select("pair", avg_rank("x").alias("rx"), avg_rank("y").alias("ry"))
-    names = _pair_names(cols, pairs)
-    got = ranked.groupBy("pair").agg(F.corr("rx", "ry").alias("r")).select(
-        names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")
-    allp = wide.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in pairs], "col_a string, col_b string")
-    return allp.join(got, ["col_a", "col_b"], "left")
-
-
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson on average ranks, ranked on each pair's complete rows.
 
@@ -189,10 +162,7 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     wide, cols = _numeric_wide(df, columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
-    row = agg_row(wide, [F.count_if(qcol(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)]
-                  + [F.count(F.lit(1)).alias("_rows")])
-    if row["_rows"] <= WINDOW_ROWS:
-        return _mirror(_spearman_windows(wide, cols), cols, _diag(wide, cols, "spearman"))
+    row = agg_row(wide, [F.count_if(qcol(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
     complete = [c for i, c in enumerate(cols) if row[f"_m{i}"] == 0]
     parts = []
     if len(complete) >= 2:
@@ -233,8 +203,7 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 # ------------------------------------------------------------------ Kendall
 
-def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int,
-                  max_pair_rows: int | None = None) -> DataFrame:
+def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int) -> DataFrame:
     """tau-b per pair from ``(pair, x, y, ry)`` rows (``ry`` = dense 0-based rank
     of y within the pair, ``bits`` >= bit length of the largest ry) and the
     ``(pair, y, _c)`` value counts of y.
@@ -254,13 +223,13 @@ def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int,
     grp = (F.shiftleft(F.col("pair").cast("long") * 64 + F.col("b"), 36)
            + F.expr("shiftright(ry, b + 1)"))
     cells = levels.select(grp.alias("grp"), "pair", "x", F.expr("shiftright(ry, b) & 1").alias("bit"))
-    counts = cells.groupBy("grp", "pair", "x").agg(
-        F.sum("bit").alias("ones"), F.sum(1 - F.col("bit")).alias("zeros"))
-    # a (pair, level, prefix) group never holds more rows than its pair
-    prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before",
-                              max_group_rows=max_pair_rows)
+    counts = cut_lineage(cells.groupBy("grp", "pair", "x").agg(
+        F.sum("bit").alias("ones"), F.sum(1 - F.col("bit")).alias("zeros")))  # read by several jobs
+    prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before")
+    # counts multiply beyond 64 bits on large tables: exact decimals
+    big = lambda c: F.col(c).cast("decimal(19,0)")
     disc = prefix.groupBy("pair").agg(
-        F.sum(F.col("zeros") * F.col("ones_before")).cast("double").alias("D"))
+        F.sum((big("zeros") * big("ones_before")).cast("decimal(38,0)")).cast("double").alias("D"))
     t = (n1.join(n2, "pair").join(n3, "pair").join(disc, "pair", "left")
           .fillna({"D": 0.0}))
     n0 = F.col("n") * (F.col("n") - 1) / 2
@@ -279,15 +248,12 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                for k, (i, j) in enumerate(pairs)]
     long = (wide.select(F.inline(F.array(*structs)))
                 .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    ys = long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c"))
+    ys = cut_lineage(long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c")))
     ry = with_running_sum(ys.withColumn("_one", F.lit(1)), "pair", ["y"], "_one", name="ry").drop("_one", "_c")
     lp = cut_lineage(long.join(ry, ["pair", "y"]))  # several consumers below
-    # the largest dense rank sizes the bit loop, the largest pair bounds every
-    # later group: one scan of the written table
-    top = lp.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.max("ry").alias("r")).agg(
-        F.max("n"), F.max("r")).first()
-    bits = max(1, int(top[1] or 0).bit_length())
-    tau = kendall_pairs(lp, ys, bits, max_pair_rows=int(top[0] or 0))
+    # the largest dense rank sizes the bit loop: one scan of the written table
+    bits = max(1, int(lp.agg(F.max("ry")).first()[0] or 0).bit_length())
+    tau = kendall_pairs(lp, ys, bits)
     names = F.create_map(*[x for k, (i, j) in enumerate(pairs)
                            for x in (F.lit(k), F.array(F.lit(cols[i]), F.lit(cols[j])))])
     got = tau.select(names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")

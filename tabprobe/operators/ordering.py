@@ -2,15 +2,16 @@
 
 Row positions and weighted ranks are the backbone of the positional operators
 (row ids, paging), of exact quantiles, of average ranks and of Kendall's tau.
-A global ``row_number() over (order by k)`` runs in a single task, so instead:
+A global ``row_number() over (order by k)`` runs in a single task, so instead,
+at every size alike:
 
 1. range *buckets* are fixed once from a bounded sample of the order key and
    written into the plan as a balanced comparison tree -- a deterministic
    function of the row, so every branch of the plan (and every retry after a
-   lost executor) puts a row in the same bucket;
+   lost executor) puts a row in the same bucket; the number of buckets follows
+   the measured row count, and missing keys come first, as in Spark's order;
 2. a window partitioned by bucket gives the position / running sum inside the
-   bucket (when every group is small enough for one task -- checked with one
-   aggregate -- the window simply runs per group and steps 1 and 3 are skipped) (one shuffle, buckets balanced by the sample; a key value that fills
+   bucket (one shuffle, buckets balanced by the sample; a key value that fills
    several buckets is spread over them by a row hash);
 3. bucket totals are prefix-summed; only buckets with a non-zero offset -- at
    most one per bucket boundary -- are broadcast back.
@@ -24,10 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import qcol
+from tabprobe.session import cut_lineage
 
 SAMPLE_PER_BUCKET = 64
+MAX_SAMPLE = 65_536  # keys that reach the driver
+ROWS_PER_BUCKET = 250_000
+MIN_ROWS = 500  # smaller buckets are not worth a task
 MAX_BUCKETS = 4096  # the comparison tree holds one literal per boundary: keep the plan small
-WINDOW_ROWS = 4_000_000  # rows one window task may hold (checked before use)
 SUB_BUCKETS = 1024  # bucket id = base * SUB_BUCKETS + sub (sub spreads a hot key)
 SAMPLE_SEED = 7
 
@@ -36,47 +40,66 @@ def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def bucket_count(df: DataFrame, rows: int) -> int:
+    """Buckets for ``rows`` measured rows: enough to keep a task near
+    ``ROWS_PER_BUCKET`` rows (a window task sorts and spills beyond memory), and
+    the session's parallelism when there are rows for it."""
+    spread = min(default_partitions(df), -(-rows // MIN_ROWS))
+    return max(1, min(MAX_BUCKETS, max(spread, -(-rows // ROWS_PER_BUCKET))))
+
+
+def _before(k: Column, b, inclusive: bool) -> Column:
+    """k < b (or k <= b) in Spark's ascending order: missing first, NaN last."""
+    if b is None:
+        return k.isNull() if inclusive else F.lit(False)
+    return k.isNull() | (k <= F.lit(b) if inclusive else k < F.lit(b))
+
+
 def _lex_le(keys: Sequence[Column], bound: tuple) -> Column:
     """keys <= bound in lexicographic order."""
-    cond = keys[-1] <= F.lit(bound[-1])
+    cond = _before(keys[-1], bound[-1], True)
     for i in range(len(keys) - 2, -1, -1):
-        b = F.lit(bound[i])
-        cond = (keys[i] < b) | ((keys[i] == b) & cond)
+        cond = _before(keys[i], bound[i], False) | (keys[i].eqNullSafe(F.lit(bound[i])) & cond)
     return cond
 
 
 def _lex_eq(keys: Sequence[Column], bound: tuple) -> Column:
     cond = F.lit(True)
     for k, b in zip(keys, bound):
-        cond = cond & (k == F.lit(b))
+        cond = cond & k.eqNullSafe(F.lit(b))
     return cond
 
 
 def _sample_bounds(df: DataFrame, order_cols: Sequence[str], n: int) -> list[tuple]:
     """n-1 boundary keys (with repeats for hot keys) from a bounded uniform
     sample: the rows with the smallest per-row hash (one pass, TakeOrdered keeps
-    at most ``n * SAMPLE_PER_BUCKET`` rows per task)."""
+    at most ``MAX_SAMPLE`` rows per task), sorted by Spark."""
     if n <= 1:
         return []
-    want = n * SAMPLE_PER_BUCKET
+    want = min(n * SAMPLE_PER_BUCKET, max(MAX_SAMPLE, 4 * n))
     keys = [qcol(c) for c in order_cols]
     salt = F.xxhash64(*keys, F.monotonically_increasing_id(), F.lit(SAMPLE_SEED))
-    rows = df.select(*keys, salt.alias("_s")).orderBy("_s").limit(want).collect()
-    sample = sorted(tuple(r)[:-1] for r in rows if all(v is not None for v in tuple(r)[:-1]))
+    names = [f"_k{i}" for i in range(len(keys))]
+    picked = df.select(*[k.alias(c) for k, c in zip(keys, names)], salt.alias("_s")).orderBy("_s").limit(want)
+    sample = [tuple(r) for r in picked.drop("_s").orderBy(*names).collect()]
     if not sample:
         return []
     return [sample[(len(sample) * i) // n] for i in range(1, n)]
 
 
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))  # NaN equals NaN
+
+
 def bucket_column(df: DataFrame, order_cols: Sequence[str], num_buckets: int | None = None,
                   spread: Sequence[str] | None = None) -> Column:
     """Deterministic range-bucket id (a long, increasing with the order key)."""
-    n = min(num_buckets or default_partitions(df), MAX_BUCKETS)
+    n = min(num_buckets or bucket_count(df, df.count()), MAX_BUCKETS)
     bounds = _sample_bounds(df, order_cols, n)
     uniq: list[tuple] = []
     mult: list[int] = []
     for b in bounds:
-        if uniq and uniq[-1] == b:
+        if uniq and _same(uniq[-1], b):
             mult[-1] += 1
         else:
             uniq.append(b)
@@ -103,31 +126,18 @@ def bucket_column(df: DataFrame, order_cols: Sequence[str], num_buckets: int | N
 def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[str],
                      weight_col: str | None, name: str = "before",
                      num_buckets: int | None = None,
-                     spread: Sequence[str] | None = None,
-                     max_group_rows: int | None = None) -> DataFrame:
+                     spread: Sequence[str] | None = None) -> DataFrame:
     """Append, per ``group_col`` (or over the whole table), the sum of
     ``weight_col`` (1 per row when None) over rows earlier in ``order_by``
-    order: an exclusive running sum. Rows with equal keys are ordered
-    arbitrarily (ROWS frame); pass unique keys for a deterministic result."""
+    order (missing first): an exclusive running sum. Rows with equal keys are
+    ordered arbitrarily (ROWS frame); pass unique keys for a deterministic
+    result. Missing groups are one group."""
     gcols = [group_col] if group_col else []
     keys = gcols + list(order_by)
     w = qcol(weight_col) if weight_col else F.lit(1).cast("long")
     g = qcol(group_col) if group_col else F.lit(0)
-    # size check: when every group fits one window task, a window per group
-    # (``max_group_rows`` is a bound the caller has already proven)
-    largest, groups = max_group_rows, None
-    if largest is None:
-        largest, groups = df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).agg(
-            F.max("_n"), F.count(F.lit(1))).first()
-    if (largest or 0) <= WINDOW_ROWS:
-        frame = (Window.partitionBy(g).orderBy(*[qcol(c) for c in order_by])
-                       .rowsBetween(Window.unboundedPreceding, -1))
-        if group_col and groups and 1 < groups <= 4 * default_partitions(df):
-            # few groups: one range partition each, instead of hash collisions
-            df = df.repartitionByRange(groups, qcol(group_col))
-        return df.withColumn(name, F.coalesce(F.sum(w.cast("long")).over(frame), F.lit(0)).cast("long"))
-    n = num_buckets or default_partitions(df)
-    b = bucket_column(df, keys, min(n, MAX_BUCKETS), spread)
+    n = num_buckets or bucket_count(df, df.count())
+    b = bucket_column(df, keys, n, spread)
     staged = df.withColumn("_b", b).withColumn("_g", g).withColumn("_w", w.cast("long"))
     staged = staged.repartition(n, "_b")
     local_w = (Window.partitionBy("_b", "_g").orderBy(*[qcol(c) for c in order_by])
@@ -139,7 +149,7 @@ def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[st
                              F.coalesce(F.sum("_tot").over(prior), F.lit(0)).alias("_off"))
                      .where(F.col("_off") > 0))  # at most one row per bucket boundary
     joined = local.join(F.broadcast(offsets),
-                        (F.col("_b") == F.col("_ob")) & (F.col("_g") == F.col("_og")), "left")
+                        (F.col("_b") == F.col("_ob")) & F.col("_g").eqNullSafe(F.col("_og")), "left")
     return (joined.withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long"))
                   .drop("_b", "_g", "_w", "_ob", "_og", "_off", "_local"))
 
@@ -154,12 +164,13 @@ def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None,
     With ``order_by`` the position follows that order (ties in arbitrary order
     -- pass a unique key for a deterministic result). Without it the current
     partition order of a scan is used (file order), via the partition index and
-    in-partition position; offsets come from per-partition counts.
+    in-partition position; offsets come from per-partition counts. The input is
+    checkpointed first, so both uses of it see the same partitions.
     """
     if order_by:
         return with_running_sum(df, None, order_by, None, name, num_partitions,
                                 spread=list(df.columns))
-    base = (df.withColumn("_mid", F.monotonically_increasing_id())
+    base = (cut_lineage(df).withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright("_mid", _POS_BITS)))
     counts = base.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

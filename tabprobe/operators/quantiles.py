@@ -2,19 +2,15 @@
 
 ``percentile`` keeps a value->count map per group and merges it in one task,
 which is unbounded for a high-cardinality column; sorting every value is more
-work than needed. Instead, per numeric column:
-
-1. one aggregate gives count, sum, min and max;
-2. every value gets a bucket: with ``EQUAL_BUCKETS`` equal-width buckets
-   between min and max when every column is below ``WINDOW_ROWS`` (a checked
-   bound), otherwise with ``Bucketizer`` (a JVM binary search) over
-   ``BUCKETS`` boundaries taken from a bounded Bernoulli sample; one grouped
-   pass gives the *exact* size of every (column, bucket) -- a table of at most
-   columns x buckets rows -- and, when wanted, the power sums for the moments;
-3. the exact ranks wanted (floor/ceil of p * (n - 1)) are located in their
-   buckets on the driver from those counts, and only those few buckets are
-   value-counted and ranked: with a window per bucket when the largest is
-   below ``WINDOW_ROWS``, else with the distributed running sum.
+work than needed. Instead, per numeric column, at every size alike:
+
+1. one aggregate gives count, sum, min, max and, from a bounded rank sketch
+   (``percentile_approx``), an interval around every wanted rank;
+2. a second one counts the values below and inside each interval exactly (and
+   sums powers of the deviation from the mean when moments are wanted); an
+   interval that misses its rank is widened to the whole column;
+3. only values inside the intervals -- a fixed small share -- are value-counted
+   and ranked with the distributed running sum.
 
 A grouped variant (``quantiles_from_counts``) serves per-group quantiles,
 where the number of groups is data-dependent.
@@ -22,22 +18,18 @@ where the number of groups is data-dependent.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.functions.columns import clean_numeric, qcol
-from tabprobe.operators.ordering import WINDOW_ROWS, with_running_sum
 from tabprobe.functions.aggregates import agg_row
+from tabprobe.functions.columns import clean_numeric, qcol
+from tabprobe.operators.ordering import with_running_sum
+from tabprobe.session import cut_lineage
 
-BUCKETS = 1024
-EQUAL_BUCKETS = 64
-SAMPLE_ROWS = 16 * BUCKETS
-SAMPLE_SEED = 11
-BROADCAST_GROUPS = 100_000
+SKETCH = 1000  # rank error of the sketch: 1 / SKETCH of the rows
+MARGIN = 0.002  # half width of an interval, as a share of the rows
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -53,148 +45,102 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 class ColumnProfile:
-    """Per numeric column: count, mean, min, max, exact central moments
-    (optional) and exact bucket counts -- the shared first stage of exact
-    quantiles and of the numeric summary.
-
-    Each job returns a bounded result: a one-row aggregate; for large columns
-    a Bernoulli sample of about ``SAMPLE_ROWS`` rows for bucket boundaries; one
-    grouped pass over (column, bucket) giving exact counts (and power sums of
-    the deviation from the mean) -- at most columns x buckets rows.
-    """
-
-    def __init__(self, df: DataFrame, columns: Sequence[str], moments: bool = False):
-        self.df, self.columns = df, list(columns)
+    """Per numeric column: count, mean, min, max, intervals around the wanted
+    ranks and exact central moments (optional). Every job returns one row."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], moments: bool = False, probs: Sequence[float] = ()):
+        self.df, self.columns, self.moments, self.probs = df, list(columns), moments, tuple(float(p) for p in probs)
         k = len(self.columns)
         self.wide = df.select(*[clean_numeric(df, c).alias(f"_q{i}") for i, c in enumerate(self.columns)])
-        row = list(agg_row(self.wide, [F.count(F.lit(1)).alias("_rows"), *[e for i in range(k) for e in (
-            F.count(f"_q{i}").alias(f"_n{i}"), F.sum(f"_q{i}").alias(f"_s{i}"),
-            F.min(f"_q{i}").alias(f"_lo{i}"), F.max(f"_q{i}").alias(f"_hi{i}"))]]).values())
-        rows = row[0]
-        self.n = [int(row[1 + 4 * i]) for i in range(k)]
-        self.mean = [row[2 + 4 * i] / self.n[i] if self.n[i] else None for i in range(k)]
-        self.min = [row[3 + 4 * i] for i in range(k)]
-        self.max = [row[4 + 4 * i] for i in range(k)]
+        marks = [min(1.0, max(0.0, p + d)) for p in self.probs for d in (-MARGIN, MARGIN)]
+        grid = F.array(*[F.lit(m) for m in marks]) if marks else None
+        row = agg_row(self.wide, [e for i in range(k) for e in (
+            F.count(f"_q{i}").alias(f"n{i}"), F.sum(f"_q{i}").alias(f"s{i}"),
+            F.min(f"_q{i}").alias(f"lo{i}"), F.max(f"_q{i}").alias(f"hi{i}"),
+            *([F.percentile_approx(F.col(f"_q{i}"), grid, SKETCH).alias(f"p{i}")] if marks else []))])
+        self.n = [int(row[f"n{i}"]) for i in range(k)]
+        self.mean = [row[f"s{i}"] / self.n[i] if self.n[i] else None for i in range(k)]
+        self.min = [row[f"lo{i}"] for i in range(k)]
+        self.max = [row[f"hi{i}"] for i in range(k)]
         self.live = [i for i in range(k) if self.n[i] > 0]
-        self.buckets: dict[int, list] = {}
-        finite = all(math.isfinite(self.min[i]) and math.isfinite(self.max[i]) for i in self.live)
-        if finite and all(self.n[i] <= WINDOW_ROWS for i in self.live):
-            self._single_bucket(moments)
-        else:
-            self._bucketed(rows, moments)
-
-    def _single_bucket(self, moments: bool) -> None:
-        """Every column fits one bounded window task: no sample and no
-        Bucketizer -- ``EQUAL_BUCKETS`` equal-width buckets between the known
-        min and max (arithmetic), counted in the same grouped pass as the power
-        sums, so only the target buckets are ranked and they rank in parallel."""
-        self.long = self._long(None)
-        self._count_buckets(moments)
-
-    def _count_buckets(self, moments: bool) -> None:
-        aggs = [F.count(F.lit(1)).alias("n")]
-        if moments:
-            mean = F.element_at(F.array(*[F.lit(float(m or 0.0)) for m in self.mean]), F.col("ci") + 1)
-            d = F.col("x") - mean
-            aggs += [F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"),
-                     F.sum(d * d * d * d).alias("s4")]
-        for r in self.long.groupBy("ci", "b").agg(*aggs).collect():  # <= columns x buckets rows
-            self.buckets.setdefault(r["ci"], []).append(r)
-        for rs in self.buckets.values():
-            rs.sort(key=lambda r: r["b"])
-
-    def _bucketed(self, rows: int, moments: bool) -> None:
-        frac = min(1.0, SAMPLE_ROWS / max(rows, 1))
-        sample = self.wide.sample(False, frac, SAMPLE_SEED).limit(4 * SAMPLE_ROWS).collect()
-        inf = float("inf")
-        splits = []
+        # disjoint intervals [lo, hi] per column that hold the wanted ranks
+        self.spans = {i: _merged([(row[f"p{i}"][2 * j], row[f"p{i}"][2 * j + 1]) for j in range(len(self.probs))]) for i in self.live} if marks else {}
+        self._second_pass()
+
+    def _second_pass(self) -> None:
+        aggs = []
         for i in self.live:
-            vals = sorted(r[i] for r in sample if r[i] is not None)
-            cut = sorted({vals[(len(vals) * j) // BUCKETS] for j in range(1, BUCKETS)}) if vals else []
-            splits.append([-inf] + [v for v in cut if -inf < v < inf] + [inf])
-        self.long = self._long(splits)
-        self._count_buckets(moments)
-
-    def _long(self, splits) -> DataFrame:
-        if not self.live:
-            return self.wide.limit(0)
-        if splits is None:  # equal-width buckets between the known min and max
-            def width_bucket(i):
-                x, lo, hi = F.col(f"_q{i}"), float(self.min[i]), float(self.max[i])
-                if hi <= lo:
-                    return F.lit(0)
-                raw = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * EQUAL_BUCKETS).cast("int")
-                return F.least(F.greatest(raw, F.lit(0)), F.lit(EQUAL_BUCKETS - 1))
-            return (self.wide.select(F.inline(F.array(*[
-                        F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"), width_bucket(i).alias("b"))
-                        for i in self.live])))
-                    .where(F.col("x").isNotNull()))
-        bucketizer = Bucketizer(splitsArray=splits, inputCols=[f"_q{i}" for i in self.live],
-                                outputCols=[f"_b{i}" for i in self.live], handleInvalid="keep")
-        bucketed = bucketizer.transform(self.wide.select(*[f"_q{i}" for i in self.live]))
-        return (bucketed.select(F.inline(F.array(*[
-                    F.struct(F.lit(i).alias("ci"), F.col(f"_q{i}").alias("x"),
-                             F.col(f"_b{i}").cast("int").alias("b")) for i in self.live])))
-                .where(F.col("x").isNotNull()))
+            x = F.col(f"_q{i}")
+            if self.moments:
+                d = x - F.lit(float(self.mean[i]))
+                aggs += [F.sum(d).alias(f"a{i}"), F.sum(d * d).alias(f"b{i}"), F.sum(d * d * d).alias(f"c{i}"),
+                         F.sum(d * d * d * d).alias(f"e{i}")]
+            for j, (lo, hi) in enumerate(self.spans.get(i, [])):
+                aggs += [F.count_if(x < F.lit(lo)).alias(f"u{i}_{j}"), F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"v{i}_{j}")]
+        self.second = agg_row(self.wide, aggs) if aggs else {}
+        self.bounds: dict[int, list] = {}  # (lo, hi, values below, values inside)
+        for i, spans in self.spans.items():
+            found = [(lo, hi, int(self.second[f"u{i}_{j}"]), int(self.second[f"v{i}_{j}"])) for j, (lo, hi) in enumerate(spans)]
+            ranks = {r for p in self.probs for r in _ranks(p, self.n[i])}
+            if not all(any(u <= r < u + v for _, _, u, v in found) for r in ranks):
+                found = [(self.min[i], self.max[i], 0, self.n[i])]  # exact whatever the sketch said
+            self.bounds[i] = found
 
     def central_moments(self, i: int) -> tuple[float, float, float, float] | None:
         """(mean, m2, m3, m4) -- sums of powers of deviations, exact two-pass."""
         n = self.n[i]
         if n == 0:
             return None
-        s1 = sum(r["s1"] for r in self.buckets[i])
-        s2 = sum(r["s2"] for r in self.buckets[i])
-        s3 = sum(r["s3"] for r in self.buckets[i])
-        s4 = sum(r["s4"] for r in self.buckets[i])
+        s1, s2, s3, s4 = (self.second[f"{k}{i}"] for k in "abce")
         m2 = s2 - s1 * s1 / n
         m3 = s3 - 3 * s1 * s2 / n + 2 * s1 ** 3 / n ** 2
         m4 = s4 - 4 * s1 * s3 / n + 6 * s1 * s1 * s2 / n ** 2 - 3 * s1 ** 4 / n ** 3
         return self.mean[i] + s1 / n, m2, m3, m4
 
-    def _targets(self, probs: Sequence[float]):
-        """Locate the floor/ceil ranks of every probability in its bucket."""
-        out = []
-        for i in self.live:
-            n = self.n[i]
-            for p in probs:
-                pos = p * (n - 1)
-                for r in sorted({int(pos // 1), int(-(-pos // 1))}):
-                    before = 0
-                    for row in self.buckets[i]:
-                        if r < before + row["n"]:
-                            out.append((i, row["b"], r - before, float(p), float(pos)))
-                            break
-                        before += row["n"]
-        return out
-
-    def quantiles(self, probs: Sequence[float]) -> DataFrame:
-        """(column_name, prob, value): only the buckets holding the wanted ranks
-        are value-counted and ranked."""
+    def quantiles(self) -> DataFrame:
+        """(column_name, prob, value): only the intervals are value-counted and ranked."""
         spark = self.df.sparkSession
-        targets = self._targets(probs)
+        targets = []
+        for i in self.live:
+            for p in self.probs:
+                for r in _ranks(p, self.n[i]):
+                    j = next(j for j, (_, _, u, v) in enumerate(self.bounds[i]) if u <= r < u + v)
+                    targets.append((f"{i}:{j}", r - self.bounds[i][j][2], self.columns[i], p, p * (self.n[i] - 1)))
         if not targets:
             return spark.createDataFrame([], "column_name string, prob double, value double")
-        keys = sorted({(t[0], t[1]) for t in targets})
-        sizes = {(i, r["b"]): r["n"] for i in self.live for r in self.buckets[i]}
-        largest_target = max(sizes[k] for k in keys)
-        hit = F.lit(False)
-        for i, b in keys:
-            hit = hit | ((F.col("ci") == i) & (F.col("b") == b))
-        vc = self.long.where(hit).groupBy("ci", "b", "x").agg(F.count(F.lit(1)).alias("c"))
-        if largest_target <= WINDOW_ROWS:  # each window group is one bounded bucket
-            w = Window.partitionBy("ci", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-            ranked = vc.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        else:
-            keyed = vc.withColumn("_k", F.concat_ws(":", "ci", "b"))
-            ranked = with_running_sum(keyed, "_k", ["x"], "c", name="before").drop("_k")
-        tdf = spark.createDataFrame(targets, "_ci int, _b int, _r long, prob double, _pos double")
-        picked = ranked.join(F.broadcast(tdf), (F.col("ci") == F.col("_ci")) & (F.col("b") == F.col("_b"))
+        cells, hit = [], F.lit(False)
+        for i in self.live:
+            x, inside = F.col(f"_q{i}"), F.lit(None).cast("string")
+            for j, (lo, hi, _, _) in enumerate(self.bounds[i]):
+                inside = F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), F.lit(f"{i}:{j}")).otherwise(inside)
+            cells.append(F.struct(inside.alias("k"), x.alias("x")))
+            hit = hit | inside.isNotNull()
+        values = self.wide.where(hit).select(F.inline(F.array(*cells))).where(F.col("k").isNotNull())
+        vc = cut_lineage(values.groupBy("k", "x").agg(F.count(F.lit(1)).alias("c")))
+        ranked = with_running_sum(vc, "k", ["x"], "c", name="before")
+        tdf = spark.createDataFrame(targets, "_k string, _r long, column_name string, prob double, _pos double")
+        picked = ranked.join(F.broadcast(tdf), (F.col("k") == F.col("_k"))  # columns x probabilities x 2 rows
                              & (F.col("_r") >= F.col("before")) & (F.col("_r") < F.col("before") + F.col("c")))
-        names = F.create_map(*[x for i in self.live for x in (F.lit(i), F.lit(self.columns[i]))])
         frac = F.col("_pos") - F.floor("_pos")
-        agg = picked.groupBy("ci", "prob").agg(F.first("_pos").alias("_pos"), F.min("x").alias("_lo"),
-                                               F.max("x").alias("_hi"))
-        return agg.select(names[F.col("ci")].alias("column_name"), "prob", _interpolate(frac).alias("value"))
+        agg = picked.groupBy("column_name", "prob").agg(F.first("_pos").alias("_pos"), F.min("x").alias("_lo"),
+                                                        F.max("x").alias("_hi"))
+        return agg.select("column_name", "prob", _interpolate(frac).alias("value"))
+
+
+def _ranks(p: float, n: int) -> list[int]:
+    """The 0-based ranks around p * (n - 1)."""
+    pos = p * (n - 1)
+    return sorted({int(pos // 1), int(-(-pos // 1))})
+
+
+def _merged(spans: list[tuple]) -> list[tuple]:
+    out: list[tuple] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def _interpolate(frac):
@@ -205,13 +151,14 @@ def _interpolate(frac):
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Long table (column_name, prob, value) of exact linear-interpolated quantiles."""
-    return ColumnProfile(df, columns).quantiles(probs)
+    return ColumnProfile(df, columns, probs=probs).quantiles()
 
 
 def quantiles_from_counts(vc: DataFrame, probs: Sequence[float]) -> DataFrame:
     """(column_name, prob, value) from a (column_name, v, c) value-count table,
     for a data-dependent number of groups: a distributed running sum over
-    range buckets, then a broadcast of the (group x probability) targets."""
+    range buckets, then a join with the (group x probability) targets."""
+    vc = cut_lineage(vc)  # read by several jobs
     ranked = with_running_sum(vc, "column_name", ["v"], "c", name="before")
     sizes = vc.groupBy("column_name").agg(F.sum("c").alias("_n"))
     pos = F.col("prob") * (F.col("_n") - 1)
@@ -220,12 +167,9 @@ def quantiles_from_counts(vc: DataFrame, probs: Sequence[float]) -> DataFrame:
                     .withColumn("_pos", pos)
                     .withColumn("_r", F.explode(F.array_distinct(
                         F.array(F.floor("_pos"), F.ceil("_pos"))))))
-    # one target row per (group, probability, rank): broadcast when the group
-    # count is small (chart categories), otherwise a shuffled range join
-    n_groups = sizes.count()
-    tgt = F.broadcast(targets) if n_groups <= BROADCAST_GROUPS else targets
+    # one target row per (group, probability, rank), joined on the group
     hits = ranked.join(
-        tgt,
+        targets,
         (F.col("column_name") == F.col("_t")) & (F.col("_r") >= F.col("before"))
         & (F.col("_r") < F.col("before") + F.col("c")))
     picked = hits.groupBy("column_name", "prob").agg(

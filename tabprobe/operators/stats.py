@@ -50,16 +50,15 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     """Count, mean, sample std, min, quartiles, max, corrected skewness and
     excess kurtosis per numeric column.
 
-    Two passes of plain sums: the first gives count, sum, min and max; the
-    second -- the same grouped pass that counts the quantile buckets -- sums
-    powers of the deviation from that mean: exact two-pass central moments,
-    cheaper and more accurate than one-pass streaming moments. Quartiles are
-    exact unless ``approx``.
+    Two passes of plain aggregates: the first gives count, sum, min, max and
+    the intervals of the quartiles; the second sums powers of the deviation
+    from that mean (exact two-pass central moments) and counts the intervals.
+    Quartiles are exact unless ``approx``.
     """
     cols = numeric_columns(df, columns)
     if not cols:
         return _empty(df, NUMERIC_SUMMARY_DDL)
-    prof = ColumnProfile(df, cols, moments=True)
+    prof = ColumnProfile(df, cols, moments=True, probs=() if approx else QUARTILES)
     rows = []
     for i, c in enumerate(cols):
         n = prof.n[i]
@@ -68,7 +67,8 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
         if cm is not None:
             _, m2, m3, m4 = cm
             mean = prof.mean[i]  # sum / n, as avg() reports it
-            const = prof.min[i] == prof.max[i]
+            # a spread too small for its powers to be told from 0 counts as constant
+            const = prof.min[i] == prof.max[i] or m2 <= 0 or m2 ** 1.5 == 0 or m2 * m2 == 0
             if n >= 2:
                 std = math.sqrt(max(m2, 0.0) / (n - 1))
             if n >= 3:
@@ -89,7 +89,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
         return mom.join(F.broadcast(q), "column_name", "left").orderBy("_ord").select(
             "column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis")
     # the quartiles are columns x 3 values: collected and placed beside the moments
-    qv = {(r["column_name"], r["prob"]): r["value"] for r in prof.quantiles(QUARTILES).collect()}
+    qv = {(r["column_name"], r["prob"]): r["value"] for r in prof.quantiles().collect()}
     out = [(c, n, mean, std, mn, qv.get((c, 0.25)), qv.get((c, 0.5)), qv.get((c, 0.75)), mx, skew, kurt)
            for c, _, n, mean, std, mn, mx, skew, kurt in rows]
     return df.sparkSession.createDataFrame(out, NUMERIC_SUMMARY_DDL)

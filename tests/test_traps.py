@@ -79,9 +79,7 @@ def _tau_b(x, y):
     return (s / 2) / math.sqrt((nx / 2) * (ny / 2))
 
 
-@pytest.mark.parametrize("window_rows", [10**9, 0])
-def test_spearman_and_kendall_match_pandas_with_ties_and_nulls(spark, monkeypatch, window_rows):
-    monkeypatch.setattr(correlation, "WINDOW_ROWS", window_rows)  # window path / distributed path
+def test_spearman_and_kendall_match_pandas_with_ties_and_nulls(spark):
     import random
     random.seed(3)
     xs = [random.choice([None, 1, 2, 2, 3, 5, 8, 8, 8, 13]) for _ in range(200)]
@@ -100,11 +98,11 @@ def test_spearman_and_kendall_match_pandas_with_ties_and_nulls(spark, monkeypatc
     assert kd[("x", "y")] == pytest.approx(_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy()), rel=1e-9)
 
 
-@pytest.mark.parametrize("window_rows", [10**9, 0])
-def test_kendall_brute_force_on_lineitem_with_nulls(spark, monkeypatch, window_rows):
-    """Whole-table Kendall (no SQL twin) against brute force, both running-sum paths."""
+@pytest.mark.parametrize("rows_per_bucket", [10**9, 50])
+def test_kendall_brute_force_on_lineitem_with_nulls(spark, monkeypatch, rows_per_bucket):
+    """Whole-table Kendall against brute force, few and many buckets."""
     from tabprobe.operators import ordering
-    monkeypatch.setattr(ordering, "WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", rows_per_bucket)
     from tabprobe.plans.fixtures import price_lines_nulls
     df = price_lines_nulls(spark, "/root/testdata/sf0.001").select("l_quantity", "l_discount", "l_tax")
     pdf = df.toPandas()
@@ -176,26 +174,35 @@ def test_index_spec_parsing():
         positions.parse_index_spec("a-b")
 
 
-@pytest.mark.parametrize("window_rows", [10**9, 0])
-def test_row_id_contiguous_and_hot_key(spark, monkeypatch, window_rows):
-    # one key holds most rows: ids stay contiguous and unique (window and bucketed paths)
-    from tabprobe.operators import ordering
-    monkeypatch.setattr(ordering, "WINDOW_ROWS", window_rows)
+@pytest.mark.parametrize("buckets", [1, 8, 64])
+def test_row_id_contiguous_and_hot_key(spark, buckets):
+    # one key holds most rows: ids stay contiguous and unique
     df = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id")).alias("k"), "id")
-    ided = with_row_id(df, ["k"], num_partitions=8)
+    ided = with_row_id(df, ["k"], num_partitions=buckets)
     ids = sorted(r[0] for r in ided.select("row_id").collect())
     assert ids == list(range(20_000))
     first_hot = ided.where("k = 0").agg(F.max("row_id")).first()[0]
     assert first_hot == 13_999
 
 
-@pytest.mark.parametrize("window_rows", [10**9, 0])
-def test_running_sum_groups_span_buckets(spark, monkeypatch, window_rows):
-    from tabprobe.operators import ordering
-    monkeypatch.setattr(ordering, "WINDOW_ROWS", window_rows)
-    df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").alias("v"),
+@pytest.mark.parametrize("buckets", [1, 8, 64])
+def test_row_ids_put_missing_and_nan_keys_in_order(spark, buckets):
+    """Missing keys come first, NaN last, at any number of buckets."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 100 == 1, F.lit(float("nan"))).otherwise(F.col("id") * 1.0).alias("k"), "id")
+    ids = {r["id"]: r["row_id"] for r in with_row_id(df, ["k", "id"], num_partitions=buckets).collect()}
+    order = sorted(range(4000), key=lambda i: (0, 0, i) if i % 4 == 0 else (2, 0, i) if i % 100 == 1 else (1, i, i))
+    assert [ids[i] for i in order] == list(range(4000))
+    text = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), (None, 4), ("", 5)], "s string, n int")
+    got = {r["n"]: r["row_id"] for r in with_row_id(text, ["s", "n"], num_partitions=buckets).collect()}
+    assert got == {1: 0, 4: 1, 5: 2, 3: 3, 2: 4}
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 64])
+def test_running_sum_groups_span_buckets(spark, buckets):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("g"), F.col("id").alias("v"),
                                   F.lit(2).alias("w"))
-    out = with_running_sum(df, "g", ["v"], "w", num_buckets=7)
+    out = with_running_sum(df, "g", ["v"], "w", num_buckets=buckets).fillna({"g": "0"})
     pdf = out.toPandas().sort_values(["g", "v"])
     exp = pdf.groupby("g")["w"].cumsum() - pdf["w"]
     assert (pdf["before"].to_numpy() == exp.to_numpy()).all()
@@ -244,13 +251,12 @@ def test_keep_rows_by_index_renumbers(spark):
     assert sorted(r["row_id"] for r in out.collect()) == list(range(7))
 
 
-@pytest.mark.parametrize("window_rows", [10**9, 5000, 50])
-def test_quantile_paths_agree_with_pandas(spark, monkeypatch, window_rows):
-    """Single-bucket, bucketed-with-window and bucketed-with-running-sum paths."""
+@pytest.mark.parametrize("sketch,margin", [(1000, 0.002), (10, 0.0001), (1000, 0.5)])
+def test_quantiles_agree_with_pandas(spark, monkeypatch, sketch, margin):
+    """Narrow intervals, intervals that miss their rank, whole columns."""
     from tabprobe.operators import quantiles
-    monkeypatch.setattr(quantiles, "WINDOW_ROWS", window_rows)
-    monkeypatch.setattr(quantiles, "BUCKETS", 16)
-    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 256)
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
+    monkeypatch.setattr(quantiles, "MARGIN", margin)
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("value", "user_id")
     pdf = ev.toPandas()
     got = {(r["column_name"], r["prob"]): r["value"]
