@@ -43,6 +43,14 @@ def may_contain(bitmap: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS) -
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def release(spark) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer referenced;
+    it does so when the driver collects its garbage, which may be late."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of the edges: the smallest node
     reachable. Alternates large-star and small-star steps; each round is

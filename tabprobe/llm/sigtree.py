@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.llm.frames import components, hash_filter, may_contain
+from tabprobe.llm.frames import components, hash_filter, may_contain, release
 from tabprobe.llm.words import SPACE_WORDS, hashed_words, mix, shingles, slices
 from tabprobe.session import cut_lineage
 
@@ -323,7 +323,7 @@ def links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, k: int, num: int, d
     """(a, b): links between classes that connect all linked ones."""
     spark = docs.sparkSession
     src = docs.select(F.col(text_col).cast("string").alias("text"))
-    share = min(1.0, max(3.0 * (1 - num / den), 0.05) if num / den >= 0.85 else 2.2 * (1 - num / den))
+    share = min(1.0, max(0.05, (3.0 if 100 * num >= 85 * den else 1.7) * (1 - num / den)))
     shared_hot = spark.sparkContext.broadcast(hot)  # 2**SLOT_BITS bits
     schema = pa.schema([("tok", pa.int64()), ("cls", pa.int64()), ("d", pa.int32())])
     fields = "tok bigint, cls bigint, d int"
@@ -339,7 +339,10 @@ def links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, k: int, num: int, d
                  .withColumns({"c": F.count("tok").over(of), "r": F.row_number().over(of.orderBy("df", "tok"))})
                  .where("r <= d + c").select("tok", "cls"))
     prefix = cut_lineage(firsts.unionAll(task(False).select("tok", "cls")))
+    del met, firsts
+    release(spark)
     family = components(_edges(prefix))
+    del prefix
     sizes = rows.groupBy("cls").agg(F.max("n").alias("n"))
     family = family.withColumnsRenamed({"node": "cls", "component": "comp"}).join(sizes, "cls")
     total = family.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(block_grams)).alias("nb"))
@@ -350,6 +353,7 @@ def links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, k: int, num: int, d
     sets = (src.mapInArrow(_sets_task(sschema, k, wanted), "cls bigint, grams binary").join(family, "cls")
                .dropDuplicates(["cls"]))
     sets = cut_lineage(sets)
+    release(spark)
     one = sets.withColumns({"task": F.col("blk"), "label": F.col("cls"), "side": F.lit(0)})
     found = cut_lineage(_join(one, num, den))
     many = sets.where("nb > 1")
@@ -383,6 +387,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     """Per row: id, n_shingles, cls (digest of its set) and component_id."""
     rows, hot = profile(docs, k, id_col, text_col)
     found = links(docs, rows, hot, k, num, den, text_col, block_grams)
+    release(docs.sparkSession)
     cc = components(found).withColumnsRenamed({"node": "cls", "component": "root"})
     rows = rows.join(cc, "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     low = rows.where("n > 0").groupBy("root").agg(F.min("id").alias("low"))
