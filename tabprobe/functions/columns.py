@@ -12,17 +12,12 @@ from pyspark.sql import types as T
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
             T.FloatType, T.DoubleType, T.DecimalType)
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, _NUMERIC)
 
 
-def is_integral_type(dt: T.DataType) -> bool:
-    return isinstance(dt, _INTEGRAL)
-
-
 def is_text_type(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StringType, T.VarcharType, T.CharType))
 
@@ -40,10 +35,6 @@ def text_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
             if is_text_type(f.dataType) and (wanted is None or f.name in wanted)]
 
 
-def field_type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 def qcol(name: str) -> Column:
     """Column reference that tolerates dots and spaces in names."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -57,6 +48,15 @@ def clean_numeric(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    """Text form used where the reference compares or groups by text."""
-    return qcol(name).cast("string")
+def missing(df: DataFrame, name: str) -> Column:
+    """True where a cell is missing (NULL, or NaN in a floating column)."""
+    c = qcol(name)
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
+def hash_order_key(id_cols, seed: int) -> Column:
+    """md5 of ``<id>-<seed>`` -- the same text order in Spark and SQL engines."""
+    idt = F.concat_ws("-", *[qcol(c).cast("string") for c in id_cols])
+    return F.md5(F.concat(idt, F.lit(f"-{seed}")).cast("binary"))

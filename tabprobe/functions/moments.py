@@ -1,9 +1,4 @@
-"""Moment-based aggregate expressions with the sample conventions of the reference.
-
-Spark's ``skewness``/``kurtosis`` are the population (biased) estimators; the
-reference reports the bias-corrected ones. Constant columns are detected with
-``min = max`` -- never with ``stddev = 0``, which is not exact over partitions.
-"""
+"""Aggregate expressions with the sample conventions of the reference."""
 
 from __future__ import annotations
 
@@ -11,24 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def corrected_skewness(x: Column) -> Column:
-    """Adjusted Fisher-Pearson skewness G1 (n >= 3); 0.0 for a constant column."""
-    n = F.count(x).cast("double")
-    g1 = F.skewness(x)
-    return (F.when(n < 3, F.lit(None).cast("double"))
-            .when(F.min(x) == F.max(x), F.lit(0.0))
-            .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
-
-
-def corrected_kurtosis(x: Column) -> Column:
-    """Bias-corrected excess kurtosis G2 (n >= 4); 0.0 for a constant column."""
-    n = F.count(x).cast("double")
-    g2 = F.kurtosis(x)
-    return (F.when(n < 4, F.lit(None).cast("double"))
-            .when(F.min(x) == F.max(x), F.lit(0.0))
-            .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
-
-
 def pearson(x: Column, y: Column) -> Column:
     """Pairwise-complete Pearson r that cannot raise under ANSI mode.
 

@@ -1,6 +1,6 @@
 """Classifiers (M4-M8) and cross-validation (M12) on ``pyspark.ml``.
 
-Parameters pass through to the estimator, as in the reference. The kernel SVM
+Parameters go by the reference's names and are translated. The kernel SVM
 has no Spark counterpart: an RBF kernel is approximated with random Fourier
 features (Rahimi & Recht, 2007) in front of ``LinearSVC`` -- an approximation,
 stated as such.
@@ -22,24 +22,62 @@ from pyspark.sql import types as T
 from tabprobe.ml.metrics import classification_metrics
 from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix, sq_distances
 from tabprobe.ml.prepare import assemble, fold_assignment
+from tabprobe.session import cut_lineage
 
 MODEL_TYPES = ("logistic", "decision_tree", "random_forest", "svc", "knn")
-
-
-def _logistic(n_rows: int, C: float = 1.0, max_iter: int = 100, **kw):
+WEIGHTS = ("uniform", "distance")
+
+
+#: parameter names of the reference's library and their Spark counterparts
+PARAMETERS = {
+    "logistic": {"C": None, "max_iter": "maxIter", "tol": "tol", "fit_intercept": "fitIntercept", "random_state": None},
+    "decision_tree": {"criterion": "impurity", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
+                      "min_impurity_decrease": "minInfoGain", "random_state": "seed"},
+    "random_forest": {"n_estimators": "numTrees", "criterion": "impurity", "max_depth": "maxDepth",
+                      "min_samples_leaf": "minInstancesPerNode", "min_impurity_decrease": "minInfoGain",
+                      "max_features": "featureSubsetStrategy", "random_state": "seed"},
+    "svc": {"C": None, "kernel": None, "gamma": None, "max_iter": None, "random_state": None, "dim": None},
+    "knn": {"n_neighbors": None, "weights": None},
+}
+IMPURITY = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy"}
+MAX_DEPTH = 30  # Spark's own limit
+
+
+def spark_parameters(model_type: str, params: dict) -> dict:
+    """Estimator arguments from parameters under the reference's names; an
+    unknown name or a value without a counterpart raises ``ValueError``."""
+    known = PARAMETERS[model_type]
+    out = {}
+    for name, value in params.items():
+        if name not in known:
+            raise ValueError(f"{model_type} has no parameter {name!r}; known: {', '.join(known)}")
+        if name == "criterion":
+            if value not in IMPURITY:
+                raise ValueError(f"unknown criterion {value!r}")
+            value = IMPURITY[value]
+        elif name == "max_depth":
+            value = min(value or MAX_DEPTH, MAX_DEPTH)
+        elif name == "max_features":
+            value = "all" if value is None else str(value)
+        elif name == "random_state" and value is None:
+            continue
+        if known[name]:
+            out[known[name]] = value
+    return out
+
+
+def _logistic(n_rows: int, params: dict):
     # C-penalised L2 logistic loss == regParam = 1 / (C * n) on Spark's mean loss
-    return LogisticRegression(regParam=1.0 / (C * max(n_rows, 1)), elasticNetParam=0.0,
-                              standardization=False, maxIter=max_iter, **kw)
+    return LogisticRegression(**{"regParam": 1.0 / (params.get("C", 1.0) * max(n_rows, 1)), "elasticNetParam": 0.0,
+                                 "standardization": False, "maxIter": 100} | spark_parameters("logistic", params))
 
 
-def _decision_tree(n_rows: int, max_depth: int | None = None, random_state: int = 42, **kw):
-    return DecisionTreeClassifier(maxDepth=min(max_depth or 30, 30), seed=random_state, **kw)
+def _decision_tree(params: dict):
+    return DecisionTreeClassifier(**{"maxDepth": MAX_DEPTH, "seed": 42} | spark_parameters("decision_tree", params))
 
 
-def _random_forest(n_rows: int, n_estimators: int = 100, max_depth: int | None = None,
-                   random_state: int = 42, **kw):
-    return RandomForestClassifier(numTrees=n_estimators, maxDepth=min(max_depth or 30, 30),
-                                  seed=random_state, **kw)
+def _random_forest(params: dict):
+    return RandomForestClassifier(**{"numTrees": 100, "maxDepth": MAX_DEPTH, "seed": 42} | spark_parameters("random_forest", params))
 
 
 class FourierFeatures:
@@ -65,39 +103,82 @@ class FourierFeatures:
 
 
 class SVC:
-    """Kernel SVM stand-in: Fourier features + LinearSVC (one-vs-rest when k > 2)."""
+    """Support vector machine on ``LinearSVC`` (one-vs-rest when k > 2):
+    ``kernel="linear"`` as it is, ``"rbf"`` approximated by Fourier features.
+    ``gamma``: a number, ``"scale"`` (1 / (features x variance of all values)) or ``"auto"``
+    (1 / features)."""
 
-    def __init__(self, n_features: int, n_classes: int, C: float = 1.0, gamma: float | None = None,
+    def __init__(self, n_rows: int, n_classes: int, C: float = 1.0, kernel: str = "rbf", gamma: float | str = "scale",
                  dim: int = 200, random_state: int = 42, max_iter: int = 100):
-        self.ff = FourierFeatures(n_features, dim, gamma, random_state)
-        svc = LinearSVC(regParam=1.0 / max(C, 1e-12) / 100.0, maxIter=max_iter)
+        if kernel not in ("linear", "rbf"):
+            raise ValueError(f"unknown kernel {kernel!r}")
+        if isinstance(gamma, str) and gamma not in ("scale", "auto"):
+            raise ValueError(f"unknown gamma {gamma!r}")
+        self.kernel, self.gamma, self.dim, self.seed = kernel, gamma, dim, random_state
+        # C-penalised hinge loss == regParam = 1 / (C * n) on Spark's mean loss
+        svc = LinearSVC(regParam=1.0 / (C * max(n_rows, 1)), maxIter=max_iter, standardization=False)
         self.est = svc if n_classes <= 2 else OneVsRest(classifier=svc)
-        self.model = None
+        self.ff = self.model = None
+
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        return df if self.ff is None else self.ff.transform(df)
+
+    def fit(self, df: DataFrame):
+        if self.kernel == "rbf":
+            v = vector_to_array(F.col("features"))
+            n, gamma = len(df.select(v.alias("v")).first()[0]), self.gamma
+            if gamma == "auto":
+                gamma = 1.0 / max(n, 1)
+            elif gamma == "scale":
+                var = df.select(F.explode(v).alias("x")).agg(F.var_pop("x")).first()[0]
+                gamma = 1.0 / (n * var) if var else 1.0
+            self.ff = FourierFeatures(n, self.dim, gamma, self.seed)
+        self.model = self.est.fit(self._mapped(df))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self._mapped(df))
+
+
+class KNN:
+    """Exact nearest neighbours behind the same calls as the other models."""
+
+    def __init__(self, n_neighbors: int = 5, weights: str = "uniform"):
+        if weights not in WEIGHTS:
+            raise ValueError(f"unknown weights {weights!r}")
+        self.k, self.weights, self.ref = n_neighbors, weights, None
 
     def fit(self, df: DataFrame):
-        self.model = self.est.fit(self.ff.transform(df))
+        self.ref = cut_lineage(df.select(F.monotonically_increasing_id().alias("id"),
+                                         vector_to_array("features").alias("features"), "label"))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.ff.transform(df))
+        query = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))  # ids written once
+        pred = knn_classify(query.select(F.col("_id").alias("id"), vector_to_array("features").alias("features")),
+                            self.ref, self.k, weights=self.weights)
+        return query.join(pred.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
 
 
 def train_classifier(train: DataFrame, features: Sequence[str], label: str = "label",
                      model_type: str = "logistic", **params):
-    """M4-M7: fit a classifier on numeric ``features``; returns a fitted model
-    whose ``transform`` adds ``prediction``. Use ``knn_classify`` for M8."""
+    """M4-M8: fit a classifier on numeric ``features``; returns a fitted model
+    whose ``transform`` adds ``prediction``. ``params`` go by the reference's names
+    (``PARAMETERS``)."""
+    if model_type not in MODEL_TYPES:
+        raise ValueError(f"unknown model type {model_type!r}")
+    spark_parameters(model_type, params)  # names are checked first
     data = assemble(train, features).withColumn("label", F.col(label).cast("double"))
-    n = data.count() if model_type == "logistic" else 0
     if model_type == "logistic":
-        return _logistic(n, **params).fit(data)
+        return _logistic(data.count(), params).fit(data)
     if model_type == "decision_tree":
-        return _decision_tree(n, **params).fit(data)
+        return _decision_tree(params).fit(data)
     if model_type == "random_forest":
-        return _random_forest(n, **params).fit(data)
-    if model_type == "svc":
-        k = data.select("label").distinct().count()
-        return SVC(len(features), k, **params).fit(data)
-    raise ValueError(f"unknown model type {model_type!r}")
+        return _random_forest(params).fit(data)
+    if model_type == "knn":
+        return KNN(**params).fit(data)
+    size = data.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k")).first()
+    return SVC(size["n"], size["k"], **params).fit(data)
 
 
 def predict(model, test: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
@@ -145,11 +226,19 @@ def knn_neighbours(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: b
 
 
 def knn_classify(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """M8: majority vote of the k nearest (uniform weights); a tied vote goes
-    to the smallest label. Returns (id, prediction)."""
+                 block_rows: int = DEFAULT_BLOCK_ROWS, weights: str = "uniform") -> DataFrame:
+    """M8: vote of the k nearest, each counting 1 (``uniform``) or the inverse of
+    its distance (``distance``; neighbours at distance 0 alone decide); a tied
+    vote goes to the smallest label. Returns (id, prediction)."""
+    if weights not in WEIGHTS:
+        raise ValueError(f"unknown weights {weights!r}")
     nb = knn_neighbours(query, ref, k, exclude_self, block_rows)
-    votes = nb.groupBy("id", "label").agg(F.count(F.lit(1)).alias("votes"))
+    vote = F.lit(1.0)
+    if weights == "distance":
+        near = F.min("dist").over(Window.partitionBy("id"))
+        nb = nb.withColumn("_zero", near == 0)
+        vote = F.when(F.col("_zero"), (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("dist")))
+    votes = nb.groupBy("id", "label").agg(F.sum(vote).alias("votes"))
     w = Window.partitionBy("id").orderBy(F.col("votes").desc(), F.col("label").asc())
     return (votes.withColumn("_r", F.row_number().over(w)).where("_r = 1")
                  .select("id", F.col("label").alias("prediction")))
@@ -162,7 +251,7 @@ def cross_validate(data: DataFrame, features: Sequence[str], label: str, id_cols
     """Stratified ``folds``-fold accuracy with refits, plus the mean and the
     population std as extra rows (fold = -1 / -2). The reference folds its test
     split; the input set is an argument here."""
-    assigned = fold_assignment(data, label, id_cols, folds).persist()
+    assigned = cut_lineage(fold_assignment(data, label, id_cols, folds))
     accs = []
     for f in range(folds):
         tr = assigned.where(F.col("fold") != f)
@@ -170,7 +259,6 @@ def cross_validate(data: DataFrame, features: Sequence[str], label: str, id_cols
         model = train_classifier(tr, features, label, model_type, **params)
         m = classification_metrics(predict(model, te, features, label)).first()
         accs.append(float(m["accuracy"]))
-    assigned.unpersist()
     mean = float(np.mean(accs))
     std = float(np.std(accs))
     rows = [(f, a) for f, a in enumerate(accs)] + [(-1, mean), (-2, std)]

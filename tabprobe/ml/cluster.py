@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix, sq_distances
 from tabprobe.ml.prepare import assemble
+from tabprobe.session import cut_lineage
 
 KMEANS_SEED = 42
 
@@ -96,28 +96,37 @@ def with_point_ids(data: DataFrame, features: Sequence[str], id_col: str | None
                        *[F.col(c) for c in data.columns if c not in features and c != id_col])
 
 
+MEASURES = ("squared_euclidean", "exact")
+
+
 def choose_k(data: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 11),
-             id_col: str | None = None, seed: int = KMEANS_SEED) -> DataFrame:
-    """(k, inertia, silhouette) for each candidate k -- a loop of fits."""
+             id_col: str | None = None, seed: int = KMEANS_SEED, measure: str = "squared_euclidean") -> DataFrame:
+    """(k, inertia, and one silhouette column) for each candidate k -- a loop
+    of fits. ``measure``: ``squared_euclidean`` is Spark's, linear in the rows
+    (column ``silhouette_sq``); ``exact`` needs all pairs (column ``silhouette``)."""
+    if measure not in MEASURES:
+        raise ValueError(f"unknown measure {measure!r}")
+    name = "silhouette" if measure == "exact" else "silhouette_sq"
     rows = []
-    if id_col is None:  # ids are materialised with the cached rows, so both pair sides agree
+    if id_col is None:
         data, id_col = data.withColumn("_point_id", F.monotonically_increasing_id()), "_point_id"
-    base = data.persist()
+    base = cut_lineage(data)  # written once: ids and every fit see the same rows
     for k in ks:
         model = train_kmeans(base, features, k, seed)
-        assigned = assign_clusters(model, base, features).drop("features")
-        pts = with_point_ids(assigned, features, id_col).select("id", "features",
-                                                                F.col("cluster").cast("int"))
-        s = silhouette(pts).first()[0]
+        if measure == "exact":
+            assigned = assign_clusters(model, base, features).drop("features")
+            pts = with_point_ids(assigned, features, id_col).select("id", "features", F.col("cluster").cast("int"))
+            s = silhouette(pts).first()[0]
+        else:
+            s = silhouette_sq_euclidean(model, base, features)
         rows.append((int(k), float(model.summary.trainingCost), None if s is None else float(s)))
-    base.unpersist()
-    return data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return data.sparkSession.createDataFrame(rows, f"k int, inertia double, {name} double")
 
 
 def cluster_points(model, data: DataFrame, features: Sequence[str], x: str, y: str,
-                   id_cols: Sequence[str] | None = None, max_points: int | None = 5000) -> DataFrame:
-    """(x, y, cluster, is_centroid) -- a hash sample of the points on the
-    two chosen features plus one row per centroid on the same features."""
+                   id_cols: Sequence[str] | None = None, max_points: int | None = None) -> DataFrame:
+    """(x, y, cluster, is_centroid) -- all points (or a hash sample of
+    ``max_points``) on the two chosen features plus one row per centroid."""
     from tabprobe.operators.chartdata import sample_key
     pred = assign_clusters(model, data, features)
     pts = pred.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
@@ -130,7 +139,3 @@ def cluster_points(model, data: DataFrame, features: Sequence[str], x: str, y: s
     cents = [(float(c[ix]), float(c[iy]), i, True) for i, c in enumerate(model.clusterCenters())]
     cdf = data.sparkSession.createDataFrame(cents, "x double, y double, cluster int, is_centroid boolean")
     return pts.unionByName(cdf)
-
-
-def centroid_arrays(model_df: DataFrame, col: str = "features") -> DataFrame:
-    return model_df.withColumn(col, vector_to_array(F.col(col)))

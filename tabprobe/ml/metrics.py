@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +15,12 @@ def pair_counts(pred: DataFrame, label: str = "label", prediction: str = "predic
                 .agg(F.count(F.lit(1)).alias("n")))
 
 
-MAX_CLASSES = 10_000
-
-
-def _classes(pc: DataFrame) -> list[float]:
-    rows = (pc.select(F.col("label").alias("c"))
-              .union(pc.select(F.col("prediction").alias("c"))).distinct()
-              .limit(MAX_CLASSES + 1).collect())
-    if len(rows) > MAX_CLASSES:  # the k x k grid must stay small
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return sorted(r[0] for r in rows)
-
-
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(label, prediction, n) over all class pairs, zeros included."""
+    """(label, prediction, n) over all class pairs, zeros included. The
+    k x k grid is the result itself; Spark builds it from the class list."""
     pc = pair_counts(pred, label, prediction)
-    classes = _classes(pc)
-    grid = pc.sparkSession.createDataFrame(
-        [(float(a), float(b)) for a in classes for b in classes], "label double, prediction double")
+    classes = pc.select(F.col("label").alias("c")).union(pc.select(F.col("prediction").alias("c"))).distinct()
+    grid = classes.select(F.col("c").alias("label")).crossJoin(classes.select(F.col("c").alias("prediction")))
     return (grid.join(pc, ["label", "prediction"], "left")
                 .select("label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
                 .orderBy("label", "prediction"))
@@ -68,12 +58,22 @@ def classification_metrics(pred: DataFrame, label: str = "label",
 
 
 def classification_report(pred: DataFrame, label: str = "label",
-                          prediction: str = "prediction") -> DataFrame:
+                          prediction: str = "prediction",
+                          target_names: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Rows per class plus ``accuracy``, ``macro avg`` and ``weighted avg``
-    -- (row, precision, recall, f1, support)."""
+    -- (row, precision, recall, f1, support). ``target_names`` names the classes: the
+    class table of ``index_labels``, or names by class number."""
     pcl = per_class(pred, label, prediction)
-    rows = pcl.select(
-        F.col("class").cast("string").alias("row"), "precision", "recall", "f1",
+    named = pcl
+    title = F.col("class").cast("string")
+    if target_names is not None:
+        table = target_names if isinstance(target_names, DataFrame) else pcl.sparkSession.createDataFrame(
+            list(enumerate(target_names)), "class_index int, class_name string")
+        named = pcl.join(table.select(F.col("class_index").cast("double").alias("class"), F.col("class_name").cast("string").alias("_name")),
+                         "class", "left")
+        title = F.coalesce("_name", title)
+    rows = named.select(
+        title.alias("row"), "precision", "recall", "f1",
         F.col("support").cast("double").alias("support"))
     labelled = pcl
     n = F.sum("support")

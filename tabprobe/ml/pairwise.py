@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 4_096  # a 4096 x 4096 float64 distance block is 128 MiB
+MIN_BLOCK_ROWS = 64
 
 
-def n_blocks(n_rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(n_rows / block_rows))
+def n_blocks(n_rows: int, block_rows: int, spread: int = 1) -> int:
+    """Blocks of at most ``block_rows`` rows, and at least ``spread`` when there
+    are rows for them."""
+    return max(1, math.ceil(n_rows / block_rows), min(spread, n_rows // MIN_BLOCK_ROWS))
 
 
 def blocked(query: DataFrame, ref: DataFrame, fn, schema: str,
@@ -32,7 +35,10 @@ def blocked(query: DataFrame, ref: DataFrame, fn, schema: str,
     ``query`` and ``ref`` must carry an ``id`` column; blocks are hash
     buckets of it, so their sizes are balanced whatever the key distribution.
     """
-    qb, rb = n_blocks(query_rows, block_rows), n_blocks(ref_rows, block_rows)
+    cores = query.sparkSession.sparkContext.defaultParallelism
+    # the query side is cut further, so every core gets a meeting
+    rb = n_blocks(ref_rows, block_rows)
+    qb = n_blocks(query_rows, block_rows, math.ceil(2 * cores / rb))
     # fresh attributes on both sides: the two inputs are often the same table
     query = query.select(*[F.col(c).alias(c) for c in query.columns])
     ref = ref.select(*[F.col(c).alias(c) for c in ref.columns])

@@ -8,41 +8,35 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.functions.columns import clean_numeric, is_numeric_type, numeric_columns, qcol
+from tabprobe.functions.columns import clean_numeric, hash_order_key, is_numeric_type, numeric_columns, qcol
 from tabprobe.operators.clean import drop_rows_missing
-from tabprobe.operators.ordering import with_running_sum
+from tabprobe.operators.ordering import with_row_id, with_running_sum
 from tabprobe.operators.scale_encode import scale_minmax, scale_standard
 from tabprobe.functions.aggregates import agg_row
+from tabprobe.session import cut_lineage
 
 SPLIT_SEED = 42
 
 
-MAX_CLASSES = 10_000
+def class_table(df: DataFrame, target: str) -> DataFrame:
+    """(class_index, class_name): the sorted distinct non-missing target values."""
+    names = cut_lineage(df.where(qcol(target).isNotNull()).select(qcol(target).alias("class_name")).distinct())
+    return with_row_id(names, ["class_name"], name="class_index").select(
+        F.col("class_index").cast("int").alias("class_index"), "class_name")
 
 
-def class_names(df: DataFrame, target: str) -> list:
-    """Sorted distinct target values -- a bounded collect: a classification
-    target has few classes, and more than ``MAX_CLASSES`` is refused."""
-    rows = (df.select(qcol(target)).distinct().orderBy(qcol(target))
-              .limit(MAX_CLASSES + 1).collect())
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} distinct values; not a class label")
-    return [r[0] for r in rows]
-
-
-def index_labels(df: DataFrame, target: str, name: str | None = None) -> tuple[DataFrame, list[str]]:
+def index_labels(df: DataFrame, target: str, name: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """M1: text target -> 0..k-1 in sorted order (rows with a missing target
-    are dropped); a numeric target is kept. Returns (table, class names).
-
-    The class list is a bounded collect (one row per class)."""
+    are dropped), by a join with the class table; a numeric target is kept.
+    Returns (table, class table; None for a numeric target)."""
     out = name or target
-    dt = df.schema[target].dataType
     base = df.where(qcol(target).isNotNull())
-    names = class_names(base, target)
-    if is_numeric_type(dt):
-        return base.withColumn(out, qcol(target)), [str(v) for v in names]
-    mapping = F.create_map(*[x for i, v in enumerate(names) for x in (F.lit(v), F.lit(i))])
-    return base.withColumn(out, mapping[qcol(target)].cast("int")), names
+    if is_numeric_type(df.schema[target].dataType):
+        return base.withColumn(out, qcol(target)), None
+    classes = class_table(base, target)
+    keyed = classes.select(F.col("class_name").alias("_class_name"), F.col("class_index").alias("_class_index"))
+    joined = base.join(keyed, qcol(target) == F.col("_class_name"))
+    return joined.withColumn(out, F.col("_class_index")).drop("_class_name", "_class_index"), classes
 
 
 def prepare_features(df: DataFrame, target: str, fit_on: str = "all",
@@ -76,14 +70,14 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 
 
 def split_key(id_cols: Sequence[str], seed: int = SPLIT_SEED):
-    idt = F.concat_ws("-", *[qcol(c).cast("string") for c in id_cols])
-    return F.md5(F.concat(idt, F.lit(f"-{seed}")).cast("binary"))
+    return hash_order_key(id_cols, seed)
 
 
 def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str],
                      test_size: float = 0.3, seed: int = SPLIT_SEED) -> DataFrame:
     """M3: add ``is_test``: in each class, rows ordered by md5(id-seed); the
-    first round(test_size * n_class) are test rows.
+    first round(test_size * n_class) are test rows. Rows with a missing label
+    are kept and split as a class of their own.
 
     The order inside a class comes from a distributed running count over
     range partitions, so even a class holding most rows is never sorted in one
@@ -93,9 +87,10 @@ def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str],
     ranked = with_running_sum(keyed, "_cls", ["_h"], "_one", name="_pos")
     sizes = df.groupBy(qcol(label).cast("string").alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.round(F.col("_n") * F.lit(test_size), 0)
-    return (ranked.join(sizes, "_cls")  # one row per class; AQE broadcasts it when small
+    sizes = sizes.withColumnRenamed("_cls", "_c")
+    return (ranked.join(sizes, F.col("_cls").eqNullSafe(F.col("_c")))  # one row per class; AQE broadcasts it when small
                   .withColumn("is_test", F.col("_pos") < cut)
-                  .drop("_h", "_one", "_cls", "_pos", "_n"))
+                  .drop("_h", "_one", "_cls", "_c", "_pos", "_n"))
 
 
 def fold_assignment(df: DataFrame, label: str, id_cols: Sequence[str], folds: int = 5,

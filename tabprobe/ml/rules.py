@@ -24,19 +24,18 @@ def association_rules(baskets_df: DataFrame, min_support: float = 0.01,
     """Returns (frequent itemsets, rules).
 
     itemsets: (itemset, size, freq, support); rules: (antecedent, consequent,
-    confidence, lift, support). Item lists are sorted and joined with ``,``
-    so that results compare as text."""
+    confidence, lift, support). Item lists are sorted arrays."""
     # the baskets feed two counts and the FP-tree pass: materialise them once
     baskets_df = cut_lineage(baskets_df)
     model = FPGrowth(itemsCol=items, minSupport=min_support,
                      minConfidence=min_confidence).fit(baskets_df)
     n = baskets_df.count()
     fi = model.freqItemsets.select(
-        F.array_join(F.array_sort("items"), ",").alias("itemset"),
+        F.array_sort("items").alias("itemset"),
         F.size("items").alias("size"), F.col("freq").cast("long").alias("freq"),
         (F.col("freq") / F.lit(n)).alias("support"))
     ar = model.associationRules.select(
-        F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"),
-        F.array_join(F.array_sort("consequent"), ",").alias("consequent"),
+        F.array_sort("antecedent").alias("antecedent"),
+        F.array_sort("consequent").alias("consequent"),
         "confidence", "lift", "support")
     return fi, ar

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
+from tabprobe.functions.columns import clean_numeric, hash_order_key, numeric_columns, qcol
 from tabprobe.functions.moments import pearson
 from tabprobe.operators.quantiles import exact_quantiles, quantile_columns, quantiles_from_counts
 
@@ -94,15 +94,30 @@ def box_stats(df: DataFrame, columns: Sequence[str] | str, by: str | None = None
 
 
 def sample_key(id_cols: Sequence[str], seed: int = SAMPLE_SEED) -> Column:
-    """md5 of ``<id>-<seed>`` -- the same text order in Spark and SQL engines."""
-    idt = F.concat_ws("-", *[qcol(c).cast("string") for c in id_cols])
-    return F.md5(F.concat(idt, F.lit(f"-{seed}")).cast("binary"))
+    """Order of the point samples."""
+    return hash_order_key(id_cols, seed)
+
+
+def density_2d(df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int = 50) -> DataFrame:
+    """V3 for charts of any size: (x_bin, y_bin, n) over all complete points,
+    ``x_bins`` by ``y_bins`` equal-width cells between each column's min and max
+    (bins from 1; empty cells are left out), with the cells' lower corners."""
+    pts = df.select(clean_numeric(df, x).alias("x"), clean_numeric(df, y).alias("y")).where(
+        F.col("x").isNotNull() & F.col("y").isNotNull())
+    st = pts.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    cells = (pts.crossJoin(F.broadcast(st))  # one row of bounds
+                .select(bin_index(F.col("x"), F.col("x0"), F.col("x1"), x_bins).alias("x_bin"),
+                        bin_index(F.col("y"), F.col("y0"), F.col("y1"), y_bins).alias("y_bin"), "x0", "x1", "y0", "y1"))
+    n = cells.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("x0", "x1", "y0", "y1")])
+    return n.select("x_bin", "y_bin", "n",
+                    (F.col("x0") + (F.col("x_bin") - 1) * (F.col("x1") - F.col("x0")) / x_bins).alias("x_lower"),
+                    (F.col("y0") + (F.col("y_bin") - 1) * (F.col("y1") - F.col("y0")) / y_bins).alias("y_lower"))
 
 
 def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None,
-                   id_cols: Sequence[str] | None = None, max_points: int | None = 5000,
+                   id_cols: Sequence[str] | None = None, max_points: int | None = None,
                    seed: int = SAMPLE_SEED) -> DataFrame:
-    """V3: (x, y[, color]) points with both coordinates present; when
+    """V3: all (x, y[, color]) points with both coordinates present; when
     ``max_points`` is set, the points with the smallest hash keys (a
     deterministic sample, bounded per task by TakeOrdered)."""
     cols = [qcol(x).alias(x), qcol(y).alias(y)] + ([qcol(color).alias(color)] if color else [])
@@ -190,9 +205,9 @@ def pair_grid_histograms(df: DataFrame, columns: Sequence[str] | None = None,
 
 def pair_grid_points(df: DataFrame, columns: Sequence[str] | None = None,
                      hue: str | None = None, id_cols: Sequence[str] | None = None,
-                     max_points: int | None = 2000, max_columns: int = 5) -> DataFrame:
-    """V8 off-diagonal: one shared deterministic sample with the chosen columns
-    (and ``hue``); every panel plots two of its columns."""
+                     max_points: int | None = None, max_columns: int = 5) -> DataFrame:
+    """V8 off-diagonal: all rows (or one shared deterministic sample of
+    ``max_points``) with the chosen columns and ``hue``; every panel plots two of them."""
     cols = numeric_columns(df, columns)[:max_columns]
     sel = [qcol(c) for c in cols] + ([qcol(hue)] if hue else [])
     if max_points is None:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.columns import clean_numeric, is_numeric_type, is_text_type, qcol
+from tabprobe.functions.columns import missing as _missing
 from tabprobe.functions.literals import matches, not_matches, parse_literal
-from tabprobe.operators.quantiles import exact_quantiles, value_counts
+from tabprobe.operators.quantiles import exact_quantiles
 from tabprobe.functions.aggregates import agg_row
 
 
@@ -58,27 +59,20 @@ def drop_columns(df: DataFrame, columns: Sequence[str | int]) -> DataFrame:
 def replace_values(df: DataFrame, column: str, old: str | dict, new: str | None = None) -> DataFrame:
     """Cells whose text equals ``old`` become ``new`` (or a mapping
     ``{old: new, ...}``). The column keeps its type when every new value is a
-    canonical literal of it; otherwise it is widened to string."""
+    canonical literal of it or missing; otherwise it is widened to string."""
     _check_column(df, column)
     mapping = old if isinstance(old, dict) else {old: new}
     dt = df.schema[column].dataType
-    typed = all(v is not None and parse_literal(dt, str(v)) is not None for v in mapping.values())
+    typed = all(v is None or parse_literal(dt, str(v)) is not None for v in mapping.values())
     c = qcol(column)
     base = c if typed else c.cast("string")
     expr = base
     for o, n in reversed(list(mapping.items())):
-        lit = F.lit(parse_literal(dt, str(n))).cast(dt) if typed else F.lit(None if n is None else str(n))
+        lit = F.lit(None if n is None else parse_literal(dt, str(n))).cast(dt) if typed else F.lit(None if n is None else str(n))
         expr = F.when(F.coalesce(matches(df, column, str(o)), F.lit(False)), lit).otherwise(expr)
     return df.withColumn(column, expr)
 
 
-def _missing(df: DataFrame, c: str):
-    x = qcol(c)
-    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-        return x.isNull() | F.isnan(x)
-    return x.isNull()
-
-
 def _targets(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return list(df.columns) if columns is None else [c for c in columns if c in df.columns]
 
@@ -112,33 +106,19 @@ def drop_columns_missing(df: DataFrame, columns: Sequence[str] | None = None) ->
 # ------------------------------------------------------------------ filling
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Smallest of the most frequent values per column, computed from a
-    distributed value count (no per-column value map in one task)."""
+    """Smallest of the most frequent values per column, counted in the column's
+    own type (NaN is missing): a distributed value count and a bounded top-1
+    per column."""
     out: dict[str, object] = {}
-    num = [c for c in columns if is_numeric_type(df.schema[c].dataType)]
-    txt = [c for c in columns if c not in num]
-    frames = []
-    if num:
-        frames.append(value_counts(df, num).select(
-            "column_name", F.col("v").cast("string").alias("value"), F.col("v").alias("_num"), "c"))
-    if txt:
-        long = df.select(*[qcol(c).cast("string").alias(c) for c in txt]).unpivot(
-            [], [qcol(c) for c in txt], "column_name", "value")
-        frames.append(long.where(F.col("value").isNotNull())
-                          .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
-                          .select("column_name", "value", F.lit(None).cast("double").alias("_num"), "c"))
-    if not frames:
-        return out
-    allc = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    w = Window.partitionBy("column_name").orderBy(F.col("c").desc(), F.col("_num").asc(),
-                                                  F.col("value").asc())
-    top = allc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    for r in top.collect():  # one row per column: bounded
-        dt = df.schema[r["column_name"]].dataType
-        if r["_num"] is not None:
-            v = r["_num"]
-            out[r["column_name"]] = int(v) if not isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)) else v
-        else:
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for cols in by_type.values():  # one pass per type: values keep their type
+        long = df.select(*[F.when(~_missing(df, c), qcol(c)).alias(c) for c in cols]).unpivot(
+            [], [qcol(c) for c in cols], "column_name", "value").where(F.col("value").isNotNull())
+        counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+        w = Window.partitionBy("column_name").orderBy(F.col("c").desc(), F.col("value").asc())
+        for r in counts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").collect():  # one row per column
             out[r["column_name"]] = r["value"]
     return out
 
@@ -148,8 +128,10 @@ def fill_missing(df: DataFrame, method: str = "mean",
     """Fill missing cells of the chosen columns that have any.
 
     mean / median: numeric columns use the statistic (integer columns widen to
-    double), text columns use the mode. mode: the smallest most frequent value;
-    an all-missing column gets 0 / "Unknown". zero: 0 / "".
+    double), other columns the mode. mode: the smallest most frequent value; an
+    all-missing column gets 0 / "Unknown". zero: 0 / "". Columns that are
+    neither numeric nor text keep their type: they are filled with their mode (also
+    by ``zero``, which has no zero for them) and stay missing when all cells are.
     """
     if method not in ("mean", "median", "mode", "zero"):
         raise ValueError(f"unknown fill method: {method!r}")
@@ -159,37 +141,31 @@ def fill_missing(df: DataFrame, method: str = "mean",
     if not todo:
         return df
     num = [c for c in todo if is_numeric_type(df.schema[c].dataType)]
-    txt = [c for c in todo if c not in num]
+    txt = [c for c in todo if is_text_type(df.schema[c].dataType)]
+    rest = [c for c in todo if c not in num and c not in txt and not isinstance(df.schema[c].dataType, T.MapType)]
     fills: dict[str, object] = {}
     if method == "zero":
         fills.update({c: 0 for c in num})
         fills.update({c: "" for c in txt})
-    else:
-        mode_cols = list(txt) + (num if method == "mode" else [])
-        modes = column_modes(df, mode_cols) if mode_cols else {}
-        for c in txt:
-            fills[c] = modes.get(c, "Unknown")
-        if method == "mode":
-            for c in num:
-                fills[c] = modes.get(c, 0)
-        elif method == "mean" and num:
-            row = df.agg(*[F.avg(clean_numeric(df, c)).alias(c) for c in num]).first()
-            fills.update({c: row[c] for c in num})
-        elif method == "median" and num:
-            q = {r["column_name"]: r["value"] for r in exact_quantiles(df, num, (0.5,)).collect()}
-            fills.update({c: q.get(c) for c in num})
+    mode_cols = rest + (txt if method != "zero" else []) + (num if method == "mode" else [])
+    modes = column_modes(df, mode_cols) if mode_cols else {}
+    fills.update({c: modes.get(c, "Unknown" if c in txt else 0 if c in num else None) for c in mode_cols})
+    if method == "mean" and num:
+        row = df.agg(*[F.avg(clean_numeric(df, c)).alias(c) for c in num]).first()
+        fills.update({c: row[c] for c in num})
+    elif method == "median" and num:
+        q = {r["column_name"]: r["value"] for r in exact_quantiles(df, num, (0.5,)).collect()}
+        fills.update({c: q.get(c) for c in num})
     exprs = {}
     for c, v in fills.items():
         dt = df.schema[c].dataType
-        x = qcol(c)
-        if c in num:
-            widen = isinstance(v, float) and not isinstance(dt, (T.FloatType, T.DoubleType))
-            tgt = T.DoubleType() if widen else dt
-            val = clean_numeric(df, c).cast(tgt) if isinstance(dt, (T.FloatType, T.DoubleType)) else x.cast(tgt)
-            exprs[c] = F.coalesce(val, F.lit(v).cast(tgt)) if v is not None else val
-        else:
-            exprs[c] = F.coalesce(x.cast("string") if not is_text_type(dt) else x, F.lit(v))
-    return df.withColumns(exprs)
+        x = F.when(~_missing(df, c), qcol(c))
+        if v is None:
+            continue
+        # a statistic of an integer or decimal column is a double
+        tgt = T.DoubleType() if c in num and isinstance(v, float) and not isinstance(dt, (T.FloatType, T.DoubleType)) else dt
+        exprs[c] = F.coalesce(x.cast(tgt), F.lit(v).cast(tgt))
+    return df.withColumns(exprs) if exprs else df
 
 
 def fill_mean(df, columns=None):
@@ -214,7 +190,9 @@ def drop_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame:
 
     Only an 8-byte row hash is shuffled for every row; full rows are grouped
     only where hashes collide."""
-    from tabprobe.operators.profile import row_hash
+    from tabprobe.operators.profile import comparable, row_hash
+    kinds, names = df.schema, df.columns
+    df = comparable(df)
     keyed = row_id is not None and row_id in df.columns
     others = [c for c in df.columns if not (keyed and c == row_id)]
     # rows with a unique row hash are unique: only the colliding ones are grouped
@@ -226,4 +204,5 @@ def drop_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame:
         merged = multi.groupBy("_h", *[qcol(c) for c in others]).agg(F.min(row_id).alias(row_id))
     else:
         merged = multi.dropDuplicates(["_h", *others])
-    return single.unionByName(merged).drop("_h").select(*[qcol(c) for c in df.columns])
+    back = [F.map_from_entries(qcol(c)).alias(c) if isinstance(kinds[c].dataType, T.MapType) else qcol(c) for c in names]
+    return single.unionByName(merged).drop("_h").select(*back)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.columns import (clean_numeric, is_numeric_type, is_text_type,
-                                        numeric_columns, qcol, text_columns)
+                                        missing as _missing, numeric_columns, qcol, text_columns)
 from tabprobe.operators.stats import _empty, _per_column, text_value_counts, top_values
 
 # The labels the type detector assigns, in order of precedence.
@@ -32,15 +32,10 @@ DATETIME_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SS
                     "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy")
 
 
-def _missing(df: DataFrame, c: str):
-    x = qcol(c)
-    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-        return x.isNull() | F.isnan(x)
-    return x.isNull()
-
-
-def _groupable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+def comparable(df: DataFrame) -> DataFrame:
+    """Map columns, which Spark cannot compare, as arrays of sorted entries."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    return df.withColumns({c: F.array_sort(F.map_entries(qcol(c))) for c in maps}) if maps else df
 
 
 def row_hash(df: DataFrame, cols: Sequence[str]):
@@ -61,7 +56,7 @@ def duplicate_candidates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     Only the 8-byte hash is shuffled (map-side combined) to find repeated
     hashes; a row whose hash is unique cannot have a duplicate, so exact
     grouping is needed for the candidate rows only."""
-    cols = _groupable(df)
+    cols = df.columns
     hashed = df.withColumn("_h", row_hash(df, cols))
     repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_hn")).where(F.col("_hn") > 1).select("_h")
     return hashed, repeated
@@ -70,7 +65,8 @@ def duplicate_candidates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Exact all-column groups (missing values equal) that have more than one
     row, with their size; computed among hash-collision candidates only."""
-    cols = _groupable(df)
+    df = comparable(df)
+    cols = df.columns
     hashed, repeated = duplicate_candidates(df)
     cand = hashed.join(repeated, "_h", "left_semi")
     return (cand.groupBy("_h", *[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
@@ -89,7 +85,9 @@ def duplicate_examples(df: DataFrame, limit: int | None = 10,
 
     Repeated groups are found among hash candidates and matched back with a
     null-safe semi join restricted to the same hash."""
-    cols = _groupable(df)
+    kinds, names = df.schema, df.columns
+    df = comparable(df)
+    cols = df.columns
     hashed, repeated = duplicate_candidates(df)
     cand = hashed.join(repeated, "_h", "left_semi")
     groups = (cand.groupBy("_h", *[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
@@ -104,14 +102,15 @@ def duplicate_examples(df: DataFrame, limit: int | None = 10,
     if limit is not None:
         keys = [qcol(c) for c in order_by] if order_by else [F.col("_pos")]
         out = out.orderBy(*keys).limit(limit)
-    return out.drop("_pos") if "_pos" in out.columns else out
+    back = [F.map_from_entries(qcol(c)).alias(c) if isinstance(kinds[c].dataType, T.MapType) else qcol(c) for c in names]
+    return out.select(*back)
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
     """One row -- rows, columns, numeric / text column counts, missing
     cells and duplicated rows. Counts and missing cells are one global
     aggregate (no shuffle); duplicates come from the hash-first grouping."""
-    cols = _groupable(df)
+    cols = df.columns
     miss = F.lit(0).cast("long")
     for c in cols:
         miss = miss + _missing(df, c).cast("long")
@@ -271,7 +270,7 @@ def _column_facts(df: DataFrame) -> DataFrame:
     reported); for other column types the advice needs only "at most one
     distinct value", which is min = max in the same aggregate (n_distinct is
     then 0 or 1 exactly, and 2 stands for "more than one")."""
-    cols = _groupable(df)
+    cols = df.columns
     num = set(numeric_columns(df))
     text = [c for c in cols if is_text_type(df.schema[c].dataType)]
     orderable = [c for c in cols if c not in text and not isinstance(

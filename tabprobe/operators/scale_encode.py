@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
 from tabprobe.operators.ordering import with_row_id
+from tabprobe.session import cut_lineage
 from tabprobe.functions.aggregates import agg_row
 
 ONEHOT_MAX_CATEGORIES = 1000
@@ -86,22 +87,35 @@ def category_text(df: DataFrame, column: str):
 def encode_onehot(df: DataFrame, columns: Sequence[str],
                   max_categories: int = ONEHOT_MAX_CATEGORIES) -> DataFrame:
     """One boolean column ``<col>_<value>`` per category (sorted), appended
-    after the remaining columns; the encoded columns are removed."""
+    after the remaining columns; the encoded columns are removed. Names that
+    differ in case only, or equal a kept column's, get ``_2``, ``_3``, ..."""
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
     long = df.select(*[category_text(df, c).alias(c) for c in cols]).unpivot(
         [], [qcol(c) for c in cols], "column_name", "value")
-    cats = (long.select("column_name", "value").distinct()
-                .orderBy("column_name", "value").limit(max_categories * len(cols) + 1).collect())
-    if len(cats) > max_categories * len(cols):
-        raise ValueError("too many categories for one-hot encoding")
+    w = Window.partitionBy("column_name").orderBy("value")
+    # one more than the cap per column is enough to refuse it
+    cats = (long.distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_categories + 1)
+                .orderBy("column_name", "value").collect())
     per: dict[str, list[str]] = {c: [] for c in cols}
     for r in cats:
         per[r["column_name"]].append(r["value"])
-    keep = [qcol(c) for c in df.columns if c not in cols]
-    dummies = [(category_text(df, c) == F.lit(v)).alias(f"{c}_{v}") for c in cols for v in per[c]]
-    return df.select(*keep, *dummies)
+    for c in cols:
+        if len(per[c]) > max_categories:
+            raise ValueError(f"{c!r} has more than {max_categories} categories")
+    kept = [c for c in df.columns if c not in cols]
+    taken = {c.lower() for c in kept}
+    dummies = []
+    for c in cols:
+        for v in per[c]:
+            name, k = f"{c}_{v}", 1
+            while name.lower() in taken:  # Spark's names ignore case: a second one gets a number
+                k += 1
+                name = f"{c}_{v}_{k}"
+            taken.add(name.lower())
+            dummies.append((category_text(df, c) == F.lit(v)).alias(name))
+    return df.select(*[qcol(c) for c in kept], *dummies)
 
 
 def binary_width(n_categories: int) -> int:
@@ -118,17 +132,24 @@ def encode_binary(df: DataFrame, columns: Sequence[str],
     if not cols:
         return df
     if order_by:
-        keyed = with_row_id(df, order_by, name="_pos")
-    else:
-        keyed = df.withColumn("_pos", F.monotonically_increasing_id())
+        pos, keyed = F.struct(*[qcol(c) for c in order_by]), df
+    else:  # fixed first: positions must agree between the dictionary and a retry
+        keyed = cut_lineage(df)
+        pos = F.monotonically_increasing_id()
     out = keyed
     bit_cols = []
     for c in cols:
-        first = (keyed.select(category_text(df, c).alias("_v"), "_pos")
-                      .groupBy("_v").agg(F.min("_pos").alias("_first")))
+        # first appearances by one aggregate; only the dictionary is ordered
+        first = cut_lineage(keyed.select(category_text(df, c).alias("_v"), pos.alias("_pos"))
+                                 .groupBy("_v").agg(F.min("_pos").alias("_first")))
         n = first.count()  # dictionary size decides the schema
         k = binary_width(n)
-        ranked = with_row_id(first, ["_first"], name="_ord").select(
+        if order_by:
+            first = first.select("_v", "_first.*")
+            by = first.columns[1:]
+        else:
+            by = ["_first"]
+        ranked = with_row_id(first, by, name="_ord").select(
             F.col("_v").alias(f"_v_{c}"), (F.col("_ord") + 1).alias(f"_o_{c}"))
         out = out.join(ranked, category_text(df, c) == F.col(f"_v_{c}"), "left")
         for b in range(k):

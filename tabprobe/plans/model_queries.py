@@ -261,7 +261,7 @@ FROM (SELECT i1 AS itemset, 1 AS size, freq FROM f1
 @register("frequent_itemsets_brands", ITEMSETS_SQL)
 def frequent_itemsets_brands(spark, sf):
     fi, _ = rules.association_rules(_baskets(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE)
-    return rounded(fi)
+    return rounded(fi.withColumn("itemset", F.array_join("itemset", ",")))
 
 
 @register("association_rules_brands", f"""
@@ -277,7 +277,7 @@ SELECT a AS antecedent, c AS consequent, {r6('confidence')} AS confidence, {r6('
   {r6('support')} AS support FROM r WHERE confidence >= {MIN_CONFIDENCE}""")
 def association_rules_brands(spark, sf):
     _, ar = rules.association_rules(_baskets(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE)
-    return rounded(ar)
+    return rounded(ar.withColumns({c: F.array_join(c, ",") for c in ("antecedent", "consequent")}))
 
 
 EMB_SPLIT_SQL = """(SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42')) - 1

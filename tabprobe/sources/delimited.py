@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabprobe.functions.columns import is_text_type, numeric_columns, qcol, text_columns
 from tabprobe.functions.aggregates import agg_row
@@ -30,9 +29,6 @@ READ_MISSING_TOKENS = ("?", "NA", "na", "N/A", "n/a", "", " ", "null", "NULL",
 # The separators offered for delimited files.
 SEPARATORS = (",", ";", "|", "\t")
 
-# Encodings tried in order.
-ENCODINGS = ("utf-8", "latin-1", "cp1250", "iso-8859-1")
-
 # Readable names for the coded columns of the bundled credit data set.
 CREDIT_COLUMN_NAMES = {
     "A1": "Płeć",
@@ -56,13 +52,13 @@ CREDIT_COLUMN_NAMES = {
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 FLOAT_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
 BOOL_VALUES = ("True", "False", "TRUE", "FALSE", "true", "false")
-ENCODING_SAMPLE_LINES = 10_000
 
 
-def detect_encoding(spark: SparkSession, path: str, sample_lines: int = ENCODING_SAMPLE_LINES) -> str:
-    """UTF-8 unless a bounded sample of lines holds byte sequences that are not
-    valid UTF-8; then ISO-8859-1, which accepts any byte."""
-    lines = spark.read.text(path).limit(sample_lines)
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 unless any line holds byte sequences that are not valid UTF-8; then
+    ISO-8859-1, which accepts any byte. All lines are tested; the scan stops
+    at the first invalid one."""
+    lines = spark.read.text(path)
     bad = lines.where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if bad else "UTF-8"
 
@@ -122,7 +118,8 @@ def normalize_missing(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) ->
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Cast text columns whose every non-missing cell is an integer ->
     bigint, a number -> double, True/False -> boolean. Leading zeros are
-    numeric. One aggregate of per-column pattern counts decides."""
+    numeric; integers of which some are beyond 64 bits make a double column.
+    One aggregate of per-column pattern counts decides."""
     cols = [c for c in (columns or df.columns) if is_text_type(df.schema[c].dataType)]
     if not cols:
         return df
@@ -130,7 +127,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     for i, c in enumerate(cols):
         x = qcol(c)
         aggs += [F.count(x).alias(f"n{i}"),
-                 F.count_if(x.rlike(INT_PATTERN)).alias(f"i{i}"),
+                 F.count_if(x.rlike(INT_PATTERN) & F.trim(x).try_cast("long").isNotNull()).alias(f"i{i}"),
                  F.count_if(x.rlike("(?i)" + FLOAT_PATTERN)).alias(f"f{i}"),
                  F.count_if(x.isin(*BOOL_VALUES)).alias(f"b{i}")]
     r = agg_row(df, aggs)
@@ -201,7 +198,3 @@ def raw_header(spark: SparkSession, path: str, sep: str = ",", encoding: str | N
     enc = encoding or detect_encoding(spark, path)
     first = spark.read.option("encoding", enc).text(path).limit(1).collect()
     return first[0][0].split(sep) if first else []
-
-
-def spark_type_name(dt: T.DataType) -> str:
-    return dt.simpleString()
