@@ -1,7 +1,7 @@
 """Pairwise-complete correlation matrices (S3-S6, V9) in long form
 ``(col_a, col_b, r)``.
 
-* Pearson: one ``corr`` aggregate per batch of pairs.
+* Pearson: one pass for null-free columns, one ``corr`` aggregate per batch of the other pairs.
 * Spearman: Pearson on average ranks. Ranks come from a distributed running
   count over sorted distinct values; pairs that involve missing values are
   re-ranked on that pair's complete rows.
@@ -16,6 +16,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,20 +70,38 @@ def varying_pairs(wide: DataFrame, cols: Sequence[str], pairs) -> list[bool]:
     return [flags[p] for p in pairs]
 
 
+def _one_pass(wide: DataFrame, cols: Sequence[str]) -> dict[tuple[int, int], float]:
+    """Pearson of all pairs of null-free, varying columns: one pass over a vector
+    column; the matrix has columns x columns cells."""
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(wide.select(*[qcol(c) for c in cols]))
+    m = Correlation.corr(vec.select("_x"), "_x").first()[0].toArray()
+    return {(i, j): float(m[i, j]) for i, j in _pairs(cols)}
+
+
 def _pearson_upper(wide: DataFrame, cols: Sequence[str], varying: list[bool] | None = None) -> DataFrame:
-    """Upper-triangle Pearson cells of the (already numeric, NaN-free) columns:
-    one ``corr`` aggregate per batch of pairs (pairwise complete: ``corr``
-    skips rows where either side is missing); constant pairs are NULL."""
+    """Upper-triangle Pearson cells of the (already numeric, NaN-free) columns.
+    Null-free finite columns are correlated in one pass, so scans do not grow with
+    the number of pairs; pairs that touch missing values get one ``corr``
+    aggregate per batch (pairwise complete); constant pairs are NULL."""
     pairs = _pairs(cols)
     if varying is None:
         varying = varying_pairs(wide, cols, pairs)
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk = list(zip(pairs, varying))[start:start + PAIRS_PER_AGGREGATE]
+    inf = float("inf")
+    row = agg_row(wide, [e for k, c in enumerate(cols) for e in (
+        F.count_if(qcol(c).isNull() | (F.abs(qcol(c)) == inf)).alias(f"_m{k}"), (F.min(qcol(c)) < F.max(qcol(c))).alias(f"_v{k}"))])
+    whole = [k for k in range(len(cols)) if not row[f"_m{k}"] and row[f"_v{k}"]]
+    names = [f"_p{k}" for k in whole]
+    known = {}
+    if len(whole) > 1:
+        plain = wide.select(*[qcol(cols[k]).alias(n) for k, n in zip(whole, names)])
+        known = {(whole[i], whole[j]): r for (i, j), r in _one_pass(plain, names).items()}
+    rows = [(cols[i], cols[j], known.get((i, j))) for (i, j), ok in zip(pairs, varying) if (i, j) in known or not ok]
+    parts = [wide.sparkSession.createDataFrame(rows, CORR_DDL)] if rows else []
+    left = [(i, j) for (i, j), ok in zip(pairs, varying) if ok and (i, j) not in known]
+    for start in range(0, len(left), PAIRS_PER_AGGREGATE):
         cells = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                          (F.corr(qcol(cols[i]), qcol(cols[j])) if ok else F.lit(None))
-                          .cast("double").alias("r"))
-                 for (i, j), ok in chunk]
+                          F.corr(qcol(cols[i]), qcol(cols[j])).cast("double").alias("r"))
+                 for i, j in left[start:start + PAIRS_PER_AGGREGATE]]
         parts.append(wide.agg(F.array(*cells).alias("_s")).select(F.inline("_s")))
     out = parts[0]
     for p in parts[1:]:

@@ -64,29 +64,46 @@ def distribution_by_group_events(spark, sf):
     return rounded(chartdata.distribution_by_group(table(spark, sf, "events"), "value", "event_type"))
 
 
-@register("density_by_group_events")
+@register("density_by_group_events", f"""
+WITH v AS (SELECT event_type AS g, value AS x FROM events WHERE value IS NOT NULL),
+s AS (SELECT g, min(x) AS lo, max(x) AS hi, count(*) AS n, coalesce(stddev_samp(x), 0) AS sd,
+             (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349 AS iq FROM v GROUP BY g),
+h AS (SELECT *, CASE WHEN least(sd, iq) > 0 THEN 1.059 * least(sd, iq) * pow(n, -0.2)
+                     WHEN hi > lo THEN (hi - lo) / 10 ELSE 1.0 END AS h FROM s),
+b AS (SELECT v.g, least(greatest(floor((x - lo) / (hi - lo) * 256) + 1, 1), 256) AS b, count(*) AS c
+      FROM v JOIN h ON v.g = h.g GROUP BY 1, 2),
+p AS (SELECT h.*, CAST(i AS INTEGER) AS i, lo + i * (hi - lo) / 63 AS gx FROM h, range(64) r(i))
+SELECT p.g AS event_type, i, {r6('any_value(gx)')} AS x,
+  {r6('sum(c * exp(-0.5 * pow((gx - (lo + (b - 0.5) * (hi - lo) / 256)) / h, 2))) / any_value(n * h * sqrt(2 * pi()))')} AS density
+FROM p JOIN b ON p.g = b.g GROUP BY p.g, i""")
 def density_by_group_events(spark, sf):
-    """Violin density (binned Gaussian KDE); checked by invariants in the tests."""
+    """Violin density (binned Gaussian KDE)."""
     return rounded(chartdata.density_by_group(table(spark, sf, "events"), "value", "event_type"))
 
 
 @register("scatter_points_orders", """
-SELECT o_totalprice, o_custkey FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL
-ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42') LIMIT 1000""")
+SELECT o_totalprice, o_custkey FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL""")
 def scatter_points_orders(spark, sf):
     o = table(spark, sf, "orders")
-    return rounded(chartdata.scatter_points(o, "o_totalprice", "o_custkey", id_cols=["o_orderkey"],
-                                            max_points=1000))
+    return rounded(chartdata.scatter_points(o, "o_totalprice", "o_custkey"))
 
 
 @register("scatter_points_lineitem_colored", """
-SELECT l_extendedprice, l_quantity, l_returnflag FROM lineitem
-ORDER BY md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) || '-42') LIMIT 2000""")
+SELECT l_extendedprice, l_quantity, l_returnflag FROM lineitem""")
 def scatter_points_lineitem_colored(spark, sf):
     li = table(spark, sf, "lineitem")
-    return rounded(chartdata.scatter_points(li, "l_extendedprice", "l_quantity", "l_returnflag",
-                                            id_cols=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-                                            max_points=2000))
+    return rounded(chartdata.scatter_points(li, "l_extendedprice", "l_quantity", "l_returnflag"))
+
+
+@register("density_2d_lineitem", f"""
+WITH b AS (SELECT min(l_extendedprice) AS x0, max(l_extendedprice) AS x1, min(l_quantity) AS y0, max(l_quantity) AS y1 FROM lineitem),
+c AS (SELECT least(greatest(CAST(floor((l_extendedprice - x0) / (x1 - x0) * 40) AS INTEGER) + 1, 1), 40) AS x_bin,
+             least(greatest(CAST(floor((l_quantity - y0) / (y1 - y0) * 25) AS INTEGER) + 1, 1), 25) AS y_bin FROM lineitem, b)
+SELECT x_bin, y_bin, count(*) AS n, {r6('any_value(x0) + (x_bin - 1) * (any_value(x1) - any_value(x0)) / 40')} AS x_lower,
+  {r6('any_value(y0) + (y_bin - 1) * (any_value(y1) - any_value(y0)) / 25')} AS y_lower
+FROM c, b GROUP BY x_bin, y_bin""")
+def density_2d_lineitem(spark, sf):
+    return rounded(chartdata.density_2d(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", 40, 25))
 
 
 @register("trend_line_prices", f"""
@@ -154,12 +171,11 @@ def pair_grid_histograms_lineitem(spark, sf):
 
 
 @register("pair_grid_points_orders", """
-SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders
-ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42') LIMIT 500""")
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders""")
 def pair_grid_points_orders(spark, sf):
     o = table(spark, sf, "orders")
     return rounded(chartdata.pair_grid_points(o, ["o_orderkey", "o_custkey", "o_totalprice"],
-                                              hue="o_orderstatus", id_cols=["o_orderkey"], max_points=500))
+                                              hue="o_orderstatus"))
 
 
 @register("histogram_lineitem_price_30", _hist_sql("lineitem", "l_extendedprice", 30))

@@ -222,7 +222,7 @@ def cluster_points_embeddings(spark, sf):
     w = _emb_wide(spark, sf)
     feats = [f"e{i}" for i in range(EMB_DIMS)]
     model = cluster.train_kmeans(w, feats, 10)
-    return rounded(cluster.cluster_points(model, w, feats, "e0", "e1", id_cols=["vec_id"], max_points=300))
+    return rounded(cluster.cluster_points(model, w, feats, "e0", "e1"))
 
 
 # ------------------------------------------------------------------ M18

@@ -14,13 +14,27 @@ from pyspark.sql import functions as F
 from tabprobe.sources import delimited
 from tabprobe.plans.fixtures import A_SQL, lineitem_nulls, rounded
 from tabprobe.plans.registry import register
-from tabprobe.session import ensure_checkpoint_dir, table
+from tabprobe.session import cut_lineage, ensure_checkpoint_dir, table
 
 
 def scratch_path(spark, name: str) -> str:
+    """A new folder for a written table in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabprobe-io/{name}-{uuid.uuid4().hex}"
 
 
+def reread(df):
+    """The frame with its rows written by a checkpoint, after which the file it was
+    read from is no longer needed and is removed."""
+    out = cut_lineage(df)
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        if "/tabprobe-io/" in f:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(hadoop).delete(path, True)
+    return out
+
+
 def _part_with_tokens(spark, sf):
     p = table(spark, sf, "part")
     return p.select(
@@ -42,21 +56,21 @@ SELECT p_partkey, p_name, CASE WHEN p_brand = 'Brand#13' THEN NULL ELSE p_brand
 def read_delimited_part_semicolon(spark, sf):
     path = scratch_path(spark, "part-csv")
     delimited.write_table(_part_with_tokens(spark, sf), path, "csv", sep=";")
-    return delimited.read_delimited(spark, path, sep=";")
+    return reread(delimited.read_delimited(spark, path, sep=";"))
 
 
 @register("read_delimited_part_tab", PART_TOKENS_SQL)
 def read_delimited_part_tab(spark, sf):
     path = scratch_path(spark, "part-tsv")
     delimited.write_table(_part_with_tokens(spark, sf), path, "csv", sep="\t")
-    return delimited.read_delimited(spark, path, sep="\t")
+    return reread(delimited.read_delimited(spark, path, sep="\t"))
 
 
 @register("read_delimited_part_pipe", PART_TOKENS_SQL)
 def read_delimited_part_pipe(spark, sf):
     path = scratch_path(spark, "part-psv")
     delimited.write_table(_part_with_tokens(spark, sf), path, "csv", sep="|")
-    return delimited.read_delimited(spark, path, sep="|")
+    return reread(delimited.read_delimited(spark, path, sep="|"))
 
 
 @register("normalize_missing_customer_text", """
@@ -80,7 +94,7 @@ def _headerless(spark, sf):
 @register("read_headerless_part", """
 SELECT p_partkey AS "0", CAST(p_size AS BIGINT) AS "1", p_retailprice AS "2", p_brand AS "3" FROM part""")
 def read_headerless_part(spark, sf):
-    return delimited.read_headerless(spark, _headerless(spark, sf))
+    return reread(delimited.read_headerless(spark, _headerless(spark, sf)))
 
 
 @register("rename_columns_part_coded", """
@@ -88,7 +102,7 @@ SELECT p_partkey AS "Płeć", CAST(p_size AS BIGINT) AS "Wiek", p_retailprice AS
   p_brand AS "Status_cywilny" FROM part""")
 def rename_columns_part_coded(spark, sf):
     df = delimited.read_headerless(spark, _headerless(spark, sf), names=["A1", "A2", "A3", "A4"])
-    return delimited.rename_columns(df)
+    return reread(delimited.rename_columns(df))
 
 
 @register("write_table_parquet_roundtrip", f"""
@@ -98,7 +112,7 @@ def write_table_parquet_roundtrip(spark, sf):
     src = lineitem_nulls(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount",
                                            "l_tax", "l_returnflag")
     delimited.write_table(src, path, "parquet")
-    return rounded(spark.read.parquet(path))
+    return reread(rounded(spark.read.parquet(path)))
 
 
 @register("infer_types_orders_text", """
