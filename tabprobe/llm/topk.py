@@ -30,9 +30,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREE_ROWS = 4096
+TREE_ROWS = 8192
 QUERY_ROWS = 4096
-PAGE = 48
+PAGE = 512
 FAN = 16
 
 
@@ -67,7 +67,8 @@ def build(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None,
         far = [int(np.argmax(dist))]  # farthest-first routing vectors
         near = np.sqrt(((v - v[far[0]]) ** 2).sum(axis=1))
         who = np.zeros(len(rows), np.int64)
-        while len(far) < FAN and near.max() > 0:
+        fan = min(FAN, max(2, -(-2 * len(rows) // PAGE)))
+        while len(far) < fan and near.max() > 0:
             far.append(int(np.argmax(near)))
             d = np.sqrt(((v - v[far[-1]]) ** 2).sum(axis=1))
             closer = d < near
@@ -82,8 +83,16 @@ def build(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None,
     return page
 
 
-def search(tree: Page, vectors: np.ndarray, whole: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int):
-    """[(score, id)] of the k best rows of a tree. ``whole``: vectors as integers."""
+def exact_matrix(whole: np.ndarray) -> np.ndarray:
+    """The matrix to take inner products with: doubles while these are exact
+    (below 2**53), else the integers themselves."""
+    top = float(np.abs(whole).max(initial=0))
+    return whole.astype(np.float64) if top * top * whole.shape[1] < 2.0 ** 52 else whole
+
+
+def search(tree: Page, whole: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int):
+    """[(score, id)] of the k best rows of a tree. ``whole``: the vectors as
+    ``exact_matrix`` gives them; ``query`` alike."""
     q = query.astype(np.float64)
     qq = float(q @ q)
     qn = np.sqrt(qq)
@@ -107,14 +116,23 @@ def search(tree: Page, vectors: np.ndarray, whole: np.ndarray, ids: np.ndarray,
             continue
         if page.rows is not None:
             # rows that the parent distance settles are not computed
-            ub = whole_bound((qq + page.norm ** 2 - np.maximum(0, np.abs(d - page.row_dist) - 1e-6) ** 2) / 2)
-            rows = page.rows if floor is None else page.rows[ub >= floor[0]]
-            rows = rows[ids[rows] != own]
-            for s, i in zip((whole[rows] @ query).tolist(), ids[rows].tolist()):
+            rows = page.rows
+            if floor is not None:
+                ub = whole_bound((qq + page.norm ** 2 - np.maximum(0, np.abs(d - page.row_dist) - 1e-6) ** 2) / 2)
+                rows = rows[ub >= floor[0]]
+            found, names = whole[rows] @ query, ids[rows]
+            ok = names != own
+            if floor is not None:
+                ok &= found >= floor[0]
+            found, names = found[ok], names[ok]
+            if len(found) > k:  # only the page's own k best can matter
+                top = np.lexsort((names, -found))[:k]
+                found, names = found[top], names[top]
+            for s, i in zip(found.tolist(), names.tolist()):
                 if len(best) < k:
-                    heapq.heappush(best, (s, -i))
+                    heapq.heappush(best, (int(s), -i))
                 elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
+                    heapq.heapreplace(best, (int(s), -i))
             if len(best) == k:
                 floor = best[0]
             continue
@@ -146,11 +164,13 @@ def _block_task(k):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         whole = np.stack(left["v"].to_numpy()).astype(np.int64)
         ids = left["vec_id"].to_numpy()
-        vectors = whole.astype(np.float64)
-        tree = build(vectors, ids)
+        tree = build(whole.astype(np.float64), ids)
+        queries = np.stack(right["qv"].to_numpy()).astype(np.int64)
+        both = exact_matrix(np.concatenate([whole, queries]))  # one kind of numbers for both sides
+        whole, queries = both[:len(whole)], both[len(whole):]
         out = []
-        for qid, q in zip(right["query_id"].tolist(), right["qv"].to_numpy()):
-            out += [(qid, i, s) for s, i in search(tree, vectors, whole, ids, np.asarray(q, np.int64), qid, k)]
+        for qid, q in zip(right["query_id"].tolist(), queries):
+            out += [(qid, i, s) for s, i in search(tree, whole, ids, q, qid, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
     return run
 

@@ -56,7 +56,8 @@ def test_few_or_no_candidates(spark):
 
 
 @pytest.mark.parametrize("shape", ["normal", "clusters", "equal"])
-def test_search_prunes_and_stays_exact(shape):
+def test_search_prunes_and_stays_exact(shape, monkeypatch):
+    monkeypatch.setattr(T, "PAGE", 20)
     rng = np.random.default_rng(5)
     n = 900
     v = {"normal": rng.normal(size=(n, 12)), "clusters": rng.normal(size=(6, 12))[np.arange(n) % 6] + 0.05 * rng.normal(size=(n, 12)),
@@ -67,4 +68,5 @@ def test_search_prunes_and_stays_exact(shape):
     for j in range(0, n, 90):
         s = whole @ whole[j]
         best = sorted(((-int(x), int(i)) for x, i in zip(s, ids) if i != ids[j]))[:10]
-        assert T.search(tree, whole.astype(float), whole, ids, whole[j], int(ids[j]), 10) == [(-x, i) for x, i in best]
+        m = T.exact_matrix(whole)
+        assert T.search(tree, m, ids, m[j], int(ids[j]), 10) == [(-x, i) for x, i in best]
