@@ -28,8 +28,14 @@ BOOLEAN_TOKENS = ("true", "false", "t", "f", "yes", "no", "y", "n", "1", "0", "+
 NUMERIC_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
 
 # Date-time layouts tried on text columns.
-DATETIME_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS",
-                    "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy")
+DATETIME_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS",
+                    "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS",
+                    "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss",
+                    "dd.MM.yyyy", "dd.MM.yyyy HH:mm", "MM/dd/yyyy", "MM/dd/yyyy HH:mm", "d MMM yyyy", "d MMMM yyyy",
+                    "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy")
+
+# Texts that may be dates: no longer than the longest layout, with a digit and date signs only.
+DATETIME_SHAPE = r"^(?=.*\d)[0-9A-Za-z ,:/.+-]{6,40}$"
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -206,27 +212,36 @@ def categorical_info(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 # ------------------------------------------------------------------ type detection
 
+def _is_datetime(v):
+    """Does the text (trimmed) parse in one of the layouts? Only texts that look
+    like one -- short, a digit, and the signs dates are made of -- are parsed."""
+    t = F.trim(v)
+    parsed = F.lit(False)
+    for fmt in DATETIME_FORMATS:
+        parsed = parsed | F.try_to_timestamp(t, F.lit(fmt)).isNotNull()
+    return F.when(t.rlike(DATETIME_SHAPE), parsed).otherwise(False)
+
+
 def _text_tests(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per text column: the facts the detector needs, from the distinct values.
+    """Per text column: the facts the detector needs.
 
-    Length guards keep the parsers off long texts (no date, number or boolean
-    token is long), and the boolean test collects at most the 12 tokens."""
-    counts = text_value_counts(df, cols)
-    v = F.col("value")
-    n = F.length(v)
-    is_num = (n <= 400) & v.rlike("(?i)" + NUMERIC_PATTERN)
-    is_dt = F.lit(False)
-    for fmt in DATETIME_FORMATS:
-        is_dt = is_dt | F.try_to_timestamp(v, F.lit(fmt)).isNotNull()
-    is_dt = (n <= 40) & is_dt
-    is_tok = (n <= max(len(t) for t in BOOLEAN_TOKENS)) & F.lower(v).isin(*BOOLEAN_TOKENS)
-    return counts.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.sum("n").alias("n_valid"),
-        F.bool_and(is_num).alias("all_numeric"),
-        F.bool_and(is_dt).alias("all_datetime"),
-        F.bool_and(is_tok).alias("all_bool_tokens"),
-        F.size(F.collect_set(F.when(is_tok, F.lower(v)))).alias("n_lower"))
+    What holds for every value is one row-level aggregate without a shuffle (the
+    token set has at most 12 members); distinct values are counted over
+    256-bit digests, so whole texts never leave their task."""
+    longest = max(len(t) for t in BOOLEAN_TOKENS)
+
+    def facts(c):
+        v = qcol(c)
+        tok = (F.length(v) <= longest) & F.lower(v).isin(*BOOLEAN_TOKENS)
+        return [F.count(v).alias("n_valid"), F.bool_and(v.rlike("(?i)" + NUMERIC_PATTERN)).alias("all_numeric"),
+                F.bool_and(_is_datetime(v)).alias("all_datetime"), F.bool_and(tok).alias("all_bool_tokens"),
+                F.size(F.collect_set(F.when(tok, F.lower(v)))).alias("n_lower")]
+    tests = _per_column(df, cols, facts).drop("_ord")
+    long = df.select(*[F.unhex(F.sha2(qcol(c), 256)).alias(c) for c in cols]).unpivot(
+        [], [qcol(c) for c in cols], "column_name", "digest").where(F.col("digest").isNotNull())
+    distinct = long.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    # a column without values has no facts
+    return tests.where("n_valid > 0").join(F.broadcast(distinct), "column_name")  # one row per column
 
 
 def detect_column_types(df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def dataset_info_lineitem_nulls(spark, sf):
 
 # ------------------------------------------------------------------ P2
 
-NUM_RE = profile.NUMERIC_PATTERN
+NUM_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
 # The same date layouts as profile.DATETIME_FORMATS, in strptime notation.
 SQL_DATE_FORMATS = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f",
                     "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y")
@@ -45,7 +45,7 @@ def detect_sql(source: str, text_cols: list[str], typed: dict[str, str]) -> str:
     parts = []
     for c, label in typed.items():
         parts.append(f"SELECT '{c}' AS column_name, '{label}' AS detected_type")
-    toks = ", ".join(f"'{t}'" for t in profile.BOOLEAN_TOKENS)
+    toks = "'true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', '1', '0', '+', '-'"
     for c in text_cols:
         dt = " OR ".join(f"try_strptime({c}, '{f}') IS NOT NULL" for f in SQL_DATE_FORMATS)
         parts.append(f"""SELECT '{c}' AS column_name, CASE
