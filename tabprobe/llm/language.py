@@ -40,6 +40,7 @@ LEAD, STEPS, RATE = 64, 60, 0.3
 BLOCK = 32  # words handled one after another; blocks are handled side by side
 _LETTERS = np.zeros(256, bool)  # ASCII letters and all non-ASCII bytes
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
+_ASCII = _LETTERS & (np.arange(256) < 128)
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -180,15 +181,22 @@ def predict(arr: pa.Array, model: Chain | None):
     """(labels, scores) of the texts of an array."""
     out, scores = [], []
     for lo, hi in slices(arr):
-        data, starts, ends, bounds = text_words(arr.slice(lo, hi - lo))
+        part = arr.slice(lo, hi - lo)
+        data, starts, ends, bounds = text_words(part)
         count = np.diff(bounds)
+        # words without an ASCII letter may hold signs only: those texts are looked at
+        plain = np.concatenate([[0], np.cumsum(_ASCII[data], dtype=np.int64)])
+        _, off = text_buffers(part)
+        for i in np.flatnonzero((count > 0) & (plain[off[1:]] == plain[off[:-1]])).tolist():
+            if not any(map(str.isalpha, part[i].as_py())):
+                count[i] = 0
         if model is None or not len(starts):
             out += ["und"] * len(count)
             scores.append(np.zeros(len(count)))
             continue
         e, number, _, _ = model.emissions(data, starts, ends)
         post = posteriors(_softplus_rows(e)[number], bounds, model.moves, model.begin)
-        row = np.repeat(np.arange(len(count)), count)
+        row = np.repeat(np.arange(len(count)), np.diff(bounds))
         mean = np.stack([np.bincount(row, post[:, k], len(count)) for k in range(post.shape[1])], axis=1) / np.maximum(count, 1)[:, None]
         best = mean.argmax(axis=1)
         out += [model.labels[b] if c else "und" for b, c in zip(best, count)]

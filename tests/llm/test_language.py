@@ -74,6 +74,13 @@ def test_switched_words_get_their_own_language():
     assert post.argmax(axis=1).tolist() == [0] * 6 + [1] * 6
 
 
+def test_texts_of_signs_only_have_no_language():
+    model = L.fit(["ba bo bi", "ke ku ka"] * 5, ["aa", "bb"] * 5)
+    got, score = L.predict(pa.array(["\u2013 \u2026 \u00bf!", "\u0661\u0662 12", "\U0001f600", "\u00e9", "ba \u2013", None, ""]), model)
+    assert [g == "und" for g in got] == [True, True, True, False, False, True, True]
+    assert [x == 0 for x in score] == [True, True, True, False, False, True, True]
+
+
 def test_odd_rows(spark, odd, empty):
     model = L.train(odd.select("text", "lang"))
     out = L.identify(odd, model).collect()
