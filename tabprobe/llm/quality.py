@@ -43,7 +43,7 @@ _SIGN = ~(_LOWER | _UPPER | _HIGH | _DIGIT)
 _SIGN[[9, 10, 11, 12, 13, 32]] = False
 _COMMON = np.zeros(256, bool)
 _COMMON[[ord(x) for x in ".,;:'\"-()?"]] = True
-_SHAPE = np.zeros(256, np.uint64)
+_SHAPE = np.zeros(256, np.uint8)
 for _k, _m in enumerate((_LOWER, _UPPER, _HIGH, _DIGIT, _SIGN & _COMMON, _SIGN & ~_COMMON)):
     _SHAPE[_m] = 1 << _k
 
@@ -128,7 +128,7 @@ def features(t: Texts):
     # union of byte shapes in a word, and of its first and last byte
     shape = np.zeros(len(h), np.uint64)
     for k in range(6):
-        c = np.concatenate([[0], np.cumsum((bits >> np.uint64(k)) & np.uint64(1))])
+        c = np.concatenate([[0], np.cumsum((bits >> k) & 1, dtype=np.int32)])
         shape |= (c[t.ends] > c[t.starts]).astype(np.uint64) << np.uint64(k)
     size = np.minimum(t.ends - t.starts, 20).astype(np.uint64)
     edge = (t.data[t.starts].astype(np.uint64) << np.uint64(8)) | t.data[t.ends - 1]
@@ -272,12 +272,14 @@ def scores(arr: pa.Array, weights: np.ndarray | None) -> np.ndarray:
 def _score_task(shared, schema, keep_at):
     def run(batches):
         for batch in batches:
-            s = scores(batch.column("_text"), shared.value)
-            rest = [batch.column(i) for i in range(batch.num_columns - 1)]
-            if keep_at is None:
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(s)], schema=schema)
-            else:
-                yield pa.RecordBatch.from_arrays(rest, schema=schema).filter(pa.array(s >= keep_at))
+            for lo, hi in slices(batch.column("_text")):  # small pieces out: nothing of a batch's size is copied
+                part = batch.slice(lo, hi - lo)
+                s = scores(part.column("_text"), shared.value)
+                rest = [part.column(i) for i in range(part.num_columns - 1)]
+                if keep_at is None:
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(s)], schema=schema)
+                else:
+                    yield pa.RecordBatch.from_arrays(rest, schema=schema).filter(pa.array(s >= keep_at))
     return run
 
 

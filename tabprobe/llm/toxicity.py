@@ -119,7 +119,9 @@ class Landmarks:
         table = np.zeros(0x110000, np.uint64)
         for c, b in self.bit.items():
             table[ord(c)] = b
-        have = np.bitwise_or.reduce(table[codes], axis=1)
+        have = np.zeros(len(codes), np.uint64)
+        for j in range(codes.shape[1]):  # column by column: no array of eight bytes a letter
+            have |= table[codes[:, j]]
         order = np.argsort(sizes, kind="stable")
         for k, z in enumerate(self.codes):
             lacking = self.masks[k] & ~have[order]
@@ -386,7 +388,7 @@ def _score_task(shared, schema, keep_below):
     def run(batches):
         model = shared.value
         for batch in batches:
-            for lo, hi in slices(batch.column("_text"), 4 << 20):
+            for lo, hi in slices(batch.column("_text")):
                 part = batch.slice(lo, hi - lo)
                 s = model.scores(part.column("_text")) if model is not None else np.zeros(len(part))
                 rest = [part.column(i) for i in range(part.num_columns - 1)]
