@@ -16,8 +16,9 @@ only if it lacks at most one of the landmark's letters; otherwise its kernel
 value counts as 0. Each distinct word of a chunk is compared once.
 
 Scale: scoring is row-wise over whole texts. Substring counts are made by
-Spark over the training sample (at most ``SAMPLE_ROWS`` labelled texts, chosen
-by hash); the driver gets at most ``CANDIDATES`` substrings and one row of
+Spark over the training sample (at most ``SAMPLE_ROWS`` labelled texts, half of
+each kind at most, chosen by hash); the sigmoid weighs its rows by the counts of
+all labelled texts, so scores keep the natural rate of toxic texts; the driver gets at most ``CANDIDATES`` substrings and one row of
 kernel values per sampled text.
 
 Defined results: null, empty and letterless texts score as texts without any
@@ -279,9 +280,11 @@ def choose_landmarks(grams: list[str], held: list[list[int]], toxic: np.ndarray,
     return [grams[k] for k in chosen]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 3000, ridge: float = 1e-4):
+def fit_svm(x: np.ndarray, y: np.ndarray, share: float | None = None, steps: int = 3000, ridge: float = 1e-4):
     """Linear support vector machine (squared hinge, classes weighted alike) by
-    accelerated gradient steps; then Platt's sigmoid on its margins."""
+    accelerated gradient steps; then Platt's sigmoid on its margins. ``share``
+    is the rate of toxic texts that the sigmoid's rows are weighted to (none:
+    that of the rows)."""
     s = np.where(y, 1.0, -1.0)
     cw = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
     x1 = np.hstack([x, np.ones((len(x), 1))])
@@ -297,11 +300,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 3000, ridge: float = 1e-4
     m = x1 @ w
     n1, n0 = y.sum(), (~y).sum()
     target = np.where(y, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.ones(len(y)) if share is None else np.where(y, share / max(n1, 1), (1 - share) / max(n0, 1)) * len(y)
     a, b = 2.0, 0.0
     for _ in range(100):  # Newton steps on the sigmoid's two parameters
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([((p - target) * m).sum() + 1e-3 * (a - 2), (p - target).sum()])
-        q = p * (1 - p) + 1e-9
+        g = np.array([(weight * (p - target) * m).sum() + 1e-3 * (a - 2), (weight * (p - target)).sum()])
+        q = weight * p * (1 - p) + 1e-9
         h = np.array([[(q * m * m).sum() + 1e-3, (q * m).sum()], [(q * m).sum(), q.sum() + 1e-6]])
         d = np.linalg.solve(h, g)
         a, b = a - np.clip(d[0], -1, 1), b - np.clip(d[1], -1, 1)
@@ -347,22 +351,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model learned from labelled rows; None without both kinds of labels."""
     lab = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
                  .where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    lab = cut_lineage(lab.join(texts.select("id").distinct(), "id"))  # ids and labels of the texts at hand
+    known = {r["toxic"]: r["count"] for r in lab.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
+    if len(known) < 2:
+        return None
     key = F.xxhash64(F.col("id"), F.lit(9))
     picked = None
     for side in ("toxic > 0", "toxic <= 0"):  # at most sample_rows rows in all
         part = lab.where(side).orderBy(key, "id").limit(sample_rows // 2)
         picked = part if picked is None else picked.unionAll(part)
     picked = cut_lineage(picked)
-    if picked.where("toxic > 0").isEmpty() or picked.where("toxic <= 0").isEmpty():
-        return None
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # copies of one id are one text: the first in text order
     sample = cut_lineage(texts.join(F.broadcast(picked), "id").groupBy("id").agg(
         F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", (F.col("toxic") > 0).alias("toxic"))
         .repartition(8))
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(totals) < 2:
-        return None
     grams = (sample.mapInArrow(_grams_task, "gram string, t bigint, c bigint")
                    .groupBy("gram").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
                    .where("t >= 3"))
@@ -378,7 +382,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = sample.mapInArrow(_values_task(strings), "toxic int, v array<float>").toArrow()
     y = got["toxic"].to_numpy() > 0
     model = Model(strings, nystrom(strings), None, 1.0, 0.0)
-    model.w, model.a, model.b = fit_svm(model.features(np.array(got["v"].to_pylist(), float)), y)
+    model.w, model.a, model.b = fit_svm(model.features(np.array(got["v"].to_pylist(), float)), y, known[True] / sum(known.values()))
     return model
 
 

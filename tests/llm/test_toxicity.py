@@ -60,6 +60,19 @@ def test_gapped_insults_and_clean_texts(spark, odd, empty):
     assert {r["score"] for r in T.score(odd, None).collect()} == {0.0}
 
 
+def test_scores_keep_the_natural_rate_above_the_bound(spark):
+    """Half of the toxic texts look clean: their score is their rate among such texts, whatever the sample."""
+    rng = np.random.default_rng(2)
+    clean = ["".join(rng.choice(list("aeionrtl"), 6)) for _ in range(200)]
+    docs = [(i, " ".join(rng.choice(clean, 30)) + (" stupid" if i % 20 == 0 else "")) for i in range(2000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    plain = pa.array([t for i, t in docs if i % 20][:300])
+    whole, bounded = (T.train(d, lab, sample_rows=n).scores(plain) for n in (T.SAMPLE_ROWS, 300))
+    assert 0.02 < whole.mean() < 0.1 and 0.02 < bounded.mean() < 0.1  # 100 of 1,900
+    assert np.mean(bounded >= T.PREDICT_AT) < 0.02
+
+
 def test_held_out_accuracy(spark):
     import __spark_entry__ as E
     sf = "/root/testdata/sf0.01"
