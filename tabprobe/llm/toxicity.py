@@ -11,9 +11,9 @@ trained on the labels, its margin turned into a score by Platt's sigmoid.
 
 Words are runs of non-space characters, lower-cased, reduced to their letters
 (so inserted signs and digits vanish) and framed as ``^word$``; three or more
-single letters in a row are read as one word. A word is compared with a landmark
-only if it lacks at most one of the landmark's letters; otherwise its kernel
-value counts as 0. Each distinct word of a chunk is compared once.
+single letters in a row are read as one word. Every word is compared with every
+landmark and its kernel value taken as it is (the rate takes its power
+``SHARP``), each distinct word of a chunk once.
 
 Scale: scoring is row-wise over whole texts. Substring counts are made by
 Spark over the training sample (at most ``SAMPLE_ROWS`` labelled texts, half of
@@ -45,7 +45,7 @@ LANDMARKS = 48
 ORDER = 3
 DECAY = 0.5
 LONGEST_WORD = 48  # letters compared at once: longer words are compared in overlapping parts
-FLOOR = 0.5  # smaller kernel values count as 0
+SHARP = 3  # power of the kernel values whose rate is taken: close words count, however many distant ones there are
 RATE = 40  # a text is full of a landmark when one word in RATE matches it
 PREDICT_AT = 0.3
 _GRAMS = (4, 5, 6)
@@ -92,46 +92,70 @@ def _codes(words: list[str]):
 
 
 class Landmarks:
-    """Landmark strings ready to be compared with words."""
+    """Landmark strings ready to be compared with words.
+
+    A subsequence of three signs is its middle sign with one sign on each side,
+    so the kernel is a sum over pairs of equal middle signs: the product of what
+    the two strings hold alike before them and of what they hold alike after
+    them, each sign weighted by its distance. Every word is compared."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
         self.codes = [np.array([ord(c) for c in z], np.uint32) for z in strings]
-        signs = sorted(set("".join(strings)))
-        if len(signs) > 64:
-            signs = [c for c, _ in Counter("".join(set(z)) for z in strings).most_common(64)]
-        self.bit = {c: 1 << i for i, c in enumerate(signs)}
-        self.masks = np.array([self.mask(z) for z in strings], np.uint64)
         self.own = np.array([kernel(*_codes([z]), c)[0] for z, c in zip(strings, self.codes)])
-
-    def mask(self, word: str) -> int:
-        m = 0
-        for c in set(word):
-            m |= self.bit.get(c, 0)
-        return m
+        self.signs = np.array(sorted({ord(c) for z in strings for c in z}), np.uint32)
+        codes, sizes = _codes(strings)
+        slot = self._slots(codes)
+        inside = np.arange(codes.shape[1])[None, :] < sizes[:, None]
+        before, after = self._sides(slot)
+        self.slot, self.before, self.after = slot[inside], before[inside], after[inside]
+        self.of = np.repeat(np.arange(len(strings)), sizes)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        """Each code point's place among the landmarks' signs, their number for any other."""
+        n = len(self.signs)
+        if not n:
+            return np.zeros(codes.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.signs, codes), n - 1)
+        return np.where(self.signs[at] == codes, at, n)
+
+    def _sides(self, slot: np.ndarray):
+        """(words, places, signs): the signs before and after a place, by distance."""
+        n, most = slot.shape
+        lam = np.float32(DECAY)
+        eye = np.eye(len(self.signs) + 1, len(self.signs), dtype=np.float32)
+        before, after = (np.zeros((n, most, len(self.signs)), np.float32) for _ in range(2))
+        for j in range(1, most):
+            before[:, j] = lam * (before[:, j - 1] + eye[slot[:, j - 1]])
+        for j in range(most - 2, -1, -1):
+            after[:, j] = lam * (after[:, j + 1] + eye[slot[:, j + 1]])
+        return before, after
 
     def values(self, words: list[str]) -> np.ndarray:
         """Kernel values over each landmark's own value, at most 1: (words, landmarks)."""
         out = np.zeros((len(words), len(self.strings)), np.float32)
         if not words:
             return out
-        # letters of the words as bits, by one lookup per code point
-        codes, sizes = _codes(words)
-        table = np.zeros(0x110000, np.uint64)
-        for c, b in self.bit.items():
-            table[ord(c)] = b
-        have = np.zeros(len(codes), np.uint64)
-        for j in range(codes.shape[1]):  # column by column: no array of eight bytes a letter
-            have |= table[codes[:, j]]
+        sizes = np.array([len(w) for w in words], np.int64)
         order = np.argsort(sizes, kind="stable")
-        for k, z in enumerate(self.codes):
-            lacking = self.masks[k] & ~have[order]
-            near = order[(lacking & (lacking - np.uint64(1))) == 0]
-            near = near[sizes[near] >= ORDER]
-            for at in range(0, len(near), 4096):  # words of like length together
-                pick = near[at:at + 4096]
-                most = int(sizes[pick].max())
-                out[pick, k] = np.minimum(kernel(codes[pick, :most], sizes[pick], z) / self.own[k], 1)
+        for at in range(0, len(order), 1024):  # words of like length together
+            pick = order[at:at + 1024]
+            codes, _ = _codes([words[i] for i in pick])
+            slot = self._slots(codes)
+            before, after = self._sides(slot)
+            word = np.repeat(np.arange(len(pick)), slot.shape[1])
+            slot, before, after = slot.ravel(), before.reshape(-1, len(self.signs)), after.reshape(-1, len(self.signs))
+            total = np.zeros((len(pick), len(self.strings)), np.float32)
+            for c in range(len(self.signs)):
+                here, there = np.flatnonzero(slot == c), np.flatnonzero(self.slot == c)
+                if not len(here):
+                    continue
+                alike = (before[here] @ self.before[there].T) * (after[here] @ self.after[there].T)
+                by_mark = np.zeros((len(there), len(self.strings)), np.float32)
+                by_mark[np.arange(len(there)), self.of[there]] = 1
+                first = np.flatnonzero(np.diff(word[here], prepend=-1))
+                total[word[here][first]] += np.add.reduceat(alike @ by_mark, first, axis=0)
+            out[pick] = np.minimum(np.float32(DECAY * DECAY) * total / self.own, 1)
         return out
 
 
@@ -194,14 +218,15 @@ def text_values(arr: pa.Array, marks: Landmarks) -> np.ndarray:
     if not words:
         return out
     v = marks.values(words)
-    v[v < FLOOR] = 0
-    hit = np.flatnonzero((v > 0).any(axis=1)[at])
-    at, row = at[hit], row[hit]
-    for k in range(m):
-        col = v[at, k]
-        some = col > 0
-        np.maximum.at(out[:, k], row[some], col[some])
-        out[:, m + k] = np.minimum(1, RATE * np.bincount(row[some], col[some], len(total)) / (total + 20))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    for lo in range(0, len(first), 64):  # texts of a bounded number together
+        some = first[lo:lo + 64]
+        end = first[lo + 64] if lo + 64 < len(first) else len(row)
+        mine = v[at[some[0]:end]]
+        rows = row[some]
+        out[rows, :m] = np.maximum.reduceat(mine, some - some[0], axis=0)
+        rate = np.add.reduceat(mine ** SHARP, some - some[0], axis=0)
+        out[rows, m:] = np.minimum(1, RATE * rate / (total[rows, None] + 20))
     return out
 
 

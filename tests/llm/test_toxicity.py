@@ -60,6 +60,34 @@ def test_gapped_insults_and_clean_texts(spark, odd, empty):
     assert {r["score"] for r in T.score(odd, None).collect()} == {0.0}
 
 
+def test_every_word_has_its_kernel_values():
+    marks = T.Landmarks(["^idiot", "moron", "tupid$", "oron$"])
+    words = ["^ixdxixoxt$", "^mxoxrxoxn$", "^sxtxuxpxixd$", "^radio$", "^tent$", "^zz$", "^日本$"]
+    want = [[min(1, slow_kernel(w, z) / slow_kernel(z, z)) for z in marks.strings] for w in words]
+    assert np.allclose(marks.values(words), want, rtol=1e-4)
+    texts = pa.array(["zz ixdxixoxt", "mxoxrxoxn", "sxtxuxpxixd tent", "zz", ""])
+    got = T.text_values(texts, marks)[:, :4]
+    assert np.allclose(got[:3], [want[0], want[1], np.maximum(want[2], want[4])], rtol=1e-4)
+    assert (got[:3].max(axis=1) > 0.05).all() and (got[3:] == 0).all()
+
+
+def test_insults_with_a_letter_between_all_letters(spark):
+    rng = np.random.default_rng(5)
+    clean = ["".join(rng.choice(list("aeilbcfgh"), 6)) for _ in range(300)]
+
+    def gapped(word):
+        return "".join(c + str(rng.choice(list("xqzk"))) for c in word[:-1]) + word[-1]
+
+    def text(i):
+        bad = str(rng.choice(["stupid", "moron"]))
+        return " ".join([*rng.choice(clean, 20), *([[], [bad], [gapped(bad)]][i % 3])])
+
+    d = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
+    model = T.train(d, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, toxic int"))
+    new = model.scores(pa.array([text(i) for i in range(300)])) >= T.PREDICT_AT
+    assert new[2::3].mean() >= 0.95 and new[1::3].mean() >= 0.95 and new[::3].mean() <= 0.05
+
+
 def test_scores_keep_the_natural_rate_above_the_bound(spark):
     """Half of the toxic texts look clean: their score is their rate among such texts, whatever the sample."""
     rng = np.random.default_rng(2)
