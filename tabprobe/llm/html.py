@@ -3,7 +3,8 @@
 Markup is stripped into lines, one per block of text, in page order. Navigation,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts
 and styles are recognised by element name, role, class or id and leave empty
-lines behind. The text lengths (link texts count nothing) are summed over a
+lines behind; an element so marked that wraps the article stays, and only the
+marked parts inside it go. The text lengths (link texts count nothing) are summed over a
 sliding window of ``WINDOW`` lines; a surge is where the sums rise from zero and
 reach ``min(SURGE, half the page's largest sum)``, the dive where they fall back
 to zero. The text between surge and dive points is kept, whole. An article or
@@ -40,6 +41,8 @@ _BLOCKS = frozenset("""address article aside blockquote body br caption center d
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _STRIPPED = frozenset("nav header footer aside form button menu dialog fieldset label input".split())
 _ARTICLE = frozenset(("article", "main"))
+#: never around an article that no article or main element marks
+_NO_WRAPPERS = frozenset("nav header footer aside button menu dialog label".split())
 #: whole words of class, id and role values that mark what is not the article
 _MARKS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner banners nav navbar
     navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside complementary contentinfo comment comments
@@ -80,7 +83,8 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
 
     tags = list(_TAG.finditer(text))
     n = len(tags)
-    last_end = {(m.group(2) or "").lower(): i for i, m in enumerate(tags) if m.group(1) == "/"}
+    ends = _ends(tags)
+    standing = _standing(text, tags, ends)
     k = 0
     while k < n:
         m = tags[k]
@@ -101,11 +105,11 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
                 if depth == 0:
                     skip = None
             continue
-        if not ending and name not in _VOID and name not in _ARTICLE and name not in ("html", "body") and (name in _STRIPPED or _marked(m.group(3))):
+        if _unwanted(m) and k - 1 not in standing:
             close()
             if not article:
                 out.extend(gap)
-            if last_end.get(name, -1) >= k and _has_end(tags, k, name):
+            if ends[k - 1] >= 0:
                 skip, depth = name, 1
             else:  # never closed: up to the next block
                 while k < n and (tags[k].group(2) or "").lower() not in _BLOCKS:
@@ -131,14 +135,77 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
     return out
 
 
-def _has_end(tags, k: int, name: str) -> bool:
-    depth = 1
-    for m in tags[k:]:
-        if (m.group(2) or "").lower() == name:
-            depth += -1 if m.group(1) == "/" else 1
-            if depth == 0:
-                return True
-    return False
+def _unwanted(m) -> bool:
+    """A start tag whose element is stripped, unless it wraps the article."""
+    name = (m.group(2) or "").lower()
+    return bool(name) and m.group(1) != "/" and name not in _VOID and name not in _ARTICLE and name not in ("html", "body") and (
+        name in _STRIPPED or _marked(m.group(3)))
+
+
+def _ends(tags) -> list[int]:
+    """The end tag of each start tag (-1: none), by elements of one name."""
+    out = [-1] * len(tags)
+    waiting: dict[str, list[int]] = {}
+    for i, m in enumerate(tags):
+        name = (m.group(2) or "").lower()
+        if m.group(1) != "/":
+            waiting.setdefault(name, []).append(i)
+        elif waiting.get(name):
+            out[waiting[name].pop()] = i
+    return out
+
+
+def _standing(text: str, tags, ends: list[int]) -> set[int]:
+    """Start tags of marked elements that wrap the page's article.
+
+    On a page whose article and main elements all lie in marked elements these
+    are the ones around a main element, or else around an article. Elsewhere it
+    is one that holds most of the text outside links (of the article, inside
+    one) and leaves next to nothing beside it, or holds the page's heading."""
+    n = len(tags)
+    found = [(i, ends[i]) for i, m in enumerate(tags) if ends[i] >= 0 and _unwanted(m)]
+    if not found:
+        return set()
+    every, inside, heads = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # before each tag: text, text inside articles, headings
+    articles, mains, free, depths = [0] * (n + 1), [0] * (n + 1), 0, [0] * n
+    depth, link, at, until = 0, False, 0, -1
+    for i, m in enumerate(tags):
+        size = 0 if link else len(" ".join(text[at:m.start()].split()))
+        at = m.end()
+        name, ending = (m.group(2) or "").lower(), m.group(1) == "/"
+        every[i + 1], inside[i + 1] = every[i] + size, inside[i] + (size if depth else 0)
+        heads[i + 1] = heads[i] + (name == "h1" and not ending)
+        articles[i + 1] = articles[i] + (name in _ARTICLE and not ending)
+        mains[i + 1] = mains[i] + (name == "main" and not ending)
+        if name == "a":
+            link = not ending
+        elif name in _BLOCKS:
+            link = False
+        depths[i] = depth
+        if ends[i] >= 0 and _unwanted(m):
+            until = max(until, ends[i])
+        if name in _ARTICLE:
+            free += not ending and i > until
+            depth = max(0, depth + (-1 if ending else 1))
+    sums = inside if free else every
+    held = {(i, j): sums[j + 1] - sums[i + 1] for i, j in found}
+    # the text left when the elements with at most half of the text go
+    left, covered, k = [0] * (n + 1), -1, 0
+    small = [x for x in found if 2 * held[x] <= sums[n]]
+    for i in range(n):
+        left[i + 1] = left[i] + (0 if i <= covered else sums[i + 1] - sums[i])
+        while k < len(small) and small[k][0] <= i:
+            covered, k = max(covered, small[k][1]), k + 1
+    out = set()
+    for i, j in found:
+        if articles[n] and not depths[i]:
+            if not free and (mains[j] > mains[i] if mains[n] else articles[j] > articles[i]):
+                out.add(i)
+        elif (tags[i].group(2) or "").lower() not in _NO_WRAPPERS and 2 * held[i, j] > sums[n]:
+            beside = left[n] - (left[j + 1] - left[i + 1])
+            if heads[j] > heads[i] or beside < (1 if depths[i] else SURGE):
+                out.add(i)
+    return out
 
 
 def kept_spans(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:

@@ -29,6 +29,24 @@ def test_pages(name):
     assert H.main_text(page) == want
 
 
+WRAPPED = {
+    "layout": (f"<div class='layout has-sidebar'><div class=sidebar>Side</div><div class=content><h1>T</h1><p>{LONG}</p></div></div><footer>f</footer>", f"T\n{LONG}"),
+    "around an article": (f"<div id=page class=no-sidebar><nav>n</nav><article><p>{LONG}</p></article><section class=comments>c</section></div>", LONG),
+    "form": (f"<form action=x><input name=a><p>{LONG}</p><p>Short.</p></form>", f"{LONG}\nShort."),
+    "two deep": (f"<div class=no-sidebar><div class='with-header'><p>{LONG}</p></div></div>", LONG),
+    "inside main": (f"<main><div class=has-sidebar><article><p>{LONG}</p></article></div></main>", LONG),
+    "comments in articles": (f"<article><p>{LONG}</p></article><section class=comments><article><p>{LONG}{LONG}</p></article></section>", LONG),
+    "teaser in the footer": (f"<div class=no-sidebar><main><p>{LONG}</p></main></div><footer><article>t</article></footer>", LONG),
+    "many comments": (f"<div id=content><p>{LONG}</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_marked_wrappers(name):
+    page, want = WRAPPED[name]
+    assert H.main_text(page) == want
+
+
 def test_surge_and_dive_points():
     assert H.kept_spans([0, 0, 0, 5, 100, 3, 0, 0, 0, 10, 0, 0, 0]) == [(1, 6)]
     assert H.kept_spans([]) == [] and H.kept_spans([0, 0]) == []
