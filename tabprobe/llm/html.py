@@ -8,8 +8,10 @@ marked parts inside it go. The text lengths (link texts count nothing) are summe
 sliding window of ``WINDOW`` lines; a surge is where the sums rise from zero and
 reach ``min(SURGE, half the page's largest sum)``, the dive where they fall back
 to zero. The text between surge and dive points is kept, whole. An article or
-main element is bounded by empty lines, and what is stripped inside it leaves
-none, so one article is one stretch; if a page has such an element, only its
+main element is bounded by empty lines, and what is stripped inside it, or
+between blocks of one and the same element, leaves none, so one article is one
+stretch; lines of links only (but for lists of links) go with text before them in
+the same element; if a page has such an element, only its
 lines count.
 
 Scale: row-wise over whole pages; a page is read once.
@@ -38,6 +40,7 @@ _NAMED = re.compile(r"""(?is)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""
 _BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary
     table tbody td tfoot th thead tr ul""".split())
+_HOLDERS = frozenset("html body div section article main td th form fieldset center header footer aside nav".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _STRIPPED = frozenset("nav header footer aside form button menu dialog fieldset label input".split())
 _ARTICLE = frozenset(("article", "main"))
@@ -66,7 +69,10 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     buf: list[str] = []
     plain: list[str] = []
-    gap = [("", 0, False)] * WINDOW
+    homes: list[tuple[int, ...]] = []  # by line: the elements whose block it is
+    gaps: list[tuple[int, int]] = []  # (lines before it, element around it) of stripped elements
+    around, made = [(0, "")], 1  # open elements that hold blocks
+    bare = listed = False  # directly in the last of them; in a list
     article = link = 0
     at = 0
     skip: str | None = None  # element being stripped
@@ -78,6 +84,7 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
             if words:
                 size = len(" ".join(html.unescape("".join(plain)).split()))
                 out.append((words, size, article > 0))
+                homes.append(() if listed and not size else tuple(x for x, _ in around[-2 if bare else -1:]))
             buf.clear()
             plain.clear()
 
@@ -108,7 +115,7 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
         if _unwanted(m) and k - 1 not in standing:
             close()
             if not article:
-                out.extend(gap)
+                gaps.append((len(out), around[-1][0]))
             if ends[k - 1] >= 0:
                 skip, depth = name, 1
             else:  # never closed: up to the next block
@@ -126,13 +133,49 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
             if name in _ARTICLE:
                 article = max(0, article + (-1 if ending else 1))
                 if article == (0 if ending else 1):
-                    out.extend(gap)
+                    gaps.append((len(out), -1))
+            if name in ("ul", "ol", "menu"):
+                listed = not ending
+            if name not in _HOLDERS:
+                bare = False
+            elif not ending:
+                around.append((made, name))
+                made, bare = made + 1, True
+            elif any(x == name for _, x in around):
+                while around.pop()[1] != name:
+                    pass
+                bare = False
     if skip is None and at < len(text):
         rest = re.sub(r"<[a-zA-Z/!][^>]*\Z", "", text[at:])  # a tag cut off at the page's end
         buf.append(rest)
         plain.append(rest)
     close()
-    return out
+    return _with_gaps(out, homes, gaps)
+
+
+def _with_gaps(out, homes, gaps):
+    """The lines with empty ones where something was stripped, but for between
+    blocks of one element; there lines of links only count once text came."""
+    first: dict[int, int] = {}  # by element: its first and last line of text, the last one of any kind
+    last: dict[int, int] = {}
+    for i, mine in enumerate(homes):
+        for x in mine:
+            if out[i][1]:
+                first.setdefault(x, i)
+            last[x] = i
+    lines, k = [], 0
+    for i in range(len(out) + 1):
+        while k < len(gaps) and gaps[k][0] == i:
+            home = gaps[k][1]
+            if home < 0 or first.get(home, i) >= i or last[home] < i:
+                lines.extend([("", 0, False)] * WINDOW)
+            k += 1
+        if i < len(out):
+            words, size, inside = out[i]
+            if not size and any(first.get(x, i) < i for x in homes[i]):
+                size = 1
+            lines.append((words, size, inside))
+    return lines
 
 
 def _unwanted(m) -> bool:

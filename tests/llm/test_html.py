@@ -47,6 +47,22 @@ def test_marked_wrappers(name):
     assert H.main_text(page) == want
 
 
+INTERRUPTED = {
+    "advert": (f"<p>{LONG}</p><div class=ad>Buy</div><p>Short ending.</p>", f"{LONG}\nShort ending."),
+    "title": (f"<body><div id=x><h1>T</h1><div class=share><a>s</a></div><p>{LONG}</p></div><div class=menu>m</div></body>", f"T\n{LONG}"),
+    "links at the end": (f"<div><p>{LONG}</p><p><a>One</a></p><p><a>Two</a></p></div>", f"{LONG}\nOne\nTwo"),
+    "bare texts": (f"<div>{LONG}</div><div class=cookie>c</div><div>End.</div>", f"{LONG}\nEnd."),
+    "link list below": (f"<div><p>{LONG}</p></div><ul><li><a>a</a><li><a>b</a></ul>", LONG),
+    "other element": (f"<div><p>{LONG}</p></div><div class=sidebar>s</div><section><p>Legal.</p></section>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", INTERRUPTED)
+def test_interrupted_articles(name):
+    page, want = INTERRUPTED[name]
+    assert H.main_text(page) == want
+
+
 def test_surge_and_dive_points():
     assert H.kept_spans([0, 0, 0, 5, 100, 3, 0, 0, 0, 10, 0, 0, 0]) == [(1, 6)]
     assert H.kept_spans([]) == [] and H.kept_spans([0, 0]) == []
