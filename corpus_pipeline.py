@@ -9,7 +9,7 @@ quality       rows that the quality classifier rejects go
 toxicity      rows judged toxic go
 near_copies   one row of each class of near copies stays (five-word shingles, similarity 0.8)
 decontaminate rows contaminated with benchmark passages go
-pack          the pieces of sequences of 2048 ids
+pack          the pieces of sequences of 2048 ids, with their ids and a checksum
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabprobe.llm import decontaminate, quality, sigtree, toxicity
-from tabprobe.llm.queries import pieces, toxicity_model
+from tabprobe.llm import decontaminate, packing, quality, sigtree, toxicity
+from tabprobe.llm.queries import toxicity_model, vocabulary
 from tabprobe.session import ensure_checkpoint_dir, table
 
 
@@ -41,7 +42,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces(docs)
+    return packing.pack(docs, *vocabulary()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -95,3 +95,11 @@ def test_query_digest(spark):
     assert len(rows) == len(full)
     for r in rows:
         assert r["ids_crc32"] == zlib.crc32(bytes(full[r["doc_id"], r["start"]]["ids"]))
+
+
+def test_pipeline_pieces_hold_their_ids(spark, odd, tokenizer):
+    import corpus_pipeline as P
+    few = odd.where("length(text) < 500 OR text IS NULL")
+    rows = P.stage_pack(spark, few, "").collect()
+    check(rows, [(r["doc_id"], r["text"]) for r in few.collect()], tokenizer)
+    assert all(r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) for r in rows)
