@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, html, language, packing, quality, sigtree, topk, toxicity, urls
-from tabprobe.session import table
+from tabprobe.llm import chat, decontaminate, html, language, packing, quality, sigtree, topk, toxicity, trie, urls
+from tabprobe.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,3 +196,40 @@ FROM d JOIN reach ON d.doc_id = reach.a LEFT JOIN n ON n.doc_id = d.doc_id GROUP
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of documents linked by 3-word shingles at a similarity of 0.9."""
     return sigtree.near_duplicates(table(spark, sf, "documents"), 3, 9, 10).select("doc_id", "n_shingles", "component_id")
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """(id, path, chars) of every conversation c: the first h turns of conversation c - c % 100, then
+    its own after its first h; h: crc32 of c's decimal text modulo 6."""
+    own = cut_lineage(trie.sequences(turns))
+    heads = own.where("id % 100 = 0").select(F.col("id").alias("head"), F.substring("path", 1, 5 * trie.DIGEST).alias("hp"), F.slice("chars", 1, 5).alias("hc"))
+    rows = own.withColumns({"head": F.expr("id - id % 100"), "h": (F.crc32(F.col("id").cast("string")) % 6).cast("int")}).join(heads, "head", "left")
+    return rows.select("id", F.expr(f"concat(substring(coalesce(hp, ''), 1, {trie.DIGEST} * h), substring(path, {trie.DIGEST} * h + 1))").alias("path"),
+                       F.expr("concat(slice(coalesce(hc, cast(array() AS array<int>)), 1, h), slice(chars, h + 1, greatest(size(chars), 1)))").alias("chars"))
+
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c.conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda k, i: xor(k >> 1, 3988292384 * (k & 1)))))"""
+
+
+@register("op12_conversation_trie", f"""
+WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS t FROM t GROUP BY conv_id),
+h AS (SELECT c.conv_id, c.t, CAST({_CRC} % 6 AS BIGINT) AS h, d.t AS first FROM o c LEFT JOIN o d ON d.conv_id = c.conv_id - c.conv_id % 100),
+r AS (SELECT conv_id, list_concat(list_slice(coalesce(first, []), 1, h), list_slice(t, h + 1, len(t))) AS s FROM h),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+g AS (SELECT list_transform(list_slice(s, 1, d), lambda x: x.k) AS node, d, CASE WHEN d = 0 THEN 0 ELSE coalesce(s[d].n, 0) END AS n, conv_id, d = len(s) AS ends FROM p),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(n) AS n,
+  coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM g GROUP BY node, d),
+k AS (SELECT list_slice(node, 1, d - 1) AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+a AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, d)),
+u AS (SELECT list_slice(node, 1, up) AS node, up AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * n) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM a) GROUP BY 1, 2)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, f.conv_id AS parent_conv_id, CAST(a.n_convs AS BIGINT) AS n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+  CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN u USING (node, d) LEFT JOIN n f ON f.d = a.d - 1 AND f.node = list_slice(a.node, 1, a.d - 1)""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    out = trie.with_ends_digest(trie.build(rebuilt(table(spark, sf, "conversations"))))
+    return out.withColumnRenamed("saved", "saved_tokens")
