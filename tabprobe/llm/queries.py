@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, html, language, packing, quality, sigtree, topk, toxicity, trie, urls
+from tabprobe.llm import chat, decontaminate, hashing, html, language, packing, quality, sigtree, topk, toxicity, trie, urls
 from tabprobe.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,3 +233,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
     out = trie.with_ends_digest(trie.build(rebuilt(table(spark, sf, "conversations"))))
     return out.withColumnRenamed("saved", "saved_tokens")
+
+
+@register("op11_nearest_neighbours")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector (recall is tested against brute force)."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return hashing.nearest(v, v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), 20)
