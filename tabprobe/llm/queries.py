@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import chat, decontaminate, hashing, html, language, packing, quality, sigtree, topk, toxicity, trie, urls
+from tabprobe.llm import chat, decontaminate, hashing, html, language, negatives, packing, quality, sigtree, topk, toxicity, trie, urls
 from tabprobe.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,3 +240,25 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector (recall is tested against brute force)."""
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return hashing.nearest(v, v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), 20)
+
+
+@register("op13_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WHERE r <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every hundredth vector."""
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        topk.quantized(F.col("embedding"), 256).alias("v"))
+    return negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
