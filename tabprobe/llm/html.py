@@ -12,7 +12,10 @@ main element is bounded by empty lines, and what is stripped inside it, or
 between blocks of one and the same element, leaves none, so one article is one
 stretch; lines of links only (but for lists of links) go with text before them in
 the same element; if a page has such an element, only its
-lines count.
+lines count. A page's heading (h1) above the first stretch belongs to it, with the
+lines between. Names of classes, ids and roles count as whole words; as the first or last part of a
+name only those that are unmistakable do, any other only if the element holds links
+mostly. Headings are never stripped for their names, other prose elements only for a whole one.
 
 Scale: row-wise over whole pages; a page is read once.
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 86
 
-_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|object|svg|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|object|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 _HEAD = re.compile(r"(?is)<head\b[^>]*>.*?</head\s*>")
 _TAG = re.compile(r"""(?s)<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
 _NAMED = re.compile(r"""(?is)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
@@ -46,34 +49,58 @@ _STRIPPED = frozenset("nav header footer aside form button menu dialog fieldset
 _ARTICLE = frozenset(("article", "main"))
 #: never around an article that no article or main element marks
 _NO_WRAPPERS = frozenset("nav header footer aside button menu dialog label".split())
-#: whole words of class, id and role values that mark what is not the article
+#: names in class, id and role values that mark what is not the article
 _MARKS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner banners nav navbar
     navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside complementary contentinfo comment comments
     commentlist respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter
     subscribe subscription signup login search share sharing social related recommended widget toolbar pagination pager copyright
     disclaimer skip""".split())
+#: those that also mark as the first or last part of a name (``ad-box``, ``reader-comments``); the others do so
+#: only for what consists of links mostly
+_PARTS = frozenset("""ad ads adv advert adverts advertisement sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs
+    footer sidebar comment comments commentlist disqus cookie cookies consent gdpr notice notices notification newsletter popup
+    modal pagination pager""".split())
+#: elements of prose: only a whole name marks them, and none marks a heading
+_PROSE = frozenset("p pre blockquote li dd dt td th tr tbody table figure figcaption span b i em strong code math".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def _marked(attributes: str) -> bool:
+def _marked(element: str, attributes: str) -> int:
+    """2: class, id or role mark the element as not the article; 1: if it holds links mostly; 0: no mark."""
+    out = 0
+    if element in _HEADINGS:
+        return out
     for _, value in _NAMED.findall(attributes):
-        for name in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value):
+        for name in value.strip("\"'").split():
             if name.lower() in _MARKS:
-                return True
-    return False
+                return 2
+            if element in _PROSE:
+                continue
+            parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)]
+            if parts and (parts[0] in _PARTS or parts[-1] in _PARTS or parts[-2:] in (["site", "header"], ["page", "header"], ["top", "header"])):
+                return 2
+            if parts and (parts[0] in _MARKS or parts[-1] in _MARKS):
+                out = 1
+    return out
+
 
+def link_free(own: str, words: str) -> bool:
+    """Whether a block has text of its own: signs between links are none."""
+    return own == words or any(map(str.isalnum, own))
 
-def lines(page: str | None) -> list[tuple[str, int, bool]]:
-    """(text, its length without link texts, inside an article) by block; empty
-    lines stand for what was stripped."""
+
+def lines(page: str | None) -> list[tuple[str, int, bool, bool]]:
+    """(text, its length without link texts, inside an article, in the page's heading)
+    by block; empty lines stand for what was stripped."""
     text = _HEAD.sub(" ", _RAW.sub(" ", page or ""))
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     buf: list[str] = []
     plain: list[str] = []
     homes: list[tuple[int, ...]] = []  # by line: the elements whose block it is
     gaps: list[tuple[int, int]] = []  # (lines before it, element around it) of stripped elements
     around, made = [(0, "")], 1  # open elements that hold blocks
     bare = listed = False  # directly in the last of them; in a list
-    article = link = 0
+    article = link = heading = 0
     at = 0
     skip: str | None = None  # element being stripped
     depth = 0
@@ -82,8 +109,9 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
         if buf:
             words = " ".join(html.unescape("".join(buf)).split())
             if words:
-                size = len(" ".join(html.unescape("".join(plain)).split()))
-                out.append((words, size, article > 0))
+                own = " ".join(html.unescape("".join(plain)).split())
+                size = len(own) if link_free(own, words) else 0
+                out.append((words, size, article > 0, heading > 0))
                 homes.append(() if listed and not size else tuple(x for x, _ in around[-2 if bare else -1:]))
             buf.clear()
             plain.clear()
@@ -91,7 +119,8 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
     tags = list(_TAG.finditer(text))
     n = len(tags)
     ends = _ends(tags)
-    standing = _standing(text, tags, ends)
+    bad = _unwanted(text, tags, ends)
+    standing = _standing(text, tags, ends, bad)
     k = 0
     while k < n:
         m = tags[k]
@@ -112,7 +141,7 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
                 if depth == 0:
                     skip = None
             continue
-        if _unwanted(m) and k - 1 not in standing:
+        if bad[k - 1] and k - 1 not in standing:
             close()
             if not article:
                 gaps.append((len(out), around[-1][0]))
@@ -136,6 +165,8 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
                     gaps.append((len(out), -1))
             if name in ("ul", "ol", "menu"):
                 listed = not ending
+            if name == "h1":
+                heading = 0 if ending else 1
             if name not in _HOLDERS:
                 bare = False
             elif not ending:
@@ -168,21 +199,40 @@ def _with_gaps(out, homes, gaps):
         while k < len(gaps) and gaps[k][0] == i:
             home = gaps[k][1]
             if home < 0 or first.get(home, i) >= i or last[home] < i:
-                lines.extend([("", 0, False)] * WINDOW)
+                lines.extend([("", 0, False, False)] * WINDOW)
             k += 1
         if i < len(out):
-            words, size, inside = out[i]
+            words, size, inside, head = out[i]
             if not size and any(first.get(x, i) < i for x in homes[i]):
                 size = 1
-            lines.append((words, size, inside))
+            lines.append((words, size, inside, head))
     return lines
 
 
-def _unwanted(m) -> bool:
-    """A start tag whose element is stripped, unless it wraps the article."""
-    name = (m.group(2) or "").lower()
-    return bool(name) and m.group(1) != "/" and name not in _VOID and name not in _ARTICLE and name not in ("html", "body") and (
-        name in _STRIPPED or _marked(m.group(3)))
+def _unwanted(text: str, tags, ends: list[int]) -> list[bool]:
+    """By tag: starts an element that is stripped, unless it wraps the article."""
+    out, weak = [], []
+    for i, m in enumerate(tags):
+        name = (m.group(2) or "").lower()
+        mark = 0
+        if name and m.group(1) != "/" and name not in _VOID and name not in _ARTICLE and name not in ("html", "body"):
+            mark = 2 if name in _STRIPPED else _marked(name, m.group(3))
+        out.append(mark == 2)
+        if mark == 1 and ends[i] >= 0:
+            weak.append(i)
+    if weak:  # text and text outside links before each tag
+        every, plain, link, at = [0], [0], False, 0
+        for m in tags:
+            size = len(" ".join(text[at:m.start()].split()))
+            at = m.end()
+            every.append(every[-1] + size)
+            plain.append(plain[-1] + (0 if link else size))
+            if (m.group(2) or "").lower() == "a":
+                link = m.group(1) != "/"
+        for i in weak:
+            j = ends[i]
+            out[i] = 2 * (plain[j + 1] - plain[i + 1]) <= every[j + 1] - every[i + 1]
+    return out
 
 
 def _ends(tags) -> list[int]:
@@ -198,7 +248,7 @@ def _ends(tags) -> list[int]:
     return out
 
 
-def _standing(text: str, tags, ends: list[int]) -> set[int]:
+def _standing(text: str, tags, ends: list[int], bad: list[bool]) -> set[int]:
     """Start tags of marked elements that wrap the page's article.
 
     On a page whose article and main elements all lie in marked elements these
@@ -206,7 +256,7 @@ def _standing(text: str, tags, ends: list[int]) -> set[int]:
     is one that holds most of the text outside links (of the article, inside
     one) and leaves next to nothing beside it, or holds the page's heading."""
     n = len(tags)
-    found = [(i, ends[i]) for i, m in enumerate(tags) if ends[i] >= 0 and _unwanted(m)]
+    found = [(i, ends[i]) for i, m in enumerate(tags) if ends[i] >= 0 and bad[i]]
     if not found:
         return set()
     every, inside, heads = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # before each tag: text, text inside articles, headings
@@ -225,7 +275,7 @@ def _standing(text: str, tags, ends: list[int]) -> set[int]:
         elif name in _BLOCKS:
             link = False
         depths[i] = depth
-        if ends[i] >= 0 and _unwanted(m):
+        if ends[i] >= 0 and bad[i]:
             until = max(until, ends[i])
         if name in _ARTICLE:
             free += not ending and i > until
@@ -277,15 +327,23 @@ def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by line feeds."""
     found = lines(page)
     if any(x[2] for x in found):  # an article element: nothing outside it belongs to the text
-        found = [x if x[2] else ("", 0, False) for x in found]
+        found = [x if x[2] else ("", 0, False, False) for x in found]
         # inside it a line made of links only is text too
         sizes = [max(x[1], 1) if x[0] else 0 for x in found]
     else:
         sizes = [x[1] for x in found]
-    spans = kept_spans(sizes)
+    # the window sees a surge ahead: the stretch begins with its first line of text
+    spans = [(next((k for k in range(i, j) if sizes[k]), j), j) for i, j in kept_spans(sizes)]
+    spans = with_heading(spans, [x[3] for x in found])
     return "\n".join(x[0] for i, j in spans for x in found[i:j] if x[0])
 
 
+def with_heading(spans: list[tuple[int, int]], heads: list[bool]) -> list[tuple[int, int]]:
+    """The first stretch reaches up to a heading above it, over gaps and short lines."""
+    above = [i for i in range(spans[0][0]) if heads[i]] if spans else []
+    return [(above[0], spans[0][1]), *spans[1:]] if above else spans
+
+
 def _task(schema):
     def run(batches):
         for batch in batches:

@@ -63,6 +63,57 @@ def test_interrupted_articles(name):
     assert H.main_text(page) == want
 
 
+NAMED = {
+    "heading": (f"<article><h2 class='section-header'>Head</h2><p>{LONG}</p></article>", f"Head\n{LONG}"),
+    "side by side": (f"<article><p>{LONG}</p><div class='side-by-side'><p>Left</p><p>Right</p></div></article>", f"{LONG}\nLeft\nRight"),
+    "share price": (f"<article><p class='share-price'>12.30</p><p>{LONG}</p></article>", f"12.30\n{LONG}"),
+    "math": (f"<article><p>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", f"{LONG}\nSo x=1 holds."),
+    "heading beside menu and advert": (f"<nav><a>Home</a></nav><h1>T</h1><div class=ad>Buy</div><p>Short.</p><p>{LONG}</p><div class=ad>Buy</div><p>End.</p><footer>f</footer>",
+                                       f"T\nShort.\n{LONG}\nEnd."),
+    "heading of its own": (f"<div><h1>T</h1></div><div>By A.</div><div class=ad>Buy</div><div><p>{LONG}</p></div>", f"T\nBy A.\n{LONG}"),
+    "link-heavy share box": (f"<article><p>{LONG}</p><div class='share-box'><a>one</a> <a>two</a></div></article>", LONG),
+    "teasers": (f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article><article><p>Also read.</p></article>", f"T\n{LONG}\n{LONG}"),
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_and_headings(name):
+    page, want = NAMED[name]
+    assert H.main_text(page) == want
+
+
+def planted(rng):
+    """(page, its article): layouts without article elements, whose menus, link lists and legal
+    lines carry no name or element that marks them."""
+    para = lambda: " ".join("".join(rng.choice("aeioumnrst") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(18, 60))).capitalize() + "."
+    blocks = ["Title " + str(rng.randint(0, 999))]
+    for _ in range(rng.randint(2, 7)):
+        blocks += [para()] + (["Short line."] if rng.random() < 0.3 else [])
+    blocks.append(para())
+    links = lambda n: [f"<a href=/{i}>Link {i}</a>" for i in range(n)]
+    body = "".join(f"<h1>{x}</h1>" if not i else f"<p>{x}</p>" for i, x in enumerate(blocks))
+    layout = rng.randint(0, 3)
+    if layout == 0:
+        page = f"<body><div>{' | '.join(links(6))}</div><div>{body}</div><div>{'<br>'.join(links(9))}</div><div>Imprint 2020</div></body>"
+    elif layout == 1:
+        page = f"<table><tr><td>{'<br>'.join(links(5))}</td></tr><tr><td>{body}</td></tr><tr><td>{'<br>'.join(links(4))}</td></tr><tr><td>All rights</td></tr></table>"
+    elif layout == 2:
+        page = f"<ul>{''.join(f'<li>{x}</li>' for x in links(7))}</ul><section>{body}</section><ul>{''.join(f'<li>{x}</li>' for x in links(5))}</ul><section><p>Terms</p></section>"
+    else:
+        page = f"<div id=a><div id=b>{''.join(f'<div>{x}</div>' for x in links(6))}</div><div id=c>{body}</div><div id=d>{''.join(f'<div>{x}</div>' for x in links(6))}</div><div>Contact us</div></div>"
+    return page, "\n".join(blocks)
+
+
+def test_the_distribution_decides_on_planted_pages(monkeypatch):
+    import random
+    rng = random.Random(7)
+    pages = [planted(rng) for _ in range(200)]
+    right = sum(H.main_text(p) == want for p, want in pages)
+    monkeypatch.setattr(H, "kept_spans", lambda sizes: [(0, len(sizes))])
+    without = sum(H.main_text(p) == want for p, want in pages)
+    assert right == 200 and without == 0
+
+
 def test_surge_and_dive_points():
     assert H.kept_spans([0, 0, 0, 5, 100, 3, 0, 0, 0, 10, 0, 0, 0]) == [(1, 6)]
     assert H.kept_spans([]) == [] and H.kept_spans([0, 0]) == []
