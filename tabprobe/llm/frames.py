@@ -19,6 +19,29 @@ def first_row_id() -> int:
     return (ctx.partitionId() if ctx else 0) << _POS_BITS
 
 
+BATCH_BYTES = 8 << 20  # Arrow batches sent to Python workers
+
+
+def small_batches(spark) -> None:
+    """Bound the Arrow batches of the session by ``BATCH_BYTES`` (Spark's own bound is 64 MB), so that a
+    worker's memory does not follow the length of the texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    number = int(now[:-1]) if now[-1:].lower() == "b" and now[:-1].isdigit() else int(now) if now.lstrip("-").isdigit() else 0
+    if number <= 0 or number > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def with_text(docs: DataFrame, cols: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """(the columns as c0, c1, ..., place of the text among them). A text that is a string and one of the
+    columns is sent to the workers once; else it follows them."""
+    small_batches(docs.sparkSession)
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.col(text_col).cast("string").alias("_text"))
+    if text_col in cols and dict(docs.dtypes)[text_col] == "string":
+        return out.drop("_text"), cols.index(text_col)
+    return out, len(cols)
+
+
 FILTER_BITS = 23  # 2**23 slots: 1 MiB whatever the data's size
 
 

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprobe.llm.frames import small_batches
 from tabprobe.llm.words import slices
 
 CAPACITY = 2048
 END_ID = 1
 _PARTITION_SHIFT = 40
-_SEGMENTS = 16  # ids a bin may need when a task closes it in parts
 
 
 def _cut(lengths: np.ndarray, capacity: int):
@@ -87,7 +87,7 @@ class _Bins:
                 here = has & (at >= before) & (at < before + (np.int64(1) << b))
                 part[here] = b + 1
                 index[here] = at[here] - before[here]
-        sequence = self.base + (number * (self.top + 1) + level) * _SEGMENTS + part
+        sequence = self.base + (number * (self.top + 1) + level) * (self.top + 2) + part  # a bin closed in parts needs that many ids
         out = table.drop_columns(["ordinal"]).append_column("sequence_id", pa.array(sequence)).append_column(
             "offset", pa.array(index * size))
         if last:
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     ``capacity`` must be a power of two."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(src.dtypes)["doc_id"]

@@ -64,6 +64,20 @@ def test_small_capacity_and_tables(spark, odd, empty, tokenizer):
         packing.pack(odd, *vocabulary(), capacity=1000)
 
 
+@pytest.mark.parametrize("capacity", [65536, 131072])
+def test_long_capacities_keep_places_apart(spark, odd, capacity):
+    """Very many short documents: a task's last open bin is closed in many parts."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "'ab' AS text").repartition(3).unionAll(odd.select("doc_id", "text"))
+    seqs = collections.defaultdict(list)
+    for r in packing.pack(docs, *vocabulary(), capacity=capacity).select("sequence_id", "offset", "length").collect():
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in seqs.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(pieces, pieces[1:]))
+        total = sum(b for _, b in pieces)
+        assert total <= capacity and total & (total - 1) == 0
+
+
 def test_cut_covers_lengths():
     n = np.array([1, 2047, 2048, 2049, 5000, 7])
     doc, start, size = packing._cut(n, 2048)
