@@ -6,7 +6,7 @@ and the classes are the connected components of all links.
 
 1. Equal sets are one class (64-bit digest). Counts of every document's
    n-grams tell the hot ones (in about one document of ``HOT_SHARE`` or more, by
-   a table of fixed size).
+   a table of fixed size, less what an even spread of all n-grams puts into a slot).
 2. Candidates, without loss: in any fixed order of the n-grams, the first
    ``n - ceil(t n) + 1`` ones of two linked sets meet. The order used puts a fixed
    share of the n-grams first, by document count, then the others, then hot
@@ -39,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.llm.frames import components, hash_filter, may_contain, release
+from tabprobe.llm.frames import components, hash_filter, may_contain, release, small_batches
 from tabprobe.llm.words import SPACE_WORDS, hashed_words, mix, shingles, slices
 from tabprobe.session import cut_lineage
 
 SLOT_BITS = 18  # table of document counts by n-gram slot
 HOT_SHARE = 400
 BLOCK_GRAMS = 1_000_000  # n-grams of a block: 8 MB
+BITMAP_BYTES = 16 << 20  # bitmaps of a tree's sets
 LEAF, FAN = 32, 8
 _CLASS = np.uint64(0xA0761D6478BD642F)
 
@@ -73,19 +74,20 @@ def _profile_task(schema, k):
     """One row per document (id, n, cls); at the task's end one row with the
     slots that many of its documents hold."""
     def run(batches):
-        counts, docs = np.zeros(1 << SLOT_BITS, np.int64), 0
+        counts, docs, grams = np.zeros(1 << SLOT_BITS, np.int64), 0, 0
         for batch in batches:
             for lo, hi in slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 v, off, cls = row_sets(part.column("text"), k)
                 counts += np.bincount(_slot(v), minlength=len(counts))
                 docs += len(part)
+                grams += len(v)
                 m = len(part)
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), pa.array(np.diff(off)), pa.array(cls.view(np.int64)), pa.nulls(m, pa.list_(pa.int32())),
                     pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.int64())], schema=schema)
         if docs:
-            at = np.flatnonzero(counts >= max(8, docs // (2 * HOT_SHARE)))
+            at = np.flatnonzero(counts >= max(8, (grams >> SLOT_BITS) + docs // (2 * HOT_SHARE)))
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(1, schema.field(0).type), pa.array([-1], pa.int64()), pa.array([0], pa.int64()),
                 pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[at]], pa.list_(pa.int64())),
@@ -169,8 +171,8 @@ class SignatureTree:
         self.size = np.array([len(s) for s in self.sets], np.int64)
         m = len(sets)
         bits = 8
-        while (1 << bits) < 16 * int(self.size.max()) and bits < 18:
-            bits += 1
+        while (1 << bits) < 16 * int(self.size.max()) and bits < 18 and m << (bits - 2) <= BITMAP_BYTES:
+            bits += 1  # narrower bitmaps bound large sets less tightly, and lose no link
         words = 1 << (bits - 6)
         maps = np.zeros((m, words), np.uint64)
         for i, s in enumerate(self.sets):
@@ -304,15 +306,16 @@ def _edges(prefix: DataFrame) -> DataFrame:
 
 def profile(docs: DataFrame, k: int, id_col: str, text_col: str):
     """(rows id, n, cls; bit-packed table of hot slots)."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
     fields = f"id {dict(src.dtypes)['id']}, n bigint, cls bigint, slots array<int>, counts array<bigint>, docs bigint"
     out = cut_lineage(src.mapInArrow(_profile_task(to_arrow_schema(_parse_datatype_string(fields)), k), fields))
-    total = out.agg(F.sum("docs")).first()[0] or 0
-    # at most the slots that a document's share of all counts allows, whatever the input
+    total, grams = (x or 0 for x in out.agg(F.sum("docs"), F.sum(F.when(F.col("docs").isNull(), F.col("n")))).first())
+    # what a slot holds beyond an even share of all n-grams tells a hot one, so long texts alone make none; at most 2**SLOT_BITS rows
     hot = (out.where("docs IS NOT NULL").select(F.explode(F.arrays_zip("slots", "counts")).alias("z"))
-              .groupBy("z.slots").agg(F.sum("z.counts").alias("c")).where(F.col("c") >= max(64, total // HOT_SHARE)).collect())
+              .groupBy("z.slots").agg(F.sum("z.counts").alias("c")).where(F.col("c") >= max(64, (grams >> SLOT_BITS) + total // HOT_SHARE)).collect())
     table = np.zeros(1 << SLOT_BITS, np.uint8)
     table[[r["slots"] for r in hot]] = 1
     return out.where("docs IS NULL").select("id", "n", "cls"), np.packbits(table)

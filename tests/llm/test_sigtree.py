@@ -117,3 +117,19 @@ def test_tree_join_finds_a_spanning_forest():
     assert classes(nb) == classes(full)
     side = rng.integers(0, 2, m)
     assert all(side[i] != side[j] for i, j in S.join_sets(sets, 9, 10, side=side))
+
+
+def test_long_texts_alone_make_no_hot_slots(spark):
+    """Unrelated documents of 1,500 words share nothing, so no slot of the table is hot; a passage they share is."""
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10 ** 9)) for _ in range(1500)) for _ in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert np.unpackbits(S.profile(docs, 3, "doc_id", "text")[1]).sum() <= 20
+    shared = spark.createDataFrame([(i, t + " one shared passage of words") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert np.unpackbits(S.profile(shared, 3, "doc_id", "text")[1]).sum() >= 3
+
+
+def test_bitmaps_follow_the_sets_number_not_the_largest_set():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 64, 100, dtype=np.uint64)) for _ in range(10_000)] + [np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))]
+    assert S.SignatureTree(sets).maps.nbytes <= 2 * S.BITMAP_BYTES
