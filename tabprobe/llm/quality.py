@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprobe.llm.frames import small_batches, with_text
 from tabprobe.llm.words import SPACE_WORDS, find_words, hash_spans, mix, slices, text_buffers
 from tabprobe.session import cut_lineage
 
@@ -208,6 +209,7 @@ def label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 300):
 
 def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS):
     """(weights of the hashed scorer with the bias last, labellers' rates of "bad" votes by kind, good texts last), or None without words."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(text_col).cast("string").alias("text"))
     src = src.select(F.xxhash64("text", F.lit(10)).alias("key"), "text")
     schema = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("some", pa.bool_())])
@@ -269,31 +271,29 @@ def scores(arr: pa.Array, weights: np.ndarray | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _score_task(shared, schema, keep_at):
+def _score_task(shared, schema, keep_at, at):
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column("_text")):  # small pieces out: nothing of a batch's size is copied
+            for lo, hi in slices(batch.column(at)):  # small pieces out: nothing of a batch's size is copied
                 part = batch.slice(lo, hi - lo)
-                s = scores(part.column("_text"), shared.value)
-                rest = [part.column(i) for i in range(part.num_columns - 1)]
+                s = scores(part.column(at), shared.value)
                 if keep_at is None:
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(s)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:len(schema) - 1], pa.array(s)], schema=schema)
                 else:
-                    yield pa.RecordBatch.from_arrays(rest, schema=schema).filter(pa.array(s >= keep_at))
+                    yield pa.RecordBatch.from_arrays(part.columns[:len(schema)], schema=schema).filter(pa.array(s >= keep_at))
     return run
 
 
 def _scored(docs: DataFrame, cols: list[str], text_col: str, model, keep_at):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructType
-    names = [f"c{i}" for i in range(len(cols))]
-    src = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)], F.col(text_col).cast("string").alias("_text"))
-    kind = StructType(src.schema.fields[:-1])
+    src, at = with_text(docs, cols, text_col)
+    kind = StructType(src.schema.fields[:len(cols)])
     if keep_at is None:
         kind = StructType([*kind.fields]).add("_score", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**FEATURE_BITS + 1 floats
-    out = src.mapInArrow(_score_task(shared, to_arrow_schema(kind), keep_at), kind)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(cols, names)], *(["_score"] if keep_at is None else []))
+    out = src.mapInArrow(_score_task(shared, to_arrow_schema(kind), keep_at, at), kind)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], *(["_score"] if keep_at is None else []))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:

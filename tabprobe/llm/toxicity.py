@@ -12,8 +12,9 @@ trained on the labels, its margin turned into a score by Platt's sigmoid.
 Words are runs of non-space characters, lower-cased, reduced to their letters
 (so inserted signs and digits vanish) and framed as ``^word$``; three or more
 single letters in a row are read as one word. Every word is compared with every
-landmark and its kernel value taken as it is (the rate takes its power
-``SHARP``), each distinct word of a chunk once.
+landmark and its kernel value taken as it is (the rate takes its third power, so that
+close words count, however many distant ones there are), each distinct word once in a
+worker as long as its cache of ``CACHE_WORDS`` words holds it.
 
 Scale: scoring is row-wise over whole texts. Substring counts are made by
 Spark over the training sample (at most ``SAMPLE_ROWS`` labelled texts, half of
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.words import SPACE_WORDS, find_words, hash_spans, slices, text_buffers
+from tabprobe.llm.frames import with_text
+from tabprobe.llm.words import SPACE_WORDS, find_words, hash_spans, mix, slices, text_buffers
 from tabprobe.session import cut_lineage
 
 SAMPLE_ROWS = 6000  # documented bound of the fitting sample
@@ -45,7 +47,7 @@ LANDMARKS = 48
 ORDER = 3
 DECAY = 0.5
 LONGEST_WORD = 48  # letters compared at once: longer words are compared in overlapping parts
-SHARP = 3  # power of the kernel values whose rate is taken: close words count, however many distant ones there are
+CACHE_WORDS = 1 << 18  # raw words whose kernel values a worker keeps: 60 MB
 RATE = 40  # a text is full of a landmark when one word in RATE matches it
 PREDICT_AT = 0.3
 _GRAMS = (4, 5, 6)
@@ -100,7 +102,7 @@ class Landmarks:
     them, each sign weighted by its distance. Every word is compared."""
 
     def __init__(self, strings: list[str]):
-        self.strings = strings
+        self.strings, self.cache = strings, None
         self.codes = [np.array([ord(c) for c in z], np.uint32) for z in strings]
         self.own = np.array([kernel(*_codes([z]), c)[0] for z, c in zip(strings, self.codes)])
         self.signs = np.array(sorted({ord(c) for z in strings for c in z}), np.uint32)
@@ -110,6 +112,13 @@ class Landmarks:
         before, after = self._sides(slot)
         self.slot, self.before, self.after = slot[inside], before[inside], after[inside]
         self.of = np.repeat(np.arange(len(strings)), sizes)
+        # by sign: what is after and before its places, and the landmarks these belong to
+        self.by_sign = []
+        for c in range(len(self.signs)):
+            at = np.flatnonzero(self.slot == c)
+            by_mark = np.zeros((len(at), len(strings)), np.float32)
+            by_mark[np.arange(len(at)), self.of[at]] = 1
+            self.by_sign.append((self.before[at].T, self.after[at].T, by_mark))
 
     def _slots(self, codes: np.ndarray) -> np.ndarray:
         """Each code point's place among the landmarks' signs, their number for any other."""
@@ -133,26 +142,27 @@ class Landmarks:
 
     def values(self, words: list[str]) -> np.ndarray:
         """Kernel values over each landmark's own value, at most 1: (words, landmarks)."""
-        out = np.zeros((len(words), len(self.strings)), np.float32)
-        if not words:
-            return out
-        sizes = np.array([len(w) for w in words], np.int64)
+        return self.values_of(*_codes(words)) if words else np.zeros((0, len(self.strings)), np.float32)
+
+    def values_of(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same for words given as rows of code points, 0 after the end."""
+        out = np.zeros((len(codes), len(self.strings)), np.float32)
+        slots = self._slots(codes)
+        known = (slots < len(self.signs)).sum(axis=1)
         order = np.argsort(sizes, kind="stable")
-        for at in range(0, len(order), 1024):  # words of like length together
-            pick = order[at:at + 1024]
-            codes, _ = _codes([words[i] for i in pick])
-            slot = self._slots(codes)
+        order = order[known[order] >= ORDER]  # with fewer signs of the landmarks every value is 0
+        for at in range(0, len(order), 2048):  # words of like length together
+            pick = order[at:at + 2048]
+            slot = slots[pick, :int(sizes[pick].max())]
             before, after = self._sides(slot)
             word = np.repeat(np.arange(len(pick)), slot.shape[1])
             slot, before, after = slot.ravel(), before.reshape(-1, len(self.signs)), after.reshape(-1, len(self.signs))
             total = np.zeros((len(pick), len(self.strings)), np.float32)
-            for c in range(len(self.signs)):
-                here, there = np.flatnonzero(slot == c), np.flatnonzero(self.slot == c)
+            for c, (left, right, by_mark) in enumerate(self.by_sign):
+                here = np.flatnonzero(slot == c)
                 if not len(here):
                     continue
-                alike = (before[here] @ self.before[there].T) * (after[here] @ self.after[there].T)
-                by_mark = np.zeros((len(there), len(self.strings)), np.float32)
-                by_mark[np.arange(len(there)), self.of[there]] = 1
+                alike = (before[here] @ left) * (after[here] @ right)
                 first = np.flatnonzero(np.diff(word[here], prepend=-1))
                 total[word[here][first]] += np.add.reduceat(alike @ by_mark, first, axis=0)
             out[pick] = np.minimum(np.float32(DECAY * DECAY) * total / self.own, 1)
@@ -209,23 +219,187 @@ def chunk_words(arr: pa.Array):
     return list(index), at, rows, np.bincount(rows, minlength=n)
 
 
+def _letters() -> np.ndarray:
+    """The lower-case letter of each code point below 2**16: 0 for other signs, 1 where it
+    takes more than the sign alone to tell."""
+    out = np.zeros(1 << 16, np.uint32)
+    for c in range(1 << 16):
+        low = [x for x in chr(c).lower() if x.isalpha()]
+        out[c] = ord(low[0]) if len(low) == 1 and ord(low[0]) < 1 << 16 else min(len(low), 1)
+    out[0x3A3] = 1  # lower-cased by its place in the word
+    return out
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+class WordCache:
+    """Kernel values of raw words that a worker has met, by the words' hash. At ``CACHE_WORDS`` words
+    those not met again are dropped; a word that is gone is computed anew."""
+
+    NOTHING, LETTER, WORD, LONG = range(4)  # no letters, one, a word, one that is compared in parts
+
+    def __init__(self, marks: Landmarks):
+        if not _LETTERS:
+            _LETTERS.append(_letters())
+        self.marks = marks
+        self.values = np.empty((CACHE_WORDS, len(marks.strings)), np.float32)
+        self._set(*(np.zeros(0, k) for k in (np.uint64, np.int8, np.uint64, np.int64)))
+
+    def _set(self, keys, kind, name, at):
+        self.keys, self.kind, self.name, self.at = keys, kind, name, at
+        self.met = np.zeros(len(keys), bool)
+
+    def _known(self, keys):
+        pos = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return pos, self.keys[pos] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def _room(self, keys, new: int):
+        """Make room for new words: those not met again go, or else all."""
+        if len(self.keys) + new <= CACHE_WORDS:
+            return
+        keep = np.flatnonzero(self.met if 2 * int(self.met.sum()) <= CACHE_WORDS else np.zeros(len(self.keys), bool))
+        if len(keep) + len(keys) > CACHE_WORDS:
+            keep = keep[:0]
+        self.values[:len(keep)] = self.values[self.at[keep]]
+        self._set(self.keys[keep], self.kind[keep], self.name[keep], np.arange(len(keep)))
+
+    def lookup(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(kind, name, values) of sorted distinct hashes, whose words are ``data[start:end]``; the name
+        is a hash of the letters."""
+        pos, known = self._known(keys)
+        self.met[pos[known]] = True
+        if not known.all():
+            self._room(keys, int((~known).sum()))
+            pos, known = self._known(keys)
+            new = np.flatnonzero(~known)
+            kind, name, codes, sizes = _decode(data, starts[new], ends[new])
+            at = np.zeros(len(new), np.int64)
+            words = np.flatnonzero(kind == self.WORD)
+            base = len(self.keys)
+            if len(self.keys) + len(new) > len(self.values):  # more distinct words in one piece than the cache holds
+                self.values = np.concatenate([self.values[:base], np.empty((len(new), self.values.shape[1]), np.float32)])
+            at[:] = base + np.arange(len(new))
+            if len(words):
+                self.values[at[words]] = self.marks.values_of(codes, sizes)
+            order = np.searchsorted(self.keys, keys[new])
+            met = np.insert(self.met, order, False)
+            self._set(*(np.insert(x, order, y) for x, y in ((self.keys, keys[new]), (self.kind, kind), (self.name, name), (self.at, at))))
+            self.met = met
+            pos = np.searchsorted(self.keys, keys)
+        return self.kind[pos], self.name[pos], self.at[pos]
+
+
+def _text(data: np.ndarray, start: int, end: int) -> str:
+    """The letters of a word, lower-cased."""
+    return "".join(filter(str.isalpha, data[start:end].tobytes().decode("utf-8", "replace").lower()))
+
+
+def _decode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Letters of words ``data[start:end]``: (kind, name, and of those of kind WORD the framed code points and sizes)."""
+    n = len(starts)
+    long = ends - starts > 4 * LONGEST_WORD
+    size = np.where(long, 0, ends - starts)
+    flat = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    word = np.repeat(np.arange(n), size)[(flat & 0xC0) != 0x80]  # of each character
+    points = np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _LETTERS[0][np.minimum(points, 0xFFFF)]
+    odd = long.copy()
+    odd[word[(letter == 1) | (points > 0xFFFF)]] = True  # told letter by letter
+    use = (letter > 1) & ~odd[word]
+    letter, word = letter[use], word[use]
+    odd = np.flatnonzero(odd)
+    if len(odd):
+        texts = [_text(data, starts[i], ends[i]) for i in odd.tolist()]
+        more = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.concatenate([word, np.repeat(odd, [len(t) for t in texts])])
+        order = np.argsort(word, kind="stable")
+        letter, word = np.concatenate([letter, more])[order], word[order]
+    count = np.bincount(word, minlength=n)
+    kind = np.where(count < 2, count, np.where(count + 2 > LONGEST_WORD, WordCache.LONG, WordCache.WORD)).astype(np.int8)
+    of = np.flatnonzero(kind == WordCache.WORD)
+    sizes = count[of] + 2
+    codes = np.zeros((len(of), int(sizes.max(initial=2))), np.uint32)
+    inside = np.arange(codes.shape[1])[None, :] < sizes[:, None]
+    inside[:, 0] = False
+    inside[np.arange(len(of)), sizes - 1] = False
+    codes[inside] = letter[kind[word] == WordCache.WORD]
+    codes[:, 0] = ord("^")
+    codes[np.arange(len(of)), sizes - 1] = ord("$")
+    name = np.zeros(n, np.uint64)
+    name[of] = code_names(codes)
+    return kind, name, codes, sizes
+
+
+def code_names(codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of code points; zeros at the end count nothing."""
+    h = np.zeros(len(codes), np.uint64)
+    for j in range(codes.shape[1]):
+        c = codes[:, j].astype(np.uint64)
+        h = np.where(c > 0, mix(h * np.uint64(0x9E3779B97F4A7C15) + c), h)
+    return h
+
+
 def text_values(arr: pa.Array, marks: Landmarks) -> np.ndarray:
     """(texts, 2 x landmarks): the largest kernel value over a text's words, then
     the rate of such values among its distinct words."""
-    words, at, row, total = chunk_words(arr)
-    m = len(marks.strings)
-    out = np.zeros((len(total), 2 * m), np.float32)
-    if not words:
+    if marks.cache is None:
+        marks.cache = WordCache(marks)
+    cache = marks.cache
+    data, off = text_buffers(arr)
+    starts, ends, bounds = find_words(data, off, SPACE_WORDS)
+    n, m = len(off) - 1, len(marks.strings)
+    out = np.zeros((n, 2 * m), np.float32)
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    keys, first, which = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+    kind, name, at = cache.lookup(keys, data, starts[first], ends[first])
+    kind, name, at = kind[which], name[which], at[which]
+    # words in parts, and runs of three or more single letters, which are one word spelled out
+    rare: dict[str, int] = {}
+    rare_at, rare_row = [], []
+
+    def add(word, r):
+        for part in parts("^" + word + "$"):
+            rare_at.append(rare.setdefault(part, len(rare)))
+            rare_row.append(r)
+    for i in np.flatnonzero(kind == cache.LONG).tolist():
+        add(_text(data, starts[i], ends[i]), row[i])
+    some = np.flatnonzero(kind != cache.NOTHING)
+    one = kind[some] == cache.LETTER
+    edge = np.ones(len(some), bool)
+    edge[1:] = (row[some][1:] != row[some][:-1]) | (one[1:] != one[:-1])
+    heads = np.flatnonzero(edge)
+    stops = np.append(heads[1:], len(some))
+    for i, j in zip(heads[one[heads]].tolist(), stops[one[heads]].tolist()):
+        if j - i >= 3:
+            add("".join(_text(data, starts[x], ends[x]) for x in some[i:j].tolist()), row[some[i]])
+    base, extra = len(cache.values), marks.values(list(rare))
+    words = np.flatnonzero(kind == cache.WORD)
+    at, row, name = at[words], row[words], name[words]
+    if rare:
+        made = list(rare)
+        names = code_names(_codes(made)[0])
+        at, row, name = (np.concatenate([x, y]) for x, y in ((at, base + np.array(rare_at)), (row, np.array(rare_row)), (name, names[rare_at])))
+    if not len(at):
+        return out
+    order = np.lexsort((name, row))  # a repeated word counts once
+    at, row, name = at[order], row[order], name[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
+    at, row = at[new], row[new]
+    if not len(at):
         return out
-    v = marks.values(words)
-    first = np.flatnonzero(np.diff(row, prepend=-1))
-    for lo in range(0, len(first), 64):  # texts of a bounded number together
-        some = first[lo:lo + 64]
-        end = first[lo + 64] if lo + 64 < len(first) else len(row)
-        mine = v[at[some[0]:end]]
+    total = np.bincount(row, minlength=n)
+    head = np.flatnonzero(np.diff(row, prepend=-1))
+    for lo in range(0, len(head), 64):  # texts of a bounded number together
+        some = head[lo:lo + 64]
+        end = head[lo + 64] if lo + 64 < len(head) else len(row)
+        here = at[some[0]:end]
+        mine = cache.values[np.minimum(here, base - 1)]
+        mine[here >= base] = extra[here[here >= base] - base]
         rows = row[some]
         out[rows, :m] = np.maximum.reduceat(mine, some - some[0], axis=0)
-        rate = np.add.reduceat(mine ** SHARP, some - some[0], axis=0)
+        rate = np.add.reduceat(mine * mine * mine, some - some[0], axis=0)
         out[rows, m:] = np.minimum(1, RATE * rate / (total[rows, None] + 20))
     return out
 
@@ -413,32 +587,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 # ---------------------------------------------------------------- scoring
 
-def _score_task(shared, schema, keep_below):
+def _score_task(shared, schema, keep_below, at):
     def run(batches):
         model = shared.value
         for batch in batches:
-            for lo, hi in slices(batch.column("_text")):
+            for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                s = model.scores(part.column("_text")) if model is not None else np.zeros(len(part))
-                rest = [part.column(i) for i in range(part.num_columns - 1)]
+                s = model.scores(part.column(at)) if model is not None else np.zeros(len(part))
                 if keep_below is None:
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(s)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:len(schema) - 1], pa.array(s)], schema=schema)
                 else:
-                    yield pa.RecordBatch.from_arrays(rest, schema=schema).filter(pa.array(s < keep_below))
+                    yield pa.RecordBatch.from_arrays(part.columns[:len(schema)], schema=schema).filter(pa.array(s < keep_below))
     return run
 
 
 def _scored(docs: DataFrame, cols: list[str], text_col: str, model, keep_below):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructType
-    names = [f"c{i}" for i in range(len(cols))]
-    src = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)], F.col(text_col).cast("string").alias("_text"))
-    kind = StructType(src.schema.fields[:-1])
+    src, at = with_text(docs, cols, text_col)
+    kind = StructType(src.schema.fields[:len(cols)])
     if keep_below is None:
         kind = StructType([*kind.fields]).add("_score", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few landmarks and weights
-    out = src.mapInArrow(_score_task(shared, to_arrow_schema(kind), keep_below), kind)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(cols, names)], *(["_score"] if keep_below is None else []))
+    out = src.mapInArrow(_score_task(shared, to_arrow_schema(kind), keep_below, at), kind)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], *(["_score"] if keep_below is None else []))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
