@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from tabprobe.llm.pages import bytes_matrix, serve
 from tabprobe.session import cut_lineage
 
-TILE_ROWS = 4096
-LEAF = 128
-FAN = 4  # slabs of a node, and tiles of a slab
+TILE_ROWS = 8192
+LEAF = 512
+FAN = 16  # children of a node at most
 DIRECTORY = 1024  # tile boxes looked at by one task
 SAMPLE_ROWS = 4096  # rows whose spread chooses the two coordinates of the slabs
 _FAR = (1 << 63) - 1
@@ -85,17 +85,19 @@ class Tree:
     def _tiles(vectors, rows):
         """Slabs by the widest coordinate, tiles by the second widest."""
         wide = np.argsort(-(vectors[rows].max(axis=0) - vectors[rows].min(axis=0)).astype(float), kind="stable")
+        parts = min(FAN, -(-len(rows) // LEAF))
+        slabs = int(np.ceil(parts ** 0.5))
         tiles = []
-        for slab in np.array_split(rows[np.argsort(vectors[rows, wide[0]], kind="stable")], FAN):
+        for slab in np.array_split(rows[np.argsort(vectors[rows, wide[0]], kind="stable")], slabs):
             axis = wide[min(1, len(wide) - 1)]
-            tiles += [t for t in np.array_split(slab[np.argsort(vectors[slab, axis], kind="stable")], FAN) if len(t)]
+            tiles += [t for t in np.array_split(slab[np.argsort(vectors[slab, axis], kind="stable")], -(-parts // slabs)) if len(t)]
         return tiles
 
 
 def interval(low: np.ndarray, high: np.ndarray, q: np.ndarray):
     """Bounds of the inner products of a query with what lies in boxes, rounded outwards."""
     up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-    low, high = low.astype(np.float64), high.astype(np.float64)
+    low, high = low.astype(np.float64, copy=False), high.astype(np.float64, copy=False)
     least, most = low @ up + high @ down, high @ up + low @ down
     if max(np.abs(least).max(initial=0), np.abs(most).max(initial=0)) >= 2.0 ** 62:
         raise ArithmeticError("components are too large: an inner product could exceed 64 bits")
@@ -115,13 +117,12 @@ class Windows:
         return ((most[..., None] >= self.floor) & (least[..., None] <= self.high) & (self.floor <= self.high)).any(axis=-1)
 
     def add(self, scores: np.ndarray, rows: np.ndarray, entry_ids):
-        for w in range(len(self.low)):
-            at = np.flatnonzero((scores >= self.floor[w]) & (scores <= self.high[w]))
-            if not len(at):
-                continue
+        fits = (scores[None, :] >= self.floor[:, None]) & (scores[None, :] <= self.high[:, None])
+        for w in np.flatnonzero(fits.any(axis=1)):
+            at = np.flatnonzero(fits[w])
             if len(at) > self.k:  # entries tied with the k-th stay: an id among theirs may be smaller
                 at = at[scores[at] >= np.partition(scores[at], -self.k)[-self.k]]
-            new = self.best[w] + [(-int(scores[i]), name) for i in at for name in entry_ids(rows[i])]
+            new = self.best[w] + [(-s, name) for s, row in zip(scores[at].tolist(), rows[at].tolist()) for name in entry_ids(row)]
             new.sort()
             self.best[w] = new[:self.k]
             if len(self.best[w]) == self.k:
@@ -143,10 +144,9 @@ def search(tile: "Tile", q: np.ndarray, label: int, same: bool, win: Windows) ->
         first, count = int(tree.first[node]), int(tree.count[node])
         if count < 0:
             leaves += 1
-            rows = np.arange(first, first - count)
-            rows = rows[(tile.label[rows] == label) == same]
+            rows = np.flatnonzero((tile.label[first:first - count] == label) == same)
             if len(rows):
-                win.add((vectors[rows] @ query).astype(np.int64), rows, tile.entry_ids)
+                win.add((vectors[first:first - count] @ query)[rows].astype(np.int64), rows + first, tile.entry_ids)
             continue
         kids = np.arange(first, first + count)
         a, b = interval(tree.low[kids], tree.high[kids], q)
@@ -170,6 +170,7 @@ class Tile:
             self.vectors = self.vectors.astype(np.int32)
 
     def opened(self) -> "Tile":
+        self.tree.low, self.tree.high = self.tree.low.astype(np.float64), self.tree.high.astype(np.float64)
         self.floats = self.vectors.astype(np.float64)
         self.vectors = self.vectors.astype(np.int64)
         return self
@@ -350,8 +351,12 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     coded = cut_lineage(coded)
     every = coded.withColumns({"w_low": F.array(F.lit(-_FAR)), "w_high": F.array(F.lit(_FAR))})
     near = find(tiles, every, True, positives + 1).select("sid", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    # one window for every score that a positive can have
-    scores = near.groupBy("sid").agg(F.sort_array(F.collect_set("positive_score")).alias("p"))  # at most positives + 1
+    by_anchor = Window.partitionBy("anchor_id", "label", "v").orderBy(F.col("positive_score").desc(), "positive_id")
+    pairs = cut_lineage(own.withColumnRenamed("vec_id", "anchor_id").join(distinct, ["label", "v"]).join(near, "sid").where("positive_id <> anchor_id")
+                           .withColumn("r", F.row_number().over(by_anchor)).where(F.col("r") <= positives)
+                           .select("anchor_id", "sid", "positive_id", "positive_score"))
+    # one window for every score of a positive
+    scores = pairs.groupBy("sid").agg(F.sort_array(F.collect_set("positive_score")).alias("p"))  # at most positives + 1
     windows = (coded.join(scores, "sid")
                     .withColumns({"w_low": F.expr(f"transform(p, x -> -floor(cast(x AS decimal(20, 0)) * -{low} / 100))"),
                                   "w_high": F.expr(f"transform(p, x -> floor(cast(x AS decimal(20, 0)) * {high} / 100))")})
@@ -359,9 +364,6 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     hard = find(tiles, windows.drop("p"), False, negatives + 1)
     hard = (hard.join(windows.select("sid", F.posexplode("p").alias("w", "positive_score")), ["sid", "w"])
                 .select("sid", "positive_score", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")))
-    by_anchor = Window.partitionBy("anchor_id", "label", "v").orderBy(F.col("positive_score").desc(), "positive_id")
-    pairs = (own.withColumnRenamed("vec_id", "anchor_id").join(distinct, ["label", "v"]).join(near, "sid").where("positive_id <> anchor_id")
-                .withColumn("r", F.row_number().over(by_anchor)).where(F.col("r") <= positives).select("anchor_id", "sid", "positive_id", "positive_score"))
     by_pair = Window.partitionBy("anchor_id", "sid", "positive_id").orderBy(F.col("negative_score").desc(), "negative_id")
     return (pairs.join(hard, ["sid", "positive_score"]).where("negative_id <> anchor_id").withColumn("rank", F.row_number().over(by_pair))
                  .where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))

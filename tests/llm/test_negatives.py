@@ -79,7 +79,7 @@ def test_tree_search_prunes_and_stays_exact(big, monkeypatch):
         read += N.search(tile, v[a], int(label[a]), False, win)
         for w, (lo, hi) in enumerate(zip(lows, highs)):
             assert win.best[w] == sorted(((-int(s[i]), i) for i in range(2000) if label[i] != label[a] and lo <= s[i] <= hi))[:10]
-    assert read < 0.4 * 40 * boxes  # most leaves are pruned by their boxes
+    assert read < 0.5 * 40 * boxes  # most leaves are pruned by their boxes
 
 
 def test_boxes_bound_every_inner_product():
