@@ -16,7 +16,8 @@
 Scale: an index is cut into pages by the first bits of its substring, about ``PAGE_ROWS``
 vectors each; a page with more (near copies) is split by hash. A query is sent to the
 pages whose first bits its ball can reach. A page is opened once and queries are streamed
-through it. Equal vectors are one entry with their k + 1 smallest ids (no other can be among
+through it; the pages of its own first bits come first and give the score that rows of other pages
+must reach. Equal vectors are one entry with their k + 1 smallest ids (no other can be among
 the k best), equal queries are asked once. The fitting sample is bounded: ``SAMPLE_ROWS`` vectors
 reach the driver for the codes, ``SAMPLE_QUERIES`` queries for the radius; every row is indexed.
 
@@ -194,6 +195,7 @@ def _answer(dtype, radius, k):
         code = _codes_matrix(batch.column("code"))
         vec = bytes_matrix(batch.column("vec"), dtype, page.vec.shape[1])
         rid = batch.column("rid").to_numpy()
+        floor = batch.column("floor").fill_null(-np.inf).to_numpy()
         for lo in range(0, len(rid), BLOCK):
             q, b = np.nonzero(np.bitwise_count(code[lo:lo + BLOCK, page.part, None] ^ page.buckets[None, :]) <= near)
             got = [], [], []
@@ -212,6 +214,8 @@ def _answer(dtype, radius, k):
             if not got[0]:
                 continue
             x, s, row = (np.concatenate(g) for g in got)
+            some = s >= floor[lo + x]
+            x, s, row = x[some], s[some], row[some]
             order, rank, last = _ranked(x, s, row, k)
             x, s, row = x[order], s[order], row[order]
             keep = (rank < k) | (s == s[last])  # entries tied with the k-th stay: an id among theirs may be smaller
@@ -258,16 +262,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, page_rows: int
     pages = (cut(index).join(pieces, ["j", "lead", "d"]).withColumn("piece", F.pmod(F.xxhash64("vec"), F.col("pieces")))
                        .select(*key, "ids", "vec", "code"))
     best = Window.partitionBy("rid").orderBy(F.col("score").desc(), "vec_id")
+
+    def top(rows):
+        return rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+
+    def ask_pages(probes, r):
+        got = serve(pages, probes.select(*key, "rid", "vec", "code", "floor"), key, lambda t: _Page(t, dtype), _answer(dtype, r, k + 1),
+                    "rid bigint, vec_id bigint, score double")
+        return cut_lineage(top(got))
     found, pending = None, asked
     steps = sorted({min(BITS, radius + x) for x in (0, BITS // 8, 3 * BITS // 8)} | {BITS})
     for r in steps:
         near = r // PARTS
         masks = F.expr(f"filter(sequence(0L, {2 ** lead - 1}L), x -> bit_count(x) <= {near})")
-        probes = (cut(pending).withColumn("lead", F.explode(F.transform(masks, lambda x: F.col("lead").bitwiseXOR(x))))
-                              .join(pieces, ["j", "lead", "d"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-                              .select(*key, "rid", "vec", "code"))
-        got = serve(pages, probes, key, lambda t: _Page(t, dtype), _answer(dtype, r, k + 1), "rid bigint, vec_id bigint, score double")
-        got = cut_lineage(got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
+        probes = (cut(pending).withColumn("mask", F.explode(masks)).withColumn("lead", F.col("lead").bitwiseXOR(F.col("mask")))
+                              .join(pieces, ["j", "lead", "d"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))))
+        # the pages of the query's own first bits come first; the others give only what reaches the k-th score found there
+        home = F.expr("mask = 0 AND piece = 0")
+        got = ask_pages(probes.where(home).withColumn("floor", F.lit(None).cast("double")), r)
+        floors = got.groupBy("rid").agg(F.count("*").alias("c"), F.min("score").alias("floor")).where(F.col("c") >= k + 1).drop("c")
+        got = got.unionAll(ask_pages(probes.where(~home).join(floors, "rid", "left"), r))
+        got = cut_lineage(top(got))
         if r == BITS:
             found = got if found is None else found.unionAll(got)
             break

@@ -96,7 +96,7 @@ def test_every_code_in_the_radius_is_retrieved_once(radius):
     for j in range(H.PARTS):
         page = H._Page(pa.table({"j": [j] * 400, "d": [4] * 400, "code": pa.array([c.tolist() for c in code.astype(np.int64)], pa.list_(pa.int64())),
                                  "vec": [v.tobytes() for v in vec], "ids": [[i] for i in range(400)]}), "<f8")
-        ask = pa.RecordBatch.from_pydict({"rid": [9], "code": pa.array([base[0].astype(np.int64).tolist()], pa.list_(pa.int64())), "vec": [vec[0].tobytes()]})
+        ask = pa.RecordBatch.from_pydict({"rid": [9], "code": pa.array([base[0].astype(np.int64).tolist()], pa.list_(pa.int64())), "vec": [vec[0].tobytes()], "floor": pa.array([None], pa.float64())})
         for b in H._answer("<f8", radius, 400)(page, ask):
             found += b.column("vec_id").to_pylist()
     assert sorted(found) == np.flatnonzero(H.distance(code, base[0]) <= radius).tolist()
