@@ -8,6 +8,7 @@ aggregate over the data, returning one row of counts.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import is_text_type, numeric_columns, qcol, text_columns
 from tabprobe.functions.aggregates import agg_row
+from tabprobe.sources import quoted
 
 # Cell texts that mean "missing" after loading (the 11 tokens
 # the reference replaces explicitly).
@@ -68,8 +70,10 @@ def read_strings(spark: SparkSession, path: str, sep: str = ",", header: bool =
                  multiline: bool = False) -> DataFrame:
     """All-string scan of a delimited file; read-time missing tokens -> NULL.
 
-    ``multiline`` allows quoted fields with line breaks; it makes every file
-    one task (not splittable), so it is off unless asked for."""
+    Quoted fields may hold line breaks: if some line holds an odd number of quotes (an
+    early-stopping probe tells), records are put together by ``quoted.read_quoted`` in
+    parallel over the splits. ``multiline`` has Spark's own reader do it instead, which
+    makes every file one task."""
     if sep not in SEPARATORS:
         raise ValueError(f"unsupported separator {sep!r}")
     enc = encoding or detect_encoding(spark, path)
@@ -77,8 +81,11 @@ def read_strings(spark: SparkSession, path: str, sep: str = ",", header: bool =
               .option("inferSchema", False).option("mode", "PERMISSIVE")
               .option("nullValue", "\u0000").option("emptyValue", "")
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-              .option("multiLine", multiline))
-    df = reader.csv(path)
+              .option("escape", '"').option("multiLine", multiline))
+    if not multiline and quoted.has_quoted_breaks(spark, path):
+        df = quoted.read_quoted(spark, path, sep, enc, header)
+    else:
+        df = reader.csv(path)
     if names is not None:
         if len(names) != len(df.columns):
             raise ValueError("names do not match the column count")
@@ -175,7 +182,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", sep: str = ",",
     reference's format; Parquet is the better one for a cluster."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("sep", sep).csv(path)
+        w.option("header", True).option("sep", sep).option("escape", '"').csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
@@ -194,7 +201,7 @@ def select_by_type(df: DataFrame, kind: str = "numeric") -> DataFrame:
 
 
 def raw_header(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> list[str]:
-    """The header line as written (the reader renames duplicate names)."""
+    """The names of the header record as written (the reader renames duplicate names)."""
     enc = encoding or detect_encoding(spark, path)
-    first = spark.read.option("encoding", enc).text(path).limit(1).collect()
-    return first[0][0].split(sep) if first else []
+    first = quoted.text_lines(spark, path, enc).where(F.trim("line") != "").select("line").limit(1).collect()
+    return next(csv.reader([first[0][0].removesuffix("\r")], delimiter=sep), []) if first else []
