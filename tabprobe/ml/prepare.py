@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, hash_order_key, is_numeric_type, numeric_columns, qcol
@@ -73,24 +73,63 @@ def split_key(id_cols: Sequence[str], seed: int = SPLIT_SEED):
     return hash_order_key(id_cols, seed)
 
 
+CUT_DIGITS = 3  # hexadecimal digits of the hash that one refinement looks at
+CUT_ROWS = 1024  # rows of a class that are ranked one by one
+BROADCAST_CLASSES = 100_000  # with more classes (one short row each) their cuts are joined by a shuffle
+
+
+def _per_class(rows: DataFrame, classes: int) -> DataFrame:
+    """One row a class, broadcast if their number is small."""
+    return F.broadcast(rows) if classes <= BROADCAST_CLASSES else rows
+
+
+def hash_cuts(keyed: DataFrame, wanted: DataFrame, classes: int) -> DataFrame:
+    """(_c, _cut, _exact): the hash of the ``_k``-th row in hash order of each class, and whether
+    rows of that class up to it number ``_k`` exactly (rows with one hash may straddle the cut).
+
+    ``keyed``: _cls, _h (hexadecimal text); ``wanted``: _c, _k (>= 1). Rows of a class are counted by the
+    next digits of their hash, the prefix that holds the k-th is refined until it holds few rows, and these
+    are ranked. Only counts are shuffled, at most 16 ** CUT_DIGITS a class and pass."""
+    left = wanted.withColumn("_p", F.lit(""))
+    depth = 0
+    while True:
+        depth += CUT_DIGITS
+        inside = keyed.join(_per_class(left, classes), F.col("_cls").eqNullSafe(F.col("_c")) & F.startswith("_h", F.col("_p")))
+        counts = inside.groupBy("_c", "_k", F.substring("_h", 1, depth).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("_c").orderBy("_p"))
+        left = cut_lineage(counts.withColumn("_u", upto).where((F.col("_u") >= F.col("_k")) & (F.col("_u") - F.col("_n") < F.col("_k")))
+                                 .select("_c", (F.col("_k") - F.col("_u") + F.col("_n")).alias("_k"), "_p", "_n"))
+        most = left.agg(F.max("_n")).first()[0] or 0
+        left = left.drop("_n")
+        if most <= CUT_ROWS or depth >= 32:
+            break
+    inside = keyed.join(_per_class(left, classes), F.col("_cls").eqNullSafe(F.col("_c")) & F.startswith("_h", F.col("_p")))
+    hashes = inside.groupBy("_c", "_k", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_c").orderBy("_h"))
+    return (hashes.withColumn("_u", upto).where((F.col("_u") >= F.col("_k")) & (F.col("_u") - F.col("_n") < F.col("_k")))
+                  .select("_c", F.col("_h").alias("_cut"), (F.col("_u") == F.col("_k")).alias("_exact")))
+
+
 def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str],
                      test_size: float = 0.3, seed: int = SPLIT_SEED) -> DataFrame:
     """M3: add ``is_test``: in each class, rows ordered by md5(id-seed); the
     first round(test_size * n_class) are test rows. Rows with a missing label
     are kept and split as a class of their own.
 
-    The order inside a class comes from a distributed running count over
-    range partitions, so even a class holding most rows is never sorted in one
-    task."""
-    keyed = df.withColumn("_h", split_key(id_cols, seed)).withColumn("_one", F.lit(1))
-    keyed = keyed.withColumn("_cls", qcol(label).cast("string"))
-    ranked = with_running_sum(keyed, "_cls", ["_h"], "_one", name="_pos")
-    sizes = df.groupBy(qcol(label).cast("string").alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.round(F.col("_n") * F.lit(test_size), 0)
-    sizes = sizes.withColumnRenamed("_cls", "_c")
-    return (ranked.join(sizes, F.col("_cls").eqNullSafe(F.col("_c")))  # one row per class; AQE broadcasts it when small
-                  .withColumn("is_test", F.col("_pos") < cut)
-                  .drop("_h", "_one", "_cls", "_c", "_pos", "_n"))
+    The cut hash of each class is selected from counts (``hash_cuts``), then a comparison
+    splits the rows where they are: no row is shuffled. Only if rows with one and the same
+    hash straddle a cut (repeated ids) are rows numbered by a distributed running count."""
+    keyed = df.withColumn("_h", split_key(id_cols, seed)).withColumn("_cls", qcol(label).cast("string"))
+    sizes = df.groupBy(qcol(label).cast("string").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = cut_lineage(sizes.select("_c", F.round(F.col("_n") * F.lit(test_size), 0).cast("long").alias("_k")))
+    classes = wanted.count()
+    cuts = cut_lineage(hash_cuts(keyed.select("_cls", "_h"), wanted.where("_k > 0"), classes))
+    if not cuts.where("NOT _exact").isEmpty():
+        ranked = with_running_sum(keyed.withColumn("_one", F.lit(1)), "_cls", ["_h"], "_one", name="_pos")
+        return (ranked.join(wanted, F.col("_cls").eqNullSafe(F.col("_c"))).withColumn("is_test", F.col("_pos") < F.col("_k"))
+                      .drop("_h", "_one", "_cls", "_c", "_pos", "_k"))
+    marked = keyed.join(_per_class(cuts, classes), F.col("_cls").eqNullSafe(F.col("_c")), "left")
+    return marked.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).drop("_h", "_cls", "_c", "_cut", "_exact")
 
 
 def fold_assignment(df: DataFrame, label: str, id_cols: Sequence[str], folds: int = 5,
