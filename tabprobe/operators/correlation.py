@@ -2,9 +2,9 @@
 ``(col_a, col_b, r)``.
 
 * Pearson: one pass for null-free columns, one ``corr`` aggregate per batch of the other pairs.
-* Spearman: Pearson on average ranks. Ranks come from a distributed running
-  count over sorted distinct values; pairs that involve missing values are
-  re-ranked on that pair's complete rows.
+* Spearman: Pearson on average ranks. Each column is ranked once by a distributed running
+  count over sorted distinct values; where a partner has missing values, the rows without it
+  are subtracted from the rank.
 * Kendall tau-b: no self-join. Discordant pairs are counted per bit level of
   the dense y-rank: within a group of equal higher bits, a row with bit 1 and a
   smaller x than a row with bit 0 forms one discordant pair. Each level is a
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
-from tabprobe.operators.ordering import with_running_sum
+from tabprobe.operators.ordering import with_running_sum, with_running_sums
 from tabprobe.session import cut_lineage
 from tabprobe.functions.aggregates import agg_row
 
@@ -44,20 +45,28 @@ def _mirror(upper: DataFrame, cols: Sequence[str], diagonal: DataFrame) -> DataF
     return full.orderBy(idx[F.col("col_a")], idx[F.col("col_b")])
 
 
-def varying_pairs(wide: DataFrame, cols: Sequence[str], pairs) -> list[bool]:
-    """Per pair: do both columns vary over the pair's complete rows?
+class ColumnFacts(NamedTuple):
+    nulls: int
+    infinite: int
+    varies: bool  # two different values; exact where a variance test is not
+
 
-    ``corr`` raises under ANSI mode on a constant pair, and a min = max test is
-    exact where a variance test is not. One column-level aggregate (nulls,
-    min < max) decides every pair of null-free columns; only pairs that touch
-    a column with missing values need masked min / max, in batches."""
+def column_facts(wide: DataFrame, cols: Sequence[str]) -> list[ColumnFacts]:
+    """What the later passes need to know of each column, in one aggregate."""
+    inf = float("inf")
     row = agg_row(wide, [x for k, c in enumerate(cols) for x in (
-        F.count_if(qcol(c).isNull()).alias(f"_m{k}"),
+        F.count_if(qcol(c).isNull()).alias(f"_n{k}"), F.count_if(F.abs(qcol(c)) == inf).alias(f"_i{k}"),
         F.coalesce(F.min(qcol(c)) < F.max(qcol(c)), F.lit(False)).alias(f"_v{k}"))])
-    nulls = [row[f"_m{k}"] for k in range(len(cols))]
-    varies = [bool(row[f"_v{k}"]) for k in range(len(cols))]
-    flags = {(i, j): varies[i] and varies[j] for i, j in pairs}
-    masked = [(i, j) for i, j in pairs if (nulls[i] or nulls[j]) and varies[i] and varies[j]]
+    return [ColumnFacts(row[f"_n{k}"], row[f"_i{k}"], bool(row[f"_v{k}"])) for k in range(len(cols))]
+
+
+def varying_pairs(wide: DataFrame, cols: Sequence[str], pairs, facts: list[ColumnFacts]) -> dict[tuple[int, int], bool]:
+    """Per pair: do both columns vary over the pair's complete rows?
+
+    ``corr`` raises under ANSI mode on a constant pair. The column facts decide every pair of
+    null-free columns; only pairs that touch a column with missing values need masked min / max, in batches."""
+    flags = {(i, j): facts[i].varies and facts[j].varies for i, j in pairs}
+    masked = [(i, j) for i, j in pairs if (facts[i].nulls or facts[j].nulls) and flags[i, j]]
     guards = []
     for i, j in masked:
         both = qcol(cols[i]).isNotNull() & qcol(cols[j]).isNotNull()
@@ -67,7 +76,7 @@ def varying_pairs(wide: DataFrame, cols: Sequence[str], pairs) -> list[bool]:
         got = wide.agg(*guards[start:start + 4 * PAIRS_PER_AGGREGATE]).first()
         for k, ok in enumerate(got):
             flags[masked[start + k]] = bool(ok)
-    return [flags[p] for p in pairs]
+    return flags
 
 
 def _one_pass(wide: DataFrame, cols: Sequence[str]) -> dict[tuple[int, int], float]:
@@ -78,26 +87,21 @@ def _one_pass(wide: DataFrame, cols: Sequence[str]) -> dict[tuple[int, int], flo
     return {(i, j): float(m[i, j]) for i, j in _pairs(cols)}
 
 
-def _pearson_upper(wide: DataFrame, cols: Sequence[str], varying: list[bool] | None = None) -> DataFrame:
+def _pearson_upper(wide: DataFrame, cols: Sequence[str], facts: list[ColumnFacts], flags: dict[tuple[int, int], bool]) -> DataFrame:
     """Upper-triangle Pearson cells of the (already numeric, NaN-free) columns.
     Null-free finite columns are correlated in one pass, so scans do not grow with
     the number of pairs; pairs that touch missing values get one ``corr``
     aggregate per batch (pairwise complete); constant pairs are NULL."""
     pairs = _pairs(cols)
-    if varying is None:
-        varying = varying_pairs(wide, cols, pairs)
-    inf = float("inf")
-    row = agg_row(wide, [e for k, c in enumerate(cols) for e in (
-        F.count_if(qcol(c).isNull() | (F.abs(qcol(c)) == inf)).alias(f"_m{k}"), (F.min(qcol(c)) < F.max(qcol(c))).alias(f"_v{k}"))])
-    whole = [k for k in range(len(cols)) if not row[f"_m{k}"] and row[f"_v{k}"]]
+    whole = [k for k, f in enumerate(facts) if not f.nulls and not f.infinite and f.varies]
     names = [f"_p{k}" for k in whole]
     known = {}
     if len(whole) > 1:
         plain = wide.select(*[qcol(cols[k]).alias(n) for k, n in zip(whole, names)])
         known = {(whole[i], whole[j]): r for (i, j), r in _one_pass(plain, names).items()}
-    rows = [(cols[i], cols[j], known.get((i, j))) for (i, j), ok in zip(pairs, varying) if (i, j) in known or not ok]
+    rows = [(cols[i], cols[j], known.get((i, j))) for i, j in pairs if (i, j) in known or not flags[i, j]]
     parts = [wide.sparkSession.createDataFrame(rows, CORR_DDL)] if rows else []
-    left = [(i, j) for (i, j), ok in zip(pairs, varying) if ok and (i, j) not in known]
+    left = [(i, j) for i, j in pairs if flags[i, j] and (i, j) not in known]
     for start in range(0, len(left), PAIRS_PER_AGGREGATE):
         cells = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
                           F.corr(qcol(cols[i]), qcol(cols[j])).cast("double").alias("r"))
@@ -109,17 +113,10 @@ def _pearson_upper(wide: DataFrame, cols: Sequence[str], varying: list[bool] | N
     return out
 
 
-def _diag(wide: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
+def _diag(spark, cols: Sequence[str], facts: list[ColumnFacts] | None) -> DataFrame:
     """Diagonal cells: 1.0, except NULL for a constant or empty column
     (pandas gives NaN there for Pearson/Spearman; Kendall's diagonal is 1)."""
-    def cell(c):
-        x = qcol(c)
-        if method == "kendall":
-            r = F.lit(1.0)
-        else:
-            r = F.when((F.count(x) > 1) & (F.min(x) < F.max(x)), F.lit(1.0))
-        return F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), r.cast("double").alias("r"))
-    return wide.agg(F.array(*[cell(c) for c in cols]).alias("_s")).select(F.inline("_s"))
+    return spark.createDataFrame([(c, c, 1.0 if facts is None or facts[k].varies else None) for k, c in enumerate(cols)], CORR_DDL)
 
 
 def _numeric_wide(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
@@ -132,93 +129,71 @@ def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     wide, cols = _numeric_wide(df, columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
-    return _mirror(_pearson_upper(wide, cols), cols, _diag(wide, cols, "pearson"))
+    facts = column_facts(wide, cols)
+    upper = _pearson_upper(wide, cols, facts, varying_pairs(wide, cols, _pairs(cols), facts))
+    return _mirror(upper, cols, _diag(df.sparkSession, cols, facts))
 
 
 # ------------------------------------------------------------------ ranks
 
-def average_ranks(long: DataFrame, key: str = "column_name") -> DataFrame:
-    """(key, v, avg_rank) -- 1-based average rank of each distinct value within
-    its key, from a distributed running count."""
-    vc = cut_lineage(long.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c")))  # read by several jobs
-    ranked = with_running_sum(vc, key, ["v"], "c", name="before")
-    return ranked.select(key, "v", (F.col("before") + (F.col("c") + 1) / 2.0).alias("avg_rank"))
-
-
-def _ranked_wide(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank over the rows of ``wide``
-    (missing stays missing): unpivot with a row key, one join, regroup."""
-    keyed = wide.withColumn("_rk", F.monotonically_increasing_id())
-    # two consumers: the rank branch needs only (column, value), so rescanning is
+def rank_vectors(wide: DataFrame, cols: Sequence[str], partners: Sequence[str]) -> DataFrame:
+    """Row by row, ``_r0``, ``_r1``, ...: each column's average ranks as an array -- over all its
+    values, then for each of ``partners`` over the rows where that column is present too (null where
+    the column is missing).
+
+    A column is ranked once. The rank among the rows with a partner is that rank less the rows without
+    the partner that come before (half of those that tie), so the value counts of a column carry, beside
+    the count, how many of its rows lack each partner, and one sort gives all running sums. Rows x columns
+    values are shuffled, whatever the number of pairs."""
+    flags = [f"_g{k}" for k in range(len(partners))]
+    keyed = wide.withColumns({"_rk": F.monotonically_increasing_id()} | {g: qcol(p).isNull().cast("int") for g, p in zip(flags, partners)})
+    # two consumers: the rank branch needs only (column, value, flags), so rescanning is
     # cheaper than writing n x d rows, and the row key is used in one branch only
-    long = keyed.unpivot(["_rk"], [qcol(c) for c in cols], "column_name", "v").where(
-        F.col("v").isNotNull())
-    ranks = average_ranks(long)
-    joined = long.join(ranks, ["column_name", "v"])
-    return joined.groupBy("_rk").pivot("column_name", list(cols)).agg(F.first("avg_rank"))
-
-
-def _pair_long(wide: DataFrame, cols: Sequence[str], pairs) -> DataFrame:
-    """(pair, x, y) rows of every listed column pair where both are present."""
-    structs = [F.struct(F.lit(f"{i},{j}").alias("pair"), qcol(cols[i]).alias("x"),
-                        qcol(cols[j]).alias("y")) for i, j in pairs]
-    return (wide.select(F.inline(F.array(*structs)))
-                .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-
-
-def _pair_names(cols, pairs):
-    return F.create_map(*[x for i, j in pairs
-                          for x in (F.lit(f"{i},{j}"), F.array(F.lit(cols[i]), F.lit(cols[j])))])
+    long = keyed.unpivot(["_rk", *flags], [qcol(c) for c in cols], "column_name", "v").where(F.col("v").isNotNull())
+    counts = cut_lineage(long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(g).alias(g) for g in flags]))
+    sums = with_running_sums(counts, "column_name", ["v"], {f"_before{w}": w for w in ["_c", *flags]})
+    full = F.col("_before_c") + (F.col("_c") + 1) / 2.0
+    ranks = sums.select("column_name", "v", F.array(full, *[full - F.col(f"_before{g}") - F.col(g) / 2.0 for g in flags]).alias("_ranks"))
+    joined = long.select("_rk", "column_name", "v").join(ranks, ["column_name", "v"])
+    names = {c: f"_r{k}" for k, c in enumerate(cols)}
+    out = joined.groupBy("_rk").pivot("column_name", list(cols)).agg(F.first("_ranks"))
+    return out.select(*[qcol(c).alias(names[c]) for c in cols])
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson on average ranks, ranked on each pair's complete rows.
 
-    Columns without missing values are ranked once for all their pairs. All
-    pairs that involve a column with missing values are ranked together in one
-    pipeline keyed by (pair, side), each on its own complete rows (the null
-    counts that decide this are one eager aggregate).
-    """
+    Every column is ranked once (``rank_vectors``); the ranks are written and each pair is one
+    ``corr`` over its two rank columns, pairs without missing values in one pass."""
     wide, cols = _numeric_wide(df, columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
-    row = agg_row(wide, [F.count_if(qcol(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
-    complete = [c for i, c in enumerate(cols) if row[f"_m{i}"] == 0]
+    facts = column_facts(wide, cols)
+    partners = [c for c, f in zip(cols, facts) if f.nulls]
+    complete = [c for c in cols if c not in partners]
+    ranked = cut_lineage(rank_vectors(wide, cols, partners))
+    at = {c: f"_r{k}" for k, c in enumerate(cols)}
+    slot = {c: 1 + partners.index(c) if c in partners else 0 for c in cols}
+    # ranks vary exactly where the raw values of the pair's rows vary
+    flags = varying_pairs(wide, cols, _pairs(cols), facts)
+    index = {c: i for i, c in enumerate(cols)}
     parts = []
     if len(complete) >= 2:
-        # ranks vary exactly where the complete column varies: guard on the raw values
-        rng = wide.agg(*[(F.min(qcol(c)) < F.max(qcol(c))).alias(f"_v{k}")
-                         for k, c in enumerate(complete)]).first()
-        varying = [bool(rng[i]) and bool(rng[j]) for i, j in _pairs(complete)]
-        parts.append(_pearson_upper(_ranked_wide(wide.select(*[qcol(c) for c in complete]), complete),
-                                    complete, varying))
-    mixed = [(i, j) for i, j in _pairs(cols) if not (cols[i] in complete and cols[j] in complete)]
-    if mixed:
-        # ranks of each side on the pair's complete rows, from value counts;
-        # every pair row then meets its two ranks by equi-joins on (pair, value)
-        long = _pair_long(wide, cols, mixed)
-        values = (long.select(F.concat_ws("|", "pair", F.lit("x")).alias("key"), F.col("x").alias("v"))
-                      .unionByName(long.select(F.concat_ws("|", "pair", F.lit("y")).alias("key"),
-                                               F.col("y").alias("v"))))
-        ranks = average_ranks(values, key="key")
-        rx = ranks.select(F.col("key").alias("_kx"), F.col("v").alias("x"), F.col("avg_rank").alias("rx"))
-        ry = ranks.select(F.col("key").alias("_ky"), F.col("v").alias("y"), F.col("avg_rank").alias("ry"))
-        ranked = (long.withColumn("_kx", F.concat_ws("|", "pair", F.lit("x")))
-                      .withColumn("_ky", F.concat_ws("|", "pair", F.lit("y")))
-                      .join(rx, ["_kx", "x"]).join(ry, ["_ky", "y"]))
-        varying = [f"{i},{j}" for (i, j), ok in zip(mixed, varying_pairs(wide, cols, mixed)) if ok]
-        names = _pair_names(cols, mixed)
-        parts.append(ranked.where(F.col("pair").isin(*varying) if varying else F.lit(False))
-                           .groupBy("pair").agg(F.corr("rx", "ry").alias("r"))
-                           .select(names[F.col("pair")][0].alias("col_a"),
-                                   names[F.col("pair")][1].alias("col_b"), "r"))
-    upper = parts[0]
-    for p in parts[1:]:
-        upper = upper.unionByName(p)
+        plain = ranked.select(*[F.col(at[c])[0].alias(c) for c in complete])
+        mine = [facts[index[c]]._replace(infinite=0) for c in complete]  # ranks are finite
+        parts.append(_pearson_upper(plain, complete, mine, {(i, j): mine[i].varies and mine[j].varies for i, j in _pairs(complete)}))
+    mixed = [(cols[i], cols[j]) for (i, j), ok in flags.items() if ok and not (cols[i] in complete and cols[j] in complete)]
+    for start in range(0, len(mixed), PAIRS_PER_AGGREGATE):
+        cells = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                          F.corr(F.col(at[a])[slot[b]], F.col(at[b])[slot[a]]).alias("r")) for a, b in mixed[start:start + PAIRS_PER_AGGREGATE]]
+        parts.append(ranked.agg(F.array(*cells).alias("_s")).select(F.inline("_s")))
     allp = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in _pairs(cols)],
                                            "col_a string, col_b string")
+    upper = parts[0] if parts else df.sparkSession.createDataFrame([], CORR_DDL)
+    for p in parts[1:]:
+        upper = upper.unionByName(p)
     upper = allp.join(upper, ["col_a", "col_b"], "left")
-    return _mirror(upper, cols, _diag(wide, cols, "spearman"))
+    return _mirror(upper, cols, _diag(df.sparkSession, cols, facts))
 
 
 # ------------------------------------------------------------------ Kendall
@@ -279,7 +254,7 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     got = tau.select(names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")
     allp = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in pairs], "col_a string, col_b string")
     upper = allp.join(got, ["col_a", "col_b"], "left")
-    return _mirror(upper, cols, _diag(wide, cols, "kendall"))
+    return _mirror(upper, cols, _diag(df.sparkSession, cols, None))
 
 
 def correlation_matrix(df: DataFrame, method: str = "pearson",

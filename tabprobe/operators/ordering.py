@@ -19,7 +19,7 @@ at every size alike:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,26 +132,34 @@ def with_running_sum(df: DataFrame, group_col: str | None, order_by: Sequence[st
     order (missing first): an exclusive running sum. Rows with equal keys are
     ordered arbitrarily (ROWS frame); pass unique keys for a deterministic
     result. Missing groups are one group."""
+    return with_running_sums(df, group_col, order_by, {name: weight_col}, num_buckets, spread)
+
+
+def with_running_sums(df: DataFrame, group_col: str | None, order_by: Sequence[str],
+                      weights: Mapping[str, str | None], num_buckets: int | None = None,
+                      spread: Sequence[str] | None = None) -> DataFrame:
+    """``with_running_sum`` of several weights ({new column: weight column}) in one
+    shuffle and one sort."""
     gcols = [group_col] if group_col else []
     keys = gcols + list(order_by)
-    w = qcol(weight_col) if weight_col else F.lit(1).cast("long")
     g = qcol(group_col) if group_col else F.lit(0)
     n = num_buckets or bucket_count(df, df.count())
     b = bucket_column(df, keys, n, spread)
-    staged = df.withColumn("_b", b).withColumn("_g", g).withColumn("_w", w.cast("long"))
+    sums = list(enumerate(weights.items()))
+    staged = df.withColumns({"_b": b, "_g": g} | {f"_w{k}": (qcol(w) if w else F.lit(1)).cast("long") for k, (_, w) in sums})
     staged = staged.repartition(n, "_b")
     local_w = (Window.partitionBy("_b", "_g").orderBy(*[qcol(c) for c in order_by])
                      .rowsBetween(Window.unboundedPreceding, -1))
-    local = staged.withColumn("_local", F.coalesce(F.sum("_w").over(local_w), F.lit(0)))
-    totals = staged.groupBy("_b", "_g").agg(F.sum("_w").alias("_tot"))
+    local = staged.withColumns({f"_local{k}": F.coalesce(F.sum(f"_w{k}").over(local_w), F.lit(0)) for k, _ in sums})
+    totals = staged.groupBy("_b", "_g").agg(*[F.sum(f"_w{k}").alias(f"_tot{k}") for k, _ in sums])
     prior = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.select(F.col("_b").alias("_ob"), F.col("_g").alias("_og"),
-                             F.coalesce(F.sum("_tot").over(prior), F.lit(0)).alias("_off"))
-                     .where(F.col("_off") > 0))  # at most one row per bucket boundary
+    offsets = totals.select(F.col("_b").alias("_ob"), F.col("_g").alias("_og"),
+                            *[F.coalesce(F.sum(f"_tot{k}").over(prior), F.lit(0)).alias(f"_off{k}") for k, _ in sums])
+    offsets = offsets.where(F.greatest(*[F.col(f"_off{k}") for k, _ in sums], F.lit(0)) > 0)  # at most one row per bucket boundary
     joined = local.join(F.broadcast(offsets),
                         (F.col("_b") == F.col("_ob")) & F.col("_g").eqNullSafe(F.col("_og")), "left")
-    return (joined.withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long"))
-                  .drop("_b", "_g", "_w", "_ob", "_og", "_off", "_local"))
+    out = joined.withColumns({name: (F.coalesce(F.col(f"_off{k}"), F.lit(0)) + F.col(f"_local{k}")).cast("long") for k, (name, _) in sums})
+    return out.drop("_b", "_g", "_ob", "_og", *[f"{x}{k}" for k, _ in sums for x in ("_w", "_off", "_local")])
 
 
 _POS_BITS = 33  # monotonically_increasing_id = (partition index << 33) + position

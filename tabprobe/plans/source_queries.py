@@ -73,6 +73,17 @@ def read_delimited_part_pipe(spark, sf):
     return reread(delimited.read_delimited(spark, path, sep="|"))
 
 
+@register("read_delimited_part_line_breaks", """
+SELECT p_partkey, replace(p_name, ' ', chr(10)) AS p_name, p_brand || ' "' || p_type || '"' AS p_brand, CAST(p_size AS BIGINT) AS p_size FROM part""")
+def read_delimited_part_line_breaks(spark, sf):
+    """Quoted fields with line breaks and quotes, by the default reader."""
+    p = table(spark, sf, "part")
+    path = scratch_path(spark, "part-breaks")
+    delimited.write_table(p.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("\n")).alias("p_name"),
+                                   F.concat("p_brand", F.lit(' "'), "p_type", F.lit('"')).alias("p_brand"), "p_size"), path, "csv")
+    return reread(delimited.read_delimited(spark, path))
+
+
 @register("normalize_missing_customer_text", """
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
   CASE WHEN c_nationkey = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
