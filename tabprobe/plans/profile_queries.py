@@ -35,7 +35,7 @@ def dataset_info_lineitem_nulls(spark, sf):
 
 @register("column_kinds_lineitem", """
 SELECT CAST(row_number() OVER (ORDER BY ordinal_position) - 1 AS INTEGER) AS ordinal, column_name,
-  CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS data_type,
+  CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type,
   CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT') OR data_type LIKE 'DECIMAL%' THEN 'numeric'
     WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'other' END AS kind
 FROM information_schema.columns WHERE table_name = 'lineitem'""")
