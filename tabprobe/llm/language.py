@@ -9,13 +9,15 @@ the largest mean probability over its words.
 
 Training maximises the chain's conditional likelihood on sequences cut from
 labelled texts: a bounded sample of rows (``SAMPLE_ROWS`` chosen by hash, evenly by
-language), whose words all carry the text's label; neighbouring texts of the
-sample are joined now and then, which shows the model switches.
+language, and ``LANGUAGE_ROWS`` of each if there are many), whose words all carry the
+text's label; neighbouring texts of the sample are joined now and then, which shows the
+model switches. Every language that occurs is learned.
 
 Scale: prediction is row-wise over whole texts; features are computed once per
 distinct word of a chunk, and the recursions run on blocks of words side by
-side, joined by their transfer matrices, so a long text costs no more per word.
-The model is a few hundred kilobytes, whatever the input.
+side, joined by their transfer matrices, so a long text costs no more per word; with many
+languages the blocks are wider, so that the matrices stay within ``CELLS``. The model
+takes 64 KB a language, whatever the rows.
 
 Defined results: null texts and texts without letters are ``und`` with score 0;
 rows with null text or language are not learned from; without labels all texts
@@ -26,15 +28,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.llm.words import find_words, hash_spans, mix, slices, text_buffers
-from tabprobe.session import cut_lineage
+from tabprobe.llm.words import CHUNK_BYTES, find_words, hash_spans, mix, slices, text_buffers
 
 SAMPLE_ROWS = 2000  # documented bound of the training sample
-SAMPLE_WORDS = 400_000  # words of the sample that are trained on, in whole texts, at most (and one text at least)
-LANGUAGES = 200  # most languages learned: the commonest
+LANGUAGE_ROWS = 20  # rows of each language sampled at least, where it has them
+SAMPLE_WORDS = 400_000  # about as many words of the sample are trained on, in whole texts (and one text of each language at least)
+CELLS = 1 << 22  # numbers held at once in transfer matrices or in a training step
 BITS = 14
 LEAD, STEPS, RATE = 64, 60, 0.3
 BLOCK = 32  # words handled one after another; blocks are handled side by side
@@ -99,7 +101,16 @@ def _softplus_rows(e: np.ndarray) -> np.ndarray:
     return np.exp(e - e.max(axis=1, keepdims=True))
 
 
-def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def block_width(count: np.ndarray, labels: int, cells: int = CELLS) -> int:
+    """Words in a block, so that the blocks' transfer matrices hold at most ``cells`` numbers;
+    blocks as long as the longest text need none."""
+    width = BLOCK
+    while width < count.max(initial=0) and int((-(-count // width)).sum()) * labels * labels > cells:
+        width *= 2
+    return width
+
+
+def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray, cells: int = CELLS) -> np.ndarray:
     """Label probabilities of every word by forward-backward. ``emit``: positive
     emission factors by word; ``bounds``: words before each text."""
     n, m = emit.shape
@@ -107,24 +118,25 @@ def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: n
         return np.zeros((0, m))
     t = np.exp(moves)
     b = np.exp(begin - begin.max())
-    # blocks of up to BLOCK words that do not cross texts
+    # blocks of words that do not cross texts
     count = np.diff(bounds)
-    per = -(-count // BLOCK)
+    block = block_width(count, m, cells)
+    per = -(-count // block)
     text = np.repeat(np.arange(len(count)), per)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    first = bounds[:-1][text] + nth * BLOCK
-    size = np.minimum(BLOCK, bounds[1:][text] - first)
+    first = bounds[:-1][text] + nth * block
+    size = np.minimum(block, bounds[1:][text] - first)
     nb = len(first)
     order = np.argsort(-size, kind="stable")
     first, size, text, nth = first[order], size[order], text[order], nth[order]
-    live = [int(np.searchsorted(-size, -j, side="left")) for j in range(BLOCK)]  # blocks longer than j
+    block = int(size.max())
+    live = np.searchsorted(-size, -np.arange(block), side="left").tolist()  # blocks longer than j
     at = np.empty(nb, np.int64)
     at[order] = np.arange(nb)  # place of the blocks in text order
     # transfer matrix of each block: product of (transition x emission), scaled
-    mat = np.broadcast_to(np.eye(m), (nb, m, m)).copy()
-    many = per.max(initial=0) > 1
-    if many:
-        for j in range(BLOCK):
+    if per.max(initial=0) > 1:
+        mat = np.broadcast_to(np.eye(m), (nb, m, m)).copy()
+        for j in range(block):
             k = live[j]
             moved = mat[:k] @ t
             if j == 0:
@@ -152,10 +164,8 @@ def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: n
     # within the blocks, side by side
     fwd = np.empty((n, m))
     v = into
-    for j in range(BLOCK):
+    for j in range(block):
         k = live[j]
-        if not k:
-            break
         moved = v[:k] @ t
         if j == 0:
             moved[nth == 0] = b
@@ -164,10 +174,8 @@ def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: n
         fwd[first[:k] + j] = v
     post = fwd
     v = after.copy()
-    for j in range(BLOCK - 1, -1, -1):
+    for j in range(block - 1, -1, -1):
         k = live[j]
-        if not k:
-            continue
         w = first[:k] + j
         p = fwd[w] * v[:k]
         p /= p.sum(axis=1, keepdims=True)
@@ -180,7 +188,8 @@ def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: n
 def predict(arr: pa.Array, model: Chain | None):
     """(labels, scores) of the texts of an array."""
     out, scores = [], []
-    for lo, hi in slices(arr):
+    # the tables of a slice hold words x labels numbers
+    for lo, hi in slices(arr, CHUNK_BYTES * 16 // max(16, len(model.labels) if model else 0)):
         part = arr.slice(lo, hi - lo)
         data, starts, ends, bounds = text_words(part)
         count = np.diff(bounds)
@@ -226,7 +235,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Chain:
     g1 = {k: np.zeros_like(v) for k, v in (("w", model.weights), ("t", model.moves), ("b", model.begin))}
     rng = np.random.default_rng(seed)
     chains = len(cuts) - 1
-    step = max(1, chains // 8)
+    step = max(1, min(chains // 8, CELLS // (LEAD * m)))
     for it in range(STEPS):
         pick = np.sort(rng.permutation(chains)[:step]) if chains > 8 else np.arange(chains)
         idx = np.concatenate([np.arange(cuts[c], cuts[c + 1]) for c in pick])
@@ -279,9 +288,9 @@ def pair_posteriors(emit, bounds, moves, begin, inner):
         b[:, j] = v / v.sum(axis=1, keepdims=True)
     total = np.zeros((m, m))
     for j in range(1, most):
-        p = f[:, j - 1, :, None] * t[None] * (e[:, j] * b[:, j])[:, None, :]
-        p /= p.sum(axis=(1, 2), keepdims=True)
-        total += p[ok[:, j]].sum(axis=0)
+        on = ok[:, j]
+        before, here = f[on, j - 1], e[on, j] * b[on, j]
+        total += t * ((before / ((before @ t) * here).sum(axis=1, keepdims=True)).T @ here)
     return total
 
 
@@ -289,23 +298,24 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """The chain learned from rows with text and language; None without any."""
     src = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL")
-    langs = [r["lang"] for r in src.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
+    langs = src.select("lang").distinct().count()
     if not langs:
         return None
-    keyed = src.where(F.col("lang").isin(langs)).select("lang", "text", F.xxhash64("text", F.lit(3)).alias("key"), F.length("text").alias("size"))
     # rows by hash, as many for each language; chosen by key and size, then their texts are read
-    per = max(1, sample_rows // len(langs))
-    chosen = None
-    for x in langs:
-        part = keyed.where(F.col("lang") == x).select("lang", "key", "size").distinct().orderBy("key").limit(per)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    chosen = cut_lineage(chosen)  # at most sample_rows rows
-    budget, picked = SAMPLE_WORDS * 6 // len(langs), []
+    keyed = src.select("lang", "text", F.xxhash64("text", F.lit(3)).alias("key"), F.length("text").alias("size"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "size"))
+    chosen = keyed.select("lang", "key", "size").distinct().withColumn("_n", nth).where(
+        F.col("_n") <= max(LANGUAGE_ROWS, sample_rows // langs)).drop("_n").collect()
+    budget, picked = SAMPLE_WORDS * 6 // langs, []
     spent: dict[str, int] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["key"], r["lang"])):
-        if not spent.get(r["lang"]) or spent[r["lang"]] + r["size"] <= budget:
+    least: dict[str, tuple] = {}
+    for r in sorted(chosen, key=lambda r: (r["key"], r["lang"])):
+        least[r["lang"]] = min(least.get(r["lang"], (r["size"], r["key"])), (r["size"], r["key"]))
+        if spent.get(r["lang"], 0) + r["size"] <= budget:
             spent[r["lang"]] = spent.get(r["lang"], 0) + r["size"]
             picked.append((r["lang"], r["key"]))
+    # where no sampled text is within the budget, the shortest one is learned from
+    picked += [(x, key) for x, (_, key) in least.items() if x not in spent]
     want = labelled.sparkSession.createDataFrame(picked, "lang string, key bigint")
     rows = (keyed.join(F.broadcast(want), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text")).collect())
     rows.sort(key=lambda r: (r["key"], r["lang"]))

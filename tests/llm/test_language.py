@@ -105,3 +105,26 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r["held_out"]]
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) >= 0.97
+
+
+def test_wider_blocks_give_the_same_probabilities():
+    rng = np.random.default_rng(8)
+    m, b = 5, np.array([0, 3, 203, 203, 210, 500])
+    emit, moves, begin = np.exp(rng.normal(size=(500, m))), rng.normal(size=(m, m)), rng.normal(size=m)
+    want = L.posteriors(emit, b, moves, begin)
+    assert [L.block_width(np.diff(b), m, c) for c in (1 << 20, 200, 75, 0)] == [L.BLOCK, 4 * L.BLOCK, 512, 512]
+    for cells in (200, 75, 0):
+        assert np.allclose(L.posteriors(emit, b, moves, begin, cells), want)
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    names = [f"l{i:03}" for i in range(250)]
+    letters = list("abcdefghijklmnoprstuvz")
+    lexicon = {x: ["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(25)] for x in names}
+    rows = [(i, " ".join(rng.choice(lexicon[x], 30)), x) for i, x in enumerate(names * 7)]
+    seen, new = rows[:1500], rows[1500:]
+    model = L.train(spark.createDataFrame(seen, "doc_id long, text string, lang string"))
+    assert model.labels == names
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()}
+    assert np.mean([got[i] == x for i, _, x in new]) >= 0.95
