@@ -5,10 +5,8 @@
 * Spearman: Pearson on average ranks. Each column is ranked once by a distributed running
   count over sorted distinct values; where a partner has missing values, the rows without it
   are subtracted from the rank.
-* Kendall tau-b: no self-join. Discordant pairs are counted per bit level of
-  the dense y-rank: within a group of equal higher bits, a row with bit 1 and a
-  smaller x than a row with bit 0 forms one discordant pair. Each level is a
-  grouped running sum over x, computed with the same distributed running sum.
+* Kendall tau-b: no self-join. Pairs of rows are counted by a grid of value ranges
+  and by merging inside the ranges (``concordance``).
 """
 
 from __future__ import annotations
@@ -23,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
-from tabprobe.operators.ordering import with_running_sum, with_running_sums
+from tabprobe.operators.concordance import pair_counts
+from tabprobe.operators.ordering import with_running_sums
 from tabprobe.session import cut_lineage
 from tabprobe.functions.aggregates import agg_row
 
@@ -198,62 +197,18 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 # ------------------------------------------------------------------ Kendall
 
-def kendall_pairs(long_pairs: DataFrame, y_counts: DataFrame, bits: int) -> DataFrame:
-    """tau-b per pair from ``(pair, x, y, ry)`` rows (``ry`` = dense 0-based rank
-    of y within the pair, ``bits`` >= bit length of the largest ry) and the
-    ``(pair, y, _c)`` value counts of y.
-
-    Discordant pairs: at bit level b, rows sharing ``ry >> (b + 1)`` differ
-    first at bit b; each row with bit 0 is discordant with every row with bit
-    1 and a strictly smaller x. The group key packs (pair, level, prefix) into
-    one long, and the count of earlier bit-1 rows is a distributed running sum.
-    """
-    tie = lambda t: F.sum(F.col(t).cast("double") * (F.col(t) - 1) / 2)
-    n1 = (long_pairs.groupBy("pair", "x").agg(F.count(F.lit(1)).alias("t"))
-                    .groupBy("pair").agg(F.sum("t").cast("double").alias("n"), tie("t").alias("n1")))
-    n2 = y_counts.groupBy("pair").agg(tie("_c").alias("n2"))
-    n3 = (long_pairs.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("t"))
-                    .groupBy("pair").agg(tie("t").alias("n3")))
-    levels = long_pairs.select("pair", "x", "ry", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("b"))
-    grp = (F.shiftleft(F.col("pair").cast("long") * 64 + F.col("b"), 36)
-           + F.expr("shiftright(ry, b + 1)"))
-    cells = levels.select(grp.alias("grp"), "pair", "x", F.expr("shiftright(ry, b) & 1").alias("bit"))
-    counts = cut_lineage(cells.groupBy("grp", "pair", "x").agg(
-        F.sum("bit").alias("ones"), F.sum(1 - F.col("bit")).alias("zeros")))  # read by several jobs
-    prefix = with_running_sum(counts, "grp", ["x"], "ones", name="ones_before")
-    # counts multiply beyond 64 bits on large tables: exact decimals
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    disc = prefix.groupBy("pair").agg(
-        F.sum((big("zeros") * big("ones_before")).cast("decimal(38,0)")).cast("double").alias("D"))
-    t = (n1.join(n2, "pair").join(n3, "pair").join(disc, "pair", "left")
-          .fillna({"D": 0.0}))
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    c = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("D")
-    den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    return t.select("pair", F.when(den > 0, (c - F.col("D")) / den).alias("r"))
-
-
 def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Kendall tau-b, pairwise complete, for every column pair at once."""
     wide, cols = _numeric_wide(df, columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
     pairs = _pairs(cols)
-    structs = [F.struct(F.lit(k).alias("pair"), qcol(cols[i]).alias("x"), qcol(cols[j]).alias("y"))
-               for k, (i, j) in enumerate(pairs)]
-    long = (wide.select(F.inline(F.array(*structs)))
-                .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    ys = cut_lineage(long.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_c")))
-    ry = with_running_sum(ys.withColumn("_one", F.lit(1)), "pair", ["y"], "_one", name="ry").drop("_one", "_c")
-    lp = cut_lineage(long.join(ry, ["pair", "y"]))  # several consumers below
-    # the largest dense rank sizes the bit loop: one scan of the written table
-    bits = max(1, int(lp.agg(F.max("ry")).first()[0] or 0).bit_length())
-    tau = kendall_pairs(lp, ys, bits)
-    names = F.create_map(*[x for k, (i, j) in enumerate(pairs)
-                           for x in (F.lit(k), F.array(F.lit(cols[i]), F.lit(cols[j])))])
-    got = tau.select(names[F.col("pair")][0].alias("col_a"), names[F.col("pair")][1].alias("col_b"), "r")
-    allp = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in pairs], "col_a string, col_b string")
-    upper = allp.join(got, ["col_a", "col_b"], "left")
+    n0 = F.col("n") * (F.col("n") - 1) / 2
+    concordant = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
+    den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
+    tau = pair_counts(wide, cols, pairs).select("pair", F.when(den > 0, (concordant - F.col("d")) / den).alias("r"))
+    listed = df.sparkSession.createDataFrame([(k, cols[i], cols[j]) for k, (i, j) in enumerate(pairs)], "pair int, col_a string, col_b string")
+    upper = listed.join(tau, "pair", "left").select("col_a", "col_b", "r")
     return _mirror(upper, cols, _diag(df.sparkSession, cols, None))
 
 
