@@ -1,7 +1,7 @@
 """Distributed positions and running sums.
 
 Row positions and weighted ranks are the backbone of the positional operators
-(row ids, paging), of exact quantiles, of average ranks and of Kendall's tau.
+(row ids, paging), of exact quantiles and of average ranks.
 A global ``row_number() over (order by k)`` runs in a single task, so instead,
 at every size alike:
 
