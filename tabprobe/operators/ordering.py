@@ -162,6 +162,41 @@ def with_running_sums(df: DataFrame, group_col: str | None, order_by: Sequence[s
     return out.drop("_b", "_g", "_ob", "_og", *[f"{x}{k}" for k, _ in sums for x in ("_w", "_off", "_local")])
 
 
+class Directory:
+    """Row counts of the range buckets of an order, which tell what bucket holds a
+    position: rows at a few positions are then numbered without moving the others.
+    One row a bucket reaches the driver."""
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str], num_buckets: int | None = None):
+        self.df, self.order_by = df, list(order_by)
+        self.bucket = bucket_column(df, order_by, num_buckets, spread=list(df.columns))
+        self.starts: list[tuple[int, int, int]] = []  # (bucket, its first position, the next bucket's)
+        self.rows = 0
+        for b, c in sorted(tuple(r) for r in df.groupBy(self.bucket.alias("_b")).count().collect()):
+            self.starts.append((b, self.rows, self.rows + c))
+            self.rows += c
+
+    def touched(self, intervals: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(bucket, first position) of the buckets that hold a position of the sorted,
+        disjoint inclusive intervals."""
+        out, k = [], 0
+        for b, lo, hi in self.starts:
+            while k < len(intervals) and intervals[k][1] < lo:
+                k += 1
+            if k < len(intervals) and intervals[k][0] < hi:
+                out.append((b, lo))
+        return out
+
+    def number(self, intervals: Sequence[tuple[int, int]], name: str = "row_id") -> DataFrame:
+        """The rows of the touched buckets with their positions; only these are shuffled."""
+        found = self.touched(intervals)
+        staged = self.df.withColumn("_b", self.bucket).where(F.col("_b").isin([b for b, _ in found]) if found else F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("_b").orderBy(*[qcol(c) for c in self.order_by]))
+        first = self.df.sparkSession.createDataFrame(found, "_b long, _first long")
+        return staged.withColumn("_nth", nth).join(F.broadcast(first), "_b").withColumn(
+            name, F.col("_first") + F.col("_nth") - 1).drop("_b", "_nth", "_first")
+
+
 _POS_BITS = 33  # monotonically_increasing_id = (partition index << 33) + position
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.operators.ordering import with_row_id
+from tabprobe.operators.ordering import Directory, with_row_id
 
 
 def parse_index_spec(spec: str | None) -> list[tuple[int, int]]:
@@ -83,10 +83,18 @@ def keep_rows_by_index(df: DataFrame, spec: str, row_id: str = "row_id",
 
     No valid position at all -> the table is returned unchanged. Positions
     are 0..n-1, so that is decided by the row count alone: the first interval
-    starts at or after n.
+    starts at or after n. With ``order_by`` only the range buckets that hold a
+    listed position are numbered; other rows are not moved.
     """
     iv = parse_index_spec(spec)
-    if not iv or iv[0][0] >= df.count():
+    if not iv:
+        return _ensure_row_id(df, row_id, order_by)
+    if row_id not in df.columns and order_by:
+        where = Directory(df, order_by)
+        if iv[0][0] >= where.rows:
+            return _ensure_row_id(df, row_id, order_by)
+        df = where.number(iv, row_id)
+    elif iv[0][0] >= df.count():
         return _ensure_row_id(df, row_id, order_by)
     df = _ensure_row_id(df, row_id, order_by)
     x = F.col(row_id)
@@ -111,14 +119,15 @@ def page_rows(df: DataFrame, page: int, page_size: int, row_id: str = "row_id",
     """Rows of page ``page`` (1-based, clamped to the valid range).
 
     Clamping needs the row count: one count of the input, the figure the
-    reference shows beside the page anyway.
+    reference shows beside the page anyway. With ``order_by`` only the range
+    buckets that hold the page's rows are numbered; other rows are not moved.
     """
     if page_size < 1:
         raise ValueError("page_size must be positive")
-    df = _ensure_row_id(df, row_id, order_by)
-    pages = page_count(df.count(), page_size)
-    p = min(max(page, 1), pages)
-    lo = (p - 1) * page_size
+    where = Directory(df, order_by) if row_id not in df.columns and order_by else None
+    rows = where.rows if where else df.count()
+    lo = (min(max(page, 1), page_count(rows, page_size)) - 1) * page_size
+    df = where.number([(lo, lo + page_size - 1)], row_id) if where else _ensure_row_id(df, row_id, order_by)
     return df.where(F.col(row_id).between(lo, lo + page_size - 1))
 
 
