@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.ml.metrics import classification_metrics
-from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix, sq_distances
+from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix
+from tabprobe.ml.pivots import NEIGHBOURS, nearest_in_block, pivot_neighbours, ranked, with_distance
 from tabprobe.ml.prepare import assemble, fold_assignment
 from tabprobe.session import cut_lineage
 
@@ -196,33 +197,16 @@ def knn_neighbours(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: b
     (array<double>); ``ref`` also ``label``. Ties in distance go to the
     smaller reference id."""
     nq, nr = query.count(), ref.count()  # sizes pick the block counts
+    if nr > block_rows:
+        return pivot_neighbours(query, ref, k, exclude_self, block_rows, nr)[0]
 
+    # one reference block: every query meets it once
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = matrix(left["features"]), matrix(right["features"])
-        d = sq_distances(a, b)
-        rid = right["id"].to_numpy()
-        if exclude_self:
-            d[left["id"].to_numpy()[:, None] == rid[None, :]] = np.inf
-        kk = min(k, d.shape[1])
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = [], []
-        for r in range(d.shape[0]):  # candidates up to the k-th distance, ties by id
-            cand = np.nonzero(d[r] <= kth[r])[0]
-            best = cand[np.lexsort((rid[cand], d[r, cand]))][:kk]
-            rows.append(np.full(len(best), r))
-            cols.append(best)
-        rows, cols = np.concatenate(rows), np.concatenate(cols)
-        dist = d[rows, cols]
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"id": left["id"].to_numpy()[rows][keep],
-                             "ref_id": rid[cols][keep],
-                             "dist": np.sqrt(dist[keep]),
-                             "label": right["label"].to_numpy().astype("float64")[cols][keep]})
+        return nearest_in_block(left, right, k, exclude_self)
 
     cand = blocked(query.select("id", "features"), ref.select("id", "features", "label"), nearest,
-                   "id long, ref_id long, dist double, label double", nq, nr, block_rows)
-    w = Window.partitionBy("id").orderBy("dist", "ref_id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                   NEIGHBOURS, nq, nr, block_rows)
+    return with_distance(ranked(cand, k))
 
 
 def knn_classify(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
