@@ -11,6 +11,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprobe.ml import lloyd
 from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix, sq_distances
 from tabprobe.ml.prepare import assemble
 from tabprobe.session import cut_lineage
@@ -41,40 +42,46 @@ def clustering_metrics(model, data: DataFrame, features: Sequence[str]) -> DataF
                .orderBy("cluster"))
 
 
-def silhouette_points(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """M16 (exact): per-point silhouette with Euclidean distances.
+def silhouettes_points(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """M16 (exact) for several clusterings at once: (model, id, silhouette) with Euclidean distances.
 
-    ``points``: (id, features array<double>, cluster). Every point block meets
-    every reference block once; each meeting emits one (point, cluster) partial
-    distance sum, so nothing quadratic is materialised."""
+    ``points``: (id, features array<double>, clusters array<int>: the cluster in each model). Every point block
+    meets every reference block once; each meeting computes its distances once and emits one
+    (model, point, cluster) partial distance sum, so nothing quadratic is materialised."""
     n = points.count()
 
     def partial(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         d = np.sqrt(sq_distances(matrix(left["features"]), matrix(right["features"])))
         same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
         d[same] = 0.0
-        cl = right["cluster"].to_numpy()
         out = []
-        for c in np.unique(cl):
-            m = cl == c
-            cnt = m.sum() - same[:, m].sum(1)
-            out.append(pd.DataFrame({"id": left["id"].to_numpy(), "other": int(c),
-                                     "s": d[:, m].sum(1), "c": cnt.astype("int64")}))
+        for model, cl in enumerate(np.vstack(right["clusters"].to_numpy()).T):
+            for c in np.unique(cl):
+                m = cl == c
+                cnt = m.sum() - same[:, m].sum(1)
+                out.append(pd.DataFrame({"model": model, "id": left["id"].to_numpy(), "other": int(c),
+                                         "s": d[:, m].sum(1), "c": cnt.astype("int64")}))
         return pd.concat(out, ignore_index=True)
 
-    sums = blocked(points.select("id", "features"), points.select("id", "features", "cluster"),
-                   partial, "id long, other int, s double, c long", n, n, block_rows)
-    per = sums.groupBy("id", "other").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    own = points.select("id", F.col("cluster").cast("int").alias("own"))
-    j = per.join(own, "id")
+    sums = blocked(points.select("id", "features"), points.select("id", "features", "clusters"),
+                   partial, "model int, id long, other int, s double, c long", n, n, block_rows)
+    per = sums.groupBy("model", "id", "other").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    own = points.select("id", F.posexplode("clusters").alias("model", "own"))
+    j = per.join(own, ["model", "id"])
     mean = F.try_divide(F.col("s"), F.col("c"))  # 0/0 for a singleton cluster
-    agg = j.groupBy("id").agg(
+    agg = j.groupBy("model", "id").agg(
         F.max(F.when(F.col("other") == F.col("own"), F.col("c"))).alias("n_own"),
         F.max(F.when(F.col("other") == F.col("own"), mean)).alias("a"),
         F.min(F.when((F.col("other") != F.col("own")) & (F.col("c") > 0), mean)).alias("b"))
     sil = F.when(F.coalesce(F.col("n_own"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
-    return agg.select("id", sil.alias("silhouette"))
+    return agg.select("model", "id", sil.alias("silhouette"))
+
+
+def silhouette_points(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """M16 (exact): per-point silhouette. ``points``: (id, features array<double>, cluster)."""
+    one = points.select("id", "features", F.array(F.col("cluster").cast("int")).alias("clusters"))
+    return silhouettes_points(one, block_rows).drop("model")
 
 
 def silhouette(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -100,27 +107,31 @@ MEASURES = ("squared_euclidean", "exact")
 
 
 def choose_k(data: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 11),
-             id_col: str | None = None, seed: int = KMEANS_SEED, measure: str = "squared_euclidean") -> DataFrame:
-    """(k, inertia, and one silhouette column) for each candidate k -- a loop
-    of fits. ``measure``: ``squared_euclidean`` is Spark's, linear in the rows
-    (column ``silhouette_sq``); ``exact`` needs all pairs (column ``silhouette``)."""
+             id_col: str | None = None, seed: int = KMEANS_SEED, measure: str = "squared_euclidean",
+             max_iter: int = 300) -> DataFrame:
+    """(k, inertia, and one silhouette column) for each candidate k. All models are trained in
+    shared passes over the data and measured in one more (``tabprobe.ml.lloyd``). ``measure``:
+    ``squared_euclidean`` is linear in the rows (column ``silhouette_sq``); ``exact`` computes all distances,
+    once for all k (column ``silhouette``). Rows with a missing feature take no part; a silhouette is null
+    when fewer than two clusters hold rows; an empty table gives no rows."""
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
     name = "silhouette" if measure == "exact" else "silhouette_sq"
-    rows = []
-    if id_col is None:
-        data, id_col = data.withColumn("_point_id", F.monotonically_increasing_id()), "_point_id"
-    base = cut_lineage(data)  # written once: ids and every fit see the same rows
-    for k in ks:
-        model = train_kmeans(base, features, k, seed)
-        if measure == "exact":
-            assigned = assign_clusters(model, base, features).drop("features")
-            pts = with_point_ids(assigned, features, id_col).select("id", "features", F.col("cluster").cast("int"))
-            s = silhouette(pts).first()[0]
-        else:
-            s = silhouette_sq_euclidean(model, base, features)
-        rows.append((int(k), float(model.summary.trainingCost), None if s is None else float(s)))
-    return data.sparkSession.createDataFrame(rows, f"k int, inertia double, {name} double")
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    ident = F.monotonically_increasing_id() if id_col is None else F.col(id_col).cast("long")
+    points = data.select(ident.alias("id"), values.alias("features")).where(
+        F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)))
+    base = cut_lineage(points)  # written once: ids and every pass see the same rows
+    models = lloyd.fit_many(base, lloyd.starts(base, list(dict.fromkeys(ks)), seed, max_iter), max_iter)
+    if measure == "exact" and models:
+        per = silhouettes_points(cut_lineage(lloyd.assigned(base, models)))
+        means = {r["model"]: r["s"] for r in per.groupBy("model").agg(F.avg("silhouette").alias("s")).collect()}
+        quality = {k: means.get(i) for i, k in enumerate(models)}
+    else:
+        quality = lloyd.silhouettes_sq(base, models)
+    rows = [(int(k), float(m.inertia), quality[k]) for k, m in models.items()]
+    return data.sparkSession.createDataFrame([(k, i, None if s is None else float(s)) for k, i, s in rows],
+                                             f"k int, inertia double, {name} double")
 
 
 def cluster_points(model, data: DataFrame, features: Sequence[str], x: str, y: str,
