@@ -9,9 +9,11 @@ stated as such.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -231,18 +233,22 @@ def knn_classify(query: DataFrame, ref: DataFrame, k: int = 5, exclude_self: boo
 # ------------------------------------------------------------------ cross-validation
 
 def cross_validate(data: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str],
-                   model_type: str = "logistic", folds: int = 5, **params) -> DataFrame:
+                   model_type: str = "logistic", folds: int = 5, parallelism: int = 4, **params) -> DataFrame:
     """Stratified ``folds``-fold accuracy with refits, plus the mean and the
     population std as extra rows (fold = -1 / -2). The reference folds its test
-    split; the input set is an argument here."""
+    split; the input set is an argument here. ``parallelism`` folds are fitted side by side."""
     assigned = cut_lineage(fold_assignment(data, label, id_cols, folds))
-    accs = []
-    for f in range(folds):
+
+    def accuracy(f: int) -> float:
         tr = assigned.where(F.col("fold") != f)
         te = assigned.where(F.col("fold") == f)
         model = train_classifier(tr, features, label, model_type, **params)
         m = classification_metrics(predict(model, te, features, label)).first()
-        accs.append(float(m["accuracy"]))
+        return float(m["accuracy"])
+
+    run = inheritable_thread_target(data.sparkSession)(accuracy)
+    with ThreadPoolExecutor(max(1, min(parallelism, folds))) as pool:
+        accs = list(pool.map(run, range(folds)))
     mean = float(np.mean(accs))
     std = float(np.std(accs))
     rows = [(f, a) for f, a in enumerate(accs)] + [(-1, mean), (-2, std)]
