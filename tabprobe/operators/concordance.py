@@ -1,20 +1,20 @@
 """Concordance counts for Kendall's tau-b by a grid of value ranges.
 
-Every column is cut into ranges of about equal row counts (one ``approxQuantile``
-pass over all columns); a value that fills several ranges gets a range of its own.
+Every column is cut into ranges of about equal row counts (splits from one bounded sample
+of the rows); a value that fills several ranges gets a range of its own.
 The range of a cell is a function of its value, so nothing is joined or written.
 For a pair of columns, two rows are then compared in exactly one place:
 
 * both columns in different ranges: the pair's matrix of row counts, range by
   range, decides with two-dimensional running sums;
-* first column in one range: inversions inside that range, by merging;
+* first column in one range: inversions inside that range;
 * only the second column in one range: inversions between the first column's
-  range numbers and the values, by merging.
+  range numbers and the values.
 
-A range of a single value holds ties only and ships no rows. So a row travels at
-most twice for each pair, whatever the number of different values.
+A range of a single value holds ties only and ships no rows. A row travels at most once for each
+column, with all its values, and its range's task counts all pairs of that column.
 
-Scale: a group holds about ``rows / ranges`` rows (24 bytes each), with at most
+Scale: a group holds about ``rows / ranges`` rows (8 bytes a column each), with at most
 ``MAX_RANGES`` ranges, so groups grow beyond some 10^7 rows above 10^10 rows; a
 pair's matrix has at most ``(2 * MAX_RANGES) ** 2`` counts.
 """
@@ -34,25 +34,33 @@ from tabprobe.functions.columns import qcol
 from tabprobe.operators.ordering import bucket_count
 
 MAX_RANGES = 1024
+SAMPLE_PER_RANGE = 64
+SAMPLE_SEED = 7
 COUNTS = "pair int, n double, n1 double, n2 double, n3 double, d double"
 
 
 def inversions(y: np.ndarray) -> int:
-    """Positions i < j with y[i] > y[j], by bottom-up merging: at each width, every
-    left half's element counts the smaller ones in the right half beside it."""
+    """Positions i < j with y[i] > y[j]. The ranks are dealt bit by bit, highest first: among rows that agree in
+    the bits before, those with a 1 ahead of one with a 0 exceed it; then the 0s move before the 1s in order."""
     n = len(y)
     if n < 2:
         return 0
-    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
-    span, at, total, width = int(rank.max()) + 1, np.arange(n), 0, 1
-    while width < n:
-        block = at // (2 * width)
-        right = (at // width) % 2 == 1
-        sorted_right = np.sort(block[right] * span + rank[right])
-        left = block[~right] * span
-        below = np.searchsorted(sorted_right, left + rank[~right]) - np.searchsorted(sorted_right, left)
-        total += int(below.sum())
-        width *= 2
+    r = np.unique(y, return_inverse=True)[1].astype(np.int32)
+    bits, at, total = int(r.max()).bit_length(), np.arange(n, dtype=np.int32), 0
+    below = np.zeros((1 << bits) + 1, np.int32)  # rows of a smaller rank
+    np.cumsum(np.bincount(r, minlength=1 << bits), out=below[1:])
+    for bit in range(bits - 1, -1, -1):
+        one = (r >> bit) & 1
+        ahead = np.zeros(n + 1, np.int32)
+        np.cumsum(one, out=ahead[1:])
+        group = (r >> (bit + 1)) << (bit + 1)
+        start = below[group]
+        ones = ahead[:-1] - ahead[start]  # of the same group, before the row
+        zero = one == 0
+        total += int(ones[zero].sum(dtype=np.int64))
+        moved = np.empty_like(r)
+        moved[np.where(zero, at - ones, below[group + (1 << bit)] + ones)] = r
+        r = moved
     return total
 
 
@@ -65,46 +73,47 @@ def _ties(*sorted_keys: np.ndarray) -> float:
     return float((size * (size - 1) / 2).sum())
 
 
-def _inside(rows: pd.DataFrame) -> pd.DataFrame:
-    """Counts of the rows of one range: ``side`` 0 of the first column (a, b = both
-    values), 1 of the second one (a = the first column's range)."""
-    side = int(rows["side"].iloc[0])
-    a, b, alone = rows["a"].to_numpy(), rows["b"].to_numpy(), rows["alone"].to_numpy()
+def _inside(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, float]:
+    """n1, n2, n3, d of the rows of one range of the first column (a, b: both values)."""
     order = np.lexsort((b, a))
-    a, b, alone = a[order], b[order], alone[order]
-    d = float(inversions(b))
-    n1 = n2 = 0.0
-    if side == 0:
-        n1, n3 = _ties(a), _ties(a, b)
-    else:
-        n2 = _ties(np.sort(b))
-        # rows whose first column has its range to itself are not counted on side 0
-        n3 = _ties(a[alone], b[alone]) if alone.any() else 0.0
-    return pd.DataFrame({"pair": [int(rows["pair"].iloc[0])], "n": [0.0], "n1": [n1], "n2": [n2], "n3": [n3], "d": [d]})
-
-
-def _between(cells: pd.DataFrame) -> pd.DataFrame:
+    a, b = a[order], b[order]
+    return _ties(a), 0.0, _ties(a, b), float(inversions(b))
+
+
+def _beside(bx: np.ndarray, y: np.ndarray, x: np.ndarray, alone: np.ndarray) -> tuple[float, float, float, float]:
+    """The same of one range of the second column (bx, x: the first column's ranges and values). Rows whose first
+    column has its range to itself (``alone``) do not travel by it, so their ties in both columns count here."""
+    order = np.lexsort((y, bx))
+    bx, y, alone = bx[order], y[order], alone[order]
+    n3 = _ties(bx[alone], y[alone]) if alone.any() else 0.0
+    return 0.0, _ties(np.sort(y)), n3, float(inversions(y))
+
+
+def _between(cells: pd.DataFrame, ranges, pairs) -> pd.DataFrame:
     """Counts that the matrix of one pair decides."""
+    pair = int(cells["pair"].iloc[0])
     bx, by = cells["bx"].to_numpy(np.int64), cells["by"].to_numpy(np.int64)
     m = np.zeros((bx.max() + 1, by.max() + 1))
     m[bx, by] = cells["n"]
-    sx, sy = np.zeros(m.shape[0], bool), np.zeros(m.shape[1], bool)
-    sx[bx], sy[by] = cells["sx"], cells["sy"]
+    sx, sy = (np.isin(np.arange(size), ranges[c][1]) for size, c in zip(m.shape, pairs[pair]))
     later = np.cumsum(m[::-1], axis=0)[::-1] - m  # rows in later ranges of x, the same range of y
     d = (m * (np.cumsum(later, axis=1) - later)).sum()
-    pairs = lambda c: float((c * (c - 1) / 2).sum())
-    return pd.DataFrame({"pair": [int(cells["pair"].iloc[0])], "n": [m.sum()], "n1": [pairs(m.sum(axis=1)[sx])],
-                         "n2": [pairs(m.sum(axis=0)[sy])], "n3": [pairs(m[np.ix_(sx, sy)])], "d": [d]})
+    tied = lambda c: float((c * (c - 1) / 2).sum())
+    return pd.DataFrame({"pair": [pair], "n": [m.sum()], "n1": [tied(m.sum(axis=1)[sx])],
+                         "n2": [tied(m.sum(axis=0)[sy])], "n3": [tied(m[np.ix_(sx, sy)])], "d": [d]})
 
 
-def value_ranges(wide: DataFrame, cols: Sequence[str]) -> list[tuple[list[float], list[int]]]:
-    """Per column: the splits of its ranges [s0, s1), [s1, s2), ... and the ranges of a single value."""
-    n = min(MAX_RANGES, bucket_count(wide, wide.count()))
-    probs = [i / n for i in range(1, n)]
-    cuts = wide.approxQuantile(list(cols), probs, 1 / (4 * n)) if probs else [[] for _ in cols]
+def value_ranges(wide: DataFrame, cols: Sequence[str], n: int) -> list[tuple[list[float], list[int]]]:
+    """Per column: the splits of about ``n`` ranges [s0, s1), [s1, s2), ... and the ranges of a single value.
+    The splits come from one bounded sample of the rows; they decide how even the ranges are, and no result."""
+    n = min(MAX_RANGES, n)
+    rows = wide.count() if n > 1 else 0
+    sample = wide.select(*[qcol(c) for c in cols]).sample(min(1.0, n * SAMPLE_PER_RANGE / max(rows, 1)), SAMPLE_SEED).toPandas() if n > 1 else None
     out = []
-    for found in cuts:
-        found = np.array(found, float) + 0.0  # -0.0 is 0.0
+    for k in range(len(cols)):
+        found = np.zeros(0) if sample is None else sample.iloc[:, k].to_numpy(float, na_value=np.nan) + 0.0  # -0.0 is 0.0
+        found = np.sort(found[~np.isnan(found)])
+        found = found[[len(found) * i // n for i in range(1, n)]] if len(found) else found
         found = found[np.isfinite(found)]
         values, times = np.unique(found, return_counts=True)
         heavy = values[times > 1]
@@ -115,27 +124,54 @@ def value_ranges(wide: DataFrame, cols: Sequence[str]) -> list[tuple[list[float]
     return out
 
 
+def in_ranges(df: DataFrame, splits: dict[str, list[float]], names: Sequence[str]) -> DataFrame:
+    """Append, under ``names``, the number of the range that holds each column's value (null: null)."""
+    cut = Bucketizer(splitsArray=list(splits.values()), inputCols=list(splits), outputCols=list(names), handleInvalid="keep").transform(df)
+    return cut.withColumns({b: F.when(F.col(c).isNotNull(), F.col(b).cast("int")) for c, b in zip(splits, names)})
+
+
+def _inside_range(rows: pd.DataFrame, cols: int, pairs, ranges) -> pd.DataFrame:
+    """Counts of all pairs with the column whose range the rows share (``col``, ``range``)."""
+    k, out = int(rows["col"].iloc[0]), []
+    values = [rows[f"v{i}"].to_numpy(np.float64, na_value=np.nan) for i in range(cols)]
+    mine = values[k]
+    for p, (i, j) in enumerate(pairs):
+        if k not in (i, j):
+            continue
+        other = j if k == i else i
+        there = ~np.isnan(values[other])
+        if not there.any():
+            continue
+        x, y = mine[there], values[other][there]
+        if k == i:
+            out.append((p, *_inside(x, y)))
+        else:
+            splits, single = ranges[other]
+            bx = np.searchsorted(splits, y, side="right") - 1
+            bx = np.minimum(bx, len(splits) - 2)  # infinity is in the last range
+            out.append((p, *_beside(bx, x, y, np.isin(bx, single))))
+    n1, n2, n3, d = (np.array([o[1 + f] for o in out], float) for f in range(4))
+    return pd.DataFrame({"pair": np.array([o[0] for o in out], np.int32), "n": np.zeros(len(out)), "n1": n1, "n2": n2, "n3": n3, "d": d})
+
+
 def pair_counts(wide: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """For every pair (numbered as listed) over its complete rows: ``n`` rows, ``n1`` /
     ``n2`` / ``n3`` pairs of rows tied in the first / second / both columns, ``d``
     discordant pairs. ``wide``: doubles without NaN. Pairs without rows are absent."""
     names = [f"v{k}" for k in range(len(cols))]
     plain = wide.select(*[(qcol(c) + F.lit(0.0)).alias(v) for c, v in zip(cols, names)])
-    ranges = value_ranges(plain, names)
-    cut = Bucketizer(splitsArray=[s for s, _ in ranges], inputCols=names, outputCols=[f"b{k}" for k in range(len(cols))],
-                     handleInvalid="keep").transform(plain)
+    ranges = value_ranges(plain, names, bucket_count(wide, wide.count()))
+    cut = in_ranges(plain, {v: s for v, (s, _) in zip(names, ranges)}, [f"b{k}" for k in range(len(cols))])
 
     def alone(k):
         return F.col(f"b{k}").isin(ranges[k][1]) if ranges[k][1] else F.lit(False)
 
-    rows = cut.select(F.inline(F.array(*[F.struct(
-        F.lit(p).alias("pair"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"), F.col(f"b{i}").alias("bx"),
-        F.col(f"b{j}").alias("by"), alone(i).alias("sx"), alone(j).alias("sy")) for p, (i, j) in enumerate(pairs)]))).where(
-        "x IS NOT NULL AND y IS NOT NULL")
-    cells = rows.groupBy("pair", "bx", "by", "sx", "sy").agg(F.count(F.lit(1)).alias("n"))
-    side = lambda s, b, a, v, keep: F.struct(F.lit(s).alias("side"), F.col(b).alias("range"), F.col(a).alias("a"),
-                                             F.col(v).alias("b"), F.col("sx").alias("alone"), keep.alias("keep"))
-    sides = rows.select("pair", F.inline(F.array(side(0, "bx", "x", "y", ~F.col("sx")), side(1, "by", "bx", "y", ~F.col("sy"))))).where("keep")
-    inside = sides.drop("keep").groupBy("pair", "side", "range").applyInPandas(_inside, COUNTS)
-    between = cells.groupBy("pair").applyInPandas(_between, COUNTS)
+    cells = cut.select(F.inline(F.array(*[F.struct(F.lit(p).alias("pair"), F.col(f"b{i}").alias("bx"), F.col(f"b{j}").alias("by"))
+                                          for p, (i, j) in enumerate(pairs)]))).where("bx IS NOT NULL AND by IS NOT NULL")
+    cells = cells.groupBy("pair", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    shared = cut.select(*names, F.inline(F.array(*[F.struct(F.lit(k).alias("col"), F.when(~alone(k), F.col(f"b{k}")).alias("range"))
+                                                   for k in range(len(cols))]))).where("range IS NOT NULL")
+    pairs, n_cols = list(pairs), len(cols)
+    inside = shared.groupBy("col", "range").applyInPandas(lambda rows: _inside_range(rows, n_cols, pairs, ranges), COUNTS)
+    between = cells.groupBy("pair").applyInPandas(lambda c: _between(c, ranges, pairs), COUNTS)
     return inside.unionByName(between).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3", "d")])

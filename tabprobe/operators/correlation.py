@@ -2,9 +2,8 @@
 ``(col_a, col_b, r)``.
 
 * Pearson: one pass for null-free columns, one ``corr`` aggregate per batch of the other pairs.
-* Spearman: Pearson on average ranks. Each column is ranked once by a distributed running
-  count over sorted distinct values; where a partner has missing values, the rows without it
-  are subtracted from the rank.
+* Spearman: Pearson on average ranks. Each column is ranked once by running counts inside
+  value ranges; where a partner has missing values, the rows without it are subtracted from the rank.
 * Kendall tau-b: no self-join. Pairs of rows are counted by a grid of value ranges
   and by merging inside the ranges (``concordance``).
 """
@@ -15,14 +14,16 @@ from collections.abc import Sequence
 from itertools import combinations
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import clean_numeric, numeric_columns, qcol
-from tabprobe.operators.concordance import pair_counts
-from tabprobe.operators.ordering import with_running_sums
+from tabprobe.operators.concordance import in_ranges, pair_counts, value_ranges
+from tabprobe.operators.ordering import bucket_count
 from tabprobe.session import cut_lineage
 from tabprobe.functions.aggregates import agg_row
 
@@ -135,56 +136,113 @@ def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 # ------------------------------------------------------------------ ranks
 
-def rank_vectors(wide: DataFrame, cols: Sequence[str], partners: Sequence[str]) -> DataFrame:
-    """Row by row, ``_r0``, ``_r1``, ...: each column's average ranks as an array -- over all its
-    values, then for each of ``partners`` over the rows where that column is present too (null where
-    the column is missing).
+def rank_vectors(wide: DataFrame, cols: Sequence[str], partners: Sequence[str]) -> tuple[DataFrame, list[dict[str, int]]]:
+    """(row by row each column's average ranks ``_r<column>_<place>``, null where the column is missing; per
+    column, the place of a partner's ranks). Place 0 holds the rank over all values, the others the ranks over
+    the rows where a partner is present too; a partner that is never missing beside the column has place 0.
 
     A column is ranked once. The rank among the rows with a partner is that rank less the rows without
-    the partner that come before (half of those that tie), so the value counts of a column carry, beside
-    the count, how many of its rows lack each partner, and one sort gives all running sums. Rows x columns
-    values are shuffled, whatever the number of pairs."""
-    flags = [f"_g{k}" for k in range(len(partners))]
-    keyed = wide.withColumns({"_rk": F.monotonically_increasing_id()} | {g: qcol(p).isNull().cast("int") for g, p in zip(flags, partners)})
-    # two consumers: the rank branch needs only (column, value, flags), so rescanning is
-    # cheaper than writing n x d rows, and the row key is used in one branch only
-    long = keyed.unpivot(["_rk", *flags], [qcol(c) for c in cols], "column_name", "v").where(F.col("v").isNotNull())
-    counts = cut_lineage(long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(g).alias(g) for g in flags]))
-    sums = with_running_sums(counts, "column_name", ["v"], {f"_before{w}": w for w in ["_c", *flags]})
-    full = F.col("_before_c") + (F.col("_c") + 1) / 2.0
-    ranks = sums.select("column_name", "v", F.array(full, *[full - F.col(f"_before{g}") - F.col(g) / 2.0 for g in flags]).alias("_ranks"))
-    joined = long.select("_rk", "column_name", "v").join(ranks, ["column_name", "v"])
-    names = {c: f"_r{k}" for k, c in enumerate(cols)}
-    out = joined.groupBy("_rk").pivot("column_name", list(cols)).agg(F.first("_ranks"))
-    return out.select(*[qcol(c).alias(names[c]) for c in cols])
+    the partner that come before (half of those that tie). The values are cut into ranges of about equal row
+    counts (``value_ranges``), one aggregate counts the ranges, and the rows of a range are ranked together.
+    Rows are shuffled once a column, by its range; a value that fills ranges has one of its own, whose
+    rank the counts tell, so columns of few values are not shuffled at all."""
+    spark, n = wide.sparkSession, bucket_count(wide, wide.count())
+    flags = [f"_g{p}" for p in range(len(partners))]
+    at = {c: f"_v{k}" for k, c in enumerate(cols)}
+    rows = wide.select(*[(qcol(c) + F.lit(0.0)).alias(at[c]) for c in cols])
+    ranges = value_ranges(rows, list(at.values()), n)
+
+    cut = in_ranges(rows, {v: s for v, (s, _) in zip(at.values(), ranges)}, [f"_b{k}" for k in range(len(cols))])
+    cells = cut.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_b{k}").alias("b"), *[
+        F.col(at[p]).isNull().cast("int").alias(g) for g, p in zip(flags, partners)]) for k in range(len(cols))]))).where("b IS NOT NULL")
+    # a row a range: at most 2 * MAX_RANGES of each column
+    counts = cells.groupBy("k", "b").agg(F.count(F.lit(1)).cast("double").alias("_c"), *[F.sum(g).cast("double").alias(g) for g in flags]).toPandas()
+    places, steps = [], []
+    for k, c in enumerate(cols):
+        mine = counts[counts["k"] == k].sort_values("b")
+        need = [i for i, g in enumerate(flags) if mine[g].sum() > 0]
+        places.append({p: need.index(i) + 1 if i in need else 0 for i, p in enumerate(partners)})
+        w = mine[["_c", *[flags[i] for i in need]]].to_numpy()
+        before, alone = np.zeros((len(ranges[k][0]), w.shape[1])), np.zeros(len(ranges[k][0]), bool)
+        before[mine["b"]] = np.cumsum(w, axis=0) - w
+        tied = np.zeros_like(before)
+        tied[mine["b"]] = w
+        alone[ranges[k][1]] = True
+        steps.append((not alone[mine["b"]].all(), len(need), k, need, before, tied, alone))
+    for moved, _, k, need, before, tied, alone in sorted(steps, key=lambda x: x[:3]):
+        out = [f"_r{k}_{i}" for i in range(len(need) + 1)]
+        keep = [c for c in rows.columns if c != f"_v{k}"]
+        rows = in_ranges(rows, {f"_v{k}": ranges[k][0]}, ["_b"])
+        if moved:
+            apart = F.col("_b").isNull() | (F.col("_b").isin(ranges[k][1]) if ranges[k][1] else F.lit(False))
+            # rows of a missing value or of a range of one value are spread over all tasks
+            key = F.when(apart, -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")).otherwise(F.col("_b"))
+            run = _ranks_of_range(f"_v{k}", [at[partners[i]] for i in need], keep, out, before, tied)
+            rows = rows.withColumn("_p", key).repartition(n, "_p").groupBy("_p").applyInPandas(run, ", ".join(f"{c} double" for c in [*keep, *out]))
+        else:
+            listed = [(b, *_average_ranks(before[b], tied[b]).tolist()) for b in np.flatnonzero(alone).tolist()]
+            place = spark.createDataFrame(listed, "_b int, " + ", ".join(f"{c} double" for c in out))
+            rows = rows.join(F.broadcast(place), "_b", "left").select(*keep, *out)
+        at[cols[k]] = out[0]
+    return rows, places
+
+
+def _average_ranks(before: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Ranks of a value over all rows and over the rows with each partner, from the rows (and, of them, those
+    without each partner) before it and tied with it; last axis: all, partners."""
+    full = before[..., :1] + (tied[..., :1] + 1) / 2.0
+    return np.concatenate([full, full - before[..., 1:] - tied[..., 1:] / 2.0], axis=-1)
+
+
+def _ranks_of_range(value: str, partners: list[str], keep: list[str], out: list[str], before: np.ndarray, tied: np.ndarray):
+    """Function of one group of ``rank_vectors``: the rows of one range, or rows whose ranks the counts tell."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ranks = np.full((len(rows), len(out)), np.nan)
+        if rows["_p"].iloc[0] < 0:
+            b = rows["_b"].to_numpy(np.float64, na_value=np.nan)
+            there = ~np.isnan(b)
+            b = b[there].astype(np.int64)
+            ranks[there] = _average_ranks(before[b], tied[b])
+        else:
+            v = rows[value].to_numpy(np.float64)
+            order = np.argsort(v)
+            v = v[order]
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            w = np.column_stack([np.ones(len(v)), *[rows[p].isna().to_numpy()[order] for p in partners]])
+            same = np.add.reduceat(w, first, axis=0)
+            mine = _average_ranks(before[int(rows["_p"].iloc[0])] + np.cumsum(same, axis=0) - same, same)
+            ranks[order] = np.repeat(mine, np.diff(np.append(first, len(v))), axis=0)
+        return rows[keep].assign(**{c: ranks[:, i] for i, c in enumerate(out)})
+    return run
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson on average ranks, ranked on each pair's complete rows.
 
-    Every column is ranked once (``rank_vectors``); the ranks are written and each pair is one
-    ``corr`` over its two rank columns, pairs without missing values in one pass."""
+    Every column is ranked once (``rank_vectors``) and each pair is one ``corr`` over its two rank
+    columns, all in one aggregate; beyond ``PAIRS_PER_AGGREGATE`` pairs the ranks are written first."""
     wide, cols = _numeric_wide(df, columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_DDL)
     facts = column_facts(wide, cols)
     partners = [c for c, f in zip(cols, facts) if f.nulls]
-    complete = [c for c in cols if c not in partners]
-    ranked = cut_lineage(rank_vectors(wide, cols, partners))
-    at = {c: f"_r{k}" for k, c in enumerate(cols)}
-    slot = {c: 1 + partners.index(c) if c in partners else 0 for c in cols}
+    ranked, places = rank_vectors(wide, cols, partners)
+    index = {c: i for i, c in enumerate(cols)}
     # ranks vary exactly where the raw values of the pair's rows vary
     flags = varying_pairs(wide, cols, _pairs(cols), facts)
-    index = {c: i for i, c in enumerate(cols)}
-    parts = []
+    parts, complete = [], []
+    if len(flags) > PAIRS_PER_AGGREGATE:
+        ranked = cut_lineage(ranked)
+        complete = [c for c in cols if c not in partners]
     if len(complete) >= 2:
-        plain = ranked.select(*[F.col(at[c])[0].alias(c) for c in complete])
+        plain = ranked.select(*[F.col(f"_r{index[c]}_0").alias(c) for c in complete])
         mine = [facts[index[c]]._replace(infinite=0) for c in complete]  # ranks are finite
         parts.append(_pearson_upper(plain, complete, mine, {(i, j): mine[i].varies and mine[j].varies for i, j in _pairs(complete)}))
-    mixed = [(cols[i], cols[j]) for (i, j), ok in flags.items() if ok and not (cols[i] in complete and cols[j] in complete)]
+    mixed = [(i, j) for (i, j), ok in flags.items() if ok and not (cols[i] in complete and cols[j] in complete)]
     for start in range(0, len(mixed), PAIRS_PER_AGGREGATE):
-        cells = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                          F.corr(F.col(at[a])[slot[b]], F.col(at[b])[slot[a]]).alias("r")) for a, b in mixed[start:start + PAIRS_PER_AGGREGATE]]
+        cells = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                          F.corr(f"_r{i}_{places[i].get(cols[j], 0)}", f"_r{j}_{places[j].get(cols[i], 0)}").alias("r"))
+                 for i, j in mixed[start:start + PAIRS_PER_AGGREGATE]]
         parts.append(ranked.agg(F.array(*cells).alias("_s")).select(F.inline("_s")))
     allp = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in _pairs(cols)],
                                            "col_a string, col_b string")

@@ -58,3 +58,19 @@ def test_rows_travel_at_most_twice_a_pair(spark):
     df = spark.range(1000).selectExpr("double(id) a", "double(id % 7) b", "1.0D c")
     plan = concordance.pair_counts(df, ["a", "b", "c"], [(0, 1), (0, 2), (1, 2)])._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("FlatMapGroupsInPandas") == 2
+
+
+@pytest.mark.parametrize("rows_per_bucket", [10**9, 20])
+def test_ranks_of_value_ranges_equal_pandas(spark, monkeypatch, rows_per_bucket):
+    """Columns of few values are not shuffled, the others once, and no column is joined by its values."""
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", rows_per_bucket)
+    data = {c: np.clip(v, -1e300, 1e300) for c, v in columns().items() if c != "same"}  # pandas skips infinities
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*data.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in data))
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.corr_spearman(df).collect()}
+    want = df.toPandas().corr(method="spearman")
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-9 for a, b in combinations(data, 2))
+    ranked, places = correlation.rank_vectors(df, list(data), ["gaps.x"])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") <= len(data) and "Window" not in plan
+    assert all(set(p) == {"gaps.x"} for p in places)
