@@ -8,6 +8,7 @@ distinct/top-k questions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -212,14 +213,30 @@ def categorical_info(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 # ------------------------------------------------------------------ type detection
 
+def layout_shape(fmt: str) -> str:
+    """Pattern that every text of a date-time layout matches (and some others do): numbers where it has
+    numbers, letters where it has names, its own signs between them."""
+    out = ""
+    for m in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|(.)", fmt):
+        quoted, run, letter, sign = m.groups()
+        if run:
+            out += r"\D+" if letter == "M" and len(run) > 2 else r".+" if letter == "X" else r"[+-]?\d+"
+        else:
+            out += re.escape(quoted if quoted is not None else sign)
+    return out
+
+
 def _is_datetime(v):
-    """Does the text (trimmed) parse in one of the layouts? Only texts that look
-    like one -- short, a digit, and the signs dates are made of -- are parsed."""
+    """Does the text (trimmed) parse in one of the layouts? Only texts that look like one -- short, a digit, and
+    the signs dates are made of, in the order of some layout -- are parsed, and only by the layouts they look like:
+    a parse that fails costs far more than a match."""
     t = F.trim(v)
+    shapes = [layout_shape(fmt) for fmt in DATETIME_FORMATS]
     parsed = F.lit(False)
-    for fmt in DATETIME_FORMATS:
-        parsed = parsed | F.try_to_timestamp(t, F.lit(fmt)).isNotNull()
-    return F.when(t.rlike(DATETIME_SHAPE), parsed).otherwise(False)
+    for fmt, shape in zip(DATETIME_FORMATS, shapes):
+        parsed = parsed | F.when(t.rlike(f"(?is)^{shape}$"), F.try_to_timestamp(t, F.lit(fmt)).isNotNull()).otherwise(False)
+    looks = t.rlike(DATETIME_SHAPE) & t.rlike(f"(?is)^(?:{'|'.join(dict.fromkeys(shapes))})$")
+    return F.when(looks, parsed).otherwise(False)
 
 
 def _text_tests(df: DataFrame, cols: Sequence[str]) -> DataFrame:
