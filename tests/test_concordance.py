@@ -74,3 +74,21 @@ def test_ranks_of_value_ranges_equal_pandas(spark, monkeypatch, rows_per_bucket)
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") <= len(data) and "Window" not in plan
     assert all(set(p) == {"gaps.x"} for p in places)
+
+
+def test_rows_travel_once_a_column(spark):
+    """The rows of a range bring all their values, so their number does not follow the number of pairs."""
+    df = spark.range(4000).selectExpr("double(id) a", "double(id * 7919 % 4001) b", "double(id * 104729 % 4003) c", "double(id * 31 % 4007) d")
+    pairs = list(combinations(range(4), 2))
+    plan = concordance.pair_counts(df, list("abcd"), pairs)._jdf.queryExecution().optimizedPlan().toString()
+    shipped = [line for line in plan.splitlines() if "Generate inline" in line and "range" in line]
+    assert len(shipped) == 1 and plan.count("FlatMapGroupsInPandas") == 2
+    got = concordance.pair_counts(df, list("abcd"), pairs).where("n <> 4000").count()
+    assert got == 0
+
+
+def test_inversions_of_many_ranks():
+    rng = np.random.default_rng(2)
+    for n, most in ((1000, 1000), (1500, 3), (1024, 1 << 40)):
+        y = rng.integers(0, most, n)
+        assert concordance.inversions(y) == int((y[:, None] > y[None, :])[np.triu_indices(n, 1)].sum())
