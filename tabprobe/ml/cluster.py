@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tabprobe.functions.columns import hash_order_key
 from tabprobe.ml import lloyd
-from tabprobe.ml.pairwise import DEFAULT_BLOCK_ROWS, blocked, matrix, sq_distances
+from tabprobe.ml.pairwise import TILE_CELLS, blocked, equal_ids, grid_rows, matrix, sq_distances
 from tabprobe.ml.prepare import assemble
 from tabprobe.session import cut_lineage
 
@@ -48,25 +48,37 @@ def clustering_metrics(model, data: DataFrame, features: Sequence[str]) -> DataF
                .orderBy("cluster"))
 
 
-def silhouettes_points(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def silhouettes_points(points: DataFrame, block_rows: int | None = None) -> DataFrame:
     """M16 (exact) for several clusterings at once: (model, id, silhouette) with Euclidean distances.
 
     ``points``: (id, features array<double>, clusters array<int>: the cluster in each model). Every point block
-    meets every reference block once; each meeting computes its distances once and emits one
-    (model, point, cluster) partial distance sum, so nothing quadratic is materialised."""
-    n = points.count()
+    meets every reference block once; each meeting computes its distances once, tile by tile, and emits one
+    (model, point, cluster) partial distance sum, so nothing quadratic is materialised. Blocks hold
+    ``block_rows`` rows, by default as ``grid_rows`` says."""
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("dims")).first()
+    n = size["n"]
+    if block_rows is None:
+        block_rows = grid_rows(n, size["dims"] or 1)
 
     def partial(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        d = np.sqrt(sq_distances(matrix(left["features"]), matrix(right["features"])))
-        same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        d[same] = 0.0
+        a, b, ids = matrix(left["features"]), matrix(right["features"]), left["id"].to_numpy()
+        same_left, same_right = equal_ids(ids, right["id"].to_numpy())
         out = []
-        for model, cl in enumerate(np.vstack(right["clusters"].to_numpy()).T):
-            for c in np.unique(cl):
-                m = cl == c
-                cnt = m.sum() - same[:, m].sum(1)
-                out.append(pd.DataFrame({"model": model, "id": left["id"].to_numpy(), "other": int(c),
-                                         "s": d[:, m].sum(1), "c": cnt.astype("int64")}))
+        models = [np.unique(cl, return_inverse=True) for cl in np.vstack(right["clusters"].to_numpy()).T]
+        sums = [np.empty((len(a), len(names))) for names, _ in models]
+        step = max(1, TILE_CELLS // len(b))
+        for lo in range(0, len(a), step):
+            d = np.sqrt(sq_distances(a[lo:lo + step], b))
+            here = (same_left >= lo) & (same_left < lo + step)
+            d[same_left[here] - lo, same_right[here]] = 0.0
+            for (names, at), s in zip(models, sums):
+                for c in range(len(names)):
+                    s[lo:lo + step, c] = d[:, at == c].sum(1)
+        for model, ((names, at), s) in enumerate(zip(models, sums)):
+            held = np.tile(np.bincount(at, minlength=len(names)), (len(a), 1))
+            np.subtract.at(held, (same_left, at[same_right]), 1)
+            for c, name in enumerate(names):
+                out.append(pd.DataFrame({"model": model, "id": ids, "other": int(name), "s": s[:, c], "c": held[:, c].astype("int64")}))
         return pd.concat(out, ignore_index=True)
 
     sums = blocked(points.select("id", "features"), points.select("id", "features", "clusters"),
@@ -84,13 +96,13 @@ def silhouettes_points(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS)
     return agg.select("model", "id", sil.alias("silhouette"))
 
 
-def silhouette_points(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def silhouette_points(points: DataFrame, block_rows: int | None = None) -> DataFrame:
     """M16 (exact): per-point silhouette. ``points``: (id, features array<double>, cluster)."""
     one = points.select("id", "features", F.array(F.col("cluster").cast("int")).alias("clusters"))
     return silhouettes_points(one, block_rows).drop("model")
 
 
-def silhouette(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def silhouette(points: DataFrame, block_rows: int | None = None) -> DataFrame:
     """One row, mean exact Euclidean silhouette."""
     return silhouette_points(points, block_rows).agg(F.avg("silhouette").alias("silhouette"))
 

@@ -18,8 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 4_096  # a 4096 x 4096 float64 distance block is 128 MiB
+DEFAULT_BLOCK_ROWS = 4_096
 MIN_BLOCK_ROWS = 64
+GRID = 8  # blocks a side: every row is copied that often, until a block has BLOCK_CELLS values
+BLOCK_CELLS = 1 << 22  # 32 MB
+TILE_CELLS = 1 << 22  # distances held at a time
+
+
+def grid_rows(n_rows: int, dims: int, least: int = DEFAULT_BLOCK_ROWS) -> int:
+    """Rows of a block: blocks grow with the table, so that copies do not, up to ``BLOCK_CELLS`` values (65,536 rows of
+    64). Beyond ``GRID`` such blocks the copies grow with the table, as all pairs must meet."""
+    return max(least, min(math.ceil(n_rows / GRID), BLOCK_CELLS // max(dims, 1)))
 
 
 def n_blocks(n_rows: int, block_rows: int, spread: int = 1) -> int:
@@ -63,3 +72,13 @@ def matrix(series: pd.Series) -> np.ndarray:
 def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
     return np.maximum(d, 0.0)
+
+
+def equal_ids(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in ``left``, positions in ``right``) of all pairs with one id."""
+    order = np.argsort(right, kind="stable")
+    held = right[order]
+    lo, hi = np.searchsorted(held, left), np.searchsorted(held, left, side="right")
+    n = hi - lo
+    start = np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(left)), n), order[np.repeat(lo, n) + np.arange(n.sum()) - start]

@@ -4,8 +4,9 @@ Reference rows are dealt to the nearest of a set of pivots, and each cell is cut
 to its pivot, so that a partition holds a bounded number of rows and is described by its pivot and two
 radii. A query first meets the partitions nearest to it that hold enough rows; the distance of its k-th
 neighbour there is a bound, and of the other partitions it visits only those whose lower bound -- from the
-ring's radii and from the plane between two pivots -- does not exceed it. Each visited (partition, slice of
-its queries) is one ``cogroup`` group; only k rows a query leave it.
+ring's radii and from the plane between two pivots -- does not exceed it. Partitions meet their queries in groups of some
+thousand rows (``grid_rows``): each (group, slice of its queries) is one ``cogroup`` group, to which a query
+travels once with the list of its visits there; only k rows a query leave it.
 
 Bounds: at most ``MAX_PIVOTS`` pivots, fitted on at most ``SAMPLE_PER_PIVOT`` rows each; about
 ``MAX_PIVOTS * RINGS`` partitions, whose description is all that reaches the driver. Beyond
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.ml.pairwise import matrix, sq_distances
+from tabprobe.ml.pairwise import grid_rows, matrix, sq_distances
 from tabprobe.session import cut_lineage
 
 MAX_PIVOTS = 1_024
@@ -194,24 +195,37 @@ def _later_visits(parts: Partitions):
     return run
 
 
-def _meet(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """Neighbours of ``queries`` (id, features, _visit) in the partitions that they visit. A partition's
-    queries are cut into slices of about ``block_rows``; its rows are copied once a slice, and only
-    partitions with visits take part."""
-    counts = queries.select(F.explode("_visit").alias("_part")).groupBy("_part").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_slices"))
-    slices = F.broadcast(counts)  # one row a partition, at most about 2 * MAX_PARTITIONS
-    q = (queries.select("id", "features", F.explode("_visit").alias("_part")).join(slices, "_part")
-                .withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).drop("_slices"))
-    r = (ref.join(slices, "_part")
+def _meet(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, group_rows: int, width: int) -> DataFrame:
+    """Neighbours of ``queries`` (id, features, _visit) in the partitions that they visit. Partitions meet in
+    groups of ``width``: a query is copied once a group, with its visits there, and k rows a query leave the
+    group. A group's queries are cut into slices of about ``group_rows``; its rows are copied once a
+    slice, and only groups with visits take part."""
+    group = lambda p: F.floor(p / width).cast("int")
+    visits = queries.withColumn("_group", F.explode(F.array_distinct(F.transform("_visit", group))))
+    counts = visits.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("_slices"))
+    slices = F.broadcast(counts)  # one row a group, at most about 2 * MAX_PARTITIONS
+    q = (visits.select("id", "features", F.filter("_visit", lambda p: group(p) == F.col("_group")).alias("_visit"), "_group").join(slices, "_group")
+               .withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).drop("_slices"))
+    r = (ref.withColumn("_group", group(F.col("_part"))).join(slices, "_group")
             .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        best = pd.DataFrame({"id": [], "ref_id": [], "sq": [], "label": []})
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "ref_id": [], "sq": [], "label": []})
-        return nearest_in_block(left, right, k, exclude_self)
-
-    return q.groupBy("_part", "_slice").cogroup(r.groupBy("_part", "_slice")).applyInPandas(run, NEIGHBOURS)
+            return best
+        row = np.repeat(np.arange(len(left)), left["_visit"].map(len))
+        part, of = np.concatenate(left["_visit"].to_numpy()), right["_part"].to_numpy()
+        found = []
+        for p in np.unique(part):
+            here = right[of == p]
+            if len(here):
+                found.append(nearest_in_block(left.iloc[row[part == p]], here, k, exclude_self))
+        if not found:
+            return best
+        best = pd.concat(found, ignore_index=True).sort_values(["id", "sq", "ref_id"], ignore_index=True)
+        return best[best.groupby("id", dropna=False).cumcount() < k]
+
+    return q.groupBy("_group", "_slice").cogroup(r.groupBy("_group", "_slice")).applyInPandas(run, NEIGHBOURS)
 
 
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -232,15 +246,18 @@ def pivot_neighbours(query: DataFrame, ref: DataFrame, k: int, exclude_self: boo
     first = Window.partitionBy("features").orderBy("id")
     distinct = (ref.withColumn("_copy", F.row_number().over(first)).where(F.col("_copy") <= need).drop("_copy"))
     placed, parts = partition_reference(distinct, ref_rows, block_rows)
+    # partitions stay small, so that bounds tell them apart; groups of them are as large as the blocks of all pairs
+    group_rows = grid_rows(ref_rows, parts.pivots.shape[1], block_rows)
+    width = max(1, math.ceil(len(parts.cell) * group_rows / max(ref_rows, 1)))
     home = cut_lineage(query.select("id", "features").mapInPandas(
         _first_visits(parts, need), "id long, features array<double>, _visit array<int>"))
-    near = cut_lineage(ranked(_meet(home, placed, k, exclude_self, block_rows), k))
+    near = cut_lineage(ranked(_meet(home, placed, k, exclude_self, group_rows, width), k))
     kth = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("sq")).alias("d")).select(
         "id", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("d")).alias("_kth"))
     bounded = home.join(kth, "id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(float("inf"))))
     later = cut_lineage(bounded.select("id", "features", "_visit", "_kth").mapInPandas(
         _later_visits(parts), "id long, features array<double>, _visit array<int>"))
-    far = _meet(later, placed, k, exclude_self, block_rows)
+    far = _meet(later, placed, k, exclude_self, group_rows, width)
     visits = home.select("id", F.size("_visit").alias("n")).unionByName(
         later.select("id", F.size("_visit").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
     return with_distance(ranked(near.drop("rank").unionByName(far), k)), visits, len(parts.cell)

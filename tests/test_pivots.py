@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabprobe.ml import classify, pivots
 
@@ -104,3 +105,25 @@ def test_empty_sides(spark):
     none = df.where("id < 0")
     assert classify.knn_neighbours(df.select("id", "features"), none, 3).count() == 0
     assert classify.knn_neighbours(none.select("id", "features"), df, 3, block_rows=8).count() == 0
+
+
+def test_blocks_grow_with_the_table_and_copies_do_not():
+    from tabprobe.ml import pairwise
+    copies = [pairwise.n_blocks(n, pairwise.grid_rows(n, 64)) for n in (50_000, 100_000, 500_000)]
+    assert copies == [8, 8, 8] and pairwise.grid_rows(10**8, 64) * 64 == pairwise.BLOCK_CELLS
+    left, right = np.array([5, 1, 9, 1]), np.array([1, 5, 1, 7])
+    pairs = set(zip(*(p.tolist() for p in pairwise.equal_ids(left, right))))
+    assert pairs == {(i, j) for i in range(4) for j in range(4) if left[i] == right[j]}
+
+
+def test_a_query_travels_once_a_group(spark):
+    """Queries that visit all partitions of a group are sent to it once and leave it with k rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8))
+    df = _frame(spark, x)
+    placed, parts = pivots.partition_reference(df, 300, 20)
+    every = list(range(len(parts.cell)))
+    q = df.select("id", "features").withColumn("_visit", F.array(*[F.lit(p) for p in every]))
+    got = pivots._meet(q, placed, 3, True, 10**6, len(every))
+    assert len(every) > 8 and got.count() == 300 * 3
+    assert _rows(pivots.ranked(got, 3)) == _brute(x, np.arange(300), x, np.arange(300), 3, True)
