@@ -107,3 +107,19 @@ def test_every_host_has_its_statistics(spark):
     got = model.features(U.lexical(df)).select("block", "suffix_host").collect()
     assert len(got) == len(rows) and abs(model.prior - 134 / 400) < 1e-9
     assert all(abs(r["suffix_host"] - (3 * r["block"] + 2 * model.prior) / 5) < 1e-9 for r in got)
+
+
+def test_rule_labels_use_suffix_rates_of_other_rules(spark, monkeypatch):
+    """The trees of ``judge`` see suffix rates, out of the folds of the rules."""
+    seen = []
+    real = U.out_of_fold
+
+    def spy(sample, counts, prior):
+        seen.append((sample, counts))
+        return real(sample, counts, prior)
+    monkeypatch.setattr(U, "out_of_fold", spy)
+    df = spark.createDataFrame([(u,) for u in some_urls(600)], "url string")
+    got = U.judge(df, BLOCK, ALLOW).collect()
+    assert len(got) == 600 and len(seen) == 1
+    assert {r["fold"] for r in seen[0][1].select("fold").distinct().collect()} == {r["rule"] for r in got if r["rule"]}
+    assert len({r["block_score"] for r in got if r["rule"] is None}) > 1
