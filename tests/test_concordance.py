@@ -1,8 +1,10 @@
 """Counts of tied and discordant pairs against brute force."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabprobe.operators import concordance, correlation, ordering
@@ -92,3 +94,67 @@ def test_inversions_of_many_ranks():
     for n, most in ((1000, 1000), (1500, 3), (1024, 1 << 40)):
         y = rng.integers(0, most, n)
         assert concordance.inversions(y) == int((y[:, None] > y[None, :])[np.triu_indices(n, 1)].sum())
+
+
+def test_inversions_beyond_one_digit():
+    """Sizes and ranks around the ends of the digits, against a merge count."""
+    def merged(y):
+        if len(y) < 2:
+            return 0, y
+        (a, x), (b, z) = merged(y[:len(y) // 2]), merged(y[len(y) // 2:])
+        return a + b + int((len(x) - np.searchsorted(x, z, side="right")).sum()), np.sort(np.concatenate([x, z]))
+
+    rng = np.random.default_rng(3)
+    for n in (255, 256, 257, 511, 65_535, 65_536, 65_537, 140_000):
+        for most in (2, 256, 257, 1 << 40):
+            y = rng.integers(0, most, n)
+            assert concordance.inversions(y) == merged(y)[0], (n, most)
+        assert concordance.inversions(np.arange(n)[::-1]) == n * (n - 1) // 2
+
+
+def test_rows_of_a_range_travel_in_blocks(spark, monkeypatch):
+    """Spark shuffles and sorts a block a range and chunk, and the pairs' cells are counted before the shuffle."""
+    rows = 4000
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 500)
+    df = spark.range(0, rows, 1, 2).selectExpr("double(id) a", "double(id * 7919 % 4001) b", "double(id % 3) c")
+    pairs = list(combinations(range(3), 2))
+    plan = concordance.pair_counts(df, list("abc"), pairs)
+    root, sent = plan._jdf.queryExecution().executedPlan(), []
+    plan.collect()
+
+    def walk(node):
+        if node.nodeName() in ("AdaptiveSparkPlan",):
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if node.nodeName() == "Exchange":
+            sent.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+    walk(root)
+    assert sent and max(sent) < rows
+
+
+@pytest.mark.parametrize("cells", [7, 1 << 20])
+def test_counts_of_any_chunk(spark, monkeypatch, cells):
+    """Chunks of a few rows and of whole tasks give the same blocks and cells in sum."""
+    ranges = [([-np.inf, 2.0, np.nextafter(2.0, 3), np.inf], [1]), ([-np.inf, 0.0, np.inf], [])]
+    a = np.array([np.nan, 2, 2, -np.inf, np.inf, 1, 3, 2])
+    b = np.array([1, np.nan, -1, -0.5, 0, 7, np.inf, 2])
+    monkeypatch.setattr(concordance, "CHUNK_CELLS", cells)
+    batches = [pa.RecordBatch.from_arrays([pa.array(v[s:s + 3], from_pandas=True) for v in (a, b)], ["v0", "v1"]) for s in (0, 3, 6)]
+    empty = batches[0].slice(0, 0)
+    count = Counter()
+    for c in concordance._cells_of(iter([empty, *batches]), 2, [(0, 1)], ranges):
+        for r in c.to_pylist():
+            count[r["bx"], r["by"]] += r["n"]
+    assert count == {(0, 0): 1, (0, 1): 1, (1, 0): 1, (1, 1): 1, (2, 1): 2}
+    blocks = {}
+    for c in concordance._blocks_of(iter([*batches, empty]), 2, ranges):
+        for r in c.to_pylist():
+            for g in r["ranges"]:
+                rows = np.frombuffer(g["rows"], np.float64).reshape(2, -1).T.tolist()
+                blocks.setdefault((r["col"], g["range"]), []).extend(tuple(map(str, v)) for v in rows)
+    want = {(0, 0): [3, 5], (0, 2): [4, 6], (1, 0): [2, 3], (1, 1): [0, 4, 5, 6, 7]}
+    assert {k: sorted(v) for k, v in blocks.items()} == {k: sorted((str(a[i]), str(b[i])) for i in v) for k, v in want.items()}
+    assert not list(concordance._cells_of(iter([empty]), 2, [(0, 1)], ranges))
